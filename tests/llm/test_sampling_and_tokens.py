@@ -84,6 +84,9 @@ def test_encoder_is_the_library(docs):
     t.encode_special_tokens = True
     texts = [x for _, x in docs[:300]] + ["", " ", "  a", "a ", "a  b", "a \nb c", "don't we'll 12 3a\t b", "x  y", "x  y", "x y z", "a\x00b c", "ab <|endoftext|> c", "ß日本 語\n\n x", "\x1c a b"]
     enc = tokens.Encoder(tokens.vocabulary_path())
+    rng = np.random.default_rng(7)
+    bits = ["a", "B", "é", "×", "÷", "1", " ", " ", "\n", "\t", ".", ",", "!", "'s", "'", "\u00a0", "\u2003", "—", "日", "\x1c", "\r", "<|endoftext|>", "ß", "»", "\u3000", "\u1680", "ſ", "²"]
+    texts += ["".join(rng.choice(bits, int(rng.integers(1, 14)))) for _ in range(6000)]
     enc.MOST = 2000
     assert [x.tolist() for x in enc.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 

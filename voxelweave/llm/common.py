@@ -69,6 +69,12 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Batches of texts for Python of few rows: a batch and its copies are what a worker holds."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 # --- text kernels -----------------------------------------------------------------------
 
 _rng = np.random.default_rng(20240229)
@@ -103,6 +109,14 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def byte_hash(d: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each piece start..end of bytes; never 0."""
+    up, down = _power(len(d) + 1)
+    h = np.zeros(len(d) + 1, np.uint64)
+    np.cumsum(_TABLE[d] * up[: len(d)], out=h[1:])
+    return mix((h[end] - h[start]) * down[start] + (end - start).astype(np.uint64)) | np.uint64(1)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than texts) of a string column; null texts are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .tokens import encoder
 
 
@@ -32,20 +33,26 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 2048)
     def run(batches):
         enc, end = encoder(vocabulary), np.array([end_id], "<u4")
         for b in batches:
-            col, keys = b.column(1), b.column(0)
-            for a in range(0, len(keys), 256):
-                doc, piece, start, length, blob = [], [], [], [], []
-                for i, x in zip(keys.slice(a, 256).to_pylist(), enc.encode(col.slice(a, 256).to_pylist())):
-                    x = np.concatenate([x, end])
-                    at = [0, *range((len(x) - 1) % capacity + 1, len(x), capacity), len(x)]
-                    for k, (s, e) in enumerate(zip(at, at[1:])):
-                        doc.append(i)
-                        piece.append(k)
-                        start.append(s)
-                        length.append(e - s)
-                        blob.append(x[s:e].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(blob, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
-
+            doc, piece, start, length, blob, size = [], [], [], [], [], 0
+            for i, x in zip(b.column(0).to_pylist(), enc.column(b.column(1))):
+                x = np.concatenate([x, end])
+                at = [0, *range((len(x) - 1) % capacity + 1, len(x), capacity), len(x)]
+                for k, (s, e) in enumerate(zip(at, at[1:])):
+                    doc.append(i)
+                    piece.append(k)
+                    start.append(s)
+                    length.append(e - s)
+                    blob.append(x[s:e].tobytes())
+                size += len(x)
+                if size > 1 << 20:
+                    yield batch(doc, piece, start, length, blob)
+                    doc, piece, start, length, blob, size = [], [], [], [], [], 0
+            yield batch(doc, piece, start, length, blob)
+
+    def batch(doc, piece, start, length, blob):
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(blob, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 

@@ -1,10 +1,9 @@
 """Token ids by a public byte-level BPE, and files of equal-length sequences.
 
 ``Encoder`` gives exactly the ids that the tokenizers library gives for the whole text, but
-encodes each distinct word of a worker once: in a byte-level BPE whose pre-tokens take at most
-the one blank before them, a single blank between two non-blank characters always starts a
-pre-token, so a text may be cut there.  A text with any other white space beside a blank is
-encoded whole.
+encodes each distinct piece of a worker once: a byte-level BPE works on pre-tokens, and at
+some places every text has a pre-token's start (`cuts`), so what lies between two of them has
+the same ids wherever it stands.
 
 ``write_tokens`` writes a stream of ids as Arrow IPC files: record batches of
 ``fixed_size_list<uint16|uint32>[length]`` with a mask of the same shape, so that row k of a
@@ -22,9 +21,9 @@ order; an empty table gives an empty manifest; extra columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -33,9 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import parts, scratch, written
+from .common import byte_hash, parts, scratch, segments, small_batches, text_buffers, written
 
-_ODD = re.compile(r"\s \s|\s | \s|^ | $")
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -45,9 +43,42 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: bytes after a blank or line end at which a text isn't cut: white space, or the first byte of characters that may be
+_NO_CUT = np.zeros(256, bool)
+_NO_CUT[[*range(33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".,!?;:"]] = True
+
+
+def cuts(d: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where texts (bytes d, text k from off[k]) may be cut without changing a byte-level BPE's ids; the first byte of each text is one.
+
+    A blank or line end before a character that isn't white space starts a pre-token; so does
+    what follows such a line end, and so does a stop after an ASCII or Latin-1 letter.
+    """
+    n = len(d)
+    cut = np.zeros(n + 3, bool)
+    bound = np.zeros(n + 1, bool)
+    bound[off] = True
+    ok = np.zeros(n, bool)
+    ok[:-1] = ~_NO_CUT[d[1:]] & ~bound[1:n]
+    line = (d == 10) & ok
+    cut[:n] = ((d == 32) & ok) | line
+    cut[1 : n + 1] |= line
+    latin = np.zeros(n, bool)
+    latin[1:] = (d[:-1] == 0xC3) & (d[1:] != 0x97) & (d[1:] != 0xB7)
+    cut[1:n] |= (_STOP[d[1:]] & (_LETTER[d[:-1]] | latin[:-1])) if n else False
+    cut[off] = True
+    return np.flatnonzero(cut[:n])
+
+
 class Encoder:
-    #: distinct words kept, about 200 bytes each
-    MOST = 400_000
+    """Ids of the tokenizers library; pieces between cuts are encoded once and kept, known by a 64-bit hash."""
+
+    #: pieces kept, about 40 bytes each
+    MOST = 2_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,71 +87,102 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.tok.get_vocab_size()
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
+        self._clear(1 << 16)
+
+    def _clear(self, slots: int) -> None:
+        self.keys = np.zeros(slots, np.uint64)
+        self.slot = np.zeros(slots, np.int32)
+        self.many = 0
+        self.flat = np.zeros(1 << 17, np.uint32)
+        self.start = np.zeros(1 << 16, np.int32)
+        self.count = np.zeros(1 << 16, np.int32)
         self.used = 0
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """uint32 ids of each text."""
-        out: list[np.ndarray] = []
-        block: list[str] = []
-        size = 0
-        for t in texts:
-            block.append(t or "")
-            size += len(block[-1])
-            if size > 1 << 21:
-                out += self._block(block)
-                block, size = [], 0
-        return out + self._block(block) if block else out
-
-    def _block(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.MOST:
-            self._clear()
-        # the first piece of a text has no blank before it; \0 marks that (a text with \0 is encoded whole)
-        words: list[str] = []
-        many: list[int] = []
-        whole: dict[int, np.ndarray] = {}
-        for i, t in enumerate(texts):
-            if not t or "\0" in t or _ODD.search(t):
-                whole[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32) if t else np.zeros(0, np.uint32)
-                many.append(0)
-                continue
-            w = t.split(" ")
-            w[0] = "\0" + w[0]
-            words += w
-            many.append(len(w))
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            self._add(new)
-        k = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        n = self.count[k]
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(self.start[k] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(many)])]
-        return [whole[i] if i in whole else ids[cut[i] : cut[i + 1]] for i in range(len(texts))]
-
-    def _add(self, new: list[str]) -> None:
-        for k in range(0, len(new), 20_000):
-            block = new[k : k + 20_000]
-            ids = [e.ids for e in self.tok.encode_batch_fast([w[1:] if w[0:1] == "\0" else " " + w for w in block], add_special_tokens=False)]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            total, first = int(n.sum()), len(self.known)
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each key, -1 if new."""
+        out = np.full(len(h), -1, np.int64)
+        mask = np.uint64(len(self.keys) - 1)
+        at, left = (h & mask).astype(np.int64), np.arange(len(h))
+        while len(left):
+            k = self.keys[at]
+            hit = k == h[left]
+            out[left[hit]] = self.slot[at[hit]]
+            go = ~hit & (k != 0)
+            left, at = left[go], (at[go] + 1) & int(mask)
+        return out
+
+    def _place(self, h: np.ndarray, number: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        at, left = (h & np.uint64(mask)).astype(np.int64), np.arange(len(h))
+        while len(left):
+            free = self.keys[at] == 0
+            slots, first = np.unique(at[free], return_index=True)
+            who = left[free][first]
+            self.keys[slots] = h[who]
+            self.slot[slots] = number[who]
+            go = np.ones(len(left), bool)
+            go[np.flatnonzero(free)[first]] = False
+            left, at = left[go], (at[go] + 1) & mask
+
+    def _learn(self, h: np.ndarray, words: list[str]) -> None:
+        if 2 * (self.many + len(h)) > len(self.keys):
+            old, number = self.keys[self.keys != 0], self.slot[self.keys != 0]
+            size = len(self.keys)
+            while 2 * (self.many + len(h)) > size:
+                size *= 2
+            self.keys, self.slot = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._place(old, number)
+        for k in range(0, len(words), 20_000):
+            ids = [e.ids for e in self.tok.encode_batch_fast(words[k : k + 20_000], add_special_tokens=False)]
+            n = np.fromiter(map(len, ids), np.int32, len(ids))
+            total = int(n.sum())
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while first + len(block) > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-            self.flat[self.used : self.used + total] = np.fromiter((x for i in ids for x in i), np.uint32, total)
-            self.start[first : first + len(block)] = self.used + np.cumsum(n) - n
-            self.count[first : first + len(block)] = n
+            while self.many + len(ids) > len(self.start):
+                self.start, self.count = (np.concatenate([v, np.zeros_like(v)]) for v in (self.start, self.count))
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+            new = np.arange(self.many, self.many + len(ids))
+            self.start[new], self.count[new] = self.used + np.cumsum(n) - n, n
+            self._place(h[k : k + 20_000], new)
             self.used += total
-            self.known.update(zip(block, range(first, first + len(block))))
+            self.many += len(ids)
+
+    def buffers(self, data: np.ndarray, off: np.ndarray):
+        """For ranges of texts (Arrow buffers): first, last, ids of all of them, and where each text's ids start (one more)."""
+        for i, j in segments(off):
+            if self.many > self.MOST:
+                self._clear(len(self.keys))
+            lo, hi = int(off[i]), int(off[j])
+            d, o = data[lo:hi], off[i : j + 1] - lo
+            if not len(d):
+                yield i, j, np.zeros(0, np.uint32), np.zeros(j - i + 1, np.int64)
+                continue
+            real = o[:-1][np.diff(o) > 0]
+            s = cuts(d, real)
+            e = np.append(s[1:], len(d))
+            h = byte_hash(d, s, e)
+            k = self._find(h)
+            if (new := np.flatnonzero(k < 0)).size:
+                u, first = np.unique(h[new], return_index=True)
+                raw, at = d.tobytes(), new[first]
+                self._learn(u, [raw[a:b].decode() for a, b in zip(s[at].tolist(), e[at].tolist())])
+                k[new] = self._find(h[new])
+            n = self.count[k].astype(np.int64)
+            ends = np.cumsum(n)
+            ids = self.flat[np.repeat(self.start[k] - (ends - n), n) + np.arange(ends[-1])]
+            yield i, j, ids, np.concatenate([[0], ends])[np.searchsorted(s, o)]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """uint32 ids of each text."""
+        data, off = text_buffers(pa.array([t or "" for t in texts], pa.string()))
+        return [ids[a:b] for _, _, ids, cut in self.buffers(data, off) for a, b in zip(cut, cut[1:])]
+
+    def column(self, texts: pa.Array):
+        """uint32 ids of each text of an Arrow column, in order."""
+        data, off = text_buffers(texts)
+        for _, _, ids, cut in self.buffers(data, off):
+            for a, b in zip(cut.tolist(), cut[1:].tolist()):
+                yield ids[a:b]
 
 
 def encoder(path: str) -> Encoder:
@@ -207,16 +269,15 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, out: str | None
         kind = pa.uint16() if max(enc.size, end_id + 1) <= 1 << 16 else pa.uint32()
         file, end = None, np.array([end_id], np.uint32)
         for b in batches:
-            texts, ids = b.column(1), b.column(0).to_pylist()
-            for a in range(0, len(ids), 256):
-                if file is None:
-                    file = _Shard(f"{out}/shard-{shard:06d}.arrow", length, kind, rows)
-                for i, x in zip(ids[a : a + 256], enc.encode(texts.slice(a, 256).to_pylist())):
-                    file.add(i, np.concatenate([x, end]))
+            if file is None and b.num_rows:
+                file = _Shard(f"{out}/shard-{shard:06d}.arrow", length, kind, rows)
+            for i, x in zip(b.column(0).to_pylist(), enc.column(b.column(1))):
+                file.add(i, np.concatenate([x, end]))
         if file:
             n, total = file.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{out}/shard-{shard:06d}.arrow"], "n_docs": [n], "n_tokens": [total]})
 
+    small_batches(spark)
     placed = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last())
     found = written(placed.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long"), "token-manifest")
     base = F.coalesce(F.sum("n_tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
