@@ -8,7 +8,7 @@ until the words of the source's remainder are reached; the last documents are th
 sizes come nearest to what is missing.  Documents are taken whole.
 
 Every step is an aggregate or a window over bounded buckets: the running sum in rank order is
-taken over sums of rank buckets of about `bucket` documents first, so a source with a third of
+taken over sums of rank buckets of about `bucket` documents (at most 100,000 buckets a source) first, so a source with a third of
 all rows is dealt over many tasks.  U is a hash of doc_id and seed, so reruns agree.
 
 Defined results: null texts have size 0; size 0 is never taken; a null source is a source of
@@ -84,7 +84,7 @@ def length_weight(size: Column) -> Column:
     return F.floor(F.log2(size.cast("double") + 0.5)).cast("double") + 1.0
 
 
-def mix(docs: DataFrame, weights, share: float = 1.0, most: int = 3, weight=length_weight, seed: int = 1, bucket: int = 50_000, rounds: int = 3) -> DataFrame:
+def mix(docs: DataFrame, weights, share: float = 1.0, most: int = 3, weight=length_weight, seed: int = 1, bucket: int = 5_000, rounds: int = 3) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (whole) and taken (words) of every row.
 
     weights: adds `weight` to a table of sources (source, source_size, n).  weight: column of a
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, weights, share: float = 1.0, most: int = 3, weight=leng
     ranked = sized.where("size > 0").alias("s").join(classes.alias("t"), same & (F.col("s.w") == F.col("t.w"))).where("pi > 0").select("s.doc_id", "s.source", "s.size", "t.pi", "t.mean", "t.n", "t.budget")
     odds = F.col("u") / (1 - F.col("u")) / (F.col("pi") / (1 - F.col("pi"))) * (F.col("mean") / (1 - F.col("mean")))
     ranked = ranked.withColumn("u", uniform(seed, "doc_id")).withColumn("q", odds).withColumn("key", F.col("q") / (1 + F.col("q")))
-    ranked = ranked.withColumn("bucket", F.floor(F.col("key") * F.ceil(F.col("n") / bucket)).cast("long")).select("doc_id", "source", "size", "budget", "key", "bucket")
+    ranked = ranked.withColumn("bucket", F.floor(F.col("key") * F.least(F.ceil(F.col("n") / bucket), F.lit(100_000))).cast("long")).select("doc_id", "source", "size", "budget", "key", "bucket")
     ranked = written(ranked, "mix-ranks")
     sums = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(by.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
