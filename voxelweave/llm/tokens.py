@@ -279,7 +279,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, out: str | None
 
     small_batches(spark)
     placed = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last())
-    found = written(placed.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long"), "token-manifest")
+    found = placed.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long")
+    found = written(found.repartition(1 + shards // 256), "token-manifest")  # few rows: few files
     base = F.coalesce(F.sum("n_tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return written(found.withColumn("base", base), "token-manifest")
 
