@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, text_buffers
+from .common import mix, small_batches, text_buffers
 
 BIGGEST = (1 << 63) - 1
 #: texts and bytes of a chunk
-TEXTS, BYTES = 4096, 8 << 20
+TEXTS, BYTES = 4096, 4 << 20
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -77,6 +77,7 @@ def scatter_gather(df: DataFrame, shards: int, send: Callable, answer: Callable,
         meta = next(pickle.loads(m) for m in pdf["meta"] if m is not None)
         return gather(meta, {int(s): pickle.loads(b) for s, b in zip(pdf["shard"], pdf["block"])})
 
+    small_batches(df.sparkSession)
     wire = "chunk long, shard long, block binary, meta binary"
     return df.mapInArrow(out, wire).groupBy("shard").applyInPandas(shard, wire).groupBy("chunk").applyInPandas(back, schema)
 

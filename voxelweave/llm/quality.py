@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, covered, repeated, segments, text_buffers
+from .common import Words, covered, repeated, segments, small_batches, text_buffers
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
@@ -63,6 +63,7 @@ def statistics(docs: DataFrame, window: int = 5, keep: tuple[str, ...] = ("doc_i
             stats = [np.concatenate([f[k] for f in found]).astype(np.int64) if found else np.zeros(0, np.int64) for k in range(len(STATS))]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), *map(pa.array, stats)], names=[*keep, *STATS])
 
+    small_batches(docs.sparkSession)
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
