@@ -63,7 +63,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / most)))
 
 
-def buckets(ids: DataFrame, rows: int = 20_000, most: int = 256) -> Column:
+def buckets(ids: DataFrame, rows: int = 5_000, most: int = 256) -> Column:
     """Bucket number of `doc_id`, rising with it: quantiles, each split evenly, of about `rows` rows; null last."""
     n, lo, hi = ids.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
     if lo is None:
@@ -81,10 +81,10 @@ def buckets(ids: DataFrame, rows: int = 20_000, most: int = 256) -> Column:
     return F.when(F.col("doc_id").isNull(), F.lit((len(cuts) + 2) * sub).cast("long")).otherwise(q.cast("long") * sub + inside)
 
 
-def with_next(docs: DataFrame, cols: list[str], rows: int = 20_000) -> DataFrame:
+def with_next(docs: DataFrame, cols: list[str], rows: int = 5_000, derive=lambda df: df) -> DataFrame:
     """Adds `next`, a struct of `cols` of the next row in ascending (doc_id, text), the first after the last.
 
-    Rows are ordered within buckets of doc_id; the last of a bucket takes the first of the next
+    derive: makes what `cols` names of rows of docs; only once a row, and for the heads below.  Rows are ordered within buckets of doc_id; the last of a bucket takes the first of the next
     bucket, which comes from a table of one row a bucket.
     """
     placed = docs.withColumn("bucket", buckets(docs.select("doc_id"), rows))
@@ -92,10 +92,11 @@ def with_next(docs: DataFrame, cols: list[str], rows: int = 20_000) -> DataFrame
     order = W.orderBy("bucket")
     follow = first.withColumn("to", F.coalesce(F.lead("bucket").over(order), F.min("bucket").over(W.partitionBy())))
     heads = placed.alias("d").join(F.broadcast(first).alias("f"), (F.col("d.bucket") == F.col("f.bucket")) & F.col("d.doc_id").eqNullSafe(F.col("f.first"))).select("d.*")
-    heads = heads.groupBy("bucket").agg(F.min(F.struct(F.col("text").alias("__order"), *cols)).alias("head")).select("bucket", F.struct(*(F.col(f"head.{c}").alias(c) for c in cols)).alias("head"))
+    heads = derive(heads.groupBy("bucket").agg(F.min("text").alias("text")))
+    heads = heads.select("bucket", F.struct(*cols).alias("head"))
     heads = written(follow.alias("f").join(heads.alias("h"), F.col("f.to") == F.col("h.bucket")).select("f.bucket", "h.head"), "heads")
     w = W.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_last(), "text")
-    inner = placed.withColumn("lead", F.lead(F.struct(*cols)).over(w))
+    inner = derive(placed).withColumn("lead", F.lead(F.struct(*cols)).over(w))
     return inner.join(F.broadcast(heads), "bucket").withColumn("next", F.coalesce("lead", "head")).drop("lead", "head", "bucket")
 
 
@@ -108,8 +109,7 @@ def edited_text(text: Column, n: Column, other: Column) -> Column:
 def compare(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness; see the module."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = with_fingerprint(base, "text", "fp").withColumn("n_chars", F.length("text").cast("long"))
-    got = with_next(base, ["text", "fp"])
-    got = got.withColumn("edited", edited_text(F.col("text"), F.col("n_chars"), F.col("next.text"))).withColumn("next", F.col("next.fp")).drop("text")
+    got = with_next(base, ["text", "fp"], derive=lambda df: with_fingerprint(df, "text", "fp"))
+    got = got.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited_text(F.col("text"), F.col("n_chars"), F.col("next.text"))).withColumn("next", F.col("next.fp")).drop("text")
     got = with_fingerprint(got, "edited", "fp_edited")
     return got.select("doc_id", "n_chars", "edited", "fp", "fp_edited", likeness(F.col("fp"), F.col("fp_edited")).alias("near_edited"), likeness(F.col("fp"), F.col("next")).alias("near_next"))
