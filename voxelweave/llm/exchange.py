@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,14 @@ def chunks(batch: pa.RecordBatch, column: str = "text"):
         i = j
 
 
+def pack(value) -> bytes:
+    return zstandard.compress(pickle.dumps(value, 5), 1)
+
+
+def unpack(blob: bytes):
+    return pickle.loads(zstandard.decompress(blob))
+
+
 def scatter_gather(df: DataFrame, shards: int, send: Callable, answer: Callable, gather: Callable, schema: str) -> DataFrame:
     """
     send(batch) yields for each chunk (name, meta, blocks): blocks maps shards to picklable values;
@@ -62,20 +71,20 @@ def scatter_gather(df: DataFrame, shards: int, send: Callable, answer: Callable,
                 first = min(blocks, default=0)
                 if not blocks:
                     blocks = {first: None}
-                rows = [(name, s, pickle.dumps(v, 5), pickle.dumps(meta, 5) if s == first else None) for s, v in blocks.items()]
+                rows = [(name, s, pack(v), pack(meta) if s == first else None) for s, v in blocks.items()]
                 for k in range(0, len(rows), 256):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 256]), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "shard", "block", "meta"])
 
     def shard(pdf):
-        blocks = [pickle.loads(b) for b in pdf["block"]]
+        blocks = [unpack(b) for b in pdf["block"]]
         some = [b for b in blocks if b is not None]
         got = iter(answer(some) if some else [])
         replies = [None if b is None else next(got) for b in blocks]
-        return pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "block": [pickle.dumps(r, 5) for r in replies], "meta": pdf["meta"]})
+        return pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "block": [pack(r) for r in replies], "meta": pdf["meta"]})
 
     def back(pdf):
-        meta = next(pickle.loads(m) for m in pdf["meta"] if m is not None)
-        return gather(meta, {int(s): pickle.loads(b) for s, b in zip(pdf["shard"], pdf["block"])})
+        meta = next(unpack(m) for m in pdf["meta"] if m is not None)
+        return gather(meta, {int(s): unpack(b) for s, b in zip(pdf["shard"], pdf["block"])})
 
     small_batches(df.sparkSession)
     wire = "chunk long, shard long, block binary, meta binary"

@@ -40,7 +40,7 @@ SHARD = 8 << 20
 #: shards of automata for each of minimizers: a state takes some 400 bytes
 FINER = 4
 #: documents with a minimizer from which on its runs are dealt by their own hash
-HOT = 2000
+HOT = 500
 
 
 class SuffixAutomaton:
