@@ -1,0 +1 @@
+"""A Spark-native engine for block-wise reconstruction analytics: see README.md."""
