@@ -83,6 +83,11 @@ def segs(spark, d):
     return SG.all_segments(s, spatial.overlap_pairs(s), spatial.conflict_pairs(s))
 
 
+def kept_segs(spark, d):
+    """The same as a written table, for queries that read them several times."""
+    return graph.settled(segs(spark, d))
+
+
 def the_grid(spark, d) -> grid.Grid:
     """The volume is that of all slices: three numbers."""
     v = sl(spark, d).agg(F.max("x1"), F.max("y1"), F.max("z") + 1).first()
@@ -338,20 +343,20 @@ def min_partners(spark, d):
 STORED = "stored AS (SELECT key, type, isi, CASE WHEN isi % 3 = 0 THEN NULL ELSE CAST(isi AS DOUBLE) END AS cost FROM seg)"
 
 
-def _stored(spark, d):
-    return segs(spark, d).select("key", "type", "isi", F.when(F.col("isi") % 3 != 0, F.col("isi").cast("double")).alias("cost"))
+def _stored(s):
+    return s.select("key", "type", "isi", F.when(F.col("isi") % 3 != 0, F.col("isi").cast("double")).alias("cost"))
 
 
 for _costs in (True, False):
 
     def _by_blocks(spark, d, read=_costs):
         """Q3, SRC12: segments of the requested blocks with their slices, and features where they are needed."""
-        s = segs(spark, d)
+        s = kept_segs(spark, d)
         m = SG.members(s).select("key", "id", "is_left")
         links = grid.slice_blocks(sl(spark, d), the_grid(spark, d)).join(m, "id").select("key", "bx", "by", "bz").distinct()
         blocks = links.where("bx <= 1 and bz <= 3").select("bx", "by", "bz").distinct()
         feats = s.where("isi % 3 = 0 or isi % 2 = 0").select("key", (F.col("isi") * 2).alias("feature"))
-        got = store.segments_by_blocks(_stored(spark, d), m, links, blocks, feats, read)
+        got = store.segments_by_blocks(_stored(s), m, links, blocks, feats, read)
         return got.select("key", "cost", F.array_join(F.transform("slices", lambda x: F.concat(x["id"].cast("string"), F.when(x["is_left"], "L").otherwise("R"))), "-").alias("slices"), "feature")
 
     QUERIES[f"segments_by_blocks_{'costs' if _costs else 'features'}"] = _by_blocks
@@ -373,14 +378,14 @@ def slices_by_blocks(spark, d):
 @query(W_SEG + "SELECT id, z, sz FROM slices WHERE id IN (SELECT m.id FROM mem m JOIN seg g ON g.key=m.key WHERE g.type=2)")
 def slices_by_segments(spark, d):
     """Q2: slices of the segments named."""
-    s = segs(spark, d)
+    s = kept_segs(spark, d)
     return store.slices_by_segments(sl(spark, d), SG.members(s), s.where("type = 2")).select("id", "z", "sz")
 
 
 @query(W_SEG + "SELECT DISTINCT g.key, g.isi FROM seg g JOIN mem m ON m.key=g.key JOIN slices s ON s.id=m.id WHERE g.isi BETWEEN 10 AND 30 AND x0<128 AND x1>0 AND y0<32 AND y1>16")
 def cull_to_core(spark, d):
     """Segments whose interval is in the core, both ends included, with a slice that meets it."""
-    return SG.in_box(segs(spark, d), sl(spark, d), (0, 16, 10, 128, 32, 30)).select("key", "isi")
+    return SG.in_box(kept_segs(spark, d), sl(spark, d), (0, 16, 10, 128, 32, 30)).select("key", "isi")
 
 
 @query(W_CF + "SELECT s.id, CAST(count(cf.b_id) AS BIGINT) AS n FROM slices s LEFT JOIN cf ON cf.a_id=s.id WHERE s.z=12 GROUP BY s.id")
@@ -484,7 +489,7 @@ def prior_cost(spark, d):
 @query(W_SEG + ", l AS (SELECT max(isi) AS last FROM seg WHERE type=0) SELECT key, CASE WHEN type=0 AND (isi=0 OR isi=last) THEN 0.0::DOUBLE ELSE CASE type WHEN 0 THEN 3.5 WHEN 1 THEN 1.25 ELSE 2.0 END + CAST(isi AS DOUBLE)/4 END AS cost FROM seg, l")
 def combined_cost(spark, d):
     """A10: the sum of several cost functions, outer ends free."""
-    s = segs(spark, d)
+    s = kept_segs(spark, d)
     return costs.total(s, lambda x: costs.prior(x, 3.5, 1.25, 2.0), lambda x: x.select("key", (F.col("isi") / 4.0).alias("cost")))
 
 
@@ -520,15 +525,15 @@ def neglog_cost(spark, d):
 @query(W_SEG + f", {STORED} SELECT key, CASE WHEN type=1 THEN CAST(isi*10 AS DOUBLE) ELSE cost END AS cost FROM stored")
 def cost_writeback(spark, d):
     """SNK5, Q15: new costs into stored rows."""
-    s = segs(spark, d)
-    return costs.write_back(_stored(spark, d), s.where("type = 1").select("key", (F.col("isi") * 10).cast("double").alias("cost"))).select("key", "cost")
+    s = kept_segs(spark, d)
+    return costs.write_back(_stored(s), s.where("type = 1").select("key", (F.col("isi") * 10).cast("double").alias("cost"))).select("key", "cost")
 
 
 @query(W_SEG + f", {STORED} SELECT key, coalesce(cost, CAST(isi*0.5+type*2 AS DOUBLE)) AS cost, cost IS NULL AS is_new FROM stored")
 def read_costs_coalesce(spark, d):
     """M5: stored costs, or the dot product where there is none."""
-    s = segs(spark, d)
-    return costs.read_or_compute(_stored(spark, d), s.select("key", F.array(F.col("isi").cast("double"), F.col("type").cast("double")).alias("features")), [0.5, 2.0])
+    s = kept_segs(spark, d)
+    return costs.read_or_compute(_stored(s), s.select("key", F.array(F.col("isi").cast("double"), F.col("type").cast("double")).alias("features")), [0.5, 2.0])
 
 
 # --- the programme ---
@@ -546,19 +551,19 @@ USED = "used AS (SELECT id, key FROM mem WHERE is_left UNION ALL SELECT id, key
 @query(W_SEG + f", {CLIQUES}, {USED} SELECT DISTINCT 'clique:'||clique AS row, key, 1 AS coef, '<=' AS relation, 1 AS value FROM cliques JOIN used USING (id)")
 def conflict_constraints(spark, d):
     """At most one segment over a clique's slices."""
-    return C.conflict_rows(cliques(spark, d), segs(spark, d))
+    return C.conflict_rows(cliques(spark, d), kept_segs(spark, d))
 
 
 @query(W_SEG + f", {CLIQUES}, {USED} SELECT 'slice:'||s.id AS row, key, 1 AS coef, '=' AS relation, 1 AS value FROM slices s JOIN used USING (id) WHERE s.id NOT IN (SELECT id FROM cliques)")
 def exclusivity_constraints(spark, d):
     """M2: slices in no clique, explained exactly once."""
-    return C.exclusivity_rows(sl(spark, d), cliques(spark, d), segs(spark, d), True)
+    return C.exclusivity_rows(sl(spark, d), cliques(spark, d), kept_segs(spark, d), True)
 
 
 @query(W_SEG + "SELECT 'flow:'||id AS row, key, CASE WHEN is_left THEN 1 ELSE -1 END AS coef, '=' AS relation, 0 AS value FROM mem")
 def continuation_constraints(spark, d):
     """M3: as many segments leave a slice as reach it (every slice has both kinds here)."""
-    return C.continuation_rows(segs(spark, d))
+    return C.continuation_rows(kept_segs(spark, d))
 
 
 @query(W_SEG + "SELECT 'explain:'||id AS row, key, CASE WHEN is_left THEN -1 ELSE 1 END AS coef, '=' AS relation, 0 AS value FROM mem")
@@ -622,7 +627,7 @@ def subproblem_windows(spark, d):
 @query(W_SEG + f""", {WIN}, n AS (SELECT id, count(DISTINCT key) AS n FROM mem GROUP BY id), k AS (SELECT id, "window", count(DISTINCT m.key) AS k FROM mem m JOIN win ON win.key=m.key GROUP BY 1,2) SELECT 'flow:'||k.id AS row, "window" FROM k JOIN n ON n.id=k.id WHERE k=n""")
 def subproblem_constraints(spark, d):
     """Rows that fit a window whole."""
-    s = segs(spark, d)
+    s = kept_segs(spark, d)
     return C.window_rows(C.continuation_rows(s), C.in_windows(s, 10, 3))
 
 
@@ -791,7 +796,7 @@ def stack_config(spark, d):
 SELECT 'union' AS op, CAST(count(*) AS BIGINT) AS n FROM (SELECT key FROM p UNION SELECT key FROM q) UNION ALL SELECT 'all', CAST((SELECT count(*) FROM p)+(SELECT count(*) FROM q) AS BIGINT) UNION ALL SELECT 'except', CAST(count(*) AS BIGINT) FROM (SELECT key FROM p EXCEPT SELECT key FROM q) UNION ALL SELECT 'intersect', CAST(count(*) AS BIGINT) FROM (SELECT key FROM p INTERSECT SELECT key FROM q)""")
 def set_ops(spark, d):
     """Unions, difference and intersection of segments."""
-    s = segs(spark, d).select("key", "type")
+    s = kept_segs(spark, d).select("key", "type")
     p, q = s.where("type < 2").select("key"), s.where("type > 0").select("key")
     out = None
     for op, x in (("union", p.union(q).distinct()), ("all", p.unionByName(q)), ("except", p.subtract(q)), ("intersect", p.intersect(q))):
@@ -847,7 +852,7 @@ def problem_dump(spark, d):
 @query(W_SEG + "SELECT 'flow:'||id AS row, '0 2 '||(count(*) FILTER (WHERE is_left))||' '||coalesce(string_agg(key,' ' ORDER BY key) FILTER (WHERE is_left),'')||' '||(count(*) FILTER (WHERE NOT is_left))||' '||coalesce(string_agg(key,' ' ORDER BY key) FILTER (WHERE NOT is_left),'') AS line FROM mem GROUP BY id")
 def constraint_dump(spark, d):
     """SNK12: rows in the text protocol."""
-    return labels.constraint_lines(C.continuation_rows(segs(spark, d)))
+    return labels.constraint_lines(C.continuation_rows(kept_segs(spark, d)))
 
 
 @query()
