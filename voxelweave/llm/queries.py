@@ -15,6 +15,11 @@ def remainder(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLD
 
 
+def sized(rows: DataFrame) -> DataFrame:
+    """Small result rows of many tasks, rebalanced so that files have the advisory size."""
+    return rows.hint("rebalance")
+
+
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pareto order sampling mix of all documents: see llm.mixing."""
     got = mixing.mix(documents(spark, sf_dir), mixing.by_weight)
@@ -55,7 +60,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in runs of 13 that a smaller document has, removed: see llm.substrings."""
     got = substrings.remove(documents(spark, sf_dir))
-    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return sized(got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +81,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids in Arrow files of equal-length sequences, written and read back: see llm.tokens."""
     manifest = tokens.write_tokens(documents(spark, sf_dir), tokens.vocabulary_path(), 2)
-    return tokens.read_tokens(spark, manifest, tokens.digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return sized(tokens.read_tokens(spark, manifest, tokens.digest, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 QUERIES = {f.__name__: f for f in (op1_mix, op2_pack, op3_jaccard, op4_licenses, op5_secrets, op6_quality, op7_substrings, op8_fingerprints, op9_toxicity, op10_tokens)}

@@ -14,8 +14,8 @@ doc_id.  The reference is the corpus itself, so it is cut into shards such that
    give for each run the least document that has it.  The answer goes back to the pieces'
    documents, where runs of smaller documents are joined to maximal spans.
 
-There is a shard of minimizers for each `SHARD` bytes of the corpus, and `FINER` times as many of
-automata; shards grow in number, not in size.
+There is a shard of minimizers for each `SHARD` bytes of the corpus, and one of automata for each
+`FINER`; shards grow in number, not in size, and a chunk sends at most as many blocks as it has pieces.
 
 Defined results: words are separated by ASCII white space and compared unchanged; null and
 empty texts have no words; rows with equal doc_id are not smaller than each other; a null
@@ -37,10 +37,10 @@ from . import exchange as X
 from .common import Words, covered, mix, parts, segments
 
 SHARD = 8 << 20
-#: shards of automata for each of minimizers: a state takes some 400 bytes
-FINER = 4
+#: bytes of the corpus for each shard of automata, whose states take some 400 bytes
+FINER = 1 << 20
 #: documents with a minimizer from which on its runs are dealt by their own hash
-HOT = 500
+HOT = 2000
 
 
 class SuffixAutomaton:
@@ -307,7 +307,7 @@ def spans(docs: DataFrame, n: int = 13, k: int = 8, hot: int = HOT) -> DataFrame
     size = X.text_bytes(docs)
     shards = max(parts(docs.sparkSession), size // SHARD)
     keys = shared_keys(texts, n, k, shards, hot).dropDuplicates(["dk", "row"])
-    got = smaller_runs(texts.join(keys, ["dk", "row"]), n, k, FINER * shards).dropDuplicates(["dk", "row"])
+    got = smaller_runs(texts.join(keys, ["dk", "row"]), n, k, max(parts(docs.sparkSession), size // FINER)).dropDuplicates(["dk", "row"])
     return texts.join(got, ["dk", "row"], "left")
 
 
