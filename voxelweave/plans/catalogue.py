@@ -514,12 +514,12 @@ def segmentation_cost(spark, d):
     return costs.segmentation(segs(spark, d), costs.slice_posterior(adapter.values(spark, d)), length, 0.5, 2.0).select("key", F.round("cost", 5).alias("cost"))
 
 
-@query("SELECT vec_id, label, CASE WHEN label%3<>0 AND -ln(greatest(1e-10, p)) >= -ln(0.05) THEN -1.0::DOUBLE ELSE round(-ln(greatest(1e-10,p)),9) END AS cost FROM (SELECT vec_id, label, (vec_id*37%101)/100.0::DOUBLE AS p FROM embeddings)")
+@query("SELECT vec_id, label, CASE WHEN label%3<>0 AND -ln(greatest(1e-10, p)) >= -ln(0.05) THEN -1.0::DOUBLE ELSE round(-ln(greatest(1e-10,p)),9)+0.0::DOUBLE END AS cost FROM (SELECT vec_id, label, (vec_id*37%101)/100.0::DOUBLE AS p FROM embeddings)")
 def neglog_cost(spark, d):
     """Negative log probabilities; infinity (here -1) under the least probability, ends exempt."""
     v = adapter.vectors(spark, d).withColumn("p", (F.col("vec_id") * 37 % 101) / 100.0)
     c = neglog("p", F.col("label") % 3)
-    return v.select("vec_id", "label", F.when(c == float("inf"), -1.0).otherwise(F.round(c, 9)).alias("cost"))
+    return v.select("vec_id", "label", F.when(c == float("inf"), -1.0).otherwise(F.round(c, 9) + 0.0).alias("cost"))
 
 
 @query(W_SEG + f", {STORED} SELECT key, CASE WHEN type=1 THEN CAST(isi*10 AS DOUBLE) ELSE cost END AS cost FROM stored")
@@ -566,6 +566,15 @@ def continuation_constraints(spark, d):
     return C.continuation_rows(kept_segs(spark, d))
 
 
+@query(W_SEG + f", {VOL}, {EXT}, {BLOCKS}, {LINKS} SELECT 'flow:'||id AS row, string_agg(key||'*'||(CASE WHEN is_left THEN 1 ELSE -1 END), ' ' ORDER BY key) AS terms FROM mem WHERE id IN (SELECT id FROM links WHERE bx<=1 AND bz<=2) GROUP BY id")
+def constraints_by_blocks(spark, d):
+    """Q5: rows of the requested blocks with their distinct terms as one array."""
+    near = grid.slice_blocks(sl(spark, d), the_grid(spark, d)).where("bx <= 1 and bz <= 2").select(F.concat(F.lit("flow:"), F.col("id")).alias("row")).distinct()
+    rows = C.continuation_rows(kept_segs(spark, d)).join(near, "row", "left_semi")
+    terms = F.array_sort(F.collect_set(F.struct("key", "coef")))
+    return rows.groupBy("row").agg(terms.alias("t")).select("row", F.array_join(F.transform("t", lambda x: F.concat(x["key"], F.lit("*"), x["coef"].cast("string"))), " ").alias("terms"))
+
+
 @query(W_SEG + "SELECT 'explain:'||id AS row, key, CASE WHEN is_left THEN -1 ELSE 1 END AS coef, '=' AS relation, 0 AS value FROM mem")
 def explanation_constraints(spark, d):
     """M7: the same with the right side positive, boundary slices included."""
