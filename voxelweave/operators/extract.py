@@ -51,8 +51,9 @@ def tree(image: np.ndarray, levels: int = 8, least: int = 10, most: int = 10_000
     for value in (np.arange(levels) + 0.5) / levels:
         lab = regions(image > value)
         now = np.full(image.shape, -1) if above is None else above.copy()
-        for k in range(1, lab.max() + 1):
-            ys, xs = np.nonzero(lab == k)
+        by_region = np.argsort(lab, axis=None, kind="stable")
+        for at in np.split(by_region, np.cumsum(np.bincount(lab.ravel()))[:-1])[1:]:
+            ys, xs = np.unravel_index(at, lab.shape)
             parent = -1 if above is None else int(above[ys[0], xs[0]])
             if parent >= 0 and len(nodes[parent]["ys"]) == len(ys):
                 nodes[parent]["value"] = float(value)

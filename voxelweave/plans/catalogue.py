@@ -581,10 +581,10 @@ def explanation_constraints(spark, d):
     return C.explanation_rows(segs(spark, d))
 
 
-@query(W_SEG + "SELECT 'user:'||z AS row, 'E:'||id||':R' AS key, 1 AS coef, '=' AS relation, 1 AS value FROM slices WHERE id % 100 = 7")
+@query(W_SEG + "SELECT 'user:'||z AS row, 'E:'||id||':R' AS key, 1 AS coef, '=' AS relation, 1 AS value FROM slices")
 def explicit_constraints(spark, d):
     """M4, M8: a user's rows; those about unknown segments are told apart."""
-    u = sl(spark, d).where("id % 100 = 7").select(F.concat(F.lit("user:"), F.col("z")).alias("row"), F.explode(F.array(F.concat(F.lit("E:"), F.col("id"), F.lit(":R")), F.concat(F.lit("X:"), F.col("id")))).alias("key"), F.lit(1).alias("coef"), F.lit("=").alias("relation"), F.lit(1).alias("value"))
+    u = sl(spark, d).select(F.concat(F.lit("user:"), F.col("z")).alias("row"), F.explode(F.array(F.concat(F.lit("E:"), F.col("id"), F.lit(":R")), F.concat(F.lit("X:"), F.col("id")))).alias("key"), F.lit(1).alias("coef"), F.lit("=").alias("relation"), F.lit(1).alias("value"))
     return C.explicit_rows(u, segs(spark, d))
 
 
@@ -673,15 +673,17 @@ def neuron_extent(spark, d):
     return slice_components(spark, d).join(sl(spark, d), "id").groupBy(F.col("component").alias("assembly")).agg(F.min("z").alias("first_section"), F.max("z").alias("last_section"), F.count("*").alias("n"))
 
 
-_ED = f"{S}, o AS (SELECT * FROM slices WHERE id%2=0), n AS (SELECT id, z, x0+id%3 AS x0, y0, x1+id%3 AS x1, y1 FROM slices WHERE id%4=0), edges AS (SELECT 'o'||o.id AS a, 'n'||n.id AS b FROM o JOIN n ON n.z=o.z AND o.x0<n.x1 AND n.x0<o.x1 AND o.y0<n.y1 AND n.y0<o.y1 WHERE NOT (o.id%3=0 AND o.id%4=0 AND TRUE) AND n.id%3<>0)"
+_SAME = "SELECT 1 FROM {} q WHERE q.z=p.z AND q.x0=p.x0 AND q.y0=p.y0 AND q.x1=p.x1 AND q.y1=p.y1"
+_ED = f"""{S}, moved AS (SELECT id, z, x0+CASE WHEN id%7=0 THEN 1 ELSE 0 END AS x0, y0, x1+CASE WHEN id%7=0 THEN 1 ELSE 0 END AS x1, y1 FROM slices),
+  o AS (SELECT * FROM slices p WHERE NOT EXISTS ({_SAME.format("moved")})), n AS (SELECT * FROM moved p WHERE NOT EXISTS ({_SAME.format("slices")})),
+  edges AS (SELECT 'o'||o.id AS a, 'n'||n.id AS b FROM o JOIN n ON n.z=o.z AND o.x0<n.x1 AND n.x0<o.x1 AND o.y0<n.y1 AND n.y0<o.y1)"""
 
 
 @query(CLOSURE.format(base=_ED) + ", lab AS (SELECT a AS id, min(b) AS c FROM r GROUP BY a) SELECT string_agg(substr(id,2),'-' ORDER BY CAST(substr(id,2) AS BIGINT)) FILTER (WHERE id LIKE 'o%') AS old_ids, string_agg(substr(id,2),'-' ORDER BY CAST(substr(id,2) AS BIGINT)) FILTER (WHERE id LIKE 'n%') AS new_ids FROM lab GROUP BY c")
 def edit_components(spark, d):
-    """Groups of old slices and those that replace them; unchanged ones are left out."""
-    old = sl(spark, d).where("id % 2 = 0")
-    new = sl(spark, d).where("id % 4 = 0").withColumn("x0", F.col("x0") + F.col("id") % 3).withColumn("x1", F.col("x1") + F.col("id") % 3)
-    e = labels.edits(old, new)
+    """Groups of old slices and those that replace them, where a seventh of all slices was moved; unchanged ones are left out."""
+    old, by = sl(spark, d), F.when(F.col("id") % 7 == 0, 1).otherwise(0)
+    e = labels.edits(old, old.withColumn("x0", F.col("x0") + by).withColumn("x1", F.col("x1") + by))
     return e.select(F.array_join(F.transform("old_ids", lambda x: x.cast("string")), "-").alias("old_ids"), F.array_join(F.transform("new_ids", lambda x: x.cast("string")), "-").alias("new_ids"))
 
 
@@ -754,11 +756,11 @@ def reconstruct(spark, d):
 # --- stores ---
 
 
-@query("SELECT o_orderkey AS id, o_orderstatus AS v FROM orders WHERE o_orderkey%3=0 UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey%5=0 AND o_orderkey%3<>0")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey%3=0 THEN o_orderstatus ELSE 'new' END AS v FROM orders")
 def insert_ignore(spark, d):
-    """SNK1, SNK3, SNK7: new rows only where the key isn't there."""
+    """SNK1, SNK3, SNK7: all orders, each twice, into a store that has a third of them: new rows only where the key isn't there."""
     o = adapter.table(spark, d, "orders")
-    new = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"), F.lit("new").alias("v"))
+    new = o.select(F.col("o_orderkey").alias("id"), F.lit("new").alias("v"))
     return store.insert_ignore(o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("v")), new.union(new), ["id"])
 
 
@@ -814,17 +816,19 @@ def set_ops(spark, d):
     return out
 
 
-@query(f"WITH {S} SELECT z, y, x, max(id) AS label FROM (SELECT id, z, unnest(range(x0, x1)) AS x, y0, y1 FROM slices WHERE z < 8) q, LATERAL (SELECT unnest(range(y0, y1)) AS y) l GROUP BY z, y, x")
+@query(f"""WITH {S}, px AS (SELECT z, y, x, max(id) AS label FROM (SELECT id, z, unnest(range(x0, x1)) AS x, y0, y1 FROM slices) q, LATERAL (SELECT unnest(range(y0, y1)) AS y) l GROUP BY z, y, x)
+SELECT label, z, CAST(count(*) AS BIGINT) AS n_pixels, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM px GROUP BY label, z""")
 def label_paint(spark, d):
-    """SNK11: pixels of the first eight sections' slices; of several the largest label."""
-    runs = labels.runs_of(sl(spark, d).where("z < 8"))
-    return labels.pixels(labels.paint(runs, runs.select("id", F.col("id").alias("assembly")).distinct()))
+    """SNK11: the painted volume, of several slices at a pixel the largest label; given as each label's pixels in each section."""
+    s = sl(spark, d)
+    px = labels.pixels(labels.paint(labels.runs_of(s), s.select("id", F.col("id").alias("assembly"))))
+    return px.groupBy("label", "z").agg(F.count("*").alias("n_pixels"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
 
 
-@query(f"WITH {S} SELECT id, x, y FROM (SELECT id, x0, y0, 1+id%3 AS r FROM slices WHERE z = 5) s, range(-4, 5) a(i), range(-4, 5) b(j), LATERAL (SELECT x0+i AS x, y0+j AS y) m WHERE i*i+j*j <= r*r AND x >= 0 AND y >= 0")
+@query(f"WITH {S} SELECT id, x, y FROM (SELECT id, x0, y0, 1+id%3 AS r FROM slices) s, range(-4, 5) a(i), range(-4, 5) b(j), LATERAL (SELECT x0+i AS x, y0+j AS y) m WHERE i*i+j*j <= r*r AND x >= 0 AND y >= 0")
 def brush_strokes(spark, d):
     """Pixels of round brush strokes."""
-    return labels.brush(sl(spark, d).where("z = 5").select("id", F.col("x0").alias("cx"), F.col("y0").alias("cy"), (1 + F.col("id") % 3).alias("r")))
+    return labels.brush(sl(spark, d).select("id", F.col("x0").alias("cx"), F.col("y0").alias("cy"), (1 + F.col("id") % 3).alias("r")))
 
 
 @query(f"WITH {S} SELECT id, x0+3 AS x0, greatest(x0+3, 20) AS cx0, least(x1+3, 500) AS cx1 FROM slices WHERE greatest(x0+3, 20) < least(x1+3, 500)")
@@ -875,8 +879,7 @@ def rf_probability(spark, d):
 @query()
 def slice_extraction(spark, d):
     """Component trees of images painted from slices; semantics are this package's (see operators.extract)."""
-    s = sl(spark, d).where("z < 4")
-    runs = labels.runs_of(s).withColumn("v", 0.3 + (F.col("id") % 7) / 10.0)
+    runs = labels.runs_of(sl(spark, d)).withColumn("v", 0.3 + (F.col("id") % 7) / 10.0)
     px = runs.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1))).groupBy("z", "y", "x").agg(F.max("v").alias("value"))
     return extract.slices_of_images(px).drop("runs")
 
