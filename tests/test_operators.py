@@ -213,3 +213,13 @@ def test_engine(spark, tmp_path):
     assert got.count() == sol.where("x = 1").count() and sol.where("not optimal").count() == 0
     ends = e.ground_truth(df.withColumn("label", F.col("id") % 3))
     assert ends.count() > 0
+
+
+def test_visible_runs_are_the_painted_pixels(spark):
+    """Nested, equal, touching and tile-crossing runs; no runs, no result."""
+    rows = [(0, 0, 0, 200, 5), (0, 0, 60, 70, 9), (0, 0, 60, 70, 9), (0, 0, 64, 65, 1), (0, 0, 200, 201, 2), (0, 1, 63, 64, 3), (1, 0, 10, 140, 4), (1, 0, 0, 64, 8)]
+    painted = spark.createDataFrame(rows, "z long, y long, x0 long, x1 long, label long")
+    want = sorted(tuple(r) for r in labels.pixels(painted).select("z", "y", "x", "label").collect())
+    got = sorted((r.z, r.y, x, r.label) for r in labels.visible_runs(painted).collect() for x in range(r.x0, r.x1))
+    assert got == want
+    assert labels.visible_runs(painted.limit(0)).count() == 0

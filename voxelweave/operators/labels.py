@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import components, forest
@@ -20,6 +21,21 @@ def pixels(painted: DataFrame) -> DataFrame:
     return p.groupBy("z", "y", "x").agg(F.max("label").alias("label"))
 
 
+def visible_runs(painted: DataFrame, tile: int = 64) -> DataFrame:
+    """z, y, x0, x1, label: the painted volume as disjoint runs, none longer than `tile`; at each pixel the largest label.
+
+    Places are not negative.  Lines are cut into tiles and tiles where a run starts or ends, so a run meets at most `tile`
+    stretches of each, and seldom more than a few; all steps share the key (z, y, tile).
+    """
+    key = ["z", "y", "tile"]
+    t = painted.withColumn("tile", F.explode(F.sequence(F.expr(f"x0 div {tile}"), F.expr(f"(x1 - 1) div {tile}"))))
+    t = t.select(*key, "label", F.greatest("x0", F.col("tile") * tile).alias("a"), F.least("x1", (F.col("tile") + 1) * tile).alias("b")).repartition(*key)
+    cuts = t.select(*key, F.explode(F.array("a", "b")).alias("x0")).distinct()
+    parts = cuts.withColumn("x1", F.lead("x0").over(W.partitionBy(*key).orderBy("x0"))).where("x1 is not null")
+    inside = parts.join(t, key).where("a <= x0 and x1 <= b")
+    return inside.groupBy(*key, "x0", "x1").agg(F.max("label").alias("label")).drop("tile")
+
+
 def runs_of(slices: DataFrame) -> DataFrame:
     """id, z, y, x0, x1 of full rectangles."""
     return slices.select("id", "z", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"), "x0", "x1")

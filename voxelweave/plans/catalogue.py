@@ -821,8 +821,9 @@ SELECT label, z, CAST(count(*) AS BIGINT) AS n_pixels, CAST(sum(x) AS BIGINT) AS
 def label_paint(spark, d):
     """SNK11: the painted volume, of several slices at a pixel the largest label; given as each label's pixels in each section."""
     s = sl(spark, d)
-    px = labels.pixels(labels.paint(labels.runs_of(s), s.select("id", F.col("id").alias("assembly"))))
-    return px.groupBy("label", "z").agg(F.count("*").alias("n_pixels"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+    runs = labels.visible_runs(labels.paint(labels.runs_of(s), s.select("id", F.col("id").alias("assembly"))))
+    n = F.col("x1") - F.col("x0")
+    return runs.groupBy("label", "z").agg(F.sum(n).alias("n_pixels"), F.sum(F.expr("(x0 + x1 - 1) * (x1 - x0) div 2")).alias("sum_x"), F.sum(F.col("y") * n).alias("sum_y"))
 
 
 @query(f"WITH {S} SELECT id, x, y FROM (SELECT id, x0, y0, 1+id%3 AS r FROM slices) s, range(-4, 5) a(i), range(-4, 5) b(j), LATERAL (SELECT x0+i AS x, y0+j AS y) m WHERE i*i+j*j <= r*r AND x >= 0 AND y >= 0")
