@@ -76,6 +76,25 @@ def test_join_blocks(spark, block):
         assert got == sorted(components(rows, n, share))
 
 
+def test_join_large_chains(spark):
+    """Chains of sets in blocks too large for one task: links between sets that different pivots hold are found, too."""
+    rows, i = [], 0
+    for c in range(24):
+        for k in range(4 + c % 9):  # neighbours are 18 / 22 alike, all others 16 / 24 or less
+            rows.append((i, " ".join(f"c{c}v{x}" for x in range(2 * k, 2 * k + 20))))
+            i += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df, 1, 80, 60).collect())
+    assert got == sorted(components(rows, 1, 80)) and len({r[2] for r in got}) == 24
+
+
+def test_known_components():
+    """Known components count as linked, and links beyond them are found."""
+    sets = [np.arange(2 * k, 2 * k + 20).astype(np.uint64) for k in range(6)]
+    assert jaccard.join_sets(sets, 80, [], [7, 7, 8, 8, 9, 9]) == [0, 0, 2, 2, 4, 4]
+    assert jaccard.join_sets(sets, 80, [2, 3, 4, 5], [7, 7, 8, 8, 9, 9]) == [0] * 6
+
+
 def test_trie():
     rng = np.random.default_rng(2)
     for share in (60, 80, 95):

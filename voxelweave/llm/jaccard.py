@@ -12,7 +12,9 @@
    walk when the lengths that remain can't bring any set in it to the likeness, or when all of
    it is in the walker's component already.
 4. Blocks over `block` shingles are not gathered: rounds of pivots link what is near a common
-   set, and what stays unlinked meets all the rest in pairs of pieces of bounded size.
+   set.  Of the components known then, the largest of each block needs no more links inside; all
+   sets out of it meet the whole block in pairs of pieces of bounded size, where walks skip what
+   is known to be one component.
 
 Defined results: words are separated by ASCII white space, A-Z are lower-cased; a text with
 fewer words than n has its whole sequence as one shingle; a null, empty or white text has none
@@ -154,12 +156,15 @@ def ranks(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
     return [np.sort(r) for r in np.split(rank[inv], np.cumsum([len(s) for s in sets])[:-1])], len(u)
 
 
-def join_sets(sets: list[np.ndarray], share: int, probes: list[int] | None = None) -> list[int]:
-    """Component (least number) of each set; with `probes`, only links of these with all are looked for."""
+def join_sets(sets: list[np.ndarray], share: int, probes: list[int] | None = None, known=()) -> list[int]:
+    """Component (least number) of each set; with `probes`, only links of these with all are looked for; sets of one `known` label are one component before."""
     if len(sets) == 1:
         return [0]
     x, universe = ranks(sets)
     trie = Trie(universe, len(sets), share)
+    first_of: dict[int, int] = {}
+    for i, label in enumerate(known):
+        trie.union(first_of.setdefault(label, i), i)
     if probes is None:
         order = sorted(range(len(sets)), key=lambda i: len(x[i]))
         for i in order:
@@ -170,7 +175,7 @@ def join_sets(sets: list[np.ndarray], share: int, probes: list[int] | None = Non
         for i in range(len(sets)):
             if i not in first:
                 trie.store(i, x[i])
-                # stored sets aren't known to be one component: only walks can tell
+                # beyond `known`, stored sets aren't known to be one component: only walks can tell
         for i in probes:
             trie.probe(i, x[i])
             trie.store(i, x[i])
@@ -317,11 +322,15 @@ def join_large(reps: DataFrame, share: int, block: int, rounds: int = 3) -> Data
         got = written(reps.join(pivot, ["block", "piece"]).select("class", "shingles", "pivot_class", "pivot").mapInPandas(run, "a long, b long"), "pivots")
         links = got if links is None else links.unionByName(got)
         free = written(free.join(links.select(F.col("a").alias("class")), "class", "left_anti"), "free")
-    # what no pivot has linked meets every piece of its block; it is cut into pieces itself
-    rest = reps.join(free, ["block", "class"], "left_semi")
+    # all but the largest known component meets every piece of its block; it is cut into pieces itself
+    known = components(links).select(F.col("id").alias("class"), F.col("component").alias("known"))
+    known = written(reps.select("block", "class", "size").join(known, "class", "left").withColumn("known", F.coalesce("known", "class")), "known")
+    top = known.groupBy("block", "known").agg(F.sum("size").alias("total")).groupBy("block").agg(F.max(F.struct("total", "known")).alias("m")).select("block", F.col("m.known").alias("top"))
+    reps = reps.join(known.select("block", "class", "known"), ["block", "class"])
+    rest = reps.join(top, "block").where("known <> top").drop("top")
     cut = rest.groupBy("block").agg(F.ceil(F.sum("size") / F.lit(block // 4)).cast("int").alias("cuts"))
-    build = reps.join(cut, "block").select("block", "piece", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "class", "shingles", F.lit(False).alias("probe"))
-    probe = rest.join(cut, "block").withColumn("cut", F.pmod(F.xxhash64("class", F.lit(9)), F.col("cuts")).cast("int")).select("block", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "cut", "class", "shingles", F.lit(True).alias("probe"))
+    build = reps.join(cut, "block").select("block", "piece", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "class", "known", "shingles", F.lit(False).alias("probe"))
+    probe = rest.join(cut, "block").withColumn("cut", F.pmod(F.xxhash64("class", F.lit(9)), F.col("cuts")).cast("int")).select("block", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "cut", "class", "known", "shingles", F.lit(True).alias("probe"))
 
     def pair(pdf):
         pdf = pdf.sort_values(["probe", "class"], ignore_index=True)
@@ -329,7 +338,7 @@ def join_large(reps: DataFrame, share: int, block: int, rounds: int = 3) -> Data
         same = pdf["class"].isin(pdf.loc[ask, "class"]).to_numpy() & ~ask
         pdf, ask = pdf[~same].reset_index(drop=True), ask[~same]
         names = pdf["class"].to_numpy()
-        root = join_sets(_unpack(pdf["shingles"]), share, np.flatnonzero(ask).tolist())
+        root = join_sets(_unpack(pdf["shingles"]), share, np.flatnonzero(ask).tolist(), pdf["known"].tolist())
         return pd.DataFrame({"a": names, "b": names[root]})
 
     return links.unionByName(build.unionByName(probe).groupBy("block", "piece", "cut").applyInPandas(pair, "a long, b long"))
