@@ -146,6 +146,30 @@ def test_jaccard_odd(spark, odd, none):
     assert jaccard.keep_one(none).collect() == []
 
 
+def test_keep_one_shared_ids(spark):
+    """Rows with a null doc_id, or with one doc_id, are documents of their own: one of each component stays."""
+    text = lambda c: " ".join(f"{c}{x}" for x in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " end"), (None, text("b")), (None, "x"), (None, None), (None, None)]
+    rows += [(7, text("c")), (7, text("d")), (7, text("d")), (8, text("d") + " end"), (9, text("e")), (9, text("e") + " end"), (10, text("f")), (None, text("f"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(df).collect()]
+    b = {text("b"), text("b") + " end"} & {t for _, t in kept}
+    e = {text("e"), text("e") + " end"} & {t for _, t in kept}
+    assert len(b) == len(e) == 1
+    want = [(None, text("a")), (None, *b), (None, "x"), (None, None), (None, None), (7, text("c")), (7, text("d")), (9, *e), (10, text("f"))]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 60])
+def test_component_keys(spark, block):
+    """Keys tell components apart that have one component_id."""
+    rows = [(None, t) if i % 3 else (5, t) for i, t in near_copies(6)]
+    want = dict(zip((t for _, t in rows), (c for _, _, c in components([(i, t) for i, (_, t) in enumerate(rows)], 2, 80))))
+    text = {r.row: r.text for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("xxhash64(text) as row", "text").collect()}
+    both = {(want[text[r.row]], r.component_key if r.component_key is not None else text[r.row]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80, block).collect()}
+    assert len(both) == len({a for a, _ in both}) == len({b for _, b in both})
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (200, 200)]
     got = {(r.id, r.component) for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

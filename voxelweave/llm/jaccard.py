@@ -287,17 +287,17 @@ def _unpack(blobs) -> list[np.ndarray]:
 
 
 def join_blocks(reps: DataFrame, share: int, groups: int) -> DataFrame:
-    """class, component (its least dk) in each block (columns class, dk, block, shingles), one task a group of blocks."""
+    """class, component (its least dk) and key (a class of it) in each block (columns class, dk, block, shingles), one task a group of blocks."""
 
     def run(pdf):
         out = []
         for _, g in pdf.groupby("block", sort=True):
             g = g.sort_values(["dk", "class"])  # so a component's first set has its least dk
             root = join_sets(_unpack(g["shingles"]), share)
-            out.append(pd.DataFrame({"class": g["class"].to_numpy(), "component": g["dk"].to_numpy()[root]}))
+            out.append(pd.DataFrame({"class": g["class"].to_numpy(), "component": g["dk"].to_numpy()[root], "key": g["class"].to_numpy()[root]}))
         return pd.concat(out)
 
-    return reps.withColumn("__group", F.pmod(F.xxhash64("block"), F.lit(groups))).groupBy("__group").applyInPandas(run, "class long, component long")
+    return reps.withColumn("__group", F.pmod(F.xxhash64("block"), F.lit(groups))).groupBy("__group").applyInPandas(run, "class long, component long, key long")
 
 
 def join_large(reps: DataFrame, share: int, block: int, rounds: int = 3) -> DataFrame:
@@ -345,7 +345,11 @@ def join_large(reps: DataFrame, share: int, block: int, rounds: int = 3) -> Data
 
 
 def join(docs: DataFrame, n: int = 5, share: int = 80, block: int = BLOCK) -> DataFrame:
-    """doc_id, row (hash of the text), n_shingles and component_id of every row; share in per cent."""
+    """doc_id, row (hash of the text), n_shingles, component_id and component_key of every row; share in per cent.
+
+    component_id is the least doc_id, so components that share it (null, or a repeated doc_id) have it in
+    common; component_key tells them apart.  It is null in rows that step 1 found to be alone.
+    """
     size = X.text_bytes(docs)
     shards = max(parts(docs.sparkSession), size // (8 << 20))
     texts = X.keyed(docs)
@@ -367,19 +371,19 @@ def join(docs: DataFrame, n: int = 5, share: int = 80, block: int = BLOCK) -> Da
     if (most or 0) > block:
         large = placed.where(F.col("total") > block)
         roots = components(join_large(large.select("class", "block", "size", "shingles"), share, block)).withColumnRenamed("id", "class").join(large.select("class", "dk"), "class")
-        found_in = found_in.unionByName(roots.join(roots.groupBy("component").agg(F.min("dk").alias("least")), "component").select("class", F.col("least").alias("component")))
+        found_in = found_in.unionByName(roots.join(roots.groupBy("component").agg(F.min("dk").alias("least")), "component").select("class", F.col("least").alias("component"), F.col("component").alias("key")))
     # the least doc_id of a component is that of its classes; a class without links has its own
-    of = first.select("class", "m.dk").join(written(found_in, "links"), "class", "left").select("class", F.coalesce("component", "dk").alias("component"))
-    of = written(sets.select("dk", "row", "class").distinct().join(of, "class").select("dk", "row", "component"), "components")
+    of = first.select("class", "m.dk").join(written(found_in, "links"), "class", "left").select("class", F.coalesce("component", "dk").alias("component"), F.coalesce("key", "class").alias("key"))
+    of = written(sets.select("dk", "row", "class").distinct().join(of, "class").select("dk", "row", "component", "key"), "components")
     null = lambda c: F.when(c != X.BIGGEST, c)
     out = found.select("dk", "row", "n_shingles").join(of, ["dk", "row"], "left")
-    return out.select(null(F.col("dk")).alias("doc_id"), "row", "n_shingles", null(F.coalesce("component", "dk")).alias("component_id"))
+    return out.select(null(F.col("dk")).alias("doc_id"), "row", "n_shingles", null(F.coalesce("component", "dk")).alias("component_id"), F.col("key").alias("component_key"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     """The rows of docs with one of each component: the least doc_id, and of equal ones the least text hash."""
-    got = join(docs, n, share).withColumn("dk", F.coalesce("doc_id", F.lit(X.BIGGEST))).withColumn("top", F.coalesce("component_id", F.lit(X.BIGGEST)))
-    keep = got.where("dk = top and (n_shingles > 0)").groupBy("top").agg(F.min("row").alias("row")).select(F.col("top").alias("dk"), "row")
+    got = join(docs, n, share).withColumn("dk", F.coalesce("doc_id", F.lit(X.BIGGEST)))
+    keep = got.where("component_key is not null").groupBy("component_key").agg(F.min(F.struct("dk", "row")).alias("m")).select("m.dk", "m.row")
     names = set(docs.columns)
     dk, row = "__dk", "__row"
     while dk in names or row in names:
@@ -387,5 +391,5 @@ def keep_one(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     rows = docs.withColumn(dk, F.coalesce("doc_id", F.lit(X.BIGGEST))).withColumn(row, F.xxhash64("text"))
     keep = keep.select(F.col("dk").alias(dk), F.col("row").alias(row))
     full = rows.join(keep, [dk, row], "left_semi").dropDuplicates([dk, row])
-    bare = rows.join(got.where("n_shingles = 0").select(F.col("dk").alias(dk), F.col("row").alias(row)).distinct(), [dk, row], "left_semi")
-    return full.unionByName(bare).select(*docs.columns)
+    alone = rows.join(got.where("component_key is null").select(F.col("dk").alias(dk), F.col("row").alias(row)).distinct(), [dk, row], "left_semi")
+    return full.unionByName(alone).select(*docs.columns)
