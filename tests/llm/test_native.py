@@ -108,6 +108,23 @@ def test_scan_and_redact(spark):
         assert clean[i].text == (text.replace(value, "[SECRET]") if bad else text) and clean[i].n_chars == len(clean[i].text)
 
 
+def test_long_secrets(spark):
+    """Secrets of several hundred characters and whole private keys: nothing of them is cut off or left in the text."""
+    forest = secrets.train(spark)
+    long = "".join(hashlib.sha256(f"long{i}".encode()).hexdigest() for i in range(40))
+    lines = "\n".join(long[i : i + 64] for i in range(0, 1600, 64))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{lines}\n-----END RSA PRIVATE KEY-----"
+    locked = key.replace("KEY-----\n", f"KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{long[:32]}\n\n", 1)
+    line = key.replace("\n", "\\n")
+    values = [(f'set token = "{long[:500]}" here', long[:500]), (f"with password={long[:300]} now", long[:300]), (f"authorization bearer eyJ{long[:700]}\n", "eyJ" + long[:700]), (f"secret {long[:420]}== x", long[:420] + "==")]
+    values += [(f"see\n{k}\nafter - it", k) for k in (key, locked, line)] + [(f'secret: "{line}" x', line), (f"cut off\n{key[:900]}", key[:900]), (f"cut off\n{locked[:900]}", locked[:900])]
+    values += [("-----BEGIN PRIVATE KEY----- starts a key, and text goes on here", "-----BEGIN PRIVATE KEY-----")]
+    df = spark.createDataFrame([(i, t, "src1") for i, (t, _) in enumerate(values)], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.secret, r.start, r.end, r.is_secret) for r in secrets.scan(df, forest).collect()}
+    assert got == {i: (v, t.index(v), t.index(v) + len(v), True) for i, (t, v) in enumerate(values)}
+    assert {r.doc_id: r.text for r in secrets.redact(df, forest).collect()} == {i: t.replace(v, "[SECRET]") for i, (t, v) in enumerate(values)}
+
+
 def test_expression_is_the_forest(spark):
     forest = secrets.train(spark)
     rows = secrets.findings(spark, 200).withColumn("x", secrets.features(F.col("cand"), F.col("left"), F.col("right"), F.col("path")))

@@ -1,7 +1,9 @@
 """Secret scanning with a random forest, with DataFrame functions only.
 
 Candidates (`CANDIDATE`) are assignments to secret-like names, long runs of key characters
-with a digit, and private-key headers.  A forest over the candidate's length, character
+with a digit, and private keys: whole values and runs of any length, and a key from its BEGIN
+to its END line (without an END, the BEGIN line and the lines of base64 below it).  A private
+key is scored by its BEGIN line.  A forest over the candidate's length, character
 classes and transitions, dictionary coverage, the document's path and the neighbouring words
 removes false positives.  It is fitted on labelled findings (`findings`, made by rule for
 known key formats and their usual look-alikes, or a table of one's own with the same columns)
@@ -22,10 +24,18 @@ from pyspark.sql import functions as F
 
 MARK = "\x01"
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key"
+HEADER = "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+#: between lines, also where a string literal holds them
+BREAK = r"(?:\s|\\[nr])++"
+#: possessive, so that a text of any length is read in one pass and without recursion
+BLOCK = (
+    rf"{HEADER}(?:(?:[^-]++|-(?!----))*+-{{5,}}+END [A-Z ]{{0,30}}PRIVATE KEY-----"
+    rf"|(?:{BREAK}[A-Za-z-]{{1,30}}: [^\r\n\\]*+)*+(?:{BREAK}[A-Za-z0-9+/]{{24,}}+={{0,2}})++(?:{BREAK}[A-Za-z0-9+/]{{1,23}}+={{0,2}}(?=\s*+\z))?+)?+"
+)
 CANDIDATE = (
-    rf"(?i:(?:{NAMES})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)[^\s\"',;]{{6,200}}"
-    r"|(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,200}={0,2}"
-    r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+    rf"(?i:(?:{NAMES})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)(?:{BLOCK}|[^\s\"',;]{{6,}}+)"
+    r"|(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,}+={0,2}"
+    rf"|{BLOCK}"
 )
 ASSIGNED = rf"^(?i:(?:{NAMES})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)"
 #: fixed values: words that keys rarely hold and identifiers often do
@@ -37,7 +47,7 @@ FEATURES = ("length", "transitions", "distinct", "digits", "uppers", "lowers", "
 
 def features(cand: Column, left: Column, right: Column, path: Column) -> Column:
     """array<double> in the order of FEATURES."""
-    v = F.regexp_replace(cand, ASSIGNED, "")
+    v = F.regexp_replace(F.regexp_replace(cand, ASSIGNED, ""), rf"(?s)^({HEADER}).*+", "$1")
     n = F.greatest(F.length(v), F.lit(1)).cast("double")
     drop = lambda p: (n - F.length(F.regexp_replace(v, p, ""))) / n
     kinds = v
@@ -61,7 +71,7 @@ def features(cand: Column, left: Column, right: Column, path: Column) -> Column:
         flag(before.rlike(r"(?:pass|secret|token|key|auth|credential|bearer|login)\W{0,4}\w{0,12}\W{0,4}$")),
         flag(before.rlike(r"(?:sha1|sha256|sha|md5|commit|hash|checksum|digest|uuid|guid|revision|rev|etag|integrity|id|href|src|url|https?)\W{0,4}$")),
         flag(around.rlike(r"example|sample|placeholder|dummy|fake|changeme|redacted|your[_ -]")),
-        F.length(F.regexp_replace(v, r"^.*?([A-Za-z0-9]{0,200})$", "$1")).cast("double"),
+        F.length(F.regexp_extract(v, r"(?<![A-Za-z0-9])[A-Za-z0-9]++$", 0)).cast("double"),
     )
 
 
