@@ -5,8 +5,9 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from test_duplicates import components
+from test_sampling_and_tokens import library
 
-from voxelweave.llm import mixing, secrets, tokens, toxicity
+from voxelweave.llm import mixing, secrets, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -45,8 +46,7 @@ def test_pipeline(spark, sf_dir, tmp_path):
     copies = {r.doc_id: r.copies for r in mixing.mix(spark.read.parquet(f"{tmp_path}/secrets"), mixing.by_weight).collect()}
     assert Counter(r.doc_id for r in rows[3]) == Counter({i: c for i, c in copies.items() if c})
     # pack: every copy's tokens, gapless sequences
-    enc = tokens.encoder(tokens.vocabulary_path())
-    length = {r.doc_id: len(x) + 1 for r, x in zip(rows[2], enc.encode([r.text for r in rows[2]]))}
+    length = {r.doc_id: len(x) + 1 for r, x in zip(rows[2], library([r.text for r in rows[2]]))}
     got, seq = Counter(), defaultdict(list)
     for r in rows[4]:
         got[r.doc_id] += r.length

@@ -81,20 +81,70 @@ def test_encoder_is_the_library(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
     texts = [x for _, x in docs[:300]] + ["", " ", "  a", "a ", "a  b", "a \nb c", "don't we'll 12 3a\t b", "x  y", "x  y", "x y z", "a\x00b c", "ab <|endoftext|> c", "ß日本 語\n\n x", "\x1c a b"]
+    texts += ["see <|endoftext|> here", "a  <|endoftext|>", "<|endoftext|>\n\nb <|endoftext|><|endoftext|> ", "<|endoftext", "|>"]
     enc = tokens.Encoder(tokens.vocabulary_path())
     rng = np.random.default_rng(7)
     bits = ["a", "B", "é", "×", "÷", "1", " ", " ", "\n", "\t", ".", ",", "!", "'s", "'", "\u00a0", "\u2003", "—", "日", "\x1c", "\r", "<|endoftext|>", "ß", "»", "\u3000", "\u1680", "ſ", "²"]
     texts += ["".join(rng.choice(bits, int(rng.integers(1, 14)))) for _ in range(6000)]
     enc.MOST = 2000
     assert [x.tolist() for x in enc.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    t.encode_special_tokens = True
+    plain = tokens.Encoder(tokens.vocabulary_path(), ordinary=True)
+    assert [x.tolist() for x in plain.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def thue_morse(n):
+    """Two words that polynomials modulo a power of two can't tell apart."""
+    a, flip = "a", str.maketrans("ab", "ba")
+    while len(a) < n:
+        a += a.translate(flip)
+    return a, a.translate(flip)
+
+
+def library(texts):
+    from tokenizers import Tokenizer
+
+    return [e.ids for e in Tokenizer.from_file(tokens.vocabulary_path()).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_colliding_pieces():
+    """Pieces of one hash are told apart by their bytes, in one batch and from batch to batch."""
+    a, b = thue_morse(2048)
+    texts = [a, b, f"x {b} y", f"x {a} y"]
+    enc = tokens.Encoder(tokens.vocabulary_path())
+    enc.LONG = 1 << 20
+    for t in (texts, texts[::-1]):
+        assert [x.tolist() for x in enc.encode(t)] == library(t)
+
+
+def test_crafted_texts(spark):
+    """Words with known collisions and the special token's string, through op2 and op10."""
+    a, b = thue_morse(1024)
+    texts = [f"{a} p q", f"{b} p q", "see <|endoftext|> here", f"{b} {a}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: np.array([*x, 0], "<u4").tobytes() for i, x in enumerate(library(texts))}
+    assert {r.doc_id: bytes(r.ids) for r in packing.pieces(df, tokens.vocabulary_path(), 0).collect()} == want
+    back = tokens.read_tokens(spark, tokens.write_tokens(df, tokens.vocabulary_path(), 2), tokens.digest, "doc_id long, start long, n_tokens long, ids_crc32 long").collect()
+    assert {r.doc_id: r.ids_crc32 for r in back} == {i: zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for i, x in enumerate(library(texts))}
+
+
+def test_op10_ties(spark):
+    """Rows with equal doc_id, a third of them null with one text, are in a fixed order and in several files."""
+    rows = [(None if i % 3 == 0 else i % 7, "same text" if i % 3 == 0 else f"text {i % 50}") for i in range(600)]
+    found = []
+    for k in (3, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(k)
+        m = tokens.write_tokens(df, tokens.vocabulary_path(), 2, shards=6)
+        assert max(r.n_docs for r in m.collect()) < 200
+        found.append(sorted(map(str, tokens.read_tokens(spark, m, tokens.digest, "doc_id long, start long, n_tokens long, ids_crc32 long").collect())))
+    assert found[0] == found[1] and len(found[0]) == 600
 
 
 def test_op10(spark, sf_dir, docs):
     got = {r.doc_id: r for r in queries.op10_tokens(spark, sf_dir).collect()}
-    enc, start = tokens.encoder(tokens.vocabulary_path()), 0
-    for (i, _), ids in zip(docs, enc.encode([t for _, t in docs])):
+    start = 0
+    for (i, _), ids in zip(docs, library([t for _, t in docs])):
         ids = np.append(ids, 2).astype("<u4")
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
@@ -117,8 +167,7 @@ def test_files(spark, odd, none, tmp_path):
 
 def test_op2(spark, sf_dir, docs):
     rows = queries.op2_pack(spark, sf_dir).collect()
-    enc = tokens.encoder(tokens.vocabulary_path())
-    ids = {i: np.append(x, 0).astype("<u4") for (i, _), x in zip(docs, enc.encode([t for _, t in docs]))}
+    ids = {i: np.append(x, 0).astype("<u4") for (i, _), x in zip(docs, library([t for _, t in docs]))}
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         x = ids[r.doc_id][r.start : r.start + r.length]

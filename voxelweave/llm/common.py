@@ -15,6 +15,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEGMENT = 1 << 20
@@ -25,10 +26,12 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share, spark.checkpoint.dir; a temporary one where it is unset and Spark runs in one process."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="voxelweave-"))
         base = sc.getCheckpointDir()
     return base.rstrip("/")
@@ -65,6 +68,10 @@ def drop_written(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -78,15 +85,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 # --- text kernels -----------------------------------------------------------------------
 
 _rng = np.random.default_rng(20240229)
-_TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_LOWER = _TABLE.copy()
-_LOWER[65:91] = _LOWER[97:123]
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEPS = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
-_powers: dict[str, np.ndarray] = {}
+
+#: words are hashed by two polynomials modulo this prime; powers of two as modulus have known collisions (Thue-Morse words)
+PRIME = (1 << 31) - 1
+_BASES = tuple(int(b) for b in _rng.integers(1 << 20, PRIME - 1, 2))
+_VALUES = [_rng.integers(1, PRIME - 1, 256, dtype=np.uint64) for _ in _BASES]
+_LOWERED = [v.copy() for v in _VALUES]
+for _v in _LOWERED:
+    _v[65:91] = _v[97:123]
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -99,19 +109,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        m = 1 << max(12, (n - 1).bit_length())
-        for k, b in (("up", _BASE), ("down", _BASE_INV)):
-            a = np.full(m, b, np.uint64)
-            a[0] = 1
-            _powers[k] = np.multiply.accumulate(a)
-    return _powers["up"], _powers["down"]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME up to one more PRIME, for x under 2**63."""
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    x = _fold(_fold(x))
+    return np.where(x >= PRIME, x - np.uint64(PRIME), x)
+
+
+def _power(k: int, sign: int, n: int) -> np.ndarray:
+    """Powers 0 .. n - 1 of base k, or of its inverse."""
+    if len(_powers.get((k, sign), ())) < n:
+        base, m = pow(_BASES[k], sign, PRIME), 1 << max(12, (n - 1).bit_length())
+        out = np.ones(m, np.uint64)
+        have = 1
+        while have < m:
+            out[have : 2 * have] = _mod(out[:have] * np.uint64(pow(base, have, PRIME)))
+            have *= 2
+        _powers[k, sign] = out
+    return _powers[k, sign]
+
+
+class Spans:
+    """Hashes of stretches of bytes, all from sums over prefixes."""
+
+    def __init__(self, d: np.ndarray, lower: bool = False):
+        n = len(d)
+        self.sums, self.down = [], []
+        for k, values in enumerate(_LOWERED if lower else _VALUES):
+            s = np.zeros(n + 1, np.uint64)
+            np.cumsum(_fold(values[d] * _power(k, 1, n + 1)[:n]), out=s[1:])
+            self.sums.append(s)
+            self.down.append(_power(k, -1, n + 1))
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of bytes start..end: 62 bits of two polynomials and the length, mixed."""
+        a, b = (_mod(_mod(s[end] - s[start]) * p[start]) for s, p in zip(self.sums, self.down))
+        return mix((a << np.uint64(31) | b) * np.uint64(0x9E3779B97F4A7C15) + (end - start).astype(np.uint64))
+
+
+_TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+_QUICK = np.uint64(0x9E3779B97F4A7C15)
+_QUICK_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_quick: list[np.ndarray] = []
 
 
 def byte_hash(d: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each piece start..end of bytes; never 0."""
-    up, down = _power(len(d) + 1)
+    """A quick hash of each piece start..end of bytes, never 0: crafted pieces can collide, so who finds a piece by it compares its bytes."""
+    if not _quick or len(_quick[0]) < len(d) + 1:
+        m = 1 << max(12, len(d).bit_length())
+        _quick[:] = [np.full(m, b, np.uint64) for b in (_QUICK, _QUICK_INV)]
+        for a in _quick:
+            a[0] = 1
+            np.multiply.accumulate(a, out=a)
+    up, down = _quick
     h = np.zeros(len(d) + 1, np.uint64)
     np.cumsum(_TABLE[d] * up[: len(d)], out=h[1:])
     return mix((h[end] - h[start]) * down[start] + (end - start).astype(np.uint64)) | np.uint64(1)
@@ -154,11 +207,8 @@ class Words:
         last[1:n] = ~w[1:] if n else last[1:n]
         last[self.off] = True
         self.end = np.flatnonzero(w & last[1:]) + 1
-        up, down = _power(n + 1)
-        h = np.zeros(n + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _TABLE)[d] * up[:n], out=h[1:])
-        self.h, self.down, self.is_word = h, down, w
-        self.hash = mix((h[self.end] - h[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        self.spans, self.is_word = Spans(d, lower), w
+        self.hash = self.spans.hash(self.start, self.end)
         self.of = np.searchsorted(self.off, self.start, "right") - 1
         #: index of each text's first word, one more than texts
         self.first = np.searchsorted(self.start, self.off)
@@ -176,7 +226,7 @@ class Words:
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of bytes start..end."""
-        return mix((self.h[end] - self.h[start]) * self.down[start] + (end - start).astype(np.uint64))
+        return self.spans.hash(start, end)
 
 
 def shingle_sets(x: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

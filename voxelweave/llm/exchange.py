@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, small_batches, text_buffers
@@ -27,13 +27,22 @@ BIGGEST = (1 << 63) - 1
 TEXTS, BYTES = 4096, 4 << 20
 
 
+#: partitions that an exchange may have; with more shards, several share one
+MOST_PARTITIONS = 50_000
+
+
+def row_of() -> Column:
+    """Hash of the text; its lowest bit says whether doc_id is null."""
+    return F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("long"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """dk (doc_id, null as the largest number), row (hash of the text), text: what tells rows apart.  Neither key is nullable."""
-    return docs.select(F.coalesce("doc_id", F.lit(BIGGEST)).alias("dk"), F.xxhash64("text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    """dk (doc_id, null as the largest number), row (row_of), text: what tells rows apart.  Neither key is nullable."""
+    return docs.select(F.coalesce("doc_id", F.lit(BIGGEST)).alias("dk"), row_of().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def text_bytes(docs: DataFrame) -> int:
-    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def doc_id_of(dk: str = "dk", row: str = "row") -> Column:
+    return F.when(F.col(row).bitwiseAND(F.lit(1)) == 0, F.col(dk))
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text"):
@@ -88,7 +97,10 @@ def scatter_gather(df: DataFrame, shards: int, send: Callable, answer: Callable,
 
     small_batches(df.sparkSession)
     wire = "chunk long, shard long, block binary, meta binary"
-    return df.mapInArrow(out, wire).groupBy("shard").applyInPandas(shard, wire).groupBy("chunk").applyInPandas(back, schema)
+    # both exchanges have as many partitions as there are shards, that is in proportion to the bytes; a shard has one for itself
+    n = max(1, min(shards, MOST_PARTITIONS))
+    sent = df.mapInArrow(out, wire).withColumn("part", (F.col("shard") % n).cast("int")).repartitionById(n, F.col("part"))
+    return sent.groupBy("part", "shard").applyInPandas(shard, wire).repartition(n, "chunk").groupBy("chunk").applyInPandas(back, schema)
 
 
 def chunk_name(dk: np.ndarray, row: np.ndarray) -> int:

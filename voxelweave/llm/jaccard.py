@@ -1,10 +1,10 @@
-"""N-gram Jaccard join with a prefix tree, exact, and its connected components.
+"""N-gram Jaccard join with a prefix tree, and its connected components.
 
 1. A document can only have a partner if few of its shingles are its own alone: with n shingles
    and likeness s, a partner lacks at most n - ceil(s n) of them.  Shingles in a fixed half of
    the hash space are counted over the corpus (`exchange`), and documents with more lonely
    shingles than that leave, without loss.
-2. Documents with equal sets become one class.  Classes' shingles get a global order, rarest
+2. Documents with equal sets become one class, and one of them stands for it.  Classes' shingles get a global order, rarest
    first; two linked classes share one of their first n - ceil(s n) + 1 shingles.  Classes
    that share one, directly or over others, form a block.
 3. In a block, sets are stored in a trie in one global order, most common first, so that near
@@ -19,8 +19,9 @@
 Defined results: words are separated by ASCII white space, A-Z are lower-cased; a text with
 fewer words than n has its whole sequence as one shingle; a null, empty or white text has none
 and is linked with nothing; rows with equal doc_id are documents of their own; a null doc_id
-counts as the largest and comes back as null; extra columns are ignored; no rows, no result.
-Shingles are 64-bit hashes.
+counts as larger than all others and comes back as null; extra columns are ignored; no rows, no
+result.  Words are known by 62-bit hashes, shingles and sets by 64-bit ones, so results are exact
+but for chance collisions of these, of which no construction is known.
 """
 
 from __future__ import annotations
@@ -32,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import Words, drop_written, mix, parts, segments, shingle_sets, text_buffers, written
+from .common import Words, mix, parts, segments, shingle_sets, text_bytes, written
 from .graph import components
 
-BLOCK = 4_000_000
+#: shingles that one task gathers at most, and bytes of the corpus for each shard
+BLOCK, SHARD = 4_000_000, 8 << 20
 
 
 def need(n: int, share: int) -> int:
@@ -195,52 +197,58 @@ def _sets(batch: pa.RecordBatch, first: int, last: int, data, off, n: int):
     return (np.concatenate(of), np.concatenate(g)) if of else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
+def set_hash(of: np.ndarray, g: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Size and hash of the set of each text, of sorted (text, shingle) pairs."""
+    cut = np.searchsorted(of, np.arange(texts + 1))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(g.copy()))])
+    size = np.diff(cut)
+    return size, mix((total[cut[1:]] - total[cut[:-1]]) + size.astype(np.uint64))
+
+
 def survivors(docs: DataFrame, n: int, share: int, shards: int) -> DataFrame:
-    """dk, row, n_shingles, stays of every row of keyed(docs): step 1."""
+    """dk, row, n_shingles, class (hash of the set; without shingles, of the row), stays of every row of keyed(docs): step 1."""
 
     def send(batch):
         dk, row = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         for i, j, data, off in X.chunks(batch):
             of, g = _sets(batch, i, j, data, off, n)
-            size = np.bincount(of, minlength=j - i)
+            size, name = set_hash(of, g, j - i)
+            name = np.where(size > 0, name, mix(dk[i:j].astype(np.uint64) + mix(row[i:j].astype(np.uint64)))).astype(np.int64)
             half = (g & np.uint64(1)) == 0
             keys, text, count = X.distinct(g[half], of[half])
             alone = np.where(count == 1, text, 0xFFFF).astype(np.uint16)
-            yield X.chunk_name(dk[i:j], row[i:j]), (dk[i:j], row[i:j], size), X.split(keys, shards, alone)
+            yield X.chunk_name(dk[i:j], row[i:j]), (dk[i:j], row[i:j], size, name), X.split(keys, shards, alone)
 
     def answer(blocks):
         got = X.totals([(k, np.where(t == 0xFFFF, 2, 1)) for k, t in blocks])
         return [np.bincount(t[(c == 1)], minlength=0).astype(np.uint32) for (k, t), c in zip(blocks, got)]
 
     def gather(meta, replies):
-        dk, row, size = meta
+        dk, row, size, name = meta
         lonely = np.zeros(len(dk), np.int64)
         for r in replies.values():
             if r is not None:
                 lonely[: len(r)] += r
         may = size - -(-size * share // 100)
-        return pd.DataFrame({"dk": dk, "row": row, "n_shingles": size, "stays": (size > 0) & (lonely <= may)})
+        return pd.DataFrame({"dk": dk, "row": row, "n_shingles": size, "class": name, "stays": (size > 0) & (lonely <= may)})
 
-    return X.scatter_gather(docs, shards, send, answer, gather, "dk long, row long, n_shingles long, stays boolean")
+    return X.scatter_gather(docs, shards, send, answer, gather, "dk long, row long, n_shingles long, class long, stays boolean")
 
 
-def classes(texts: DataFrame, n: int) -> DataFrame:
-    """dk, row, class (hash of the set), size, shingles (64-bit numbers, ascending) of keyed rows."""
+def shingles_of(texts: DataFrame, n: int) -> DataFrame:
+    """class, dk, row, size, shingles (64-bit numbers, ascending) of rows (class, dk, row, text)."""
 
     def run(batches):
         for b in batches:
-            dk, row = b.column(0), b.column(1)
             for i, j, data, off in X.chunks(b):
                 of, g = _sets(b, i, j, data, off, n)
                 cut = np.searchsorted(of, np.arange(j - i + 1))
-                total = np.concatenate([[np.uint64(0)], np.cumsum(mix(g.copy()))])
-                name = mix((total[cut[1:]] - total[cut[:-1]]) + np.diff(cut).astype(np.uint64)).astype(np.int64)
                 for a in range(0, j - i, 512):
                     e = min(a + 512, j - i)
                     blobs = [g[cut[k] : cut[k + 1]].astype("<u8").tobytes() for k in range(a, e)]
-                    yield pa.RecordBatch.from_arrays([dk.slice(i + a, e - a), row.slice(i + a, e - a), pa.array(name[a:e]), pa.array(np.diff(cut)[a:e], pa.int64()), pa.array(blobs, pa.binary())], names=["dk", "row", "class", "size", "shingles"])
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i + a, e - a) for k in range(3)), pa.array(np.diff(cut)[a:e], pa.int64()), pa.array(blobs, pa.binary())], names=["class", "dk", "row", "size", "shingles"])
 
-    return texts.select("dk", "row", "text").mapInArrow(run, "dk long, row long, class long, size long, shingles binary")
+    return texts.select("class", "dk", "row", "text").mapInArrow(run, "class long, dk long, row long, size long, shingles binary")
 
 
 def prefixes(reps: DataFrame, share: int, shards: int) -> DataFrame:
@@ -287,17 +295,18 @@ def _unpack(blobs) -> list[np.ndarray]:
 
 
 def join_blocks(reps: DataFrame, share: int, groups: int) -> DataFrame:
-    """class, component (its least dk) and key (a class of it) in each block (columns class, dk, block, shingles), one task a group of blocks."""
+    """class, component (its least dk, null is the largest) and key (a class of it) in each block (columns class, dk, nul, block, shingles), one task a group of blocks."""
 
     def run(pdf):
         out = []
         for _, g in pdf.groupby("block", sort=True):
-            g = g.sort_values(["dk", "class"])  # so a component's first set has its least dk
+            g = g.sort_values(["dk", "nul", "class"])  # so a component's first set has its least dk
             root = join_sets(_unpack(g["shingles"]), share)
-            out.append(pd.DataFrame({"class": g["class"].to_numpy(), "component": g["dk"].to_numpy()[root], "key": g["class"].to_numpy()[root]}))
+            out.append(pd.DataFrame({"class": g["class"].to_numpy(), "component": g["dk"].to_numpy()[root], "nul": g["nul"].to_numpy()[root], "key": g["class"].to_numpy()[root]}))
         return pd.concat(out)
 
-    return reps.withColumn("__group", F.pmod(F.xxhash64("block"), F.lit(groups))).groupBy("__group").applyInPandas(run, "class long, component long, key long")
+    dealt = reps.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).repartitionById(groups, F.col("part"))
+    return dealt.groupBy("part").applyInPandas(run, "class long, component long, nul long, key long")
 
 
 def join_large(reps: DataFrame, share: int, block: int, rounds: int = 3) -> DataFrame:
@@ -350,14 +359,14 @@ def join(docs: DataFrame, n: int = 5, share: int = 80, block: int = BLOCK) -> Da
     component_id is the least doc_id, so components that share it (null, or a repeated doc_id) have it in
     common; component_key tells them apart.  It is null in rows that step 1 found to be alone.
     """
-    size = X.text_bytes(docs)
-    shards = max(parts(docs.sparkSession), size // (8 << 20))
+    spark = docs.sparkSession
+    shards = max(parts(spark), text_bytes(docs) // SHARD)
     texts = X.keyed(docs)
     found = written(survivors(texts, n, share, shards), "shared")
-    sets = texts.join(found.where("stays").select("dk", "row").distinct(), ["dk", "row"], "left_semi")
-    sets = written(classes(sets, n), "sets")
-    first = sets.groupBy("class").agg(F.min(F.struct("dk", "row")).alias("m"), F.min("size").alias("size"))
-    reps = sets.join(first.select("class", F.col("m.dk").alias("dk"), F.col("m.row").alias("row")), ["class", "dk", "row"], "left_semi").dropDuplicates(["class"]).select("class", "dk", "size", "shingles")
+    # one row of each class goes on, so copies cost no more than a line
+    first = found.where("stays").groupBy("class").agg(F.min(F.struct("dk", F.col("row").bitwiseAND(F.lit(1)).alias("nul"), "row")).alias("m")).select("class", "m.dk", "m.row")
+    first = written(first, "first").repartition(shards, "dk", "row")  # else the join would deal texts by class alone, all copies to one task
+    reps = shingles_of(texts.join(first, ["dk", "row"]), n).dropDuplicates(["class"]).withColumn("nul", F.col("row").bitwiseAND(F.lit(1))).drop("row")
     reps = written(reps, "classes")
     prefix = written(prefixes(reps, share, shards), "prefixes")
     least = prefix.groupBy("shingle").agg(F.min("class").alias("b"), F.count("*").alias("k")).where("k > 1")
@@ -367,29 +376,32 @@ def join(docs: DataFrame, n: int = 5, share: int = 80, block: int = BLOCK) -> Da
     weight = written(reps.groupBy("block").agg(F.sum("size").alias("total")), "weights")
     total, most = weight.agg(F.sum("total"), F.max("total")).first()
     placed = written(reps.join(weight, "block"), "blocks")
-    found_in = join_blocks(placed.where(F.col("total") <= block).select("class", "dk", "block", "shingles"), share, max(1, (total or 0) // (block // 4), parts(docs.sparkSession)))
+    groups = max(1, (total or 0) // (block // 4), parts(spark))
+    found_in = join_blocks(placed.where(F.col("total") <= block).select("class", "dk", "nul", "block", "shingles"), share, min(groups, X.MOST_PARTITIONS))
     if (most or 0) > block:
         large = placed.where(F.col("total") > block)
-        roots = components(join_large(large.select("class", "block", "size", "shingles"), share, block)).withColumnRenamed("id", "class").join(large.select("class", "dk"), "class")
-        found_in = found_in.unionByName(roots.join(roots.groupBy("component").agg(F.min("dk").alias("least")), "component").select("class", F.col("least").alias("component"), F.col("component").alias("key")))
+        roots = components(join_large(large.select("class", "block", "size", "shingles"), share, block)).withColumnRenamed("id", "class").join(large.select("class", "dk", "nul"), "class")
+        least_of = roots.groupBy("component").agg(F.min(F.struct("dk", "nul")).alias("m")).select(F.col("component").alias("key"), F.col("m.dk").alias("component"), "m.nul")
+        found_in = found_in.unionByName(roots.select("class", F.col("component").alias("key")).join(least_of, "key"))
     # the least doc_id of a component is that of its classes; a class without links has its own
-    of = first.select("class", "m.dk").join(written(found_in, "links"), "class", "left").select("class", F.coalesce("component", "dk").alias("component"), F.coalesce("key", "class").alias("key"))
-    of = written(sets.select("dk", "row", "class").distinct().join(of, "class").select("dk", "row", "component", "key"), "components")
-    null = lambda c: F.when(c != X.BIGGEST, c)
-    out = found.select("dk", "row", "n_shingles").join(of, ["dk", "row"], "left")
-    return out.select(null(F.col("dk")).alias("doc_id"), "row", "n_shingles", null(F.coalesce("component", "dk")).alias("component_id"), F.col("key").alias("component_key"))
+    own = first.select("class", "dk", F.col("row").bitwiseAND(F.lit(1)).alias("nul"))
+    of = own.join(written(found_in, "links").withColumnRenamed("nul", "cnul"), "class", "left")
+    of = of.select("class", F.coalesce("key", "class").alias("key"), F.when(F.coalesce("cnul", "nul") == 0, F.coalesce("component", "dk")).alias("component"))
+    of = written(of, "components").withColumn("in", F.lit(True))
+    out = found.join(of, "class", "left")
+    return out.select(X.doc_id_of().alias("doc_id"), "row", "n_shingles", F.when(F.col("in"), F.col("component")).otherwise(X.doc_id_of()).alias("component_id"), F.col("key").alias("component_key"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     """The rows of docs with one of each component: the least doc_id, and of equal ones the least text hash."""
     got = join(docs, n, share).withColumn("dk", F.coalesce("doc_id", F.lit(X.BIGGEST)))
-    keep = got.where("component_key is not null").groupBy("component_key").agg(F.min(F.struct("dk", "row")).alias("m")).select("m.dk", "m.row")
+    keep = got.where("component_key is not null").groupBy("component_key").agg(F.min(F.struct("dk", F.col("row").bitwiseAND(F.lit(1)).alias("nul"), "row")).alias("m")).select("m.dk", "m.row")
     names = set(docs.columns)
     dk, row = "__dk", "__row"
     while dk in names or row in names:
         dk, row = dk + "_", row + "_"
-    rows = docs.withColumn(dk, F.coalesce("doc_id", F.lit(X.BIGGEST))).withColumn(row, F.xxhash64("text"))
-    keep = keep.select(F.col("dk").alias(dk), F.col("row").alias(row))
-    full = rows.join(keep, [dk, row], "left_semi").dropDuplicates([dk, row])
-    alone = rows.join(got.where("component_key is null").select(F.col("dk").alias(dk), F.col("row").alias(row)).distinct(), [dk, row], "left_semi")
+    rows = docs.withColumn(dk, F.coalesce("doc_id", F.lit(X.BIGGEST))).withColumn(row, X.row_of())
+    named = lambda d: d.select(F.col("dk").alias(dk), F.col("row").alias(row))
+    full = rows.join(named(keep.repartition(parts(docs.sparkSession), "dk", "row")), [dk, row], "left_semi").dropDuplicates([dk, row])
+    alone = rows.join(named(got.where("component_key is null")).distinct(), [dk, row], "left_semi")
     return full.unionByName(alone).select(*docs.columns)

@@ -19,7 +19,7 @@ There is a shard of minimizers for each `SHARD` bytes of the corpus, and one of
 
 Defined results: words are separated by ASCII white space and compared unchanged; null and
 empty texts have no words; rows with equal doc_id are not smaller than each other; a null
-doc_id is larger than all others; repeated rows are judged each on its own; extra columns are
+doc_id counts as 2**63 - 1; repeated rows are judged each on its own; extra columns are
 ignored; no rows, no result.
 """
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import Words, covered, mix, parts, segments
+from .common import Words, covered, mix, parts, segments, text_bytes
 
 SHARD = 8 << 20
 #: bytes of the corpus for each shard of automata, whose states take some 400 bytes
@@ -304,7 +304,7 @@ def smaller_runs(texts: DataFrame, n: int, k: int, shards: int) -> DataFrame:
 def spans(docs: DataFrame, n: int = 13, k: int = 8, hot: int = HOT) -> DataFrame:
     """dk, row, text and spans (null: none) of every row of docs."""
     texts = X.keyed(docs)
-    size = X.text_bytes(docs)
+    size = text_bytes(docs)
     shards = max(parts(docs.sparkSession), size // SHARD)
     keys = shared_keys(texts, n, k, shards, hot).dropDuplicates(["dk", "row"])
     got = smaller_runs(texts.join(keys, ["dk", "row"]), n, k, max(parts(docs.sparkSession), size // FINER)).dropDuplicates(["dk", "row"])
@@ -336,4 +336,4 @@ def remove(docs: DataFrame, n: int = 13, k: int = 8, hot: int = HOT) -> DataFram
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["dk", "row", "n_words", "n_removed", "kept"])
 
     got = spans(docs, n, k, hot).select("dk", "row", "text", "spans").mapInArrow(run, "dk long, row long, n_words long, n_removed long, kept string")
-    return got.select(F.when(F.col("dk") != X.BIGGEST, F.col("dk")).alias("doc_id"), "row", "n_words", "n_removed", "kept")
+    return got.select(X.doc_id_of().alias("doc_id"), "row", "n_words", "n_removed", "kept")

@@ -14,12 +14,13 @@ an index file with the documents' first ids and lengths.  A task writes under a
 own attempt and moves the file in place at its end, and the manifest, itself a written table,
 names only files that are complete; so a lost executor costs a rewrite, nothing else.
 
-Defined results: null and empty texts are one end id; rows with equal doc_id stay in any
-order; an empty table gives an empty manifest; extra columns are ignored.
+Defined results: null and empty texts are one end id; rows with equal doc_id are in the order of
+a hash of their texts; an empty table gives an empty manifest; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -32,9 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import byte_hash, parts, scratch, segments, small_batches, text_buffers, written
+from .common import byte_hash, parts, scratch, segments, small_batches, text_buffers, text_bytes, written
 
-_loaded: dict[str, "Encoder"] = {}
+_loaded: dict[tuple[str, bool], "Encoder"] = {}
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -75,18 +76,27 @@ def cuts(d: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of the tokenizers library; pieces between cuts are encoded once and kept, known by a 64-bit hash."""
+    """Ids of the tokenizers library; pieces between cuts are encoded once and kept, found by a hash and compared byte by byte.
 
-    #: pieces kept, about 40 bytes each
-    MOST = 2_000_000
+    ordinary: whether the strings of special tokens in a text are ordinary text.  If not, as the library has it, a text
+    that holds one is encoded as a whole.  So is every text where the vocabulary isn't a plain byte-level one.
+    """
+
+    #: pieces kept and their bytes; longer pieces than LONG aren't
+    MOST, BYTES, LONG = 2_000_000, 64 << 20, 256
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = ordinary
         self.size = self.tok.get_vocab_size()
+        known = json.loads(self.tok.to_str())
+        pre = known["pre_tokenizer"] or {}
+        self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not known["normalizer"]
+        added = known["added_tokens"]
+        self.whole = [t["content"].encode() for t in added if not (ordinary and t["special"])]
         self._clear(1 << 16)
 
     def _clear(self, slots: int) -> None:
@@ -97,6 +107,10 @@ class Encoder:
         self.start = np.zeros(1 << 16, np.int32)
         self.count = np.zeros(1 << 16, np.int32)
         self.used = 0
+        self.text = np.zeros(1 << 17, np.uint8)  # the pieces' bytes
+        self.text_start = np.zeros(1 << 16, np.int32)
+        self.text_len = np.zeros(1 << 16, np.int32)
+        self.text_used = 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Number of each key, -1 if new."""
@@ -124,52 +138,93 @@ class Encoder:
             go[np.flatnonzero(free)[first]] = False
             left, at = left[go], (at[go] + 1) & mask
 
-    def _learn(self, h: np.ndarray, words: list[str]) -> None:
-        if 2 * (self.many + len(h)) > len(self.keys):
-            old, number = self.keys[self.keys != 0], self.slot[self.keys != 0]
-            size = len(self.keys)
-            while 2 * (self.many + len(h)) > size:
-                size *= 2
-            self.keys, self.slot = np.zeros(size, np.uint64), np.zeros(size, np.int32)
-            self._place(old, number)
+    def _append(self, words: list[bytes]) -> np.ndarray:
+        """Encodes pieces and gives their numbers."""
+        first = self.many
         for k in range(0, len(words), 20_000):
-            ids = [e.ids for e in self.tok.encode_batch_fast(words[k : k + 20_000], add_special_tokens=False)]
+            ids = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in words[k : k + 20_000]], add_special_tokens=False)]
             n = np.fromiter(map(len, ids), np.int32, len(ids))
             total = int(n.sum())
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while self.many + len(ids) > len(self.start):
-                self.start, self.count = (np.concatenate([v, np.zeros_like(v)]) for v in (self.start, self.count))
+                self.start, self.count, self.text_start, self.text_len = (np.concatenate([v, np.zeros_like(v)]) for v in (self.start, self.count, self.text_start, self.text_len))
             self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-            new = np.arange(self.many, self.many + len(ids))
+            new = slice(self.many, self.many + len(ids))
             self.start[new], self.count[new] = self.used + np.cumsum(n) - n, n
-            self._place(h[k : k + 20_000], new)
             self.used += total
             self.many += len(ids)
+        return np.arange(first, self.many)
+
+    def _learn(self, h: np.ndarray, words: list[bytes]) -> None:
+        if 2 * (self.many + len(h)) > len(self.keys):
+            old, number = self.keys[self.keys != 0], self.slot[self.keys != 0]
+            size = len(self.keys)
+            while 2 * (self.many + len(h)) > size:
+                size *= 2
+            self.keys, self.slot = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._place(old, number)
+        new = self._append(words)
+        n = np.fromiter(map(len, words), np.int32, len(words))
+        total = int(n.sum())
+        while self.text_used + total > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        self.text[self.text_used : self.text_used + total] = np.frombuffer(b"".join(words), np.uint8)
+        self.text_start[new], self.text_len[new] = self.text_used + np.cumsum(n) - n, n
+        self.text_used += total
+        self._place(h, new)
+
+    def _same(self, d: np.ndarray, s: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Which of the pieces (n bytes from s; together all of d) are, byte by byte, the kept pieces k (-1: none)."""
+        ok = (k >= 0) & (self.text_len[k] == n)
+        at = np.repeat(np.where(ok, self.text_start[k] - s, 0), n) + np.arange(len(d))
+        off = self.text[np.minimum(at, len(self.text) - 1)] != d
+        return ok & (np.add.reduceat(off, s, dtype=np.int64) == 0)
+
+    def _cuts(self, d: np.ndarray, o: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces start, and which texts (from o) are one piece that isn't kept."""
+        full = np.diff(o) > 0
+        alone = np.zeros(len(full), bool) if self.plain else full.copy()
+        for t in self.whole:
+            at = raw.find(t)
+            while at >= 0:  # on to the next text that may hold it
+                i = int(np.searchsorted(o, at, "right")) - 1
+                alone[i] = alone[i] or at + len(t) <= o[i + 1]
+                at = raw.find(t, at + 1)
+        first = o[:-1][full]
+        s = cuts(d, first) if self.plain else first
+        if alone.any():
+            of = np.searchsorted(o, s, "right") - 1
+            s = s[~alone[of] | (s == o[of])]
+        return s, alone
 
     def buffers(self, data: np.ndarray, off: np.ndarray):
         """For ranges of texts (Arrow buffers): first, last, ids of all of them, and where each text's ids start (one more)."""
         for i, j in segments(off):
-            if self.many > self.MOST:
+            if self.many > self.MOST or self.text_used > self.BYTES:
                 self._clear(len(self.keys))
             lo, hi = int(off[i]), int(off[j])
             d, o = data[lo:hi], off[i : j + 1] - lo
             if not len(d):
                 yield i, j, np.zeros(0, np.uint32), np.zeros(j - i + 1, np.int64)
                 continue
-            real = o[:-1][np.diff(o) > 0]
-            s = cuts(d, real)
-            e = np.append(s[1:], len(d))
-            h = byte_hash(d, s, e)
-            k = self._find(h)
-            if (new := np.flatnonzero(k < 0)).size:
+            raw = d.tobytes()
+            s, alone = self._cuts(d, o, raw)
+            n = np.diff(np.append(s, len(d)))
+            kept = (n <= self.LONG) & ~alone[np.searchsorted(o, s, "right") - 1]
+            h = byte_hash(d, s, s + n)
+            k = np.where(kept, self._find(h), -1)
+            if (new := np.flatnonzero((k < 0) & kept)).size:
                 u, first = np.unique(h[new], return_index=True)
-                raw, at = d.tobytes(), new[first]
-                self._learn(u, [raw[a:b].decode() for a, b in zip(s[at].tolist(), e[at].tolist())])
+                self._learn(u, [raw[a : a + b] for a, b in zip(s[new[first]].tolist(), n[new[first]].tolist())])
                 k[new] = self._find(h[new])
-            n = self.count[k].astype(np.int64)
-            ends = np.cumsum(n)
-            ids = self.flat[np.repeat(self.start[k] - (ends - n), n) + np.arange(ends[-1])]
+            many, used = self.many, self.used
+            if (odd := np.flatnonzero(~self._same(d, s, n, k))).size:  # long ones, whole texts, and other pieces of the same hash
+                k[odd] = self._append([raw[a : a + b] for a, b in zip(s[odd].tolist(), n[odd].tolist())])
+            c = self.count[k].astype(np.int64)
+            ends = np.cumsum(c)
+            ids = self.flat[np.repeat(self.start[k] - (ends - c), c) + np.arange(ends[-1])]
+            self.many, self.used = many, used
             yield i, j, ids, np.concatenate([[0], ends])[np.searchsorted(s, o)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -185,11 +240,11 @@ class Encoder:
                 yield ids[a:b]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, ordinary: bool = False) -> Encoder:
     """One for each worker process and vocabulary."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    if (path, ordinary) not in _loaded:
+        _loaded[path, ordinary] = Encoder(path, ordinary)
+    return _loaded[path, ordinary]
 
 
 def fixed_lists(values: np.ndarray, length: int, kind: pa.DataType) -> pa.FixedSizeListArray:
@@ -216,12 +271,18 @@ class _Shard:
         self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.sink = self.fs.open_output_stream(self.tmp)
         self.file = pa.ipc.new_file(self.sink, self.schema)
+        self.index_schema = pa.schema([(k, pa.int64()) for k in ("doc_id", "start", "n_tokens")])
+        self.index_sink = self.fs.open_output_stream(f"{self.tmp}.index")
+        self.index = pa.ipc.new_file(self.index_sink, self.index_schema)
         self.wait: list[np.ndarray] = []
-        self.n = self.total = 0
-        self.docs: list[tuple[int | None, int, int]] = []
+        self.n = self.total = self.n_docs = 0
+        self.docs: list[tuple[int | None, int, int]] = []  # not yet in the index file
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         self.docs.append((doc_id, self.total, len(ids)))
+        self.n_docs += 1
+        if len(self.docs) == 10_000:
+            self._list()
         self.wait.append(ids)
         self.n += len(ids)
         self.total += len(ids)
@@ -242,16 +303,22 @@ class _Shard:
                 self.file.write_batch(pa.record_batch([fixed_lists(full[a:b], self.length, self.kind), fixed_lists(mask[a:b], self.length, pa.bool_())], schema=self.schema))
         self.wait, self.n = ([rest] if len(rest) else []), len(rest)
 
+    def _list(self) -> None:
+        self.index.write_batch(pa.record_batch([pa.array([d[k] for d in self.docs], pa.int64()) for k in range(3)], schema=self.index_schema))
+        self.docs = []
+
     def close(self) -> tuple[int, int]:
         self._flush(True)
-        self.file.close()
-        self.sink.close()
-        index = pa.record_batch([pa.array([d[k] for d in self.docs], pa.int64()) for k in range(3)], names=["doc_id", "start", "n_tokens"])
-        with self.fs.open_output_stream(f"{self.tmp}.index") as f, pa.ipc.new_file(f, index.schema) as w:
-            w.write_batch(index)
+        self._list()
+        for f in (self.file, self.sink, self.index, self.index_sink):
+            f.close()
         self.fs.move(f"{self.tmp}.index", f"{self.path}.index")
         self.fs.move(self.tmp, self.path)
-        return len(self.docs), self.total
+        return self.n_docs, self.total
+
+
+#: bytes of text for each file
+SHARD = 64 << 20
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, out: str | None = None, length: int = 2048, rows: int = 128, shards: int | None = None) -> DataFrame:
@@ -260,7 +327,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, out: str | None
     out = out or scratch(spark, "tokens")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    shards = shards or parts(spark)
+    shards = shards or max(parts(spark), text_bytes(docs) // SHARD)
 
     def run(batches):
         from pyspark import TaskContext
@@ -278,8 +345,11 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, out: str | None
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{out}/shard-{shard:06d}.arrow"], "n_docs": [n], "n_tokens": [total]})
 
     small_batches(spark)
-    placed = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last())
-    found = placed.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long")
+    # rows with equal doc_id, a null one included, are dealt by their texts, and equal rows by their place, so no file grows with one key
+    rows_ = docs.select("doc_id", "text").withColumn("hash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_last(), "hash", F.col("text"), "place"]
+    placed = rows_.repartitionByRange(shards, order[0], "hash", "place").sortWithinPartitions(*order)
+    found = placed.select("doc_id", "text").mapInArrow(run, "shard long, path string, n_docs long, n_tokens long")
     found = written(found.repartition(1 + shards // 256), "token-manifest")  # few rows: few files
     base = F.coalesce(F.sum("n_tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return written(found.withColumn("base", base), "token-manifest")
