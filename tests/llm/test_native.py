@@ -154,26 +154,39 @@ def test_secrets_odd(spark, odd, none):
 # --- fingerprints ---
 
 
-def lanes(text):
-    """The same vector from its definition, with Spark's xxhash64 for single values."""
+def pieces(text):
+    """Runs of at most 80 characters between line ends and stops, with the stops that follow."""
     import re
 
+    return [q for q in (p.strip(" ") for p in re.findall(r"[^\n.!?]{1,80}[.!?]*|[.!?]+", text)) if q]
+
+
+def lanes(text):
+    """The same vector from its definition, with Spark's xxhash64 for single values."""
     import xxhash
 
-    out = [0] * (fingerprints.SKETCH + fingerprints.WIDE)
-    for p in (q.strip(" ") for q in re.split(r"\n|(?<=[.!?])[ \t]+", text)):
-        if p:
-            h = xxhash.xxh64_intdigest(p.encode(), 42)
-            out[h & 63] += 1 if not h & 64 else -1
-            for k in range(fingerprints.WIDE):
-                seed = h
-                out[64 + k] += xxhash.xxh64_intdigest(k.to_bytes(4, "little"), seed) & fingerprints.MASK
+    out = [0] * (fingerprints.LANES + fingerprints.WIDE)
+    for p in pieces(text):
+        h = xxhash.xxh64_intdigest(p.encode(), 42)
+        out[h & 63] += 1 << 15 * (h >> 6 & 3)
+        for k in range(fingerprints.WIDE):
+            out[64 + k] += xxhash.xxh64_intdigest(k.to_bytes(4, "little"), h) & fingerprints.MASK
     return [x & fingerprints.MASK for x in out]
 
 
+def share(t, u):
+    """Paragraphs in common, as the sketch estimates it."""
+    from collections import Counter
+
+    a, b = Counter(pieces(t)), Counter(pieces(u))
+    most = max(sum(x * x for x in a.values()), sum(x * x for x in b.values()))
+    return 1.0 if a == b else sum(a[p] * b[p] for p in a) / most if most else 0.0
+
+
 def test_op8(spark, sf_dir, docs):
     rows = {r.doc_id: r for r in queries.op8_fingerprints(spark, sf_dir).collect()}
     assert len(rows) == len(docs)
+    off = []
     for k, (i, t) in enumerate(docs):
         other = docs[(k + 1) % len(docs)][1]
         half = len(t) // 2
@@ -181,12 +194,34 @@ def test_op8(spark, sf_dir, docs):
         r = rows[i]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        want = lanes(t)
-        assert r.fingerprint == "".join(f"{x & 0xFFFF:04X}" if j < 64 else f"{x:016X}" for j, x in enumerate(want))
+        assert r.fingerprint == "".join(f"{x:016X}" for x in lanes(t)) and r.edited_fingerprint == "".join(f"{x:016X}" for x in lanes(edited))
+        off += [abs(r.near_edited - share(t, edited)), abs(r.near_next - share(t, other))]
         if edited == t:
             assert r.near_edited == 1
-    big = [rows[i] for i, t in docs if t.count("\n") > 8]
-    assert 0.35 < np.mean([r.near_edited for r in big]) < 0.75 and np.mean([r.near_next for r in big]) < 0.2
+    one = fingerprints.SKETCH**-0.5
+    assert np.mean(off) < 0.8 * one and np.quantile(off, 0.99) < 3 * one
+
+
+def test_one_long_line(spark):
+    """A text without line ends or stops is cut into pieces, too: half of it unchanged is seen."""
+    words = [f"w{x}" for x in np.random.default_rng(2).integers(0, 10**6, 800)]
+    df = spark.createDataFrame([(1, " ".join(words[:400])), (2, " ".join(words[400:]))], "doc_id long, text string")
+    for r in fingerprints.compare(df).collect():
+        assert 0.35 < r.near_edited < 0.65 and r.near_next < 0.1
+
+
+def test_hot_ids(spark):
+    """A third of rows null, a third of one doc_id, many of one text: they are spread, and each row's next is the next."""
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"t{i % 90}" if i % 4 else "same") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keyed = df.withColumn("hash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    sizes = [r["count"] for r in keyed.groupBy(fingerprints.buckets(keyed.select("doc_id", "hash", "place"), rows=50)).count().collect()]
+    assert sum(sizes) == 1200 and max(sizes) <= 200
+    got = fingerprints.with_next(df, ["text"], rows=50).collect()
+    h = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, h[r[1]]))
+    want = sorted((str(a[0]), a[1], b[1]) for a, b in zip(order, [*order[1:], order[0]]))
+    assert sorted((str(r.doc_id), r.text, r.next.text) for r in got) == want
 
 
 def test_homomorphic(spark):
@@ -210,5 +245,7 @@ def test_fingerprints_odd(spark, odd, none):
     assert len(got) == odd.count() and fingerprints.compare(none).collect() == []
     by = {r.doc_id: r for r in got}
     assert by[1].fp == by[2].fp and by[3].fp == by[4].fp and by[3].n_chars == 0 and by[3].near_edited == 1
+    ends = spark.createDataFrame([(2**63 - 1, "last"), (-(2**63), "first"), (0, "mid"), (None, "null")], "doc_id long, text string")
+    assert {r.doc_id: r.next.text for r in fingerprints.with_next(ends, ["text"], rows=1).collect()} == {-(2**63): "mid", 0: "last", 2**63 - 1: "null", None: "first"}
     one = spark.createDataFrame([(5, "a. b\nc")], "doc_id long, text string")
     assert fingerprints.compare(one).first().near_next == 1

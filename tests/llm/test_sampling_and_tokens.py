@@ -211,6 +211,17 @@ def test_best_fit(score):
         assert len(left) == bins.max() + 1
 
 
+def test_document_capacity_binds(spark):
+    """Very short documents: sequences are closed by their number; a hot row is dealt over the groups."""
+    df = spark.createDataFrame([(i, "a b") for i in range(300)] + [(7, "same")] * 300, "doc_id long, text string")
+    got = packing.pack(packing.pieces(df, tokens.vocabulary_path(), 0), 600, ("doc_id", "piece", "start"), group=100).collect()
+    seq = defaultdict(list)
+    for r in got:
+        seq[r.sequence_id].append(r.doc_id)
+    assert len(got) == 600 and max(map(len, seq.values())) == 64
+    assert len({s >> 32 for s, d in seq.items() if 7 in d}) == 6
+
+
 def test_pack_odd(spark, odd, none):
     got = packing.pack(packing.pieces(odd, tokens.vocabulary_path(), 0, 128), 11, ("doc_id", "piece", "start"), 128).collect()
     assert len({(r.sequence_id, r.offset) for r in got}) == len(got)

@@ -5,8 +5,9 @@ longest first; among the sequences whose residual capacities all hold it, the on
 smallest weighted norm of what would be left wins (``norm``), or the one with the largest
 weighted dot product of piece and residual (``dot``).
 
-Pieces are dealt by a hash into groups of about `group` pieces, packed each by one task on
-their lengths alone; a group leaves one or two sequences part full, whatever the input's size.
+Pieces are dealt by a hash of what they are and of their place into groups of about `group`
+pieces, so equal rows spread, too; each is packed by one task on lengths alone and leaves one
+or two sequences part full, whatever the input's size.
 
 Defined results: a null text is empty and, like an empty one, one piece of the end id; rows
 with equal doc_id are packed each on its own; a piece longer than the capacity is an error; an
@@ -56,6 +57,12 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 2048)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
+def about(docs: DataFrame, capacity: int = 2048) -> int:
+    """About how many pieces docs have: one each, and one more for each capacity of four-byte tokens."""
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    return n + (size or 0) // (4 * capacity)
+
+
 def best_fit(length: np.ndarray, capacity: int, most_docs: int, most_cost: int, score: str = "norm", weights=(1.0, 0.01, 0.01)) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and place of each piece; pieces are taken in the given order."""
     n = len(length)
@@ -108,7 +115,7 @@ def best_fit(length: np.ndarray, capacity: int, most_docs: int, most_cost: int,
     return bin_of, at
 
 
-def pack(items: DataFrame, n_items: int, carry: tuple[str, ...], capacity: int = 2048, most_docs: int = 2048, most_cost: int | None = None, score: str = "norm", group: int = 16_000) -> DataFrame:
+def pack(items: DataFrame, n_items: int, carry: tuple[str, ...], capacity: int = 2048, most_docs: int = 64, most_cost: int | None = None, score: str = "norm", group: int = 16_000) -> DataFrame:
     """The columns `carry`, length, sequence_id and offset of every item; n_items: about how many there are."""
     most_cost = most_cost or capacity * capacity
     groups = max(1, round(n_items / group))
@@ -120,5 +127,5 @@ def pack(items: DataFrame, n_items: int, carry: tuple[str, ...], capacity: int =
         bins, at = best_fit(pdf["length"].to_numpy(np.int64), capacity, most_docs, most_cost, score)
         return pdf.drop(columns="__group").assign(sequence_id=(int(key[0]) << 32) + bins, offset=at)
 
-    hashed = F.pmod(F.xxhash64(*carry), F.lit(groups))
+    hashed = F.pmod(F.xxhash64(*carry, F.monotonically_increasing_id()), F.lit(groups))
     return items.select(*carry, "length", hashed.alias("__group")).groupBy("__group").applyInPandas(run, schema)

@@ -30,7 +30,7 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector best-fit packing of all documents: see llm.packing."""
     docs = documents(spark, sf_dir)
     got = packing.pieces(docs, tokens.vocabulary_path(), 0).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(got, docs.count(), ("doc_id", "piece", "start", "ids_crc32"))
+    return packing.pack(got, packing.about(docs), ("doc_id", "piece", "start", "ids_crc32"))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
