@@ -60,6 +60,41 @@ def test_licenses_in_noise(spark):
     assert all(i % 3 for i, _ in got)
 
 
+def test_recall_at_the_threshold(spark):
+    """Notices of which a fifth of the shingles is gone, in noise, from a table of templates: all are found."""
+    rng = np.random.default_rng(6)
+    own = [(f"own {k}", " ".join(f"t{k}x{j}" for j in range(n))) for k, n in enumerate((9, 13, 24, 33, 64, 90, 130))]
+    table = spark.createDataFrame([*licenses.TEMPLATES, *own], "license string, text string")
+    rows, want = [], set()
+    for i in range(400):
+        name, t = (licenses.TEMPLATES + own)[i % (len(licenses.TEMPLATES) + len(own))]
+        tw = licenses.words_of(t)
+        total = len(set(zip(tw, tw[1:])))
+        for at in rng.permutation(len(tw)).tolist():
+            cut = [*tw[:at], "zzz", *tw[at + 1 :]]
+            if len(set(zip(cut, cut[1:])) & set(zip(licenses.words_of(t), licenses.words_of(t)[1:]))) >= licenses.LEAST * total:
+                tw = cut
+        words = [f"q{x}" for x in rng.integers(0, 5000, 200)]
+        at = int(rng.integers(0, 200))
+        rows.append((i, " ".join([*words[:at], *tw, *words[at:]])))
+        want.add((i, name))
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()}
+    assert want <= got, len(want - got)
+
+
+def test_likeness_bound():
+    assert min(licenses.likeness_bound(n) for n in range(5, 3000)) > 0.44
+    assert licenses.scan.__doc__ and (1 - 0.44) ** licenses.BANDS < 9e-9
+
+
+def test_places(spark):
+    t = licenses.TEMPLATES[0][1]
+    gap = " ".join(f"q{i}" for i in range(60))
+    df = spark.createDataFrame([(1, f"{t} {gap} {t} {gap} {t}"), (2, t)], "doc_id long, text string")
+    assert {(r.doc_id, r.places) for r in licenses.scan(df).collect() if r.license == "MIT line"} == {(1, 3), (2, 1)}
+    assert licenses.scan(df, []).collect() == []
+
+
 def test_anchor_filter_is_safe():
     for name, t in licenses.TEMPLATES:
         w = licenses.words_of(t)
