@@ -59,13 +59,36 @@ def test_op6(spark, sf_dir):
     assert all(not r.kept for r in got if r.base_failed)
 
 
-def test_op9(spark, sf_dir):
-    got = queries.op9_toxicity(spark, sf_dir)
-    rows = got.join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("held_out").collect()
-    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got.collect())
-    hit = sum(r.predicted == r.toxic for r in rows)
-    assert hit / len(rows) > 0.93
-    assert all(0 <= r.score <= 1 for r in got.collect())
+def test_op9(spark):
+    """On the larger tables: most held-out toxic documents are caught, clean ones left alone; scores are the noisy-or."""
+    import math
+
+    big = "/root/testdata/sf0.1"
+    got = queries.op9_toxicity(spark, big)
+    rows = got.join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows)
+    toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
+    docs = spark.read.parquet(f"{big}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{big}/labels.parquet"), train=lambda i: queries.remainder(i) != 1)
+    score = {r.doc_id: (r.score, r.held_out) for r in got.collect()}
+    for r in docs.where("doc_id < 1500").collect():  # brute force, word by word
+        miss = 0.0
+        text = r.text or ""
+        stops = [0, *(m.end() for m in re.finditer(r"[.!?\n]+\s*", text))]
+        z = dict.fromkeys(range(len(stops)), 0.0)
+        found: dict[int, set] = {}
+        for w in re.finditer(r"[^\W_]+", text.lower()):
+            s = max(k for k, at in enumerate(stops) if at <= w.start())
+            found.setdefault(s, set()).update(" " + w.group()[:k] for k in toxicity.STEMS if " " + w.group()[:k] in model.weights and len(w.group()) >= k)
+        n = 1 + sum(text.count(c) for c in ".!?\n")
+        for s in found:
+            z[s] = sum(model.weights[k] for k in found[s])
+        some = [s for s in found if found[s]]
+        miss = sum(math.log1p(math.exp(model.bias + z[s])) for s in some) + max(0, n - len(some)) * math.log1p(math.exp(model.bias))
+        assert abs(score[r.doc_id][0] - (1 - math.exp(-miss))) < 1e-9, r.doc_id
+        assert score[r.doc_id][1] == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
 
 
 def test_mil_and_places(spark):
@@ -87,6 +110,32 @@ def test_mil_and_places(spark):
         assert len(bad) == r.doc_id % 2 and all("vile" in b or "nasties" in b for b in bad)
 
 
+def test_op9_small(spark, sf_dir):
+    got = queries.op9_toxicity(spark, sf_dir)
+    rows = got.join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got.collect())
+    hit = sum(r.predicted == r.toxic for r in rows)
+    assert hit / len(rows) > 0.93
+    assert all(0 <= r.score <= 1 for r in got.collect())
+
+
+def test_places_of_letters_that_grow(spark):
+    """Letters whose small form is longer don't move the places."""
+    model = toxicity.Model(-5.0, {" vile": 9.0})
+    text = "\u0130\u0130\u0130 first. so vile here. last"
+    r = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert [text[o.start : o.end].strip() for o in r.offending] == ["so vile here."]
+
+
+def test_op9_null_id(spark, tmp_path):
+    """A null doc_id is scored, and isn't held out."""
+    rows = [(None, "you vile"), (1, "calm"), (2, "you vile"), (3, "calm"), (4, None)] + [(10 + i, "so vile a day" if i % 2 else "a calm day") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(10 + i, i % 2) for i in range(40)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op9_toxicity(spark, str(tmp_path)).collect()}
+    assert got[None].held_out is False and got[None].predicted == 1 and got[4].predicted == 0 and len(got) == len(rows)
+
+
 def test_odd(spark, odd, none):
     model = toxicity.Model(-5.0, {" one": 9.0})
     got = {r.doc_id: r for r in toxicity.score(odd, model).collect()}

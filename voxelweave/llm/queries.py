@@ -71,11 +71,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Noisy-or of sentence scores, learned from document labels outside the held-out fold: see llm.toxicity."""
+    """Noisy-or of sentence scores, learned from document labels outside the held-out fold: see llm.toxicity.  A null doc_id is in no fold."""
     docs = documents(spark, sf_dir)
     model = toxicity.train(docs, documents(spark, sf_dir, "labels"), train=lambda i: remainder(i) != 1)
     got = toxicity.score(docs, model)
-    return got.select("doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+    return got.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,15 @@ documents carry labels; the weights are fitted through the noisy-or, and the sam
 say which sentences are to blame.
 
 Stems are the first 4, 5, 6 and 8 characters of lower-cased words (`STEMS`).  Which stems can
-matter is counted over the training sample on the executors; the driver fits their weights.
+matter is counted over the training sample on the executors: those in three toxic texts at least
+(`seen`) that are surely commoner in toxic texts, at most `stems` of them, the best first.  The
+driver fits their weights, starting from and drawn to what each stem says beyond its shorter
+ones (so a word's weights add up to its own log odds), with both classes counting the same.
 
 Defined results: null and empty texts have no sentence with a stem and get the score of one
 empty sentence; rows with equal doc_id are scored each on its own; extra columns are ignored;
-without a usable label (an empty table) every score is 0.
+without a usable label (an empty table) every score is 0.  Places of sentences are code points
+of the text as it is.
 """
 
 from __future__ import annotations
@@ -40,8 +44,14 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
 
 
+def _lower(text: str) -> str:
+    """Lower-cased, each letter at its place: one whose small form has another length stays."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def _plain(text: str) -> str:
-    return " " + EDGE.sub(" ", text.lower())
+    return " " + EDGE.sub(" ", _lower(text))
 
 
 def _stems(text: str) -> set[str]:
@@ -56,8 +66,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, train) -> DataF
     return docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 3000, stems: int = 4000, train=lambda i: F.lit(True)) -> Model:
-    """Fits on at most `most` labelled documents of each class and the `stems` best stems.
+def train(docs: DataFrame, labels: DataFrame, most: int = 3000, stems: int = 4000, seen: int = 3, train=lambda i: F.lit(True)) -> Model:
+    """Fits on at most `most` labelled documents of each class and the `stems` best stems that `seen` toxic texts have.
 
     `train` says which doc_id may be learned from.
     """
@@ -81,7 +91,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, stems: int = 400
     ratio = ((F.col("p") + 0.5) / (n1 + 1)) / ((F.col("q") + 0.5) / (n0 + 1))
     # surely (1.64 standard errors) twice as common in toxic texts
     sure = F.log(ratio) - 1.64 * F.sqrt(1.0 / F.greatest(F.col("p"), F.lit(1)) + 1.0 / (F.col("q") + 0.5)) >= F.log(F.lit(2.0))
-    best = stats.where((F.col("stem") != "") & (F.col("p") >= 3) & sure).withColumn("r", ratio).orderBy(F.desc("r"), "stem").limit(stems).collect()
+    best = stats.where((F.col("stem") != "") & (F.col("p") >= seen) & sure).withColumn("r", ratio).orderBy(F.desc("r"), "stem").limit(stems).collect()
     names = [r.stem for r in best]
     if not names:
         return Model()
@@ -96,11 +106,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, stems: int = 400
             yield pd.DataFrame(out, columns=["y", "n", "found"])
 
     bag = rows.select("text", "toxic").mapInPandas(bags, "y int, n long, found array<string>").collect()
-    return fit([r.y for r in bag], [r.n for r in bag], [r.found for r in bag], names)
+    odds = {r.stem: float(np.log(r.r)) for r in best}
+    beyond = [odds[k] - next((odds[k[:j]] for j in range(len(k) - 1, 0, -1) if k[:j] in odds), 0.0) for k in names]
+    return fit([r.y for r in bag], [r.n for r in bag], [r.found for r in bag], names, beyond)
 
 
-def fit(y: list[int], n: list[int], found: list[list[str]], names: list[str], rounds: int = 1500, ridge: float = 2e-4) -> Model:
-    """Gradient descent (Adam) on the noisy-or's log loss; found: 'sentence:stem number'."""
+def fit(y: list[int], n: list[int], found: list[list[str]], names: list[str], prior: list[float], bias: float = -6.0, rounds: int = 600, ridge: float = 0.3) -> Model:
+    """Gradient descent (Adam) on the noisy-or's log loss, both classes of equal weight; found: 'sentence:stem number'.
+
+    ridge draws the weights to `prior`, and the bias to `bias`, as strongly as that part of a document.
+    """
     y = np.array(y, float)
     bag, cell, col = [], [], []
     for i, f in enumerate(found):
@@ -114,18 +129,19 @@ def fit(y: list[int], n: list[int], found: list[list[str]], names: list[str], ro
             col.append(int(k))
     bag, cell, col = np.array(bag, int), np.array(cell, int), np.array(col, int)
     plain = np.array(n, float) - np.bincount(bag, minlength=len(y))  # sentences without a stem
-    w, m, v = np.zeros(len(names) + 1), 0.0, 0.0
-    w[-1] = -4.0
+    weight = np.where(y > 0, max(1.0, (y == 0).sum() / max(1.0, y.sum())), 1.0)
+    weight /= weight.sum()
+    start = np.append(np.array(prior, float), bias)
+    w, m, v = start.copy(), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = w[-1] + np.bincount(cell, w[col], minlength=len(bag))
         safe = np.bincount(bag, np.logaddexp(0, z), minlength=len(y)) + plain * np.logaddexp(0, w[-1])  # -log P(clean)
         p = -np.expm1(-safe)
-        g = np.where(y > 0, -(1 - p) / np.maximum(p, 1e-9), 1.0)  # d loss / d safe
-        s = 1 / (1 + np.exp(-z))
-        grad = np.zeros_like(w)
-        gs = g[bag] * s
-        grad[:-1] = np.bincount(col, gs[cell], minlength=len(names)) / len(y) + ridge * w[:-1] / 10
-        grad[-1] = (gs.sum() + (g * plain).sum() / (1 + np.exp(-w[-1]))) / len(y)
+        g = np.where(y > 0, -(1 - p) / np.maximum(p, 1e-9), 1.0) * weight  # d loss / d safe
+        gs = g[bag] / (1 + np.exp(-z))
+        grad = ridge * (w - start) / len(y)
+        grad[:-1] += np.bincount(col, gs[cell], minlength=len(names))
+        grad[-1] += gs.sum() + (g * plain).sum() / (1 + np.exp(-w[-1]))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return Model(float(w[-1]), {k: float(x) for k, x in zip(names, w) if abs(x) > 1e-3})
@@ -146,7 +162,7 @@ class Finder:
 
     def sentences(self, text: str) -> tuple[int, dict[int, set[int]]]:
         """The number of sentences, and the stems (by number) of each sentence that has any."""
-        low = text.lower()
+        low = _lower(text)
         flat = " " + EDGE_ONE.sub(" ", low)
         hits = list(self.auto.iter(flat)) if self.any else []
         if not hits:
@@ -180,7 +196,7 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
                     safe += np.logaddexp(0, z)
                     bad.append((s, 1 / (1 + np.exp(-z))))
                 if bad := [(s, p) for s, p in sorted(bad) if p >= least]:
-                    cuts = [0, *(m.end() for m in SENTENCE.finditer(t.lower())), len(t)]
+                    cuts = [0, *(m.end() for m in SENTENCE.finditer(_lower(t))), len(t)]
                     bad = [{"start": cuts[s], "end": cuts[s + 1], "score": float(p)} for s, p in bad]
                 scores.append(float(-np.expm1(-safe)))
                 spans.append(bad)
