@@ -77,10 +77,10 @@ def scatter_gather(df: DataFrame, shards: int, send: Callable, answer: Callable,
             for name, meta, blocks in send(b):
                 place += 1  # equal chunks of repeated rows are told apart by their place
                 name = int(mix(np.array([(name + (task << 32) + place) & ((1 << 64) - 1)], np.uint64)).astype(np.int64)[0])
-                first = min(blocks, default=0)
                 if not blocks:
-                    blocks = {first: None}
-                rows = [(name, s, pack(v), pack(meta) if s == first else None) for s, v in blocks.items()]
+                    blocks = {name % shards: None}
+                with_meta = list(blocks)[name % len(blocks)]  # any shard, not always the same one
+                rows = [(name, s, pack(v), pack(meta) if s == with_meta else None) for s, v in blocks.items()]
                 for k in range(0, len(rows), 256):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 256]), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "shard", "block", "meta"])
 

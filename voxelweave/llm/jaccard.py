@@ -271,14 +271,15 @@ def prefixes(reps: DataFrame, share: int, shards: int) -> DataFrame:
             i = j
 
     def answer(blocks):
-        return [(k, c) for (k, _), c in zip(blocks, X.totals(blocks))]
+        return [c.astype(np.uint32) for c in X.totals(blocks)]
 
     def gather(meta, replies):
         name, of, flat = meta
-        got = [r for r in replies.values() if r is not None]
-        keys, count = np.concatenate([r[0] for r in got]), np.concatenate([r[1] for r in got])
-        order = np.argsort(keys)
-        c = count[order][np.searchsorted(keys[order], flat)]
+        keys = np.unique(flat)
+        count = np.zeros(len(keys), np.int64)
+        for s, (_, at) in X.split(keys, shards, np.arange(len(keys))).items():  # the order in which they were sent
+            count[at] = replies[s]
+        c = count[np.searchsorted(keys, flat)]
         order = np.lexsort((flat, c, of))
         of, flat, c = of[order], flat[order], c[order]
         size = np.bincount(of, minlength=len(name))
@@ -366,7 +367,7 @@ def join(docs: DataFrame, n: int = 5, share: int = 80, block: int = BLOCK) -> Da
     # one row of each class goes on, so copies cost no more than a line
     first = found.where("stays").groupBy("class").agg(F.min(F.struct("dk", F.col("row").bitwiseAND(F.lit(1)).alias("nul"), "row")).alias("m")).select("class", "m.dk", "m.row")
     first = written(first, "first").repartition(shards, "dk", "row")  # else the join would deal texts by class alone, all copies to one task
-    reps = shingles_of(texts.join(first, ["dk", "row"]), n).dropDuplicates(["class"]).withColumn("nul", F.col("row").bitwiseAND(F.lit(1))).drop("row")
+    reps = shingles_of(texts.join(first.hint("merge"), ["dk", "row"]), n).dropDuplicates(["class"]).withColumn("nul", F.col("row").bitwiseAND(F.lit(1))).drop("row")
     reps = written(reps, "classes")
     prefix = written(prefixes(reps, share, shards), "prefixes")
     least = prefix.groupBy("shingle").agg(F.min("class").alias("b"), F.count("*").alias("k")).where("k > 1")
