@@ -59,6 +59,42 @@ def test_pareto_order(spark):
     assert {r.doc_id for r in many if r.taken} == set(best)
 
 
+def test_rank_order_of_unequal(spark):
+    """Unequal sizes and chances: what is taken is Rosen's order until the words are reached, then what halves the gap, in that order."""
+    import hashlib
+    import math
+
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    size = {i: int(rng.integers(1, 60)) for i in range(700)}
+    df = spark.createDataFrame([(i, "w " * n, "s") for i, n in size.items()], "doc_id long, text string, source string")
+    rows = {r.doc_id: r for r in mixing.mix(df, lambda s: s.withColumn("weight", F.lit(1.0)), share=0.3, bucket=40).collect()}
+    weight = {i: math.floor(math.log2(n + 0.5)) + 1 for i, n in size.items()}
+    target = 0.3 * sum(size.values())
+    level = target / sum(size[i] * weight[i] for i in size)
+    assert all(level * w < 1 for w in weight.values())
+    u = {i: (int(hashlib.md5(f"{i}:1".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in size}
+    odds = {i: u[i] / (1 - u[i]) / (level * weight[i] / (1 - level * weight[i])) for i in size}
+    order, taken, got, upto = sorted(size, key=odds.get), set(), 0, 0
+    for i in order:
+        upto += size[i]
+        if upto <= target:
+            taken.add(i)
+            got += size[i]
+    for _ in range(5):
+        gap = target - got
+        free = [i for i in order if i not in taken]
+        nxt = next((i for i in free if size[i] <= gap <= 2 * size[i]), None)
+        if nxt is None:
+            nxt = min((i for i in free if abs(gap - size[i]) < gap), key=lambda i: abs(gap - size[i]), default=None)
+        if nxt is None:
+            break
+        taken.add(nxt)
+        got += size[nxt]
+    assert {i for i, r in rows.items() if r.taken} == taken and abs(got - target) < 6
+
+
 def test_unequal_chances(spark):
     """Documents of double weight are taken about twice as often."""
     rows = [(i, "w " * (4 if i % 2 else 12), "s") for i in range(3000)]

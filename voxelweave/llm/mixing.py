@@ -4,8 +4,10 @@
 every document an expected number of copies, proportional to its weight within its source and
 at most `most`; the whole part is certain, the fraction is an inclusion probability pi.  With
 U uniform, documents are ranked by (U / (1 - U)) / (pi / (1 - pi)) and taken in that order
-until the words of the source's remainder are reached; the last documents are those whose
-sizes come nearest to what is missing.  Documents are taken whole.
+until the words of the source's remainder are reached.  Documents are taken whole, so the last
+one may not fit; then the order goes on, and the next document whose size is at least a half of
+what is missing, and not more, is taken, `rounds` times, so that the gap at least halves each time;
+where a source has no such document left, the one that leaves the least gap ends it.
 
 Every step is an aggregate or a window over bounded buckets: the running sum in rank order is
 taken over sums of rank buckets of about `bucket` documents (at most 100,000 buckets a source) first, so a source with a third of
@@ -84,7 +86,7 @@ def length_weight(size: Column) -> Column:
     return F.floor(F.log2(size.cast("double") + 0.5)).cast("double") + 1.0
 
 
-def mix(docs: DataFrame, weights, share: float = 1.0, most: int = 3, weight=length_weight, seed: int = 1, bucket: int = 5_000, rounds: int = 3) -> DataFrame:
+def mix(docs: DataFrame, weights, share: float = 1.0, most: int = 3, weight=length_weight, seed: int = 1, bucket: int = 5_000, rounds: int = 5) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (whole) and taken (words) of every row.
 
     weights: adds `weight` to a table of sources (source, source_size, n).  weight: column of a
@@ -118,18 +120,20 @@ def mix(docs: DataFrame, weights, share: float = 1.0, most: int = 3, weight=leng
         .select("r.*", (F.col("b.before") + F.col("r.inside")).alias("upto"))
     )
     placed = written(placed.withColumn("extra", (F.col("upto") <= F.col("budget")).cast("int")), "mix-order")
-    gap = placed.groupBy("source").agg(F.first("budget").alias("budget"), F.sum(F.when(F.col("extra") == 1, F.col("size")).otherwise(0)).alias("got"))
+    gap = written(placed.groupBy("source").agg(F.first("budget").alias("budget"), F.sum(F.when(F.col("extra") == 1, F.col("size")).otherwise(0)).alias("got")), "mix-gap")
     picks = None
     for _ in range(rounds):
-        # of the rest, the one document that leaves the least gap; none if every one makes it wider
+        # of the rest, the first in rank that halves the gap; tables of a row a source or a pick, which Spark broadcasts if they are small
         free = placed.where("extra = 0")
         if picks is not None:
-            free = free.alias("f").join(F.broadcast(picks).alias("p"), F.col("f.source").eqNullSafe(F.col("p.source")) & (F.col("f.bucket") == F.col("p.bucket")) & (F.col("f.at") == F.col("p.at")), "left_anti")
-        off = F.abs(F.col("g.budget") - F.col("g.got") - F.col("f.size"))
+            free = free.alias("f").join(picks.alias("p"), F.col("f.source").eqNullSafe(F.col("p.source")) & (F.col("f.bucket") == F.col("p.bucket")) & (F.col("f.at") == F.col("p.at")), "left_anti")
+        left = F.col("g.budget") - F.col("g.got")
+        off = F.abs(left - F.col("f.size"))
+        odd = (F.col("f.size") > left) | (2 * F.col("f.size") < left)
         near = (
-            free.alias("f").join(F.broadcast(gap).alias("g"), F.col("f.source").eqNullSafe(F.col("g.source")))
-            .where(off < F.col("g.budget") - F.col("g.got"))
-            .groupBy(F.col("f.source").alias("source")).agg(F.min(F.struct(off.alias("off"), "f.key", "f.doc_id", "f.size", "f.bucket", "f.at")).alias("m"))
+            free.alias("f").join(gap.alias("g"), F.col("f.source").eqNullSafe(F.col("g.source")))
+            .where(off < left)
+            .groupBy(F.col("f.source").alias("source")).agg(F.min(F.struct(odd.alias("odd"), F.when(odd, off).alias("off"), "f.key", "f.doc_id", "f.size", "f.bucket", "f.at")).alias("m"))
             .select("source", "m.bucket", "m.at", "m.size")
         )
         near = written(near, "mix-near")
@@ -138,7 +142,7 @@ def mix(docs: DataFrame, weights, share: float = 1.0, most: int = 3, weight=leng
         gap = written(gap, "mix-gap")
     extra = placed.where("extra = 1").select("doc_id", "source", "size", "extra")
     if picks is not None:
-        more = placed.alias("f").join(F.broadcast(picks).alias("p"), F.col("f.source").eqNullSafe(F.col("p.source")) & (F.col("f.bucket") == F.col("p.bucket")) & (F.col("f.at") == F.col("p.at")), "left_semi")
+        more = placed.alias("f").join(picks.alias("p"), F.col("f.source").eqNullSafe(F.col("p.source")) & (F.col("f.bucket") == F.col("p.bucket")) & (F.col("f.at") == F.col("p.at")), "left_semi")
         extra = extra.unionByName(more.select("doc_id", "source", "size", F.lit(1).alias("extra")))
     # rows with equal doc_id, source and size are told apart by a number only where there are such rows
     key = ["doc_id", "source", "size"]
