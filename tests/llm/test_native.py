@@ -178,12 +178,75 @@ def test_op5(spark, sf_dir, docs):
         assert hashlib.sha256(text[r.doc_id][r.start : r.end].encode()).hexdigest() == r.secret_sha256
 
 
+def plain_features(cand, left, right, path):
+    """The features again, in plain Python."""
+    import re
+
+    v = re.sub(rf"(?s)^({secrets.HEADER}).*", r"\1", re.sub(secrets.ASSIGNED, "", cand))
+    n = max(1, len(v))
+    share = lambda p: (n - len(re.sub(p, "", v))) / n
+    kinds = v
+    for p, c in (("[a-z]+", "a"), ("[A-Z]+", "A"), ("[0-9]+", "0"), ("[^aA0]+", "-")):
+        kinds = re.sub(p, c, kinds)
+    words = "|".join(sorted(secrets.DICTIONARY.split(), key=lambda w: (-len(w), w)))
+    before, around, flag = left.lower(), (left + " " + right).lower(), lambda p, t: float(bool(re.search(p, t)))
+    run = re.search(r"(?<![A-Za-z0-9])[A-Za-z0-9]+$", v)
+    return [
+        float(len(v)), len(kinds) / n, float(len(set(v))), share("[0-9]"), share("[A-Z]"), share("[a-z]"), share("[0-9a-f]"),
+        1.0 - len(re.sub(words, "", v.lower())) / n, flag(secrets.ASSIGNED, cand), float(v.startswith("-----BEGIN")),
+        flag(r"^(?:AKIA|ASIA|gh[pousr]_|xox[abpr]-|sk_live_|sk-|AIza|glpat-|eyJ)", v), share("[_/+.-]"),
+        flag(r"test|spec|fixture|example|sample|mock|docs?/", path.lower()), flag(r"\.(?:py|js|ts|java|go|rb|env|ya?ml|json|ini|cfg|conf|properties|tf)$", path.lower()),
+        flag(r"(?:pass|secret|token|key|auth|credential|bearer|login)\W{0,4}\w{0,12}\W{0,4}$", before),
+        flag(r"(?:sha1|sha256|sha|md5|commit|hash|checksum|digest|uuid|guid|revision|rev|etag|integrity|id|href|src|url|https?)\W{0,4}$", before),
+        flag(r"example|sample|placeholder|dummy|fake|changeme|redacted|your[_ -]", around), float(len(run.group()) if run else 0),
+    ]
+
+
+def test_op5_brute_force(spark, sf_dir, docs):
+    """Every candidate of every whole text, its features and the forest's vote, without Spark."""
+    import re
+
+    forest = secrets.train(spark)
+    path = {r.doc_id: r.source or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source").collect()}
+    rx, want = re.compile(secrets.CANDIDATE.replace(r"\z", r"\Z")), set()
+    for i, t in docs:
+        at = [m.span() for m in rx.finditer(t)]
+        for k, (a, b) in enumerate(at):
+            left, right = t[at[k - 1][1] if k else 0 : a], t[b : at[k + 1][0] if k + 1 < len(at) else len(t)]
+            p = secrets.predict(forest, np.array(plain_features(t[a:b], left[-secrets.AROUND :], right[: secrets.AROUND], path[i])))
+            value = re.sub(secrets.ASSIGNED, "", t[a:b])
+            want.add((i, b - len(value), b, hashlib.sha256(value.encode()).hexdigest(), round(p, 9), p >= 0.5))
+    got = {(r.doc_id, r.start, r.end, r.secret_sha256, round(r.score, 9), r.is_secret) for r in queries.op5_secrets(spark, sf_dir).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_unseen_formats(spark):
+    """Precision and recall on formats that the forest wasn't trained on."""
+    h = lambda k: hashlib.sha256(str(k).encode()).hexdigest()
+    b64 = lambda k: __import__("base64").b64encode(bytes.fromhex(h(k))).decode().rstrip("=")
+    real = [
+        lambda k: f'const apiKey = "{b64(k)}";', lambda k: f"export SLACK_TOKEN=xoxb-{h(k)[:12]}-{b64(k)[:24]}", lambda k: f"client_secret: {b64(k)[:32]}",
+        lambda k: f"glpat-{b64(k)[:20].replace('/', 'x').replace('+', 'y')} is the deploy token", lambda k: f"DB_PASSWORD = '{b64(k)[:18]}'", lambda k: f"Authorization: Bearer {b64(k)}{b64(k + 1)}",
+        lambda k: f'access_key="{h(k)[:20].upper()}"', lambda k: f"AIza{b64(k)[:35]} as the key",
+    ]
+    look = [
+        lambda k: f"git checkout {h(k)[:40]}", lambda k: f"etag: {h(k)[:32]}", lambda k: f"see https://example.org/path/{k}/item_list_view_{k % 97}", lambda k: f"sha512-integrity: {h(k)}{h(k + 1)}",
+        lambda k: f"password=<your_password_{k % 10}>", lambda k: f"build_number_{k:012d}", lambda k: f"guid {h(k)[:8]}-{h(k)[8:12]}-{h(k)[12:16]}-{h(k)[16:20]}-{h(k)[20:32]}", lambda k: f"token = get_token_from_cache_{k % 10}",
+    ]
+    rows = [(k, f(k), "src1") for k, f in enumerate(f for _ in range(25) for f in real + look)]
+    marked = {r.doc_id for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), secrets.train(spark)).collect() if r.is_secret}
+    planted = {k for k, _, _ in rows if k % 16 < 8}
+    hit = len(marked & planted)
+    print("unseen formats: recall", hit / len(planted), "precision", hit / max(1, len(marked)), sorted({k % 16 for k in planted - marked}), sorted({k % 16 for k in marked - planted}))
+    assert hit >= 0.9 * len(planted) and hit >= 0.9 * len(marked)
+
+
 def test_secrets_odd(spark, odd, none):
     forest = secrets.train(spark)
     assert secrets.redact(odd, forest).exceptAll(odd).count() == 0 and secrets.redact(odd, forest).count() == odd.count()
     assert secrets.scan(none, forest).collect() == [] and secrets.redact(none, forest).collect() == []
     marks = spark.createDataFrame([(None, f"\x01 password={KEY[:20]} \x01 ", None)], "doc_id long, text string, source string")
-    assert secrets.redact(marks, forest).first().text == "  password=[SECRET]   "
+    assert secrets.redact(marks, forest).first().text == "\x01 password=[SECRET] \x01 "
 
 
 # --- fingerprints ---

@@ -9,9 +9,9 @@ removes false positives.  It is fitted on labelled findings (`findings`, made by
 known key formats and their usual look-alikes, or a table of one's own with the same columns)
 on the driver, and applied as one Spark expression within each row: no shuffle, no Python.
 
-Defined results: null and empty texts have no candidates and stay as they are; the control
-character that marks candidates counts as a blank where a text holds it; repeated rows are
-scanned each on its own; extra columns stay; an empty table gives no rows.
+Defined results: null and empty texts have no candidates and stay as they are, and so does every
+character outside of secrets; repeated rows are scanned each on its own; extra columns stay; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MARK = "\x01"
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key"
 HEADER = "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
 #: between lines, also where a string literal holds them
@@ -180,6 +179,8 @@ def findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (F.substring(F.regexp_replace(F.concat(a, b), "[a-f]", ""), 1, 18), L("number "), L(" "), 0),
         (F.concat(L("token: "), word(1), L("_"), word(2)), L("a "), L(" "), 0),
         (F.concat(L("2024-01-"), F.substring(F.regexp_replace(a, "[a-f]", ""), 1, 2), L("-12-30-45-6789")), L("on "), L(" "), 0),
+        (F.substring(F.concat(a, b), L(1), F.element_at(F.array(*map(L, (32, 40, 56, 64, 96, 128))), (F.pmod(F.xxhash64("id", L(7)), L(6)) + 1).cast("int"))), F.concat(word(1), L(" ")), L(" "), 0),
+        (F.substring(F.concat(a, b), L(1), F.element_at(F.array(*map(L, (32, 40, 56, 64, 96, 128))), (F.pmod(F.xxhash64("id", L(8)), L(6)) + 1).cast("int"))), L("digest="), L("\n"), 0),
         (F.concat(L("AKIA"), L("EXAMPLEEXAMPLE"), F.pmod(F.col("id"), L(90)).cast("string")), L("for example "), L(" "), 0),
     ]
     kind = F.pmod(F.col("id"), F.lit(len(kinds)))
@@ -201,10 +202,11 @@ def train(spark: SparkSession, labelled: DataFrame | None = None, most: int = 20
 
 def _with_scored(docs: DataFrame, forest: list[Tree], path: str, free: str) -> DataFrame:
     """Adds `free`: null where a text has no candidate, else (pieces, found); found: (at, start, cand, score), at counts pieces from 0."""
-    text = F.translate(F.col("text"), MARK, " ")
-    marked = F.when(F.col("text").rlike(CANDIDATE), F.regexp_replace(text, CANDIDATE, f"{MARK}$0{MARK}"))
-    p, s = f"{free}_p", f"{free}_s"
-    df = docs.withColumn(p, F.split(marked, MARK))
+    p, s, g = f"{free}_p", f"{free}_s", f"{free}_g"
+    has = F.col("text").rlike(CANDIDATE)
+    df = docs.withColumn(g, F.when(has, F.split("text", CANDIDATE, -1))).withColumn(s, F.when(has, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))))
+    # what lies between candidates, and they: gap, candidate, gap, .. gap
+    df = df.withColumn(p, F.expr(f"concat(flatten(zip_with(slice({g}, 1, size({s})), {s}, (a, b) -> array(a, b))), slice({g}, -1, 1))")).drop(g)
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
     ends = F.expr(f"aggregate({p}, array(0), (a, x) -> concat(a, array(element_at(a, -1) + length(x))))")
     df = df.withColumn(s, ends)
