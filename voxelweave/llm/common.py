@@ -52,10 +52,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage: writes df as a Parquet table in the shared folder and reads it back."""
+def written(df: DataFrame, tag: str, sized: bool = False) -> DataFrame:
+    """Cuts lineage: writes df as a Parquet table in the shared folder and reads it back.
+
+    sized: small rows of many tasks are rebalanced first, so that there are as many files as the bytes need.
+    """
     path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df.hint("rebalance") if sized else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -363,13 +363,13 @@ def join(docs: DataFrame, n: int = 5, share: int = 80, block: int = BLOCK) -> Da
     spark = docs.sparkSession
     shards = max(parts(spark), text_bytes(docs) // SHARD)
     texts = X.keyed(docs)
-    found = written(survivors(texts, n, share, shards), "shared")
+    found = written(survivors(texts, n, share, shards), "shared", sized=True)
     # one row of each class goes on, so copies cost no more than a line
     first = found.where("stays").groupBy("class").agg(F.min(F.struct("dk", F.col("row").bitwiseAND(F.lit(1)).alias("nul"), "row")).alias("m")).select("class", "m.dk", "m.row")
     first = written(first, "first").repartition(shards, "dk", "row")  # else the join would deal texts by class alone, all copies to one task
     reps = shingles_of(texts.join(first.hint("merge"), ["dk", "row"]), n).dropDuplicates(["class"]).withColumn("nul", F.col("row").bitwiseAND(F.lit(1))).drop("row")
     reps = written(reps, "classes")
-    prefix = written(prefixes(reps, share, shards), "prefixes")
+    prefix = written(prefixes(reps, share, shards), "prefixes", sized=True)
     least = prefix.groupBy("shingle").agg(F.min("class").alias("b"), F.count("*").alias("k")).where("k > 1")
     meet = prefix.join(least, "shingle").select(F.col("class").alias("a"), "b").distinct()
     blocks = components(meet).select(F.col("id").alias("class"), F.col("component").alias("block"))
@@ -386,7 +386,7 @@ def join(docs: DataFrame, n: int = 5, share: int = 80, block: int = BLOCK) -> Da
         found_in = found_in.unionByName(roots.select("class", F.col("component").alias("key")).join(least_of, "key"))
     # the least doc_id of a component is that of its classes; a class without links has its own
     own = first.select("class", "dk", F.col("row").bitwiseAND(F.lit(1)).alias("nul"))
-    of = own.join(written(found_in, "links").withColumnRenamed("nul", "cnul"), "class", "left")
+    of = own.join(written(found_in, "links", sized=True).withColumnRenamed("nul", "cnul"), "class", "left")
     of = of.select("class", F.coalesce("key", "class").alias("key"), F.when(F.coalesce("cnul", "nul") == 0, F.coalesce("component", "dk")).alias("component"))
     of = written(of, "components").withColumn("in", F.lit(True))
     out = found.join(of, "class", "left")

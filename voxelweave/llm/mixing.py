@@ -93,7 +93,7 @@ def mix(docs: DataFrame, weights, share: float = 1.0, most: int = 3, weight=leng
     size, or of other columns of docs, with few distinct values; None for equal chances.
     """
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    sized = written(sized.withColumn("w", weight(F.col("size")) if weight else F.lit(1.0)), "sizes")
+    sized = written(sized.withColumn("w", weight(F.col("size")) if weight else F.lit(1.0)), "sizes", sized=True)
     sources = targets(weights(source_sums(sized)), share, most)
     same = F.col("s.source").eqNullSafe(F.col("t.source"))
     classes = sized.where("size > 0").groupBy("source", "w").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
