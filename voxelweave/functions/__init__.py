@@ -106,6 +106,17 @@ def segment_hash(ids, direction=None) -> Column:
     return F.xxhash64(s) if direction is None else F.when(F.size(s) == 1, F.xxhash64(s, col(direction))).otherwise(F.xxhash64(s))
 
 
+def unsigned(i) -> Column:
+    """A 64-bit id as the unsigned number of the same bits."""
+    return F.when(col(i) < 0, col(i).cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(col(i).cast("decimal(20,0)"))
+
+
+def signed(u) -> Column:
+    """An unsigned number as the 64-bit id of the same bits."""
+    u = col(u).cast("decimal(20,0)")
+    return F.when(u >= F.lit("9223372036854775808").cast("decimal(20,0)"), u - F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(u).cast("long")
+
+
 def key_of(ids) -> Column:
     """The same as text, for results that other engines read."""
     return F.array_join(F.transform(F.array_sort(col(ids)), lambda x: x.cast("string")), "-")

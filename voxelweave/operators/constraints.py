@@ -20,30 +20,41 @@ def variables(segments: DataFrame) -> DataFrame:
     return segments.select("key", "type", "isi").withColumn("inside", inside).join(start, ["type", "isi"]).select("key", (F.col("start") + F.col("inside")).cast("long").alias("number"))
 
 
+def _by(segments: DataFrame) -> list[str]:
+    """Segments may be of several programmes, told apart by a column `problem`; so are the rows made of them."""
+    return ["problem"] if "problem" in segments.columns else []
+
+
+def _members(segments: DataFrame) -> DataFrame:
+    side = lambda c, left: segments.select(*_by(segments), "key", F.explode(c).alias("id"), F.lit(left).alias("is_left"))
+    return side("sl", True).unionByName(side("sr", False))
+
+
 def _used(segments: DataFrame) -> DataFrame:
     """id, key: the segments with a slice on their left side, or for slices on no left side those with it on the right."""
-    m = members(segments).select("id", "key", "is_left")
-    has = m.where("is_left").select("id").distinct()
-    return m.where("is_left").unionByName(m.where(~F.col("is_left")).join(has, "id", "left_anti")).select("id", "key")
+    m, by = _members(segments), _by(segments)
+    has = m.where("is_left").select(*by, "id").distinct()
+    return m.where("is_left").unionByName(m.where(~F.col("is_left")).join(has, [*by, "id"], "left_anti")).drop("is_left")
 
 
 def conflict_rows(cliques: DataFrame, segments: DataFrame, forced: bool = False) -> DataFrame:
     """row, key, coef, relation, value: at most one segment over each clique (clique, id, maximal)'s slices; exactly one if forced and the clique is maximal."""
     rel = F.when(F.lit(forced) & F.col("maximal"), "=").otherwise("<=")
-    return cliques.join(_used(segments), "id").select(F.concat(F.lit("clique:"), F.col("clique")).alias("row"), "key", F.lit(1).alias("coef"), rel.alias("relation"), F.lit(1).alias("value")).distinct()
+    return cliques.join(_used(segments), "id").select(*_by(segments), F.concat(F.lit("clique:"), F.col("clique")).alias("row"), "key", F.lit(1).alias("coef"), rel.alias("relation"), F.lit(1).alias("value")).distinct()
 
 
 def exclusivity_rows(slices: DataFrame, cliques: DataFrame, segments: DataFrame, forced: bool = False) -> DataFrame:
     """The same for slices in no clique."""
     free = slices.select("id").join(cliques.select("id"), "id", "left_anti")
-    return free.join(_used(segments), "id").select(F.concat(F.lit("slice:"), F.col("id")).alias("row"), "key", F.lit(1).alias("coef"), F.lit("=" if forced else "<=").alias("relation"), F.lit(1).alias("value"))
+    return free.join(_used(segments), "id").select(*_by(segments), F.concat(F.lit("slice:"), F.col("id")).alias("row"), "key", F.lit(1).alias("coef"), F.lit("=" if forced else "<=").alias("relation"), F.lit(1).alias("value"))
 
 
 def continuation_rows(segments: DataFrame) -> DataFrame:
     """For slices with segments on both sides: those with it on their left less those with it on their right is 0."""
-    m = members(segments).select("id", "key", F.when(F.col("is_left"), 1).otherwise(-1).alias("coef"))
-    both = m.groupBy("id").agg(F.min("coef").alias("lo"), F.max("coef").alias("hi")).where("lo < hi").select("id")
-    return m.join(both, "id", "left_semi").select(F.concat(F.lit("flow:"), F.col("id")).alias("row"), "key", "coef", F.lit("=").alias("relation"), F.lit(0).alias("value"))
+    by = _by(segments)
+    m = _members(segments).select(*by, "id", "key", F.when(F.col("is_left"), 1).otherwise(-1).alias("coef"))
+    both = m.groupBy(*by, "id").agg(F.min("coef").alias("lo"), F.max("coef").alias("hi")).where("lo < hi").select(*by, "id")
+    return m.join(both, [*by, "id"], "left_semi").select(*by, F.concat(F.lit("flow:"), F.col("id")).alias("row"), "key", "coef", F.lit("=").alias("relation"), F.lit(0).alias("value"))
 
 
 def explanation_rows(segments: DataFrame) -> DataFrame:
@@ -57,15 +68,21 @@ def explicit_rows(user: DataFrame, segments: DataFrame) -> DataFrame:
     return user.join(segments.select("key"), "key", "left_semi")
 
 
+def consistency_rows(user: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Rows (row, key, coef, relation, value) with the numbers (key, number) of their variables in place of the keys; rows with an unknown key are left out whole."""
+    lost = unknown_keys(user, numbers).select("row").distinct()
+    return user.join(lost, "row", "left_anti").join(numbers, "key").select("row", "number", "coef", "relation", "value")
+
+
 def unknown_keys(user: DataFrame, segments: DataFrame) -> DataFrame:
     return user.join(segments.select("key"), "key", "left_anti")
 
 
-def enclosing(inner: DataFrame, outer: DataFrame, least: float = 0.9, radius: float = 1000.0) -> DataFrame:
+def enclosing(inner: DataFrame, outer: DataFrame, shared: DataFrame, least: float = 0.9, radius: float = 1000.0) -> DataFrame:
     """i_key, o_key: continuations of `outer` that hold at least `least` of the pixels of one of `inner`.
 
-    Both: key, isi, cx, cy, sz (of both slices) and the boxes l_x0 .. l_y1, r_x0 .. r_y1.  The
-    squared distance of centres is compared with the radius.
+    Both: key, isi, left, right (slice ids), sz (of both slices), cx, cy.  shared: a_id, b_id, o of slices of one section,
+    each pair both ways, and each slice with itself.  The squared distance of centres is compared with the radius.
     """
     cell = radius**0.5
     g = lambda d: d.withColumn("gx", F.floor(F.col("cx") / cell)).withColumn("gy", F.floor(F.col("cy") / cell))
@@ -73,9 +90,11 @@ def enclosing(inner: DataFrame, outer: DataFrame, least: float = 0.9, radius: fl
     c = lambda k: F.col(k)
     d2 = (c("i.cx") - c("o.cx")) ** 2 + (c("i.cy") - c("o.cy")) ** 2
     j = g(inner).alias("i").join(near.alias("o"), (c("i.isi") == c("o.isi")) & (c("i.gx") == c("o.gx")) & (c("i.gy") == c("o.gy")) & (d2 < radius))
-    side = lambda s, lo, hi: F.greatest(F.least(c(f"i.{s}_{hi}"), c(f"o.{s}_{hi}")) - F.greatest(c(f"i.{s}_{lo}"), c(f"o.{s}_{lo}")), F.lit(0))
-    o = side("l", "x0", "x1") * side("l", "y0", "y1") + side("r", "x0", "x1") * side("r", "y0", "y1")
-    return j.where(o / c("i.sz") >= least).select(c("i.key").alias("i_key"), c("o.key").alias("o_key"))
+    j = j.select(c("i.key").alias("i_key"), c("o.key").alias("o_key"), c("i.sz").alias("sz"), *(c(f"{s}.{k}").alias(f"{s}_{k}") for s in "io" for k in ("left", "right")))
+    for k in ("left", "right"):
+        j = j.join(shared.select(c("a_id").alias(f"i_{k}"), c("b_id").alias(f"o_{k}"), c("o").alias(f"in_{k}")), [f"i_{k}", f"o_{k}"], "left")
+    held = F.coalesce("in_left", F.lit(0)) + F.coalesce("in_right", F.lit(0))
+    return j.where(held.cast("double") / c("sz") >= least).select("i_key", "o_key")
 
 
 def mitochondria_rows(inner: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -18,6 +18,13 @@ def linear(features: DataFrame, weights: list[float], key: str = "key") -> DataF
     return features.select(key, dot("features", w).alias("cost"))
 
 
+def overlap_only(features: DataFrame, names: tuple[str, ...], key: str = "key") -> DataFrame:
+    """The cost without a forest: less the feature named "overlap"; there must be one."""
+    if "overlap" not in names:
+        raise ValueError("no feature 'overlap'")
+    return features.select(key, (-F.col("features")[names.index("overlap")]).alias("cost"))
+
+
 def prior(segments: DataFrame, end: float, continuation: float, branch: float) -> DataFrame:
     """A constant for each type; ends in the first and the last interval that has ends are free."""
     last = segments.where("type = 0").agg(F.max("isi").alias("last"))

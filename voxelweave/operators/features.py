@@ -3,17 +3,17 @@
 0 end size; 1 squared centre distance; 2, 3 set difference and its ratio; 4, 5 the same aligned;
 6 mean size; 7 size difference; 8, 9 overlap and its ratio; 10, 11 aligned overlap and its ratio;
 12, 13 mean and largest distance; 14, 15 the same aligned; 16-25 and 26-35 an end's histogram and
-normalised histogram; 36-45 and 46-55 a continuation's or branch's differences of them; 56-58 type.
+normalised histogram; 36-45 and 46-55 a continuation's or branch's differences of them, where both
+targets of a branch count as one; 56-58 type.  What a type doesn't have is 0.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import abs_difference, bin_of, likeness, normalised
+from ..functions import abs_difference, bin_of, normalised
+from .masks import distances, moved_overlap
 
 NAMES = (
     ["e size", "center distance", "set difference", "set difference ratio", "aligned set difference", "aligned set difference ratio", "size", "absolute size difference", "overlap", "overlap ratio", "aligned overlap", "aligned overlap ratio"]
@@ -21,37 +21,36 @@ NAMES = (
     + [f"{k} {i}" for k in ("e histogram", "e normalized histogram", "c&b histogram", "c&b normalized histogram") for i in range(10)]
     + ["is end", "is continuation", "is branch"]
 )
-assert len(NAMES) == 59
-
-
-def pair_geometry(pairs: DataFrame, slices: DataFrame) -> DataFrame:
-    """Features 1 to 11 of continuations (a_id, b_id, o, a_sz, b_sz, aligned)."""
-    s = slices.select("id", ((F.col("x0") + F.col("x1")) / 2.0).alias("cx"), ((F.col("y0") + F.col("y1")) / 2.0).alias("cy"))
-    j = pairs.join(s.alias("a"), F.col("a_id") == F.col("a.id")).join(s.alias("b"), F.col("b_id") == F.col("b.id"))
-    t, o, al = F.col("a_sz") + F.col("b_sz"), F.col("o"), F.col("aligned")
-    d2 = (F.col("a.cx") - F.col("b.cx")) ** 2 + (F.col("a.cy") - F.col("b.cy")) ** 2
+BINS = 10
+
+
+def relations(segments: DataFrame) -> DataFrame:
+    """key, type, s, t1, t2 (null in continuations): source and targets of segments that aren't ends; a branch's source is its single slice."""
+    one = F.size("sl") == 1
+    s, t = F.when(one, F.col("sl")).otherwise(F.col("sr")), F.when(one, F.col("sr")).otherwise(F.col("sl"))
+    r = segments.where("type > 0").select("key", "type", s.alias("s"), F.array_sort(t).alias("t"))
+    return r.select("key", "type", F.col("s")[0].alias("s"), F.element_at("t", -1).alias("t1"), F.when(F.size("t") > 1, F.col("t")[0]).alias("t2"))
+
+
+def geometry(rel: DataFrame, slices: DataFrame, runs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rel with dx, dy (whole pixels from the targets' centre to the source's) and f1 to f11; both targets of a branch count as one."""
+    part = lambda k: slices.select(F.col("id").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("sz", "sx", "sy")))
+    j = rel.join(part("s"), "s").join(part("t1"), "t1").join(part("t2"), "t2", "left")
+    for c in ("sz", "sx", "sy"):
+        j = j.withColumn(f"t_{c}", F.col(f"t1_{c}") + F.coalesce(f"t2_{c}", F.lit(0).cast("long")))
+    gap = {k: F.col(f"s_s{k}").cast("double") / F.col("s_sz") - F.col(f"t_s{k}").cast("double") / F.col("t_sz") for k in "xy"}
+    j = j.select(*rel.columns, "s_sz", "t_sz", (gap["x"] * gap["x"] + gap["y"] * gap["y"]).alias("f1"), *(gap[k].cast("long").alias(f"d{k}") for k in "xy"))
+    edge = j.select("key", "dx", "dy", F.col("s").alias("a_id"), F.explode(F.filter(F.array("t1", "t2"), lambda t: t.isNotNull())).alias("b_id"))
+    both = pairs.select("a_id", "b_id", "o").unionByName(pairs.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), "o"))
+    plain = edge.join(both, ["a_id", "b_id"], "left").groupBy("key").agg(F.coalesce(F.sum("o"), F.lit(0).cast("long")).alias("o"))
+    moved = moved_overlap(edge, runs).groupBy("key").agg(F.sum("moved").alias("al"))
+    j = j.join(plain, "key").join(moved, "key")
+    t, o, al = F.col("s_sz") + F.col("t_sz"), F.col("o"), F.col("al")
+    d = lambda c: c.cast("double")
     return j.select(
-        "a_id", "b_id", d2.alias("f1"), (t - 2 * o).cast("double").alias("f2"), ((t - 2 * o) / t).alias("f3"), (t - 2 * al).cast("double").alias("f4"), ((t - 2 * al) / t).alias("f5"),
-        (t / 2.0).alias("f6"), F.abs(F.col("a_sz") - F.col("b_sz")).cast("double").alias("f7"), o.cast("double").alias("f8"), likeness("o", "a_sz", "b_sz").alias("f9"),
-        al.cast("double").alias("f10"), (al / F.greatest(t - o, F.lit(1))).alias("f11"),  # over the plain overlap's union
-    )
-
-
-def branch_geometry(branches: DataFrame, slices: DataFrame) -> DataFrame:
-    """The same of branches (source, t1, t2, o, s_sz, sz1, sz2); both targets count as one, aligned by their weighted centre."""
-    s = slices.select("id", "x0", "y0", "x1", "y1", ((F.col("x0") + F.col("x1")) / 2.0).alias("cx"), ((F.col("y0") + F.col("y1")) / 2.0).alias("cy"))
-    j = branches.join(s.alias("s"), F.col("source") == F.col("s.id")).join(s.alias("p"), F.col("t1") == F.col("p.id")).join(s.alias("q"), F.col("t2") == F.col("q.id"))
-    mid = lambda c: (F.col(f"p.{c}") * F.col("sz1") + F.col(f"q.{c}") * F.col("sz2")) / (F.col("sz1") + F.col("sz2"))
-    from ..functions import overlap
-
-    dx, dy = (F.col("s.cx") - mid("cx")).cast("long"), (F.col("s.cy") - mid("cy")).cast("long")
-    al = overlap("s", "p", dx, dy) + overlap("s", "q", dx, dy)
-    j = j.withColumn("aligned", al).withColumn("d2", (F.col("s.cx") - mid("cx")) ** 2 + (F.col("s.cy") - mid("cy")) ** 2)
-    big, o, t, al = F.col("sz1") + F.col("sz2"), F.col("o"), F.col("s_sz") + F.col("sz1") + F.col("sz2"), F.col("aligned")
-    return j.select(
-        "source", "t1", "t2", F.col("d2").alias("f1"), (t - 2 * o).cast("double").alias("f2"), ((t - 2 * o) / t).alias("f3"), (t - 2 * al).cast("double").alias("f4"), ((t - 2 * al) / t).alias("f5"),
-        (t / 3.0).alias("f6"), F.abs(F.col("s_sz") - big).cast("double").alias("f7"), o.cast("double").alias("f8"), likeness("o", "s_sz", "sz1", "sz2").alias("f9"),
-        al.cast("double").alias("f10"), likeness("aligned", "s_sz", "sz1", "sz2").alias("f11"),
+        *rel.columns, "dx", "dy", "f1", d(t - 2 * o).alias("f2"), (d(t - 2 * o) / t).alias("f3"), d(t - 2 * al).alias("f4"), (d(t - 2 * al) / t).alias("f5"),
+        (d(t) / F.when(F.col("type") == 1, 2).otherwise(3)).alias("f6"), d(F.abs(F.col("s_sz") - F.col("t_sz"))).alias("f7"), d(o).alias("f8"), (d(o) / F.greatest(t - o, F.lit(1))).alias("f9"),
+        d(al).alias("f10"), (d(al) / F.greatest(t - F.when(F.col("type") == 1, o).otherwise(al), F.lit(1))).alias("f11"),  # a continuation's is over the plain overlap's union
     )
 
 
@@ -61,52 +60,26 @@ def histograms(values: DataFrame, bins: int = 10) -> DataFrame:
     return values.groupBy("id").agg(*(F.sum((b == k).cast("long")).alias(f"h{k}") for k in range(bins))).select("id", F.array(*(f"h{k}" for k in range(bins))).alias("h"))
 
 
-def histogram_difference(pairs: DataFrame, hist: DataFrame) -> DataFrame:
-    """a_id, b_id, d and dn: absolute differences of the slices' histograms and of the normalised ones."""
-    j = pairs.select("a_id", "b_id").join(hist.select(F.col("id").alias("a_id"), F.col("h").alias("ha")), "a_id").join(hist.select(F.col("id").alias("b_id"), F.col("h").alias("hb")), "b_id")
-    return j.select("a_id", "b_id", abs_difference(F.col("ha"), F.col("hb")).alias("d"), abs_difference(normalised(F.col("ha")), normalised(F.col("hb"))).alias("dn"))
-
-
-# --- distances: the one feature that needs pixels -----------------------------------------
-
-
-def directed_distance(a: np.ndarray, b: np.ndarray, cap: float = 50.0) -> tuple[float, float]:
-    """Mean and maximum over pixels of a (rows of x, y) of the distance to the nearest pixel of b, at most `cap`."""
-    best = np.full(len(a), cap * cap)
-    for k in range(0, len(b), 4096):
-        c = b[k : k + 4096]
-        for i in range(0, len(a), 1024):
-            d = ((a[i : i + 1024, None, :] - c[None, :, :]) ** 2).sum(2).min(1)
-            best[i : i + 1024] = np.minimum(best[i : i + 1024], d)
-    r = np.sqrt(best)
-    return float(r.mean()), float(r.max())
-
-
-def box_distance(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1, cap: float = 50.0) -> tuple[float, float]:
-    """The same for full rectangles, where the distance is the two axes' gaps."""
-    gap = lambda lo, hi, p, q: np.maximum(np.maximum(p - np.arange(lo, hi), np.arange(lo, hi) - (q - 1)), 0)
-    r = np.minimum(np.hypot(gap(ay0, ay1, by0, by1)[:, None], gap(ax0, ax1, bx0, bx1)[None, :]), cap)
-    return float(r.mean()), float(r.max())
-
-
-def slice_distances(pairs: DataFrame, slices: DataFrame, cap: float = 50.0) -> DataFrame:
-    """a_id, b_id, f12 to f15: symmetric mean and largest distance, and the same after moving a by the whole pixels between the centres."""
-    s = slices.select("id", "x0", "y0", "x1", "y1")
-    cols = ("x0", "y0", "x1", "y1")
-    j = pairs.select("a_id", "b_id").join(s.select(F.col("id").alias("a_id"), *(F.col(c).alias(f"a{c}") for c in cols)), "a_id").join(s.select(F.col("id").alias("b_id"), *(F.col(c).alias(f"b{c}") for c in cols)), "b_id")
-
-    def run(batches):
-        for p in batches:
-            out = []
-            for r in p.itertuples():
-                a, b = (r.ax0, r.ay0, r.ax1, r.ay1), (r.bx0, r.by0, r.bx1, r.by1)
-                dx, dy = int((a[0] + a[2] - b[0] - b[2]) / 2), int((a[1] + a[3] - b[1] - b[3]) / 2)
-                moved = (b[0] + dx, b[1] + dy, b[2] + dx, b[3] + dy)
-                row = [r.a_id, r.b_id]
-                for c in (b, moved):
-                    f, g = box_distance(*a, *c, cap), box_distance(*c, *a, cap)
-                    row += [(f[0] + g[0]) / 2, max(f[1], g[1])]
-                out.append(row)
-            yield pd.DataFrame(out, columns=["a_id", "b_id", "f12", "f13", "f14", "f15"])
-
-    return j.mapInPandas(run, "a_id long, b_id long, f12 double, f13 double, f14 double, f15 double")
+def histogram_differences(rel: DataFrame, hist: DataFrame, bins: int = BINS) -> DataFrame:
+    """key, d and dn: absolute differences of the source's and the targets' summed histograms, and of the normalised ones."""
+    none = F.array_repeat(F.lit(0).cast("long"), bins)
+    j = rel.select("key", "s", "t1", "t2")
+    for k in ("s", "t1", "t2"):
+        j = j.join(hist.select(F.col("id").alias(k), F.col("h").alias(f"h_{k}")), k, "left").withColumn(f"h_{k}", F.coalesce(f"h_{k}", none))
+    a, b = F.col("h_s"), F.zip_with("h_t1", "h_t2", lambda x, y: x + y)
+    return j.select("key", abs_difference(a, b).alias("d"), abs_difference(normalised(a), normalised(b)).alias("dn"))
+
+
+def vector(segments: DataFrame, slices: DataFrame, runs: DataFrame, pairs: DataFrame, hist: DataFrame, cap: float = 50.0) -> DataFrame:
+    """key, type, features (array of 59) of every segment (pairs: overlaps of neighbouring sections; hist: id, h)."""
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    real = lambda c: F.transform(c, lambda x: x.cast("double"))
+    kind = F.array(*((F.col("type") == k).cast("double") for k in range(3)))
+    ends = segments.where("type = 0").select("key", "type", F.coalesce(F.get("sl", F.lit(0)), F.get("sr", F.lit(0))).alias("id")).join(slices.select("id", "sz"), "id").join(hist, "id", "left")
+    ends = ends.withColumn("h", F.coalesce("h", F.array_repeat(F.lit(0).cast("long"), BINS)))
+    ends = ends.select("key", "type", F.concat(F.array(F.col("sz").cast("double")), zeros(15), real("h"), normalised(F.col("h")), zeros(2 * BINS), kind).alias("features"))
+    rel = geometry(relations(segments), slices, runs, pairs)
+    far = distances(rel.select("key", "s", "t1", "t2", (-F.col("dx")).alias("dx"), (-F.col("dy")).alias("dy")), runs, cap)
+    both = rel.join(far, "key").join(histogram_differences(rel, hist), "key")
+    both = both.select("key", "type", F.concat(zeros(1), F.array(*(f"f{k}" for k in range(1, 16))), zeros(2 * BINS), real("d"), F.col("dn"), kind).alias("features"))
+    return ends.unionByName(both)

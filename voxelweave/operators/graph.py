@@ -2,25 +2,51 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a table in the folder that driver and executors share (spark.checkpoint.dir)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset and Spark runs in one process."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:  # tests
+    if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="voxelweave-"))
         base = sc.getCheckpointDir()
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a table in the shared folder; it goes when the driver ends, or with `dropped`."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+
+    def remove():
+        with contextlib.suppress(Exception):  # the session may have ended before
+            delete(spark, path)
+
+    atexit.register(remove)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table of settled() that no later step reads."""
+    delete(df.sparkSession, df._settled_at)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -36,33 +62,37 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         step = label.join(heard, "id").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = label.select(F.col("id").alias("label"), F.col("label").alias("up"))
         new = settled(step.join(jump, "label").select("id", "old", F.least("label", "up").alias("label")))
+        changed = new.where("old <> label").limit(1).count()
+        dropped(label)
         label = new.drop("old")
-        if not new.where("old <> label").limit(1).count():
+        label._settled_at = new._settled_at
+        if not changed:
+            dropped(both)
             return label.withColumnRenamed("label", "component")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def forest(edges: DataFrame) -> DataFrame:
-    """label, a, b, o: a maximum spanning forest of each label's edges (label, a, b, o), ties by ids."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["o", "a", "b"], ascending=[False, True, True], ignore_index=True)
-        up: dict[int, int] = {}
+def forest(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """label, a, b, o: a maximum spanning forest of each label's edges (label, a, b, o), ties by ids.
 
-        def find(i: int) -> int:
-            while up.setdefault(i, i) != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        keep = []
-        for a, b in zip(pdf["a"], pdf["b"]):
-            x, y = find(a), find(b)
-            keep.append(x != y)
-            up[x] = y
-        return pdf[keep]
-
-    return edges.select("label", "a", "b", "o").groupBy("label").applyInPandas(run, "label long, a long, b long, o long")
+    Rounds in which every tree takes the best edge that leaves it, so trees at least pair up; edges within a tree leave the
+    next round.  The order of edges is total, so what is taken has no cycles.
+    """
+    rank = F.struct((-F.col("o")).alias("o"), "a", "b")
+    left, taken = settled(edges.select("label", "a", "b", "o").where("a <> b").withColumn("p", F.col("a")).withColumn("q", F.col("b"))), None
+    for _ in range(most_rounds):
+        if not left.take(1):
+            return taken if taken is not None else left.select("label", "a", "b", "o")
+        sides = left.select("label", F.col("p").alias("tree"), rank.alias("e")).unionByName(left.select("label", F.col("q").alias("tree"), rank.alias("e")))
+        best = settled(sides.groupBy("label", "tree").agg(F.min("e").alias("e")).select("label", "e.a", "e.b", (-F.col("e.o")).alias("o")).distinct())
+        taken = best if taken is None else settled(taken.unionByName(best))
+        one = lambda c: F.concat_ws(":", F.col("label").cast("string"), F.col(c).cast("string"))
+        tree = components(taken.select(one("a").alias("a"), one("b").alias("b")))
+        at = lambda c, k: tree.select(F.col("id").alias(f"__{k}"), F.col("component").alias(k))
+        named = left.select("label", "a", "b", "o", one("a").alias("__p"), one("b").alias("__q"))
+        named = named.join(at("a", "p"), "__p", "left").join(at("b", "q"), "__q", "left").select("label", "a", "b", "o", F.coalesce("p", "__p").alias("p"), F.coalesce("q", "__q").alias("q"))
+        left = settled(named.where("p <> q"))
+    raise RuntimeError(f"the forest did not settle in {most_rounds} rounds")
 
 
 def leaf_paths(nodes: DataFrame) -> DataFrame:

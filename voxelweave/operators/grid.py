@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,12 +11,33 @@ from pyspark.sql import functions as F
 from ..functions import div
 
 
+def fraction(text: str) -> tuple[int, int]:
+    """Numerator and denominator of "n/d"."""
+    found = re.fullmatch(r"\s*(\d+)\s*/\s*(\d+)\s*", text)
+    if not found or int(found[2]) == 0:
+        raise ValueError(f"{text!r} is no fraction n/d")
+    return int(found[1]), int(found[2])
+
+
+def ceil_of(v: int, n: int, d: int) -> int:
+    """v * n / d, rounded up."""
+    return -(-v * n // d)
+
+
 @dataclass(frozen=True)
 class Grid:
     block: tuple[int, int, int]
     volume: tuple[int, int, int]
     core: tuple[int, int, int] = (1, 1, 1)
 
+    @classmethod
+    def of_fraction(cls, volume: tuple[int, int, int], block: str = "2/5", core: str = "1/1") -> "Grid":
+        """Blocks of a fraction "n/d" of the volume in x and y, rounded up, and of half its depth and one section; cores of a fraction of the blocks."""
+        n, d = fraction(block)
+        size = (ceil_of(volume[0], n, d), ceil_of(volume[1], n, d), volume[2] // 2 + 1)
+        n, d = fraction(core)
+        return cls(size, volume, tuple(ceil_of(e, n, d) for e in (-(-v // b) for v, b in zip(volume, size))))
+
     @property
     def extent(self) -> tuple[int, int, int]:
         """Blocks along each axis."""
@@ -85,3 +107,36 @@ def missing(requested: DataFrame, flags: DataFrame, flag: str) -> DataFrame:
     """Requested blocks whose flag isn't set, or that have none."""
     f = flags.select("bx", "by", "bz", F.col(flag).alias("__flag"))
     return requested.join(f, ["bx", "by", "bz"], "left").where(~F.coalesce("__flag", F.lit(False))).select("bx", "by", "bz")
+
+
+def numbered(g: Grid) -> Column:
+    """Number of the block bx, by, bz."""
+    nx, ny, _ = g.extent
+    return (F.col("bz") * ny + F.col("by")) * nx + F.col("bx")
+
+
+def cores_grid(g: Grid) -> Grid:
+    """The grid whose blocks are g's cores."""
+    return Grid(tuple(b * m for b, m in zip(g.block, g.core)), g.volume)
+
+
+def bounding_box(blocks: DataFrame, g: Grid) -> DataFrame:
+    """One row, the box around blocks; of no blocks all are 0."""
+    b = with_box(blocks, g)
+    return b.agg(*(F.coalesce(f(f"{k}_{a}"), F.lit(0).cast("long")).alias(f"{k}_{a}") for a in "xyz" for k, f in (("min", F.min), ("max", F.max))))
+
+
+def segment_blocks(segments: DataFrame, slices: DataFrame, g: Grid, padding: int = 0, name: str = "b") -> DataFrame:
+    """key and the blocks that each segment (key, isi, sl, sr) belongs to: a slice's rectangle meets the block, or `padding` voxels (x, y, z) around it,
+    and the interval is in the block's sections, both ends included.
+    """
+    pad = padding if isinstance(padding, tuple) else (padding,) * 3
+    m = segments.select("key", "isi", F.explode(F.concat("sl", "sr")).alias("id")).join(slices.select("id", "x0", "y0", "x1", "y1"), "id")
+    lo = {"x": F.col("x0") - pad[0], "y": F.col("y0") - pad[1]}
+    hi = {"x": F.col("x1") + pad[0] - 1, "y": F.col("y1") + pad[1] - 1}
+    for a, n, e in zip("xy", g.block, g.extent):
+        m = m.withColumn(f"b{a}", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.floor(lo[a] / n)), F.least(F.lit(e - 1).cast("long"), F.floor(hi[a] / n)))))
+    n, e = g.block[2], g.extent[2]
+    first, last = F.ceil((F.col("isi") - pad[2]) / n) - 1, F.floor((F.col("isi") + pad[2]) / n)
+    m = m.withColumn("bz", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), first), F.least(F.lit(e - 1).cast("long"), last))))
+    return m.select("key", *(F.col(f"b{a}").alias(f"{name}{a}") for a in "xyz")).distinct()

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import components, forest
-from .spatial import box_join
+from . import masks
+from .graph import components, forest, settled
 
 
 def paint(runs: DataFrame, assembly_of: DataFrame) -> DataFrame:
@@ -48,33 +48,33 @@ def brush(strokes: DataFrame) -> DataFrame:
 
 
 def exact_matches(old: DataFrame, new: DataFrame) -> DataFrame:
-    """a_id, b_id: slices of both that are the same pixels."""
-    k = ["z", "x0", "y0", "x1", "y1"]
-    return old.select(F.col("id").alias("a_id"), *k).join(new.select(F.col("id").alias("b_id"), *k), k).select("a_id", "b_id")
+    """a_id, b_id: slices of both (runs) that are the same pixels: equal hashes of the pixels, then as many shared ones as each has."""
+    h = lambda r: masks.pixel_hash(r).join(masks.measure(r).select("id", "sz"), "id")
+    same = h(old).alias("o").join(h(new).alias("n"), (F.col("o.z") == F.col("n.z")) & (F.col("o.mask_hash") == F.col("n.mask_hash")) & (F.col("o.sz") == F.col("n.sz"))).select(F.col("o.id").alias("a_id"), F.col("n.id").alias("b_id"), F.col("o.sz").alias("sz"))
+    ids = lambda c: same.select(F.col(c).alias("id")).distinct()
+    o = masks.overlaps(masks.tiles(old.join(ids("a_id"), "id", "left_semi")), masks.tiles(new.join(ids("b_id"), "id", "left_semi")), keep=())
+    return same.join(o, ["a_id", "b_id"]).where("o = sz").select("a_id", "b_id")
 
 
 def edits(old: DataFrame, new: DataFrame) -> DataFrame:
-    """edit, old_ids, new_ids: groups of old slices and the new ones that replace them; groups that stayed the same are left out."""
-    same = exact_matches(old, new)
+    """old_ids, new_ids: groups of old slices (runs) and the new ones that replace them; groups that stayed the same are left out."""
+    same = settled(exact_matches(old, new))
     o = old.join(same.select(F.col("a_id").alias("id")), "id", "left_anti")
     n = new.join(same.select(F.col("b_id").alias("id")), "id", "left_anti")
-    j = box_join(o, n)
-    e = j.select(F.concat(F.lit("o"), F.col("a.id")).alias("a"), F.concat(F.lit("n"), F.col("b.id")).alias("b"))
-    c = components(e)
+    j = masks.overlaps(masks.tiles(o), masks.tiles(n), keep=())
+    c = components(j.select(F.concat(F.lit("o"), "a_id").alias("a"), F.concat(F.lit("n"), "b_id").alias("b")))
     side = lambda k: F.array_sort(F.collect_set(F.when(F.col("id").startswith(k), F.substring("id", 2, 30).cast("long"))))
     return c.groupBy("component").agg(side("o").alias("old_ids"), side("n").alias("new_ids")).drop("component")
 
 
-def label_links(slices: DataFrame) -> DataFrame:
-    """label, a, b, o: slices of one label in neighbouring sections that overlap (slices have a label)."""
-    from ..functions import overlap
+def label_links(labelled: DataFrame) -> DataFrame:
+    """label, a, b, o: slices of one label in neighbouring sections that overlap (runs with a label)."""
+    t = masks.tiles(labelled, "label")
+    return masks.overlaps(t, t, 1, keep=(), on=("label",)).select("label", F.col("a_id").alias("a"), F.col("b_id").alias("b"), "o")
 
-    j = box_join(slices, slices, 1).where(F.col("a.label") == F.col("b.label"))
-    return j.select(F.col("a.label").alias("label"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), overlap("a", "b").alias("o"))
 
-
-def spanning_forest(slices: DataFrame) -> DataFrame:
-    return forest(label_links(slices))
+def spanning_forest(labelled: DataFrame) -> DataFrame:
+    return forest(label_links(labelled))
 
 
 def open_ends(slices: DataFrame, links: DataFrame) -> DataFrame:
@@ -88,6 +88,42 @@ def open_ends(slices: DataFrame, links: DataFrame) -> DataFrame:
 RELATIONS = {"<=": 0, ">=": 1, "=": 2}
 
 
+def slice_lines(slices: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """line: id, section, box (x, then y), value, centre and size of each slice; value is 0 where there is none."""
+    s = slices.join(values.select("id", "value"), "id", "left") if values is not None else slices.withColumn("value", F.lit(None).cast("double"))
+    number = lambda c: F.format_string("%.3f", c)
+    center = [number(masks.center(k)) for k in "xy"]
+    return s.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in ("id", "z", "x0", "x1", "y0", "y1")), number(F.coalesce("value", F.lit(0.0))), *center, F.col("sz").cast("string")).alias("line"))
+
+
+def conflict_lines(pairs: DataFrame) -> DataFrame:
+    """line: the two slices of each conflict."""
+    return pairs.select(F.concat_ws(" ", F.col("a_id").cast("string"), F.col("b_id").cast("string")).alias("line"))
+
+
+def protocol_lines(variables: DataFrame, coefs: DataFrame, rows: DataFrame) -> DataFrame:
+    """window, part, line: subproblems as text.
+
+    variables: window, number, cost; coefs: row, number, coef, relation, value; rows: row, window (what fits a window whole).
+    Of each window: the number of segments, a line 'id cost' for each, the number of constraints, and a line
+    'value relation n ids -ids' for each.  `part` orders them; the first line of all is the number of windows.
+    Lines are one row each, so no window is gathered; a constraint's terms are.
+    """
+    name = lambda c: F.col(c).cast("string")
+    pick = lambda sign: F.array_sort(F.collect_list(F.when(F.col("coef") * sign > 0, F.col("number"))))
+    g = coefs.groupBy("row", "relation", "value").agg(pick(1).alias("pos"), pick(-1).alias("neg"))
+    terms = F.concat(F.transform("pos", lambda x: x.cast("string")), F.transform("neg", lambda x: F.concat(F.lit("-"), x.cast("string"))))
+    text = F.concat_ws(" ", F.format_string("%.1f", F.col("value").cast("double")), F.when(F.col("relation") == "=", "==").otherwise(F.col("relation")), F.size(terms).cast("string"), F.array_join(terms, " "))
+    put = lambda df, part, order, line: df.select("window", F.lit(part).alias("part"), order.cast("string").alias("item"), line.alias("line"))
+    held = rows.join(g.select("row", text.alias("text")), "row")
+    every = variables.select("window").distinct()
+    n = lambda df: every.join(df.groupBy("window").agg(F.count("*").alias("n")), "window", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    head = every.agg(F.count("*").cast("string").alias("line")).select(F.lit(-1).cast("long").alias("window"), F.lit(0).alias("part"), F.lit("").alias("item"), "line")
+    out = head.unionByName(put(n(variables), 1, F.lit(""), name("n")))
+    out = out.unionByName(put(variables, 2, F.lpad(name("number"), 20, "0"), F.concat_ws(" ", name("number"), F.format_string("%.6f", "cost"))))
+    return out.unionByName(put(n(held), 3, F.lit(""), name("n"))).unionByName(put(held, 4, F.col("row"), F.col("text")))
+
+
 def problem_lines(segments: DataFrame) -> DataFrame:
     """line: one a segment: key, type, and up to three slices, '-1 -1' for a missing one."""
     slot = lambda k: F.coalesce(F.concat_ws(" ", F.get("ids", F.lit(k)).cast("string"), F.get("sides", F.lit(k)).cast("string")), F.lit("-1 -1"))

@@ -81,11 +81,10 @@ def members(segments: DataFrame) -> DataFrame:
 
 
 def centers(segments: DataFrame, slices: DataFrame) -> DataFrame:
-    """key, type, isi, cx, cy: size-weighted mean of the slices' centres."""
-    s = slices.select("id", "sz", ((F.col("x0") + F.col("x1")) / 2.0).alias("mx"), ((F.col("y0") + F.col("y1")) / 2.0).alias("my"))
-    j = members(segments).join(s, "id")
-    mean = lambda c: F.sum(F.col(c) * F.col("sz")) / F.sum("sz")
-    return j.groupBy("key", "type", "isi").agg(mean("mx").alias("cx"), mean("my").alias("cy"))
+    """key, type, isi, cx, cy: size-weighted mean of the slices' centres, that is the mean place of all their pixels."""
+    j = members(segments).join(slices.select("id", "sz", "sx", "sy"), "id")
+    mean = lambda c: F.sum(c).cast("double") / F.sum("sz")
+    return j.groupBy("key", "type", "isi").agg(mean("sx").alias("cx"), mean("sy").alias("cy"))
 
 
 def segment_boxes(segments: DataFrame, slices: DataFrame) -> DataFrame:
@@ -107,3 +106,37 @@ def required_slices(slices: DataFrame, cliques: DataFrame, x0: int, y0: int, x1:
     near = slices.where((F.col("x0") < x1) & (F.col("x1") > x0) & (F.col("y0") < y1) & (F.col("y1") > y0)).select("id")
     touched = cliques.join(near, "id", "left_semi").select("clique").distinct()
     return near.union(cliques.join(touched, "clique", "left_semi").select("id")).distinct()
+
+
+def grown_region(slices_in, requested: tuple[int, int, int, int], grid, rounds: int = 1000) -> tuple[DataFrame, tuple[int, int, int, int]]:
+    """Ids of the slices that requested blocks (bx0, by0, bx1, by1; upper ones exclusive) need whole, and the blocks they were looked for in.
+
+    slices_in(rectangle) gives (slices, cliques) as far as an image of that rectangle shows them.  The blocks are expanded by
+    one; where a required slice touches a side of the rectangle, the blocks beyond that side are added, until no side moves.
+    A required slice meets the requested blocks, or shares a clique with one that does.
+    """
+    (w, h, _), (ex, ey, _) = grid.block, grid.extent
+    bound = (max(0, requested[0] - 1), max(0, requested[1] - 1), min(ex, requested[2] + 1), min(ey, requested[3] + 1))
+    for _ in range(rounds):
+        x0, y0, x1, y1 = bound[0] * w, bound[1] * h, bound[2] * w, bound[3] * h
+        slices, cliques = slices_in((x0, y0, x1, y1))
+        ids = required_slices(slices, cliques, requested[0] * w, requested[1] * h, requested[2] * w, requested[3] * h)
+        side = slices.join(ids, "id", "left_semi").agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).first()
+        if side[0] is None:
+            return ids, bound
+        grown = (max(0, bound[0] - (side[0] <= x0)), max(0, bound[1] - (side[1] <= y0)), min(ex, bound[2] + (side[2] >= x1)), min(ey, bound[3] + (side[3] >= y1)))
+        if grown == bound:
+            return ids, bound
+        bound = grown
+    raise RuntimeError(f"the region did not settle in {rounds} rounds")
+
+
+def rank_continuations(pairs: DataFrame, slices: DataFrame) -> DataFrame:
+    """Pairs with `place` (from 1) in their section: more overlap first, then nearer centres, then by ids."""
+    from .masks import center
+
+    s = slices.select("id", "sz", "sx", "sy")
+    j = pairs.join(s.alias("a"), F.col("a_id") == F.col("a.id")).join(s.alias("b"), F.col("b_id") == F.col("b.id"))
+    d2 = (center("x", "a") - center("x", "b")) ** 2 + (center("y", "a") - center("y", "b")) ** 2
+    j = j.select(*pairs.columns, d2.alias("d2"))
+    return j.withColumn("place", F.row_number().over(W.partitionBy("z").orderBy(F.desc("o"), "d2", "a_id", "b_id")))

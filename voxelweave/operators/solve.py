@@ -6,22 +6,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from . import constraints
+from .graph import components, settled
 from .segments import members
 
 
-def branch_and_bound(cost: list[float], rows: list[tuple[dict[int, int], str, int]], limit: int = 200_000) -> tuple[list[int], bool]:
-    """Least sum of cost * x over 0/1 x under rows (coefficients, relation, value); and whether it is proven within `limit` steps.
+class Unproven(RuntimeError):
+    """A programme took more steps than allowed; there is no proven solution."""
 
-    Depth first, cheapest variables first; a branch ends when a row can't be met any more or
-    the costs that remain below 0 can't beat the best.
+
+def branch_and_bound(cost: list[float], rows: list[tuple[dict[int, int], str, int]], limit: int = 20_000_000) -> tuple[list[int], bool]:
+    """Least sum of cost * x over 0/1 x under rows (coefficients, relation, value), none if there is no such x; and whether it is proven within `limit` steps.
+
+    Depth first, cheapest variables first; a branch ends when a row can't be met any more or the
+    costs that remain can't beat the best.  What remains is bounded by the cheapest variable of
+    each group of variables of which a row lets one be chosen.
     """
     n = len(cost)
     order = sorted(range(n), key=lambda i: cost[i])
     place = {v: k for k, v in enumerate(order)}
-    gain = [0.0] * (n + 1)  # sum of negative costs from place k on
+    group: dict[int, int] = {}
+    for r in sorted((r for r, (coef, rel, value) in enumerate(rows) if rel in ("<=", "=") and value == 1 and min(coef.values()) > 0), key=lambda r: -len(rows[r][0])):
+        for v in rows[r][0]:
+            group.setdefault(v, r)
+    gain = [0.0] * (n + 1)  # from place k on
+    least: dict[int, float] = {}
     for k in range(n - 1, -1, -1):
-        gain[k] = gain[k + 1] + min(0.0, cost[order[k]])
+        v = order[k]
+        g, had = group.get(v, -1 - v), least.get(group.get(v, -1 - v), 0.0)
+        least[g] = min(had, cost[v])
+        gain[k] = gain[k + 1] + least[g] - had
     of: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     lo, hi = [0] * len(rows), [0] * len(rows)  # what the open variables of each row can add
     for r, (coef, _, _) in enumerate(rows):
@@ -82,20 +96,42 @@ def branch_and_bound(cost: list[float], rows: list[tuple[dict[int, int], str, in
     return out, steps <= limit
 
 
-def solve(variables: DataFrame, coefs: DataFrame, limit: int = 200_000) -> DataFrame:
-    """key, x, optimal of variables (problem, key, cost) under coefs (problem, row, key, coef, relation, value).
+def hopeless(segments: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """problem, key of ends that some best solution leaves out: of slices in no continuation or branch, whose ends cost 0 or more together.
+
+    segments: problem, key, type, sl, sr, cost.  It holds as long as no row makes anything be chosen; `kept` (key) are never named.
+    """
+    used = members(segments.where("type > 0").select("*", F.col("isi"))).join(segments.select("problem", "key"), "key").select("problem", "id").distinct()
+    ends = segments.where("type = 0").select("problem", "key", "cost", F.coalesce(F.get("sl", F.lit(0)), F.get("sr", F.lit(0))).alias("id"))
+    free = ends.join(used, ["problem", "id"], "left_anti")
+    if kept is not None:
+        free = free.join(free.join(kept.select("key"), "key", "left_semi").select("problem", "id").distinct(), ["problem", "id"], "left_anti")
+    poor = free.groupBy("problem", "id").agg(F.sum("cost").alias("c")).where("c >= 0").select("problem", "id")
+    return free.join(poor, ["problem", "id"], "left_semi").select("problem", "key")
+
+
+def programme(segments: DataFrame, slices: DataFrame, cliques: DataFrame, forced: bool = False, user: DataFrame | None = None) -> DataFrame:
+    """All rows (problem, row, key, coef, relation, value) over segments (problem, key, type, isi, sl, sr): conflicts, exclusivity, flow and a user's."""
+    rows = constraints.conflict_rows(cliques, segments, forced).unionByName(constraints.exclusivity_rows(slices, cliques, segments, forced)).unionByName(constraints.continuation_rows(segments))
+    if user is not None:
+        rows = rows.unionByName(user.join(segments.select("problem", "key"), "key").select(*rows.columns))
+    return rows
+
+
+def solve(variables: DataFrame, coefs: DataFrame, limit: int = 20_000_000) -> DataFrame:
+    """problem, key, x of variables (problem, key, cost) under coefs (problem, row, key, coef, relation, value).
 
-    A problem falls apart into components of variables that share rows, each solved alone and
-    exactly up to `limit` steps; so a core's problem needn't fit one task unless it is one piece.
+    A problem falls apart into components of variables that share rows, each solved alone and exactly, so a core's problem
+    needn't fit one task unless it is one piece.  A component that can't be solved (Unproven, or no solution) is an error.
     """
-    first = coefs.groupBy("problem", "row").agg(F.min("key").alias("b"))
-    edges = coefs.join(first, ["problem", "row"]).select(F.concat_ws("|", F.col("problem").cast("string"), "key").alias("a"), F.concat_ws("|", F.col("problem").cast("string"), "b").alias("b")).distinct()
-    part = components(edges).withColumnRenamed("id", "node")
-    node = F.concat_ws("|", F.col("problem").cast("string"), "key").alias("node")
-    v = variables.select("*", node).join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    c = coefs.select("*", node).join(part, "node")
-    both = v.select("problem", "component", "key", "cost", F.lit(None).cast("string").alias("row"), F.lit(0).alias("coef"), F.lit("").alias("relation"), F.lit(0).cast("long").alias("value")).unionByName(
-        c.select("problem", "component", "key", F.lit(0.0).alias("cost"), "row", F.col("coef").cast("int").alias("coef"), "relation", F.col("value").cast("long").alias("value"))
+    node = F.concat_ws("|", F.col("problem").cast("string"), "key")
+    named = settled(coefs.join(variables.select("problem", "key"), ["problem", "key"], "left_semi").withColumn("node", node))
+    first = named.groupBy("problem", "row").agg(F.min("node").alias("b"))
+    part = components(named.join(first, ["problem", "row"]).select(F.col("node").alias("a"), "b").distinct()).withColumnRenamed("id", "node")
+    v = variables.withColumn("node", node).join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    none = lambda t: F.lit(None).cast(t)
+    both = v.select("problem", "component", "key", "cost", none("string").alias("row"), none("int").alias("coef"), none("string").alias("relation"), none("long").alias("value")).unionByName(
+        named.join(part, "node").select("problem", "component", "key", none("double").alias("cost"), "row", F.col("coef").cast("int").alias("coef"), "relation", F.col("value").cast("long").alias("value"))
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -103,12 +139,26 @@ def solve(variables: DataFrame, coefs: DataFrame, limit: int = 200_000) -> DataF
         keys = var["key"].tolist()
         at = {k: i for i, k in enumerate(keys)}
         rows: dict[str, tuple[dict[int, int], str, int]] = {}
-        for r in pdf[pdf["row"].notna()].itertuples():
-            rows.setdefault(r.row, ({}, r.relation, int(r.value)))[0][at[r.key]] = int(r.coef)
+        r = pdf[pdf["row"].notna()]
+        for row, key, coef, rel, value in zip(r["row"], r["key"], r["coef"], r["relation"], r["value"]):
+            rows.setdefault(row, ({}, rel, int(value)))[0][at[key]] = int(coef)
         x, sure = branch_and_bound(var["cost"].tolist(), list(rows.values()), limit)
-        return pd.DataFrame({"problem": var["problem"].iloc[0], "key": keys, "x": x or [None] * len(keys), "optimal": sure})
+        if not sure:
+            raise Unproven(f"{len(keys)} variables of problem {var['problem'].iloc[0]} took more than {limit} steps")
+        if not x:
+            raise ValueError(f"the rows over {keys[0]} and {len(keys) - 1} others of problem {var['problem'].iloc[0]} have no solution")
+        return pd.DataFrame({"problem": var["problem"].iloc[0], "key": keys, "x": x})
+
+    return both.groupBy("component").applyInPandas(run, "problem long, key string, x int")
+
 
-    return both.groupBy("component").applyInPandas(run, "problem long, key string, x int, optimal boolean")
+def solve_segments(segments: DataFrame, slices: DataFrame, cliques: DataFrame, forced: bool = False, user: DataFrame | None = None, limit: int = 20_000_000) -> DataFrame:
+    """problem, key, x of all segments (problem, key, type, isi, sl, sr, cost) under the whole programme."""
+    rows = programme(segments, slices, cliques, forced, user)
+    out = settled(hopeless(segments, user)) if not forced else segments.select("problem", "key").limit(0)
+    open_ = segments.join(out, ["problem", "key"], "left_anti")
+    got = solve(open_.select("problem", "key", "cost"), rows, limit)
+    return got.unionByName(out.withColumn("x", F.lit(0)))
 
 
 def chosen(solution: DataFrame) -> DataFrame:
@@ -117,13 +167,21 @@ def chosen(solution: DataFrame) -> DataFrame:
 
 def reconstruct(segments: DataFrame, solution: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and discarded segments."""
-    on = solution.where("x = 1").select("key")
+    on = solution.where("x = 1").select("key").distinct()
     return segments.join(on, "key", "left_semi"), segments.join(on, "key", "left_anti")
 
 
 def assemblies(segments: DataFrame) -> DataFrame:
-    """key, assembly: segments that share slices, directly or over others; named by the least slice id."""
-    m = members(segments)
-    first = m.groupBy("key").agg(F.min("id").alias("b"))
-    comp = components(m.join(first, "key").select(F.col("id").alias("a"), "b").distinct())
-    return first.join(comp, F.col("b") == F.col("id")).select("key", F.col("component").alias("assembly"))
+    """key, assembly (and problem, if segments have one): segments that share slices, directly or over others; named by the least slice id."""
+    by = ["problem"] if "problem" in segments.columns else []
+    m = constraints._members(segments)
+    if not by:
+        first = m.groupBy("key").agg(F.min("id").alias("b"))
+        comp = components(m.join(first, "key").select(F.col("id").alias("a"), "b").distinct())
+        return first.join(comp, F.col("b") == F.col("id")).select("key", F.col("component").alias("assembly"))
+    # slices of each problem for themselves; names sort as their numbers do
+    name = F.concat_ws("|", F.lpad(F.col("problem").cast("string"), 20, "0"), F.lpad(F.col("id").cast("string"), 20, "0"))
+    m = m.withColumn("node", name)
+    first = m.groupBy("problem", "key").agg(F.min("node").alias("b"))
+    comp = components(m.join(first, ["problem", "key"]).select(F.col("node").alias("a"), "b").distinct())
+    return first.join(comp, F.col("b") == F.col("id")).select("problem", "key", F.split("component", "\\|")[1].cast("long").alias("assembly"))

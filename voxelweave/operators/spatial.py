@@ -1,4 +1,6 @@
-"""Spatial joins.  Boxes are dealt to grid cells, so that each is an equi-join on (section, cell).
+"""Spatial joins of boxes and points; masks are joined in operators.masks.
+
+Boxes are dealt to grid cells, so that each is an equi-join on (section, cell).
 
 A pair that meets in several cells is kept in one: that of the larger lower corner.
 """
@@ -8,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import div, intersects, likeness, overlap
+from ..functions import div, intersects
 
 CELL = 32
 
@@ -25,38 +27,11 @@ def box_join(a: DataFrame, b: DataFrame, dz: int = 0, cell: int = CELL) -> DataF
     return left.join(right, (F.col("a.on_z") == F.col("b.z")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & intersects("a", "b") & home)
 
 
-def overlap_pairs(slices: DataFrame) -> DataFrame:
-    """a_id, b_id, z, o, and the boxes' sizes: slices of neighbouring sections that overlap."""
-    j = box_join(slices, slices, 1)
-    return j.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), F.col("a.z").alias("z"), overlap("a", "b").alias("o"), F.col("a.sz").alias("a_sz"), F.col("b.sz").alias("b_sz"))
-
-
-def conflict_pairs(slices: DataFrame) -> DataFrame:
-    """a_id < b_id, z, o: slices of one section that overlap."""
-    j = box_join(slices, slices).where(F.col("a.id") < F.col("b.id"))
-    return j.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), F.col("a.z").alias("z"), overlap("a", "b").alias("o"), F.col("a.sz").alias("a_sz"), F.col("b.sz").alias("b_sz"))
-
-
-def near_duplicates(slices: DataFrame, like: float = 0.75, most: int = 200) -> DataFrame:
-    """Overlapping slices of one section with a likeness over `like` and fewer than `most` pixels in one alone."""
-    c = conflict_pairs(slices)
-    return c.where((likeness("o", "a_sz", "b_sz") > like) & (F.col("a_sz") + F.col("b_sz") - 2 * F.col("o") < most))
-
-
 def exceeds(pairs: DataFrame, least: int) -> DataFrame:
-    """Pairs with more than `least` pixels in common; the boxes' sizes, which bound that, are looked at first."""
+    """Pairs with more than `least` pixels in common; the slices' sizes, which bound that, are looked at first."""
     return pairs.where((F.least("a_sz", "b_sz") > least) & (F.col("o") > least))
 
 
-def aligned_overlap(slices: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Overlap of pairs after moving b's centre onto a's, cut to whole pixels."""
-    s = slices.select("id", "x0", "y0", "x1", "y1")
-    j = pairs.join(s.alias("a"), F.col("a_id") == F.col("a.id")).join(s.alias("b"), F.col("b_id") == F.col("b.id"))
-    mid = lambda t, k: (F.col(f"{t}.{k}0") + F.col(f"{t}.{k}1")) / 2.0
-    d = lambda k: (mid("a", k) - mid("b", k)).cast("long")
-    return j.select("a_id", "b_id", "z", "o", "a_sz", "b_sz", overlap("a", "b", d("x"), d("y")).alias("aligned"))
-
-
 def radius_join(points: DataFrame, radius: float, keys: tuple[str, ...] = ("z",), squared: bool = True) -> DataFrame:
     """Pairs a_id < b_id of points (id, cx, cy and keys) nearer than `radius`.
 

@@ -1,11 +1,18 @@
 """Stores: tables that keep what is there.  Plain Parquet has no MERGE, so writes are anti-joins and new versions.
 
-Every function gives the table as it should be; `save` writes it to a new version and moves a
-one-line pointer, so readers see one version or the other.
+A version of a table is a manifest: a small file that lists the folders of Parquet files that
+make it up.  `save` writes one new folder, `append` adds one to those of the version before, and
+both then move a finished manifest into place under the next number; readers take the highest.
+So a reader sees one version or the other, never a part of one, and a crash leaves the old one.
+Old versions stay until `vacuum`.  Of two writers that make the same version one gets an error.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,26 +90,158 @@ def same_sets(a: DataFrame, b: DataFrame, columns: list[str]) -> bool:
     return not x.exceptAll(y).take(1) and not y.exceptAll(x).take(1)
 
 
-def save(df: DataFrame, path: str, name: str) -> str:
-    """Writes a new version of table `name` and points to it; gives the version's path."""
-    import uuid
+def set_keys(members: DataFrame, name: str = "clique") -> DataFrame:
+    """name, ids: each set's members, sorted, as text; sets are equal if these are, whatever their names and order."""
+    return members.groupBy(name).agg(F.array_join(F.transform(F.array_sort(F.collect_set("id")), lambda x: x.cast("string")), "-").alias("ids"))
 
-    spark = df.sparkSession
-    at = f"{path}/{name}/v-{uuid.uuid4().hex}"
+
+class Missing(LookupError):
+    """There is no such table in the store."""
+
+
+class Concurrent(RuntimeError):
+    """Another writer has made the version that this one was about to make."""
+
+
+def _files(spark: SparkSession, path: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    of = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    return of, of(path).getFileSystem(conf)
+
+
+def _versions(spark: SparkSession, path: str, name: str) -> list[tuple[int, str]]:
+    of, system = _files(spark, path)
+    folder = of(f"{path}/{name}")
+    if not system.exists(folder):
+        return []
+    found = (re.fullmatch(r"version-(\d+)\.json", x.getPath().getName()) for x in system.listStatus(folder))
+    return sorted((int(m[1]), f"{path}/{name}/{m[0]}") for m in found if m)
+
+
+def _read(spark: SparkSession, manifest: str) -> dict:
+    return json.loads(spark.read.text(manifest, wholetext=True).first()[0])
+
+
+def _commit(spark: SparkSession, path: str, name: str, number: int, parts: list[str]) -> None:
+    of, system = _files(spark, path)
+    who, at = uuid.uuid4().hex, f"{path}/{name}/version-{number:08d}.json"
+    tmp = of(f"{path}/{name}/_writing-{who}")
+    out = system.create(tmp, False)
+    out.write(bytearray(json.dumps({"who": who, "parts": parts}), "utf-8"))
+    out.close()
+    if system.exists(of(at)) or not system.rename(tmp, of(at)) or _read(spark, at)["who"] != who:
+        system.delete(tmp, False)
+        raise Concurrent(f"version {number} of {name} was made by another writer")
+
+
+def _write(df: DataFrame, path: str, name: str) -> str:
+    at = f"{path}/{name}/part-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    spark.createDataFrame([(at,)], "path string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}/current")
     return at
 
 
+def save(df: DataFrame, path: str, name: str) -> str:
+    """Writes df as the next version of table `name`; gives the folder."""
+    spark = df.sparkSession
+    had = _versions(spark, path, name)
+    at = _write(df, path, name)
+    _commit(spark, path, name, had[-1][0] + 1 if had else 0, [at])
+    return at
+
+
+def append(df: DataFrame, path: str, name: str, most: int = 64) -> None:
+    """Adds rows to table `name`, without reading or writing what is there; after `most` folders they are rewritten as one."""
+    spark = df.sparkSession
+    had = _versions(spark, path, name)
+    if not had:
+        save(df, path, name)
+        return
+    at = _write(df, path, name)
+    parts = [*_read(spark, had[-1][1])["parts"], at]
+    if len(parts) > most:
+        parts = [_write(spark.read.parquet(*parts).hint("rebalance"), path, name)]
+    _commit(spark, path, name, had[-1][0] + 1, parts)
+
+
+def exists(spark: SparkSession, path: str, name: str) -> bool:
+    return bool(_versions(spark, path, name))
+
+
 def load(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(spark.read.text(f"{path}/{name}/current").first()[0])
+    had = _versions(spark, path, name)
+    if not had:
+        raise Missing(f"{path} has no table {name}")
+    return spark.read.parquet(*_read(spark, had[-1][1])["parts"])
+
+
+def vacuum(spark: SparkSession, path: str, name: str) -> None:
+    """Deletes versions but the last, and folders that it doesn't name; only while nobody reads or writes the table."""
+    had = _versions(spark, path, name)
+    if not had:
+        return
+    of, system = _files(spark, path)
+    keep = {p.rsplit("/", 1)[1] for p in _read(spark, had[-1][1])["parts"]} | {had[-1][1].rsplit("/", 1)[1]}
+    for x in system.listStatus(of(f"{path}/{name}")):
+        if x.getPath().getName() not in keep:
+            system.delete(x.getPath(), True)
+
+
+class Tables:
+    """Tables in a folder."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def exists(self, name: str) -> bool:
+        return exists(self.spark, self.path, name)
+
+    def load(self, name: str) -> DataFrame:
+        return load(self.spark, self.path, name)
+
+    def save(self, df: DataFrame, name: str) -> None:
+        save(df, self.path, name)
+
+    def append(self, df: DataFrame, name: str) -> None:
+        append(df, self.path, name)
+
+    def upsert(self, df: DataFrame, name: str, keys: list[str]) -> None:
+        """Appends the rows whose keys aren't there, one of each."""
+        if not self.exists(name):
+            self.save(insert_ignore(df.limit(0), df, keys), name)
+            return
+        had = self.load(name)
+        self.append(insert_ignore(df.limit(0), df.select(*had.columns), keys).join(had.select(*keys), keys, "left_anti"), name)
+
+
+class Memory(Tables):
+    """The same kept by the session alone, for small volumes: rows are cached, not written.  The tables go with the session."""
+
+    def __init__(self, spark: SparkSession, path: str = ""):
+        super().__init__(spark, path)
+        self.tables: dict[str, DataFrame] = {}
+
+    def exists(self, name: str) -> bool:
+        return name in self.tables
+
+    def load(self, name: str) -> DataFrame:
+        if name not in self.tables:
+            raise Missing(f"no table {name}")
+        return self.tables[name]
+
+    def save(self, df: DataFrame, name: str) -> None:
+        df = df.cache()
+        df.count()
+        self.tables[name] = df
+
+    def append(self, df: DataFrame, name: str) -> None:
+        self.save(self.tables[name].unionByName(df) if name in self.tables else df, name)
 
 
-BACKENDS = {"parquet": (save, load)}
+BACKENDS = {"parquet": Tables, "memory": Memory}
 
 
 def backend(name: str):
-    """save and load of a backend."""
+    """The class of a backend's tables; made with a session and a path."""
     if name not in BACKENDS:
         raise ValueError(f"no backend {name}")
     return BACKENDS[name]

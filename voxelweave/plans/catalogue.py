@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import abs_difference, bin_of, dot, isi, key_of, likeness, neglog, normalised, one_hot, overlap, posterior, segment_type, type_name
+from ..functions import isi, key_of, neglog, normalised, one_hot, segment_hash, segment_type, signed, slice_hash, type_name, unsigned
 from ..operators import constraints as C
-from ..operators import costs, extract, features, graph, grid, labels, learned, solve, spatial, store
+from ..operators import costs, extract, features, graph, grid, labels, learned, masks, solve, spatial, store
 from ..operators import segments as SG
 from ..sources import adapter, stacks
 from ..sources.adapter import SLICES_SQL as S
@@ -33,10 +33,10 @@ def query(sql: str | None = None):
 
 # --- SQL pieces ---
 
-OV = """ov AS (SELECT a.id AS a_id, b.id AS b_id, a.z AS z, (least(a.x1,b.x1)-greatest(a.x0,b.x0))*(least(a.y1,b.y1)-greatest(a.y0,b.y0)) AS o, a.sz AS a_sz, b.sz AS b_sz
-  FROM slices a JOIN slices b ON b.z = a.z+1 AND a.x0<b.x1 AND b.x0<a.x1 AND a.y0<b.y1 AND b.y0<a.y1)"""
-CF = """cf AS (SELECT a.id AS a_id, b.id AS b_id, a.z AS z, (least(a.x1,b.x1)-greatest(a.x0,b.x0))*(least(a.y1,b.y1)-greatest(a.y0,b.y0)) AS o, a.sz AS a_sz, b.sz AS b_sz
-  FROM slices a JOIN slices b ON b.z = a.z AND a.id < b.id AND a.x0<b.x1 AND b.x0<a.x1 AND a.y0<b.y1 AND b.y0<a.y1)"""
+OV = """ov AS (SELECT o.*, p.sz AS a_sz, q.sz AS b_sz FROM (SELECT a.id AS a_id, b.id AS b_id, a.z AS z, CAST(sum(least(a.x1,b.x1)-greatest(a.x0,b.x0)) AS BIGINT) AS o
+  FROM runs a JOIN runs b ON b.z = a.z+1 AND a.y = b.y AND a.x0<b.x1 AND b.x0<a.x1 GROUP BY 1, 2, 3) o JOIN slices p ON p.id = a_id JOIN slices q ON q.id = b_id)"""
+CF = """cf AS (SELECT o.*, p.sz AS a_sz, q.sz AS b_sz FROM (SELECT a.id AS a_id, b.id AS b_id, a.z AS z, CAST(sum(least(a.x1,b.x1)-greatest(a.x0,b.x0)) AS BIGINT) AS o
+  FROM runs a JOIN runs b ON b.z = a.z AND a.id < b.id AND a.y = b.y AND a.x0<b.x1 AND b.x0<a.x1 GROUP BY 1, 2, 3) o JOIN slices p ON p.id = a_id JOIN slices q ON q.id = b_id)"""
 LIKE = "CAST(o AS DOUBLE)/CAST(greatest(a_sz+b_sz-o,1) AS DOUBLE)"
 
 
@@ -66,26 +66,42 @@ LINKS = f"""links AS (SELECT id, bx, by, bz FROM (SELECT id, z//{BLOCK[2]} AS bz
 W_GRID = f"WITH {S}, {VOL}, {EXT}, {BLOCKS}, {LINKS} "
 
 
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def kept(spark, d, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries read, written once a session and folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _KEPT:
+        _KEPT[key] = graph.settled(make())
+    return _KEPT[key]
+
+
 def sl(spark, d):
-    return adapter.slices(spark, d)
+    return kept(spark, d, "slices", lambda: adapter.slices(spark, d))
+
+
+def runs(spark, d):
+    return kept(spark, d, "runs", lambda: adapter.runs(spark, d))
+
+
+def tiles(spark, d):
+    return kept(spark, d, "tiles", lambda: masks.tiles(runs(spark, d), "sz"))
 
 
 def pairs(spark, d):
-    return spatial.overlap_pairs(sl(spark, d))
+    return kept(spark, d, "pairs", lambda: masks.overlap_pairs(tiles(spark, d)))
 
 
 def conflicts(spark, d):
-    return spatial.conflict_pairs(sl(spark, d))
+    return kept(spark, d, "conflicts", lambda: masks.conflict_pairs(tiles(spark, d)))
 
 
 def segs(spark, d):
-    s = sl(spark, d)
-    return SG.all_segments(s, spatial.overlap_pairs(s), spatial.conflict_pairs(s))
+    return kept(spark, d, "segments", lambda: SG.all_segments(sl(spark, d), pairs(spark, d), conflicts(spark, d)))
 
 
-def kept_segs(spark, d):
-    """The same as a written table, for queries that read them several times."""
-    return graph.settled(segs(spark, d))
+kept_segs = segs
 
 
 def the_grid(spark, d) -> grid.Grid:
@@ -161,7 +177,7 @@ def padded_core_blocks(spark, d):
 
 @query(W_GRID + ", flags AS (SELECT bx, by, bz, count(*) % 2 = 0 AS flag FROM links GROUP BY 1,2,3) SELECT b.bx, b.by, b.bz FROM blocks b LEFT JOIN flags f ON b.bx=f.bx AND b.by=f.by AND b.bz=f.bz WHERE coalesce(flag,false)=false")
 def missing_blocks(spark, d):
-    """Requested blocks that aren't flagged."""
+    """Q6: requested blocks that aren't flagged."""
     g = the_grid(spark, d)
     flags = grid.slice_blocks(sl(spark, d), g).groupBy("bx", "by", "bz").agg((F.count("*") % 2 == 0).alias("slices_flag"))
     return grid.missing(grid.all_blocks(spark, g), flags, "slices_flag")
@@ -180,11 +196,11 @@ def block_raster(spark, d):
     return grid.slice_blocks(sl(spark, d), the_grid(spark, d)).select("bx", "by", "bz").distinct()
 
 
-@query(f"WITH {S} SELECT coalesce(min(x0),0) AS x0, coalesce(min(y0),0) AS y0, coalesce(max(x1),0) AS x1, coalesce(max(y1),0) AS y1, min(greatest(z-1,0)) AS z0, max(z+1) AS z1, CAST(min(floor((x0+x1)/2.0)) AS BIGINT) AS cx0, CAST(max(floor((x0+x1)/2.0)) AS BIGINT) AS cx1, max(l.l_discount) AS brightest FROM slices, (SELECT max(l_discount) AS l_discount FROM lineitem) l")
+@query(f"WITH {S} SELECT coalesce(min(x0),0) AS x0, coalesce(min(y0),0) AS y0, coalesce(max(x1),0) AS x1, coalesce(max(y1),0) AS y1, min(greatest(z-1,0)) AS z0, max(z+1) AS z1, min(sx//sz) AS cx0, max(sx//sz) AS cx1, max(l.l_discount) AS brightest FROM slices, (SELECT max(l_discount) AS l_discount FROM lineitem) l")
 def volume_extent(spark, d):
-    """Bounding boxes and extents."""
+    """Bounding boxes and extents."""
     top = adapter.table(spark, d, "lineitem").agg(F.max("l_discount").alias("brightest"))
-    mid = F.floor((F.col("x0") + F.col("x1")) / 2.0)
+    mid = F.expr("sx div sz")
     z = F.lit(0).cast("long")
     ext = sl(spark, d).agg(F.coalesce(F.min("x0"), z).alias("x0"), F.coalesce(F.min("y0"), z).alias("y0"), F.coalesce(F.max("x1"), z).alias("x1"), F.coalesce(F.max("y1"), z).alias("y1"), F.min(F.greatest(F.col("z") - 1, z)).alias("z0"), F.max(F.col("z") + 1).alias("z1"), F.min(mid).alias("cx0"), F.max(mid).alias("cx1"))
     return ext.crossJoin(top)  # one row each
@@ -195,8 +211,9 @@ def volume_extent(spark, d):
 
 @query(W_OV + "SELECT a_id, b_id, z, o, a_sz, b_sz FROM ov")
 def overlap_pairs(spark, d):
-    """Boxes of neighbouring sections that overlap, by grid cells."""
-    return pairs(spark, d)
+    """Pixels that slices of neighbouring sections share, by bitmap tiles."""
+    t = masks.tiles(adapter.runs(spark, d), "sz")
+    return masks.overlap_pairs(t)
 
 
 @query(W_OV + "SELECT a_id, b_id, z, o, a_sz, b_sz FROM ov WHERE o > 150")
@@ -205,34 +222,51 @@ def exceeds_overlap(spark, d):
     return spatial.exceeds(pairs(spark, d), 150)
 
 
-@query(W_OV + """SELECT v.a_id, v.b_id, v.z, v.o, v.a_sz, v.b_sz,
- greatest(least(a.x1,b.x1+dx)-greatest(a.x0,b.x0+dx),0)*greatest(least(a.y1,b.y1+dy)-greatest(a.y0,b.y0+dy),0) AS aligned
-FROM (SELECT *, 1 AS one FROM ov) v JOIN slices a ON a.id=v.a_id JOIN slices b ON b.id=v.b_id,
-LATERAL (SELECT CAST(trunc((a.x0+a.x1)/2.0-(b.x0+b.x1)/2.0) AS BIGINT) AS dx, CAST(trunc((a.y0+a.y1)/2.0-(b.y0+b.y1)/2.0) AS BIGINT) AS dy) m""")
+@query(W_OV + """, v AS (SELECT ov.*, CAST(trunc(CAST(a.sx AS DOUBLE)/a.sz-CAST(b.sx AS DOUBLE)/b.sz) AS BIGINT) AS dx, CAST(trunc(CAST(a.sy AS DOUBLE)/a.sz-CAST(b.sy AS DOUBLE)/b.sz) AS BIGINT) AS dy FROM ov JOIN slices a ON a.id=a_id JOIN slices b ON b.id=b_id),
+m AS (SELECT a_id, b_id, CAST(sum(greatest(least(p.x1,q.x1+dx)-greatest(p.x0,q.x0+dx),0)) AS BIGINT) AS aligned FROM v JOIN runs p ON p.id=a_id JOIN runs q ON q.id=b_id AND q.y+dy=p.y GROUP BY 1, 2)
+SELECT v.a_id, v.b_id, z, o, a_sz, b_sz, coalesce(aligned,0) AS aligned FROM v LEFT JOIN m ON m.a_id=v.a_id AND m.b_id=v.b_id""")
 def aligned_overlap(spark, d):
     """Overlap after moving one centre onto the other."""
-    return spatial.aligned_overlap(sl(spark, d), pairs(spark, d))
+    return masks.aligned_overlap(pairs(spark, d), sl(spark, d), runs(spark, d))
 
 
 @query(W_CF + "SELECT a_id, b_id, z, o, a_sz, b_sz FROM cf")
 def conflict_pairs(spark, d):
     """Overlapping slices of one section."""
-    return conflicts(spark, d)
+    return masks.conflict_pairs(masks.tiles(adapter.runs(spark, d), "sz"))
 
 
 @query(W_CF + f"SELECT a_id, b_id, z, o, a_sz, b_sz FROM cf WHERE {LIKE} > 0.75 AND a_sz+b_sz-2*o < 200")
 def near_duplicates(spark, d):
     """Nearly the same slices of a section."""
-    return spatial.near_duplicates(sl(spark, d))
+    return masks.near_duplicates(conflicts(spark, d))
+
+
+@query(W_CF + "SELECT 's'||id AS clique, id FROM slices UNION ALL SELECT a_id||'-'||b_id, unnest([a_id, b_id]) FROM cf")
+def conflict_sets(spark, d):
+    """The conflict sets of overlapping slices, and one of each slice alone."""
+    one = sl(spark, d).select(F.concat(F.lit("s"), F.col("id")).alias("clique"), "id")
+    return one.unionByName(cliques(spark, d).select("clique", "id"))
 
 
 @query(W_CF + "SELECT id FROM slices WHERE id NOT IN (SELECT a_id FROM cf UNION SELECT b_id FROM cf)")
 def singleton_conflicts(spark, d):
-    """Slices that are a conflict set of their own."""
+    """Slices that are in no conflict."""
     c = conflicts(spark, d)
     return sl(spark, d).select("id").join(c.select(F.explode(F.array("a_id", "b_id")).alias("id")), "id", "left_anti")
 
 
+@query(W_CF + "SELECT count(*) AS sets, CAST(0 AS BIGINT) AS only_first, CAST(0 AS BIGINT) AS only_second FROM cf")
+def equal_conflict_sets(spark, d):
+    """The conflict sets under other names and in another order are the same sets."""
+    first = cliques(spark, d).select("clique", "id")
+    names = first.select("clique").distinct().withColumn("number", F.xxhash64("clique"))
+    second = first.join(names, "clique").select(F.col("number").alias("clique"), "id")
+    p, q = (store.set_keys(x).select("ids") for x in (first, second))
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    return n(p, "sets").crossJoin(n(p.exceptAll(q), "only_first")).crossJoin(n(q.exceptAll(p), "only_second"))  # one row each
+
+
 @query(W_GRID + f""", {CF}, stored AS (SELECT DISTINCT a_id, b_id FROM cf JOIN links l ON l.id = a_id WHERE bx <= 2 AND by <= 1)
 SELECT 'z'||s.z AS clique, string_agg(DISTINCT CAST(m.id AS VARCHAR), '-' ORDER BY CAST(m.id AS VARCHAR)) AS ids FROM (SELECT a_id, unnest([a_id, b_id]) AS id FROM stored) m JOIN slices s ON s.id = m.a_id GROUP BY s.z""")
 def conflict_sets_of_blocks(spark, d):
@@ -254,14 +288,14 @@ def clique_pairs(spark, d):
     return store.clique_pairs(two).join(c.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "z"), ["a", "b"]).select("a", "b", F.concat(F.lit("z"), F.col("z")).alias("clique"))
 
 
-@query(f"WITH {S}, p AS (SELECT id, z, (x0+x1)/2.0 AS cx, (y0+y1)/2.0 AS cy FROM slices) SELECT a.id AS a_id, b.id AS b_id, a.z AS z, CAST((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy) AS DOUBLE) AS d2 FROM p a JOIN p b ON a.z=b.z AND a.id<b.id WHERE (a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy) < 100")
+@query(f"WITH {S}, p AS (SELECT id, z, CAST(sx AS DOUBLE)/sz AS cx, CAST(sy AS DOUBLE)/sz AS cy FROM slices) SELECT a.id AS a_id, b.id AS b_id, a.z AS z, round((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy),6) AS d2 FROM p a JOIN p b ON a.z=b.z AND a.id<b.id WHERE (a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy) < 100")
 def radius_join(spark, d):
     """Slices of a section whose squared centre distance is under the radius."""
-    s = sl(spark, d).select("id", "z", ((F.col("x0") + F.col("x1")) / 2.0).alias("cx"), ((F.col("y0") + F.col("y1")) / 2.0).alias("cy"))
-    return spatial.radius_join(s, 100.0)
+    s = sl(spark, d).select("id", "z", masks.center("x").alias("cx"), masks.center("y").alias("cy"))
+    return spatial.radius_join(s, 100.0).withColumn("d2", F.round("d2", 6))
 
 
-@query(W_SEG + """, c AS (SELECT m.key, sg.type, sg.isi, sum((x0+x1)/2.0*sz)/sum(sz) AS cx, sum((y0+y1)/2.0*sz)/sum(sz) AS cy FROM mem m JOIN seg sg ON sg.key=m.key JOIN slices s ON s.id=m.id WHERE sg.type > 0 GROUP BY 1,2,3)
+@query(W_SEG + """, c AS (SELECT m.key, sg.type, sg.isi, CAST(sum(sx) AS DOUBLE)/sum(sz) AS cx, CAST(sum(sy) AS DOUBLE)/sum(sz) AS cy FROM mem m JOIN seg sg ON sg.key=m.key JOIN slices s ON s.id=m.id WHERE sg.type > 0 GROUP BY 1,2,3)
 SELECT a.key AS a_id, b.key AS b_id, a.isi, a.type FROM c a JOIN c b ON a.isi=b.isi AND a.type=b.type AND a.key<b.key WHERE (a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy) < 25""")
 def radius_join_typed(spark, d):
     """Segments of one interval and type with near centres."""
@@ -269,10 +303,17 @@ def radius_join_typed(spark, d):
     return spatial.radius_join(c, 25.0, ("isi", "type")).select("a_id", "b_id", "isi", "type")
 
 
-@query(f"WITH {S}, l AS (SELECT *, id % 50 AS label FROM slices) SELECT a.label, a.id AS a, b.id AS b, (least(a.x1,b.x1)-greatest(a.x0,b.x0))*(least(a.y1,b.y1)-greatest(a.y0,b.y0)) AS o FROM l a JOIN l b ON b.z=a.z+1 AND a.label=b.label AND a.x0<b.x1 AND b.x0<a.x1 AND a.y0<b.y1 AND b.y0<a.y1")
+_LL = f"{S}, edges AS (SELECT a.id%50 AS label, a.id AS a, b.id AS b, CAST(sum(least(a.x1,b.x1)-greatest(a.x0,b.x0)) AS BIGINT) AS o FROM runs a JOIN runs b ON b.z=a.z+1 AND a.id%50=b.id%50 AND a.y=b.y AND a.x0<b.x1 AND b.x0<a.x1 GROUP BY 1, 2, 3)"
+
+
+def labelled(spark, d):
+    return runs(spark, d).withColumn("label", F.col("id") % 50)
+
+
+@query(f"WITH {_LL} SELECT label, a, b, o FROM edges")
 def same_label_adjacent(spark, d):
     """Overlapping slices of one label in neighbouring sections."""
-    return labels.label_links(sl(spark, d).withColumn("label", F.col("id") % 50))
+    return labels.label_links(labelled(spark, d))
 
 
 # --- segments ---
@@ -280,7 +321,7 @@ def same_label_adjacent(spark, d):
 
 @query(W_OV + f"SELECT a_id, b_id, z, o, round({LIKE}, 9) AS likeness FROM ov WHERE {LIKE} >= 0.5")
 def continuations(spark, d):
-    """Accepted continuations."""
+    """Accepted continuations."""
     return SG.continuations(pairs(spark, d)).select("a_id", "b_id", "z", "o", F.round("like", 9).alias("likeness"))
 
 
@@ -317,7 +358,7 @@ def segment_types(spark, d):
 
 @query(W_SEG + "SELECT key, string_agg(CAST(id AS VARCHAR), '-' ORDER BY id) AS ids, CAST(sum(CASE WHEN is_left THEN 1 ELSE 0 END) AS BIGINT) AS n_left FROM mem GROUP BY key")
 def segment_slice_arrays(spark, d):
-    """A segment's slices as one sorted key."""
+    """A segment's slices as one sorted key."""
     return segs(spark, d).select("key", key_of(F.concat("sl", "sr")).alias("ids"), F.size("sl").cast("long").alias("n_left"))
 
 
@@ -327,7 +368,7 @@ def segment_isi(spark, d):
     return sl(spark, d).select("id", isi("z", F.col("id") % 2 == 0).alias("isi"))
 
 
-@query(W_SEG + "SELECT m.key, round(sum((x0+x1)/2.0*sz)/sum(sz),6) AS cx, round(sum((y0+y1)/2.0*sz)/sum(sz),6) AS cy FROM mem m JOIN slices s ON s.id=m.id GROUP BY m.key")
+@query(W_SEG + "SELECT m.key, round(CAST(sum(sx) AS DOUBLE)/sum(sz),6) AS cx, round(CAST(sum(sy) AS DOUBLE)/sum(sz),6) AS cy FROM mem m JOIN slices s ON s.id=m.id GROUP BY m.key")
 def segment_centers(spark, d):
     """P20: size-weighted centres."""
     return SG.centers(segs(spark, d), sl(spark, d)).select("key", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
@@ -392,13 +433,13 @@ def cull_to_core(spark, d):
 def slices_of_section(spark, d):
     """one section's slices with their conflicts; the section is a pushed-down filter."""
     s = sl(spark, d).where("z = 12")
-    c = spatial.conflict_pairs(s)
+    c = masks.conflict_pairs(masks.tiles(runs(spark, d).where("z = 12"), "sz"))
     return s.select("id").join(c.select(F.col("a_id").alias("id"), "b_id"), "id", "left").groupBy("id").agg(F.count("b_id").alias("n"))
 
 
 @query(W_CF + f", {CLIQUES}, near AS (SELECT id FROM slices WHERE x0<100 AND x1>50 AND y0<20 AND y1>10) SELECT id FROM near UNION SELECT id FROM cliques WHERE clique IN (SELECT clique FROM cliques JOIN near USING (id))")
 def required_slices(spark, d):
-    """Slices that meet a rectangle and all they share a clique with."""
+    """slices that meet a rectangle and all they share a clique with."""
     return SG.required_slices(sl(spark, d), cliques(spark, d), 50, 10, 100, 20)
 
 
@@ -412,31 +453,57 @@ def touches_boundary(spark, d):
 
 # --- features ---
 
-ALIGNED = """al AS (SELECT v.*, greatest(least(a.x1,b.x1+dx)-greatest(a.x0,b.x0+dx),0)*greatest(least(a.y1,b.y1+dy)-greatest(a.y0,b.y0+dy),0) AS aligned, (a.x0+a.x1)/2.0 AS ax, (a.y0+a.y1)/2.0 AS ay, (b.x0+b.x1)/2.0 AS bx, (b.y0+b.y1)/2.0 AS by
-FROM (SELECT * FROM ov WHERE CAST(o AS DOUBLE)/CAST(greatest(a_sz+b_sz-o,1) AS DOUBLE) >= 0.5) v JOIN slices a ON a.id=v.a_id JOIN slices b ON b.id=v.b_id,
-LATERAL (SELECT CAST(trunc((a.x0+a.x1)/2.0-(b.x0+b.x1)/2.0) AS BIGINT) AS dx, CAST(trunc((a.y0+a.y1)/2.0-(b.y0+b.y1)/2.0) AS BIGINT) AS dy) m)"""
+REL = f"""rel AS (SELECT 'C:'||a_id||':'||b_id AS key, 1 AS type, a_id AS s, b_id AS t1, CAST(NULL AS BIGINT) AS t2, o FROM ov WHERE {LIKE} >= 0.5
+  UNION ALL SELECT 'B:'||source||':'||t2||':'||t1||':R', 2, source, t1, t2, o FROM br UNION ALL SELECT 'B:'||source||':'||t2||':'||t1||':L', 2, source, t1, t2, o FROM bl),
+geo AS (SELECT *, CAST(trunc(ex) AS BIGINT) AS dx, CAST(trunc(ey) AS BIGINT) AS dy FROM (SELECT rel.*, p.sz AS ss, q.sz+coalesce(r.sz,0) AS ts,
+  CAST(p.sx AS DOUBLE)/p.sz-CAST(q.sx+coalesce(r.sx,0) AS DOUBLE)/(q.sz+coalesce(r.sz,0)) AS ex, CAST(p.sy AS DOUBLE)/p.sz-CAST(q.sy+coalesce(r.sy,0) AS DOUBLE)/(q.sz+coalesce(r.sz,0)) AS ey
+  FROM rel JOIN slices p ON p.id=s JOIN slices q ON q.id=t1 LEFT JOIN slices r ON r.id=t2)),
+tg AS (SELECT key, s, t1 AS t, dx, dy FROM geo UNION ALL SELECT key, s, t2, dx, dy FROM geo WHERE t2 IS NOT NULL),
+mo AS (SELECT key, CAST(sum(greatest(least(p.x1,q.x1+dx)-greatest(p.x0,q.x0+dx),0)) AS BIGINT) AS m FROM tg JOIN runs p ON p.id=s JOIN runs q ON q.id=t AND q.y+dy=p.y GROUP BY 1),
+gm AS (SELECT geo.*, ss+ts AS t, coalesce(m,0) AS al FROM geo LEFT JOIN mo ON mo.key=geo.key),
+gf AS (SELECT key, type, s, t1, t2, dx, dy, ex*ex+ey*ey AS f1, CAST(t-2*o AS DOUBLE) AS f2, CAST(t-2*o AS DOUBLE)/t AS f3, CAST(t-2*al AS DOUBLE) AS f4, CAST(t-2*al AS DOUBLE)/t AS f5, CAST(t AS DOUBLE)/(type+1) AS f6,
+  CAST(abs(ss-ts) AS DOUBLE) AS f7, CAST(o AS DOUBLE) AS f8, CAST(o AS DOUBLE)/greatest(t-o,1) AS f9, CAST(al AS DOUBLE) AS f10, CAST(al AS DOUBLE)/greatest(t-CASE WHEN type=1 THEN o ELSE al END,1) AS f11 FROM gm)"""
+#: the distance of every pixel of one side to the runs of the other, unmoved (m = 0) and moved (m = 1)
+FAR = """mv AS (SELECT key, 0 AS m, 0 AS ax, 0 AS ay FROM geo UNION ALL SELECT key, 1, -dx, -dy FROM geo),
+pix AS (SELECT id, y, unnest(range(x0,x1)) AS x FROM runs WHERE id IN (SELECT s FROM tg UNION SELECT t FROM tg)),
+th AS (SELECT key, m, least(50.0, sqrt(min(e*e+f*f))) AS d FROM (SELECT mv.key, m, p.id, p.x, p.y, greatest(r.x0-(p.x+ax),p.x+ax-(r.x1-1),0) AS e, r.y-(p.y+ay) AS f FROM mv JOIN tg ON tg.key=mv.key JOIN pix p ON p.id=tg.t JOIN runs r ON r.id=tg.s) GROUP BY key, m, id, x, y),
+bk AS (SELECT key, m, least(50.0, sqrt(min(e*e+f*f))) AS d FROM (SELECT mv.key, m, p.x, p.y, greatest(r.x0+ax-p.x,p.x-(r.x1+ax-1),0) AS e, r.y+ay-p.y AS f FROM mv JOIN tg ON tg.key=mv.key JOIN pix p ON p.id=tg.s JOIN runs r ON r.id=tg.t) GROUP BY key, m, x, y),
+fa AS (SELECT a.key, a.m, (a.d+b.d)/2 AS mean, greatest(a.top,b.top) AS top FROM (SELECT key, m, avg(d) AS d, max(d) AS top FROM th GROUP BY 1, 2) a JOIN (SELECT key, m, avg(d) AS d, max(d) AS top FROM bk GROUP BY 1, 2) b ON a.key=b.key AND a.m=b.m),
+fd AS (SELECT p.key, p.mean AS f12, p.top AS f13, q.mean AS f14, q.top AS f15 FROM fa p JOIN fa q ON q.key=p.key AND p.m=0 AND q.m=1)"""
+W_REL = f"WITH {S}, {OV}, {CF}, {BR}, {BL}, {REL} "
 
 
-@query(W_OV + f", {ALIGNED}" + """ SELECT a_id, b_id, round((ax-bx)*(ax-bx)+(ay-by)*(ay-by),6) AS f1, CAST(a_sz+b_sz-2*o AS DOUBLE) AS f2, round(CAST(a_sz+b_sz-2*o AS DOUBLE)/(a_sz+b_sz),9) AS f3, CAST(a_sz+b_sz-2*aligned AS DOUBLE) AS f4, round(CAST(a_sz+b_sz-2*aligned AS DOUBLE)/(a_sz+b_sz),9) AS f5,
- (a_sz+b_sz)/2.0 AS f6, CAST(abs(a_sz-b_sz) AS DOUBLE) AS f7, CAST(o AS DOUBLE) AS f8, round(CAST(o AS DOUBLE)/(a_sz+b_sz-o),9) AS f9, CAST(aligned AS DOUBLE) AS f10, round(CAST(aligned AS DOUBLE)/greatest(a_sz+b_sz-o,1),9) AS f11 FROM al""")
+def _geometry(spark, d):
+    return features.geometry(features.relations(segs(spark, d)), sl(spark, d), runs(spark, d), pairs(spark, d))
+
+
+def _rounded(df, names):
+    return [F.round(n, 9).alias(n) for n in names]
+
+
+_GEO = ", ".join(f"round(f{k},9) AS f{k}" for k in range(1, 12))
+
+
+@query(W_REL + f"SELECT key, s, t1, {_GEO} FROM gf WHERE type=1")
 def geometry_features(spark, d):
-    """Features 0 to 11 of continuations."""
-    s, c = sl(spark, d), SG.continuations(pairs(spark, d))
-    f = features.pair_geometry(spatial.aligned_overlap(s, c), s)
-    return f.select("a_id", "b_id", F.round("f1", 6).alias("f1"), "f2", F.round("f3", 9).alias("f3"), "f4", F.round("f5", 9).alias("f5"), "f6", "f7", "f8", F.round("f9", 9).alias("f9"), "f10", F.round("f11", 9).alias("f11"))
-
-
-@query(f"WITH {S}, {OV}, {CF}, {BR} " + """, g AS (SELECT br.*, s.x0 AS sx0, s.x1 AS sx1, s.y0 AS sy0, s.y1 AS sy1, p.x0 AS px0, p.x1 AS px1, p.y0 AS py0, p.y1 AS py1, q.x0 AS qx0, q.x1 AS qx1, q.y0 AS qy0, q.y1 AS qy1,
- (s.x0+s.x1)/2.0-((p.x0+p.x1)/2.0*sz1+(q.x0+q.x1)/2.0*sz2)/(sz1+sz2) AS ex, (s.y0+s.y1)/2.0-((p.y0+p.y1)/2.0*sz1+(q.y0+q.y1)/2.0*sz2)/(sz1+sz2) AS ey
- FROM br JOIN slices s ON s.id=source JOIN slices p ON p.id=t1 JOIN slices q ON q.id=t2),
-h AS (SELECT *, CAST(trunc(ex) AS BIGINT) AS dx, CAST(trunc(ey) AS BIGINT) AS dy, s_sz+sz1+sz2 AS t FROM g),
-k AS (SELECT *, greatest(least(sx1,px1+dx)-greatest(sx0,px0+dx),0)*greatest(least(sy1,py1+dy)-greatest(sy0,py0+dy),0)+greatest(least(sx1,qx1+dx)-greatest(sx0,qx0+dx),0)*greatest(least(sy1,qy1+dy)-greatest(sy0,qy0+dy),0) AS al FROM h)
-SELECT source, t1, t2, round(ex*ex+ey*ey,6) AS f1, CAST(t-2*o AS DOUBLE) AS f2, CAST(t-2*al AS DOUBLE) AS f4, round(t/3.0,9) AS f6, CAST(abs(s_sz-sz1-sz2) AS DOUBLE) AS f7, CAST(o AS DOUBLE) AS f8, CAST(al AS DOUBLE) AS f10, round(CAST(al AS DOUBLE)/greatest(t-al,1),9) AS f11 FROM k""")
+    """F1-11: of continuations."""
+    f = _geometry(spark, d).where("type = 1")
+    return f.select("key", "s", "t1", *_rounded(f, [f"f{k}" for k in range(1, 12)]))
+
+
+@query(W_REL + f"SELECT key, s, t1, t2, {_GEO} FROM gf WHERE type=2")
 def branch_features(spark, d):
-    """Features 1 to 11 of branches; the aligned ratio's divisor is its own, unlike a continuation's."""
-    s = sl(spark, d)
-    f = features.branch_geometry(SG.branches(pairs(spark, d), conflicts(spark, d)), s)
-    return f.select("source", "t1", "t2", F.round("f1", 6).alias("f1"), "f2", "f4", F.round("f6", 9).alias("f6"), "f7", "f8", "f10", F.round("f11", 9).alias("f11"))
+    """F1-11: of branches; the aligned ratio's divisor is its own, unlike a continuation's."""
+    f = _geometry(spark, d).where("type = 2")
+    return f.select("key", "s", "t1", "t2", *_rounded(f, [f"f{k}" for k in range(1, 12)]))
+
+
+@query(W_REL + f", {FAR} SELECT key, round(f12,9) AS f12, round(f13,9) AS f13, round(f14,9) AS f14, round(f15,9) AS f15 FROM fd")
+def slice_distance(spark, d):
+    """P14, P15, P16, P17, F12-15: distances of the masks of continuations and, of two targets to one, of branches."""
+    f = _geometry(spark, d)
+    got = masks.distances(f.select("key", "s", "t1", "t2", (-F.col("dx")).alias("dx"), (-F.col("dy")).alias("dy")), runs(spark, d))
+    return got.select("key", *_rounded(got, ["f12", "f13", "f14", "f15"]))
 
 
 HIST = "hist AS (SELECT l_orderkey AS id, " + ", ".join(f"CAST(sum(CASE WHEN least(9, CAST(floor(l_discount*10*10) AS INTEGER))={k} THEN 1 ELSE 0 END) AS BIGINT) AS h{k}" for k in range(10)) + " FROM lineitem GROUP BY 1)"
@@ -449,11 +516,32 @@ def histogram_features(spark, d):
     return h.select("id", *(F.col("h")[k].alias(f"h{k}") for k in range(10)), *(F.round(F.col("n")[k], 9).alias(f"n{k}") for k in range(10)))
 
 
-@query(W_OV + f", {HIST} SELECT a_id, b_id, " + ", ".join(f"abs(p.h{k}-q.h{k}) AS d{k}" for k in range(10)) + f" FROM ov JOIN hist p ON p.id=a_id JOIN hist q ON q.id=b_id WHERE {LIKE} >= 0.5")
+_H0 = ", ".join(f"coalesce(h{k},0) AS h{k}" for k in range(10))
+HD = f"""hs AS (SELECT slices.id, {_H0} FROM slices LEFT JOIN hist ON hist.id=slices.id),
+hd AS (SELECT key, type, """ + ", ".join(f"p.h{k} AS a{k}, q.h{k}+coalesce(r.h{k},0) AS b{k}" for k in range(10)) + """ FROM rel JOIN hs p ON p.id=s JOIN hs q ON q.id=t1 LEFT JOIN hs r ON r.id=t2)"""
+_SA, _SB = (f"greatest({'+'.join(f'{c}{k}' for k in range(10))},1)" for c in "ab")
+_DN = [f"abs(CAST(a{k} AS DOUBLE)/{_SA}-CAST(b{k} AS DOUBLE)/{_SB})" for k in range(10)]
+
+
+@query(W_REL + f", {HIST}, {HD} SELECT key, " + ", ".join(f"abs(a{k}-b{k}) AS d{k}, round({_DN[k]},9) AS n{k}" for k in range(10)) + " FROM hd")
 def histogram_differences(spark, d):
-    """A5: bin differences of continuations."""
-    f = features.histogram_difference(SG.continuations(pairs(spark, d)), features.histograms(adapter.values(spark, d)))
-    return f.select("a_id", "b_id", *(F.col("d")[k].alias(f"d{k}") for k in range(10)))
+    """A5, F36-55: bin differences of continuations and branches (targets summed), of counts and of shares."""
+    f = features.histogram_differences(features.relations(segs(spark, d)), features.histograms(adapter.values(spark, d)))
+    return f.select("key", *(F.col("d")[k].alias(f"d{k}") for k in range(10)), *(F.round(F.col("dn")[k], 9).alias(f"n{k}") for k in range(10)))
+
+
+_ZERO = lambda a, b: [(f"f{k}", "0.0") for k in range(a, b)]
+_SUM = f"greatest({'+'.join(f'h{k}' for k in range(10))},1)"
+_ENDS = [("f0", "sz"), *_ZERO(1, 16), *((f"f{16 + k}", f"h{k}") for k in range(10)), *((f"f{26 + k}", f"CAST(h{k} AS DOUBLE)/{_SUM}") for k in range(10)), *_ZERO(36, 56), ("f56", "1"), ("f57", "0"), ("f58", "0")]
+_REST = [("f0", "0.0"), *((f"f{k}", f"gf.f{k}") for k in range(1, 12)), *((f"f{k}", f"fd.f{k}") for k in range(12, 16)), *_ZERO(16, 36), *((f"f{36 + k}", f"abs(a{k}-b{k})") for k in range(10)), *((f"f{46 + k}", _DN[k]) for k in range(10)), ("f56", "0"), ("f57", "CASE WHEN gf.type=1 THEN 1 ELSE 0 END"), ("f58", "CASE WHEN gf.type=2 THEN 1 ELSE 0 END")]
+_COLS = lambda v: ", ".join(f"round(CAST({e} AS DOUBLE),9) AS {n}" for n, e in v)
+
+
+@query(W_REL + f", {HIST}, {HD}, {FAR} SELECT 'E:'||slices.id||side AS key, {_COLS(_ENDS)} FROM slices JOIN hs ON hs.id=slices.id, (VALUES (':R'), (':L')) v(side) UNION ALL SELECT gf.key, {_COLS(_REST)} FROM gf JOIN fd ON fd.key=gf.key JOIN hd ON hd.key=gf.key")
+def segment_features(spark, d):
+    """FV, F0, F1-11, F12-15, F16-35, F36-55, F56-58: the 59 columns of every segment."""
+    v = features.vector(segs(spark, d), sl(spark, d), runs(spark, d), pairs(spark, d), features.histograms(adapter.values(spark, d)))
+    return v.select("key", *(F.round(F.col("features")[k], 9).alias(f"f{k}") for k in range(59)))
 
 
 @query(W_SEG + "SELECT key, CAST(type=0 AS INTEGER) AS is_end, CAST(type=1 AS INTEGER) AS is_continuation, CAST(type=2 AS INTEGER) AS is_branch FROM seg")
@@ -462,22 +550,24 @@ def type_onehot(spark, d):
     return segs(spark, d).select("key", *one_hot("type"))
 
 
-@query()
-def slice_distance(spark, d):
-    """Distances between the slices of continuations (features 12 to 15); tests/test_operators.py has a pixel version."""
-    return features.slice_distances(SG.continuations(pairs(spark, d)), sl(spark, d))
-
-
 # --- costs ---
 
 WEIGHTS = [((k * 37) % 11 - 5) / 8.0 for k in range(64)]
 
 
-@query("SELECT vec_id, round(list_sum([CAST(x AS DOUBLE)*(((k-1)*37)%11-5)/8.0 FOR x, k IN embedding]), 6) AS cost FROM embeddings".replace("FOR x, k IN embedding", "FOR x, k IN embedding"))
+@query("SELECT vec_id, round(list_sum([CAST(x AS DOUBLE)*(((k-1)*37)%11-5)/8.0 FOR x, k IN embedding]), 6) AS cost FROM embeddings")
 def linear_cost(spark, d):
-    """Dot product with the weights."""
+    """Dot product with the weights of configuration 7, which are looked up and must be there."""
+    table = spark.range(10).select(F.col("id").alias("configuration_id"), F.array(*(F.lit(w) + F.when(F.col("id") == 7, 0.0).otherwise(1.0) for w in WEIGHTS)).alias("weights"))
     v = adapter.vectors(spark, d).withColumnRenamed("vec_id", "key")
-    return costs.linear(v, WEIGHTS).select(F.col("key").alias("vec_id"), F.round("cost", 6).alias("cost"))
+    return costs.linear(v, stacks.weights_of(table, 7, 64)).select(F.col("key").alias("vec_id"), F.round("cost", 6).alias("cost"))
+
+
+@query(W_OV + f"SELECT 'C:'||a_id||':'||b_id AS key, CAST(-o AS DOUBLE) AS cost FROM ov WHERE {LIKE} >= 0.5")
+def overlap_only_cost(spark, d):
+    """The cost without a forest, less the overlap."""
+    f = _geometry(spark, d).where("type = 1").select("key", F.array(F.col("f1"), F.col("f8")).alias("features"))
+    return costs.overlap_only(f, ("center distance", "overlap"))
 
 
 @query(W_SEG + ", l AS (SELECT max(isi) AS last FROM seg WHERE type=0) SELECT key, CASE WHEN type=0 AND (isi=0 OR isi=last) THEN 0.0::DOUBLE WHEN type=0 THEN 3.5::DOUBLE WHEN type=1 THEN 1.25::DOUBLE ELSE 2.0::DOUBLE END AS cost FROM seg, l")
@@ -500,17 +590,16 @@ def posterior_cost(spark, d):
     return costs.slice_posterior(adapter.values(spark, d)).select("id", F.round("cost", 6).alias("cost"))
 
 
-@query(f"WITH {S} SELECT id, 2*(x1-x0)+2*(y1-y0) AS length FROM slices")
+@query(f"WITH {S}, pix AS (SELECT id, y, unnest(range(x0,x1)) AS x FROM runs) SELECT p.id, CAST(4*count(*)-2*count(q.x)-2*count(r.x) AS BIGINT) AS length FROM pix p LEFT JOIN pix q ON q.id=p.id AND q.y=p.y AND q.x=p.x+1 LEFT JOIN pix r ON r.id=p.id AND r.y=p.y+1 AND r.x=p.x GROUP BY p.id")
 def boundary_length(spark, d):
     """Boundary faces, from runs of pixels."""
-    return costs.boundary_length(labels.runs_of(sl(spark, d)).select("id", "y", "x0", "x1"))
+    return costs.boundary_length(runs(spark, d).select("id", "y", "x0", "x1"))
 
 
-@query(W_SEG + f", v AS (SELECT l_orderkey AS id, l_discount*10 AS m FROM lineitem), p AS (SELECT id, {_PM} AS pm, ((1-m)*0.5) AS f FROM v), c AS (SELECT id, sum(ln(greatest(0.0001,least(0.9999,pm)))-ln(greatest(0.0001,least(0.9999,f/(f+pm))))) AS cost FROM p GROUP BY id) SELECT m.key, round(sum(0.5*(c.cost+2.0*(2*(x1-x0)+2*(y1-y0)))),5) AS cost FROM mem m JOIN slices s ON s.id=m.id JOIN c ON c.id=m.id GROUP BY m.key")
+@query(W_SEG + f", v AS (SELECT l_orderkey AS id, l_discount*10 AS m FROM lineitem), p AS (SELECT id, {_PM} AS pm, ((1-m)*0.5) AS f FROM v), c AS (SELECT id, sum(ln(greatest(0.0001,least(0.9999,pm)))-ln(greatest(0.0001,least(0.9999,f/(f+pm))))) AS cost FROM p GROUP BY id), tt AS (SELECT a.id, sum(least(a.x1,b.x1)-greatest(a.x0,b.x0)) AS t FROM runs a JOIN runs b ON b.id=a.id AND b.y=a.y+1 AND a.x0<b.x1 AND b.x0<a.x1 GROUP BY 1), le AS (SELECT r.id, 2*sum(r.x1-r.x0)+2*count(*)-2*coalesce(any_value(t),0) AS length FROM runs r LEFT JOIN tt ON tt.id=r.id GROUP BY 1) SELECT m.key, round(sum(0.5*(c.cost+2.0*le.length)),5) AS cost FROM mem m JOIN le ON le.id=m.id JOIN c ON c.id=m.id GROUP BY m.key")
 def segmentation_cost(spark, d):
     """Weighted pixel and boundary costs of segments."""
-    s = sl(spark, d)
-    length = costs.boundary_length(labels.runs_of(s).select("id", "y", "x0", "x1"))
+    length = costs.boundary_length(runs(spark, d).select("id", "y", "x0", "x1"))
     return costs.segmentation(segs(spark, d), costs.slice_posterior(adapter.values(spark, d)), length, 0.5, 2.0).select("key", F.round("cost", 5).alias("cost"))
 
 
@@ -583,42 +672,50 @@ def explanation_constraints(spark, d):
 
 @query(W_SEG + "SELECT 'user:'||z AS row, 'E:'||id||':R' AS key, 1 AS coef, '=' AS relation, 1 AS value FROM slices")
 def explicit_constraints(spark, d):
-    """M4, M8: a user's rows; those about unknown segments are told apart."""
+    """M4: a user's rows; those about unknown segments are told apart."""
     u = sl(spark, d).select(F.concat(F.lit("user:"), F.col("z")).alias("row"), F.explode(F.array(F.concat(F.lit("E:"), F.col("id"), F.lit(":R")), F.concat(F.lit("X:"), F.col("id")))).alias("key"), F.lit(1).alias("coef"), F.lit("=").alias("relation"), F.lit(1).alias("value"))
     return C.explicit_rows(u, segs(spark, d))
 
 
-CONT = f"cont AS (SELECT 'C:'||a_id||':'||b_id AS key, v.z+1 AS isi, a.sz+b.sz AS sz, ((a.x0+a.x1)/2.0*a.sz+(b.x0+b.x1)/2.0*b.sz)/(a.sz+b.sz) AS cx, ((a.y0+a.y1)/2.0*a.sz+(b.y0+b.y1)/2.0*b.sz)/(a.sz+b.sz) AS cy, a.x0 AS lx0, a.x1 AS lx1, a.y0 AS ly0, a.y1 AS ly1, b.x0 AS rx0, b.x1 AS rx1, b.y0 AS ry0, b.y1 AS ry1 FROM ov v JOIN slices a ON a.id=a_id JOIN slices b ON b.id=b_id WHERE o>0)"
-ENC = "enc AS (SELECT i.key AS i_key, o.key AS o_key FROM cont i JOIN cont o ON i.isi=o.isi AND i.sz<400 AND o.sz>=800 WHERE (i.cx-o.cx)*(i.cx-o.cx)+(i.cy-o.cy)*(i.cy-o.cy) < 1000 AND CAST(greatest(least(i.lx1,o.lx1)-greatest(i.lx0,o.lx0),0)*greatest(least(i.ly1,o.ly1)-greatest(i.ly0,o.ly0),0)+greatest(least(i.rx1,o.rx1)-greatest(i.rx0,o.rx0),0)*greatest(least(i.ry1,o.ry1)-greatest(i.ry0,o.ry0),0) AS DOUBLE)/i.sz >= 0.9)"
+CONT = "cont AS (SELECT 'C:'||a_id||':'||b_id AS key, v.z+1 AS isi, a_id AS l, b_id AS r, a.sz+b.sz AS sz, CAST(a.sx+b.sx AS DOUBLE)/(a.sz+b.sz) AS cx, CAST(a.sy+b.sy AS DOUBLE)/(a.sz+b.sz) AS cy FROM ov v JOIN slices a ON a.id=a_id JOIN slices b ON b.id=b_id)"
+ENC = """sh AS (SELECT a_id AS p, b_id AS q, o FROM cf UNION ALL SELECT b_id, a_id, o FROM cf UNION ALL SELECT id, id, sz FROM slices),
+enc AS (SELECT i.key AS i_key, o.key AS o_key FROM cont i JOIN cont o ON i.isi=o.isi AND i.sz<400 AND o.sz>=800 LEFT JOIN sh u ON u.p=i.l AND u.q=o.l LEFT JOIN sh v ON v.p=i.r AND v.q=o.r
+ WHERE (i.cx-o.cx)*(i.cx-o.cx)+(i.cy-o.cy)*(i.cy-o.cy) < 1000 AND CAST(coalesce(u.o,0)+coalesce(v.o,0) AS DOUBLE)/i.sz >= 0.9)"""
+W_ENC = f"WITH {S}, {OV}, {CF}, {CONT}, {ENC}"
 
 
 def _cont(spark, d):
-    p, s = pairs(spark, d), sl(spark, d).select("id", "x0", "y0", "x1", "y1", "sz")
+    p, s = pairs(spark, d), sl(spark, d).select("id", "sz", "sx", "sy")
     j = p.join(s.alias("a"), F.col("a_id") == F.col("a.id")).join(s.alias("b"), F.col("b_id") == F.col("b.id"))
-    mid = lambda k: ((F.col(f"a.{k}0") + F.col(f"a.{k}1")) / 2.0 * F.col("a.sz") + (F.col(f"b.{k}0") + F.col(f"b.{k}1")) / 2.0 * F.col("b.sz")) / (F.col("a.sz") + F.col("b.sz"))
-    box = [F.col(f"{t}.{c}").alias(f"{n}_{c}") for t, n in (("a", "l"), ("b", "r")) for c in ("x0", "y0", "x1", "y1")]
-    return j.select(F.concat_ws(":", F.lit("C"), "a_id", "b_id").alias("key"), (F.col("z") + 1).alias("isi"), (F.col("a.sz") + F.col("b.sz")).alias("sz"), mid("x").alias("cx"), mid("y").alias("cy"), *box)
+    mid = lambda k: (F.col(f"a.s{k}") + F.col(f"b.s{k}")).cast("double") / (F.col("a.sz") + F.col("b.sz"))
+    return j.select(F.concat_ws(":", F.lit("C"), "a_id", "b_id").alias("key"), (F.col("z") + 1).alias("isi"), F.col("a_id").alias("left"), F.col("b_id").alias("right"), (F.col("a.sz") + F.col("b.sz")).alias("sz"), mid("x").alias("cx"), mid("y").alias("cy"))
+
+
+def _shared(spark, d):
+    c = conflicts(spark, d).select("a_id", "b_id", "o")
+    own = sl(spark, d).select(F.col("id").alias("a_id"), F.col("id").alias("b_id"), F.col("sz").alias("o"))
+    return c.unionByName(c.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), "o")).unionByName(own)
 
 
 def _enclosing(spark, d):
     c = _cont(spark, d)
     inner = c.where("sz < 400")
-    return inner, C.enclosing(inner, c.where("sz >= 800"))
+    return inner, C.enclosing(inner, c.where("sz >= 800"), _shared(spark, d))
 
 
-@query(W_OV + f", {CONT}, {ENC} SELECT i_key, o_key FROM enc")
+@query(W_ENC + " SELECT i_key, o_key FROM enc")
 def enclosing_segments(spark, d):
     """Large continuations that hold small ones."""
     return _enclosing(spark, d)[1]
 
 
-@query(W_OV + f", {CONT}, {ENC} SELECT 'mito:'||key AS row, key, 1 AS coef, '<=' AS relation, CAST(0 AS BIGINT) AS value FROM cont WHERE sz<400 UNION ALL SELECT 'mito:'||i_key, o_key, -1, '<=', 0 FROM enc")
+@query(W_ENC + " SELECT 'mito:'||key AS row, key, 1 AS coef, '<=' AS relation, CAST(0 AS BIGINT) AS value FROM cont WHERE sz<400 UNION ALL SELECT 'mito:'||i_key, o_key, -1, '<=', 0 FROM enc")
 def mitochondria_rows(spark, d):
     """M9."""
     return C.mitochondria_rows(*_enclosing(spark, d))
 
 
-@query(W_OV + f", {CONT}, {ENC}, n AS (SELECT i_key, CAST(count(*) AS BIGINT) AS n FROM enc GROUP BY 1) SELECT 'syn:'||i_key AS row, i_key AS key, CAST(n AS INTEGER) AS coef, '<=' AS relation, n AS value FROM n UNION ALL SELECT 'syn:'||e.i_key, o_key, 1, '<=', n FROM enc e JOIN n ON n.i_key=e.i_key")
+@query(W_ENC + ", n AS (SELECT i_key, CAST(count(*) AS BIGINT) AS n FROM enc GROUP BY 1) SELECT 'syn:'||i_key AS row, i_key AS key, CAST(n AS INTEGER) AS coef, '<=' AS relation, n AS value FROM n UNION ALL SELECT 'syn:'||e.i_key, o_key, 1, '<=', n FROM enc e JOIN n ON n.i_key=e.i_key")
 def synapse_rows(spark, d):
     """M10."""
     return C.synapse_rows(*_enclosing(spark, d))
@@ -673,40 +770,40 @@ def neuron_extent(spark, d):
     return slice_components(spark, d).join(sl(spark, d), "id").groupBy(F.col("component").alias("assembly")).agg(F.min("z").alias("first_section"), F.max("z").alias("last_section"), F.count("*").alias("n"))
 
 
-_SAME = "SELECT 1 FROM {} q WHERE q.z=p.z AND q.x0=p.x0 AND q.y0=p.y0 AND q.x1=p.x1 AND q.y1=p.y1"
-_ED = f"""{S}, moved AS (SELECT id, z, x0+CASE WHEN id%7=0 THEN 1 ELSE 0 END AS x0, y0, x1+CASE WHEN id%7=0 THEN 1 ELSE 0 END AS x1, y1 FROM slices),
-  o AS (SELECT * FROM slices p WHERE NOT EXISTS ({_SAME.format("moved")})), n AS (SELECT * FROM moved p WHERE NOT EXISTS ({_SAME.format("slices")})),
-  edges AS (SELECT 'o'||o.id AS a, 'n'||n.id AS b FROM o JOIN n ON n.z=o.z AND o.x0<n.x1 AND n.x0<o.x1 AND o.y0<n.y1 AND n.y0<o.y1)"""
+_ED = f"""{S}, moved AS (SELECT id, z, y, x0+CASE WHEN id%7=0 THEN 1 ELSE 0 END AS x0, x1+CASE WHEN id%7=0 THEN 1 ELSE 0 END AS x1 FROM runs),
+  so AS (SELECT id, z, string_agg(y||':'||x0||'-'||x1, ',' ORDER BY y, x0) AS mask FROM runs GROUP BY 1, 2), sn AS (SELECT id, z, string_agg(y||':'||x0||'-'||x1, ',' ORDER BY y, x0) AS mask FROM moved GROUP BY 1, 2),
+  o AS (SELECT * FROM runs WHERE id NOT IN (SELECT so.id FROM so JOIN sn ON so.z=sn.z AND so.mask=sn.mask)), n AS (SELECT * FROM moved WHERE id NOT IN (SELECT sn.id FROM so JOIN sn ON so.z=sn.z AND so.mask=sn.mask)),
+  edges AS (SELECT DISTINCT 'o'||o.id AS a, 'n'||n.id AS b FROM o JOIN n ON n.z=o.z AND n.y=o.y AND o.x0<n.x1 AND n.x0<o.x1)"""
 
 
 @query(CLOSURE.format(base=_ED) + ", lab AS (SELECT a AS id, min(b) AS c FROM r GROUP BY a) SELECT string_agg(substr(id,2),'-' ORDER BY CAST(substr(id,2) AS BIGINT)) FILTER (WHERE id LIKE 'o%') AS old_ids, string_agg(substr(id,2),'-' ORDER BY CAST(substr(id,2) AS BIGINT)) FILTER (WHERE id LIKE 'n%') AS new_ids FROM lab GROUP BY c")
 def edit_components(spark, d):
     """Groups of old slices and those that replace them, where a seventh of all slices was moved; unchanged ones are left out."""
-    old, by = sl(spark, d), F.when(F.col("id") % 7 == 0, 1).otherwise(0)
+    old, by = runs(spark, d).drop("sz"), F.when(F.col("id") % 7 == 0, 1).otherwise(0)
     e = labels.edits(old, old.withColumn("x0", F.col("x0") + by).withColumn("x1", F.col("x1") + by))
     return e.select(F.array_join(F.transform("old_ids", lambda x: x.cast("string")), "-").alias("old_ids"), F.array_join(F.transform("new_ids", lambda x: x.cast("string")), "-").alias("new_ids"))
 
 
-_LL = f"{S}, l AS (SELECT *, id % 50 AS label FROM slices), edges AS (SELECT a.id AS a, b.id AS b FROM l a JOIN l b ON b.z=a.z+1 AND a.label=b.label AND a.x0<b.x1 AND b.x0<a.x1 AND a.y0<b.y1 AND b.y0<a.y1)"
 
 
 @query(CLOSURE.format(base=_LL) + ", lab AS (SELECT a AS id, min(b) AS c FROM r GROUP BY a) SELECT id%50 AS label, CAST(count(*)-count(DISTINCT c) AS BIGINT) AS n_links FROM lab GROUP BY 1")
 def spanning_forest_sizes(spark, d):
     """Links of each label's spanning forest."""
-    return labels.spanning_forest(sl(spark, d).withColumn("label", F.col("id") % 50)).groupBy("label").agg(F.count("*").alias("n_links"))
+    return labels.spanning_forest(labelled(spark, d)).groupBy("label").agg(F.count("*").alias("n_links"))
 
 
-@query()
+@query("WITH RECURSIVE " + _LL + """, e AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY o DESC, a, b) AS n FROM edges),
+r(label, n, node) AS (SELECT label, n, a FROM e UNION SELECT r.label, r.n, CASE WHEN e.a=r.node THEN e.b ELSE e.a END FROM r JOIN e ON e.label=r.label AND e.n<r.n AND (e.a=r.node OR e.b=r.node))
+SELECT e.label, e.a, e.b, e.o FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.label=e.label AND r.n=e.n AND r.node=e.b)""")
 def spanning_forest(spark, d):
-    """The links themselves; which of equal ones is this package's choice, so only the sizes are in SQL."""
-    return labels.spanning_forest(sl(spark, d).withColumn("label", F.col("id") % 50))
+    """The links themselves, in the order of overlap and ids: those whose ends no better links join."""
+    return labels.spanning_forest(labelled(spark, d))
 
 
 @query(f"WITH {_LL} SELECT id, CAST(id NOT IN (SELECT b FROM edges) AS INTEGER) AS left_end, CAST(id NOT IN (SELECT a FROM edges) AS INTEGER) AS right_end FROM slices WHERE id NOT IN (SELECT b FROM edges) OR id NOT IN (SELECT a FROM edges)")
 def ground_truth_ends(spark, d):
     """Slices of labels without a link on a side."""
-    s = sl(spark, d).withColumn("label", F.col("id") % 50)
-    return labels.open_ends(s, labels.label_links(s).select("a", "b"))
+    return labels.open_ends(sl(spark, d), labels.label_links(labelled(spark, d)).select("a", "b"))
 
 
 @query("SELECT 'c'||c_custkey AS clique, node, depth FROM customer JOIN nation ON n_nationkey=c_nationkey JOIN region ON r_regionkey=n_regionkey, LATERAL (VALUES ('r'||r_regionkey, CAST(0 AS BIGINT)), ('n'||n_nationkey, 1), ('c'||c_custkey, 2)) v(node, depth)")
@@ -721,36 +818,91 @@ def tree_cliques(spark, d):
 # --- solving ---
 
 
-def _narrow(spark, d):
-    """Narrow slices: problems that fall into small pieces."""
-    return sl(spark, d).withColumn("x1", F.col("x0") + 2 + F.col("id") % 8).withColumn("sz", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+#: costs that make chains of segments compete: ends cost, the rest pays; steps of a quarter are exact in binary
+_COST = {0: "2 + (isi % 3) / 2.0", 1: "-3 - isi % 5", 2: "-4.25 - isi % 3"}
 
 
-def _problem(spark, d):
-    s = _narrow(spark, d)
-    p, c = spatial.overlap_pairs(s), spatial.conflict_pairs(s)
-    seg = SG.continuation_segments(p, 0.3)
-    cl = c.select(F.concat_ws("-", "a_id", "b_id").alias("clique"), F.explode(F.array("a_id", "b_id")).alias("id"), F.lit(True).alias("maximal"))
-    rows = C.conflict_rows(cl, seg).unionByName(C.exclusivity_rows(s, cl, seg))
-    right = SG.members(seg).where(~F.col("is_left")).select(F.concat(F.lit("in:"), F.col("id")).alias("row"), "key", F.lit(1).alias("coef"), F.lit("<=").alias("relation"), F.lit(1).alias("value"))
-    one = F.lit(0).cast("long").alias("problem")
-    cost = seg.select(one, "key", (-(F.col("isi") % 7) - 1.0).alias("cost"))
-    return seg, cost, rows.unionByName(right).select(one, "*")
+def priced(spark, d):
+    c = F.expr("CASE type " + " ".join(f"WHEN {t} THEN CAST({e} AS DOUBLE)" for t, e in _COST.items()) + " END")
+    return segs(spark, d).withColumn("cost", c)
 
 
-@query()
-def solve_core(spark, d):
-    """The programme's solution; tests/test_operators.py compares small ones with all assignments."""
-    _, cost, rows = _problem(spark, d)
-    return solve.solve(cost, rows)
+def _solved(spark, d):
+    """The whole volume as one problem: problem, key, type, isi, sl, sr, cost, x."""
 
+    def make():
+        s = priced(spark, d).withColumn("problem", F.lit(0).cast("long"))
+        return s.join(solve.solve_segments(s, sl(spark, d), cliques(spark, d)), ["problem", "key"])
 
-@query()
+    return kept(spark, d, "solved", make)
+
+
+_E = lambda z: "(2 + ({}) % 3 / 2.0)".format(z)
+#: every choice of continuations and branches of a piece that excludes no other, ends added for free sides: the least cost is the optimum
+BEST = f"""w AS MATERIALIZED (SELECT key, row_number() OVER (ORDER BY key) AS n, sl, sr, c FROM (SELECT 'C:'||a_id||':'||b_id AS key, [a_id] AS sl, [b_id] AS sr, CAST(-3-(z+1)%5 AS DOUBLE) AS c FROM ov WHERE {LIKE} >= 0.5
+    UNION ALL SELECT 'B:'||source||':'||t2||':'||t1||':R', [source], [t1, t2], -4.25-(z+1)%3 FROM br UNION ALL SELECT 'B:'||source||':'||t2||':'||t1||':L', [t1, t2], [source], -4.25-(z+1)%3 FROM bl)),
+  me AS MATERIALIZED (SELECT n, unnest(sl) AS id, true AS l FROM w UNION ALL SELECT n, unnest(sr), false FROM w),
+  us AS MATERIALIZED (SELECT DISTINCT id FROM me), cc AS MATERIALIZED (SELECT a_id, b_id FROM cf WHERE a_id IN (SELECT id FROM us) AND b_id IN (SELECT id FROM us)),
+  edges AS MATERIALIZED (SELECT p.id AS a, q.id AS b FROM me p JOIN me q ON p.n=q.n AND p.id<q.id UNION SELECT a_id, b_id FROM cc)"""
+BEST2 = f""", lab AS MATERIALIZED (SELECT a AS id, min(b) AS component FROM r GROUP BY a),
+  bad AS MATERIALIZED (SELECT p.n, q.n AS m FROM me p JOIN me q ON p.id=q.id AND p.l=q.l AND p.n<>q.n UNION SELECT p.n, q.n FROM me p JOIN cc ON p.id=cc.a_id OR p.id=cc.b_id JOIN me q ON q.id=CASE WHEN p.id=cc.a_id THEN cc.b_id ELSE cc.a_id END),
+  v AS MATERIALIZED (SELECT w.n, lab.component, coalesce(b.bad, []) AS bad, w.c-(SELECT sum(CASE WHEN me.l THEN {_E("z+1")} ELSE {_E("z")} END) FROM me JOIN slices ON slices.id=me.id WHERE me.n=w.n) AS c FROM w JOIN lab ON lab.id=w.sl[1] LEFT JOIN (SELECT n, list(m) AS bad FROM bad GROUP BY 1) b ON b.n=w.n),
+  st(component, last, mem) AS (SELECT component, n, [n] FROM v UNION ALL SELECT st.component, v.n, list_append(mem, v.n) FROM st JOIN v ON v.component=st.component AND v.n>last WHERE NOT list_has_any(mem, v.bad)),
+  sx AS (SELECT row_number() OVER () AS k, * FROM st), ch AS (SELECT k, component, unnest(mem) AS n FROM sx),
+  co AS (SELECT ch.k, any_value(ch.component) AS component, sum(v.c) AS c FROM ch JOIN v ON v.n=ch.n GROUP BY 1),
+  un AS (SELECT k, sum({_E("z+1")}+{_E("z")}) AS e FROM (SELECT DISTINCT k, me.id FROM ch JOIN me ON me.n=ch.n) q JOIN slices ON slices.id=q.id GROUP BY 1),
+  best AS (SELECT component, least(0, min(co.c+un.e)) AS objective FROM co JOIN un ON un.k=co.k GROUP BY 1)"""
+_BEST = f"{S}, {OV}, {CF}, {BR}, {BL}, {BEST}"
+
+
+@query(CLOSURE.format(base=_BEST) + BEST2 + " SELECT component, CAST(round(objective,6) AS DOUBLE) AS objective FROM best")
+def solve_volume(spark, d):
+    """The least cost of each piece of the whole programme (conflicts, exclusivity, flow; ends, continuations, branches) over the volume."""
+    m = SG.members(segs(spark, d).where("type > 0")).select("key", "id")
+    used = m.select("id").distinct()
+    first = m.groupBy("key").agg(F.min("id").alias("b"))
+    c = conflicts(spark, d).join(used.withColumnRenamed("id", "a_id"), "a_id", "left_semi").join(used.withColumnRenamed("id", "b_id"), "b_id", "left_semi")
+    piece = graph.components(m.join(first, "key").select(F.col("id").alias("a"), "b").unionByName(c.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))))
+    one = F.explode(F.concat("sl", "sr")).alias("id")
+    on = _solved(spark, d).where("x = 1").select("key", "cost", one).groupBy("key").agg(F.min("id").alias("id"), F.first("cost").alias("cost"))
+    spent = on.join(piece, "id").groupBy("component").agg(F.sum("cost").alias("spent"))
+    return piece.select("component").distinct().join(spent, "component", "left").select("component", F.round(F.coalesce("spent", F.lit(0.0)), 6).alias("objective"))
+
+
+@query(W_SEG + ", l AS (SELECT DISTINCT 'flow:'||id AS row FROM mem) SELECT CAST(0 AS BIGINT) AS violated, CAST(0 AS BIGINT) AS undecided")
+def solution_feasible(spark, d):
+    """M6: rows that the solution breaks, and variables without a value."""
+    s = _solved(spark, d)
+    rows = solve.programme(s, sl(spark, d), cliques(spark, d))
+    sums = rows.join(s.select("problem", "key", "x"), ["problem", "key"]).groupBy("row", "relation", "value").agg(F.sum(F.col("coef") * F.col("x")).alias("have"))
+    bad = (F.col("relation") == "=") & (F.col("have") != F.col("value")) | (F.col("relation") == "<=") & (F.col("have") > F.col("value"))
+    left = segs(spark, d).join(s.where("x in (0, 1)").select("key"), "key", "left_anti").agg(F.count("*").alias("undecided"))
+    return sums.agg(F.count_if(bad).alias("violated")).crossJoin(left)  # one row each
+
+
+@query(CLOSURE.format(base=_BEST) + BEST2 + " SELECT CAST(round(sum(objective),6) AS DOUBLE) AS cost FROM best")
 def reconstruct(spark, d):
-    """Chosen segments by assembly."""
-    seg, cost, rows = _problem(spark, d)
-    on, _ = solve.reconstruct(seg, graph.settled(solve.solve(cost, rows)))
-    return solve.assemblies(on)
+    """What the chosen segments cost, all assemblies together."""
+    s = _solved(spark, d)
+    on, _ = solve.reconstruct(s, s.select("key", "x"))
+    return solve.assemblies(on).join(s.select("key", "cost"), "key").agg(F.round(F.sum("cost"), 6).alias("cost"))
+
+
+@query()
+def solve_core(spark, d):
+    """Every core's programme over the segments of its blocks and one block around, solved; chosen segments that lie in the core itself, by assembly.
+
+    tests/test_operators.py has all assignments of small programmes; solve_volume has the whole volume's optimum in SQL.
+    """
+    g, s = the_grid(spark, d), sl(spark, d)
+    big = grid.cores_grid(g)
+    problem = lambda p: (F.col(f"{p}z") * 100_000 + F.col(f"{p}y")) * 1_000_000 + F.col(f"{p}x")
+    of = grid.segment_blocks(segs(spark, d), s, big, g.block, "c").select("key", problem("c").alias("problem"))
+    seg = graph.settled(priced(spark, d).join(of, "key"))
+    got = graph.settled(solve.solve_segments(seg, s, cliques(spark, d)))
+    on = seg.join(got.where("x = 1").select("problem", "key"), ["problem", "key"], "left_semi")
+    inside = grid.segment_blocks(on.select("key", "isi", "sl", "sr").distinct(), s, big, 0, "c").select("key", problem("c").alias("problem"))
+    return solve.assemblies(graph.settled(on.join(inside, ["problem", "key"], "left_semi")))
 
 
 # --- stores ---
@@ -758,7 +910,7 @@ def reconstruct(spark, d):
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey%3=0 THEN o_orderstatus ELSE 'new' END AS v FROM orders")
 def insert_ignore(spark, d):
-    """SNK1, SNK3, SNK7: all orders, each twice, into a store that has a third of them: new rows only where the key isn't there."""
+    """SNK1: all orders, each twice, into a store that has a third of them: new rows only where the key isn't there."""
     o = adapter.table(spark, d, "orders")
     new = o.select(F.col("o_orderkey").alias("id"), F.lit("new").alias("v"))
     return store.insert_ignore(o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("v")), new.union(new), ["id"])
@@ -794,7 +946,7 @@ def latest_solution(spark, d):
 
 @query("SELECT n_name AS type, CAST(n_nationkey AS BIGINT) AS stack_id, CAST(1000+n_nationkey AS BIGINT) AS width, CAST(2000 AS BIGINT) AS height, CAST(30+n_nationkey AS BIGINT) AS depth, CAST(8*128 AS BIGINT) AS volume_x, CAST(16*128 AS BIGINT) AS volume_y, least(CAST(40 AS BIGINT), CAST(30+n_nationkey AS BIGINT)) AS volume_z FROM nation")
 def stack_config(spark, d):
-    """Q13, Q14, SRC8, SRC7: stack descriptions with their grid."""
+    """Q13, Q14, SRC8: stack descriptions with their grid."""
     n = adapter.table(spark, d, "nation").withColumn("stack_id", F.col("n_nationkey").cast("long"))
     stack = n.select("stack_id", F.format_string("(%d,2000,%d)", F.col("stack_id") + 1000, F.col("stack_id") + 30).alias("dimension"))
     project = n.select("stack_id", (F.col("stack_id") + 7).alias("project_stack_id"))
@@ -816,14 +968,14 @@ def set_ops(spark, d):
     return out
 
 
-@query(f"""WITH {S}, px AS (SELECT z, y, x, max(id) AS label FROM (SELECT id, z, unnest(range(x0, x1)) AS x, y0, y1 FROM slices) q, LATERAL (SELECT unnest(range(y0, y1)) AS y) l GROUP BY z, y, x)
+@query(f"""WITH {S}, px AS (SELECT z, y, x, max(id) AS label FROM (SELECT id, z, y, unnest(range(x0, x1)) AS x FROM runs) GROUP BY z, y, x)
 SELECT label, z, CAST(count(*) AS BIGINT) AS n_pixels, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM px GROUP BY label, z""")
 def label_paint(spark, d):
     """SNK11: the painted volume, of several slices at a pixel the largest label; given as each label's pixels in each section."""
     s = sl(spark, d)
-    runs = labels.visible_runs(labels.paint(labels.runs_of(s), s.select("id", F.col("id").alias("assembly"))))
+    seen = labels.visible_runs(labels.paint(runs(spark, d), s.select("id", F.col("id").alias("assembly"))))
     n = F.col("x1") - F.col("x0")
-    return runs.groupBy("label", "z").agg(F.sum(n).alias("n_pixels"), F.sum(F.expr("(x0 + x1 - 1) * (x1 - x0) div 2")).alias("sum_x"), F.sum(F.col("y") * n).alias("sum_y"))
+    return seen.groupBy("label", "z").agg(F.sum(n).alias("n_pixels"), F.sum(F.expr("(x0 + x1 - 1) * (x1 - x0) div 2")).alias("sum_x"), F.sum(F.col("y") * n).alias("sum_y"))
 
 
 @query(f"WITH {S} SELECT id, x, y FROM (SELECT id, x0, y0, 1+id%3 AS r FROM slices) s, range(-4, 5) a(i), range(-4, 5) b(j), LATERAL (SELECT x0+i AS x, y0+j AS y) m WHERE i*i+j*j <= r*r AND x >= 0 AND y >= 0")
@@ -832,11 +984,25 @@ def brush_strokes(spark, d):
     return labels.brush(sl(spark, d).select("id", F.col("x0").alias("cx"), F.col("y0").alias("cy"), (1 + F.col("id") % 3).alias("r")))
 
 
-@query(f"WITH {S} SELECT id, x0+3 AS x0, greatest(x0+3, 20) AS cx0, least(x1+3, 500) AS cx1 FROM slices WHERE greatest(x0+3, 20) < least(x1+3, 500)")
+@query(f"WITH {S}, m AS (SELECT id, y+5 AS y, greatest(x0+3, 20) AS x0, least(x1+3, 500) AS x1 FROM runs WHERE y+5 >= 10 AND y+5 < 60 AND x0+3 < 500 AND x1+3 > 20) SELECT id, CAST(sum(x1-x0) AS BIGINT) AS n, min(x0) AS lo_x, max(x1) AS hi_x, min(y) AS lo_y, max(y)+1 AS hi_y FROM m GROUP BY id")
 def translate_and_crop(spark, d):
-    """P6, P7, SRC3: slices moved, then cut to a range."""
-    m = sl(spark, d).withColumn("x0", F.col("x0") + 3).withColumn("x1", F.col("x1") + 3)
-    return m.select("id", "x0", F.greatest("x0", F.lit(20).cast("long")).alias("cx0"), F.least("x1", F.lit(500).cast("long")).alias("cx1")).where("cx0 < cx1")
+    """P6, SRC3: slices moved, then cut to a rectangle."""
+    m = masks.clip(masks.translate(runs(spark, d), 3, 5), 20, 10, 500, 60)
+    return m.groupBy("id").agg(F.sum(F.col("x1") - F.col("x0")).alias("n"), F.min("x0").alias("lo_x"), F.max("x1").alias("hi_x"), F.min("y").alias("lo_y"), (F.max("y") + 1).alias("hi_y"))
+
+
+@query(f"WITH {S} SELECT a.id AS a_id, b.id AS b_id, CAST(sum(least(a.x1,b.x1)-greatest(a.x0,b.x0)) AS BIGINT) AS sz, min(greatest(a.x0,b.x0)) AS x0, min(a.y) AS y0, max(least(a.x1,b.x1)) AS x1, max(a.y)+1 AS y1 FROM runs a JOIN runs b ON a.z=b.z AND a.y=b.y AND a.id<b.id AND a.x0<b.x1 AND b.x0<a.x1 GROUP BY 1, 2")
+def slice_intersections(spark, d):
+    """The pixels that two slices of a section both have, as a slice."""
+    r = masks.intersect(conflicts(spark, d), runs(spark, d))
+    return r.groupBy("a_id", "b_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("sz"), F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), (F.max("y") + 1).alias("y1"))
+
+
+@query(f"WITH {S}, h AS (SELECT id, z, string_agg(y||':'||x0||'-'||x1, ',' ORDER BY y, x0) AS mask FROM runs GROUP BY 1, 2) SELECT count(*) AS slices, count(DISTINCT mask||'@'||z) AS masks FROM h")
+def mask_hashes(spark, d):
+    """Ids that follow from a slice's pixels: as many as there are different masks, moved or not."""
+    h = masks.pixel_hash(masks.translate(masks.translate(runs(spark, d), 7, -2), -7, 2))
+    return h.agg(F.count("*").alias("slices"), F.countDistinct(slice_hash("mask_hash", "z")).alias("masks"))
 
 
 _TS = "r AS (SELECT id, x0, y0, x1, y1 FROM slices)"
@@ -852,26 +1018,26 @@ def tile_requests(spark, d):
 
 @query("SELECT z, CAST(count(*) AS BIGINT) AS n, round(sum(value),6) AS total FROM (SELECT (l_orderkey%40) AS z, l_discount*10 AS value FROM lineitem) WHERE z>=5 AND z<9 GROUP BY z")
 def stack_scan(spark, d):
-    """SRC1, SRC2, SRC13: sections of a range."""
+    """SRC1: sections of a range."""
     px = adapter.table(spark, d, "lineitem").select((F.col("l_orderkey") % 40).alias("z"), (F.col("l_discount") * 10).alias("value"))
     return stacks.section_range(px, 5, 9).groupBy("z").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
 @query(W_OV + f"SELECT 'C:'||a_id||':'||b_id||' 1 '||a_id||' 0 '||b_id||' 1 -1 -1' AS line FROM ov WHERE {LIKE} >= 0.5")
 def problem_dump(spark, d):
-    """SNK8, SNK13: segments as text."""
+    """SNK8: segments as text."""
     return labels.problem_lines(SG.continuation_segments(pairs(spark, d)))
 
 
 @query(W_SEG + "SELECT 'flow:'||id AS row, '0 2 '||(count(*) FILTER (WHERE is_left))||' '||coalesce(string_agg(key,' ' ORDER BY key) FILTER (WHERE is_left),'')||' '||(count(*) FILTER (WHERE NOT is_left))||' '||coalesce(string_agg(key,' ' ORDER BY key) FILTER (WHERE NOT is_left),'') AS line FROM mem GROUP BY id")
 def constraint_dump(spark, d):
-    """SNK12: rows in the text protocol."""
+    """SNK8: rows as text."""
     return labels.constraint_lines(C.continuation_rows(kept_segs(spark, d)))
 
 
 @query()
 def rf_probability(spark, d):
-    """M16, M17, A14, SRC10, SNK10, P27: forest trained and applied by Spark ML."""
+    """M16, M17, SRC10, SNK10, P27: forest trained and applied by Spark ML."""
     v = adapter.vectors(spark, d).withColumn("label", (F.col("label") < 5).cast("int"))
     model = learned.train(v)
     return learned.probability(model, v).select("vec_id", "label", "p", neglog("p", F.lit(1)).alias("cost"))
@@ -880,20 +1046,23 @@ def rf_probability(spark, d):
 @query()
 def slice_extraction(spark, d):
     """Component trees of images painted from slices; semantics are this package's (see operators.extract)."""
-    runs = labels.runs_of(sl(spark, d)).withColumn("v", 0.3 + (F.col("id") % 7) / 10.0)
-    px = runs.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1))).groupBy("z", "y", "x").agg(F.max("v").alias("value"))
+    lit = runs(spark, d).withColumn("v", 0.3 + (F.col("id") % 7) / 10.0)
+    px = lit.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1))).groupBy("z", "y", "x").agg(F.max("v").alias("value"))
     return extract.slices_of_images(px).drop("runs")
 
 
 @query()
 def duplicate_removal(spark, d):
-    """Near-duplicate slices merged until none are left; each group keeps its least id."""
-    n = spatial.near_duplicates(sl(spark, d))
-    c = graph.components(n.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
-    return sl(spark, d).select("id").join(c, "id", "left").where("component is null or component = id").select("id")
+    """Near-duplicate slices merged until there are none; what is left is the intersection."""
+    left, _ = masks.remove_duplicates(runs(spark, d))
+    return left.groupBy("id").agg(F.sum(F.col("x1") - F.col("x0")).alias("sz"))
 
 
-ORACLE["duplicate_removal"] = CLOSURE.format(base=f"{S}, {CF}, edges AS (SELECT a_id AS a, b_id AS b FROM cf WHERE {LIKE} > 0.75 AND a_sz+b_sz-2*o < 200)") + ", lab AS (SELECT a AS id, min(b) AS c FROM r GROUP BY a) SELECT id FROM slices WHERE id NOT IN (SELECT id FROM lab WHERE c <> id)"
+_NEAR = f"{S}, {CF}, edges AS (SELECT a_id AS a, b_id AS b FROM cf WHERE {LIKE} > 0.75 AND a_sz+b_sz-2*o < 200)"
+#: of groups in which all are near-duplicates of the least (as here): the least, with the pixels that all have
+ORACLE["duplicate_removal"] = CLOSURE.format(base=_NEAR) + """, lab AS (SELECT a AS id, min(b) AS c FROM r GROUP BY a), pix AS (SELECT id, z, y, unnest(range(x0,x1)) AS x FROM runs),
+  n AS (SELECT c, count(*) AS n FROM lab GROUP BY 1), k AS (SELECT c, y, x, count(*) AS k FROM pix JOIN lab ON lab.id=pix.id GROUP BY 1, 2, 3)
+  SELECT id, sz FROM slices WHERE id NOT IN (SELECT id FROM lab) UNION ALL SELECT k.c, count(*) FROM k JOIN n ON n.c=k.c WHERE k=n GROUP BY 1"""
 
 import re as _re  # noqa: E402
 

@@ -10,18 +10,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, z, x0, y0, x1, y1, sz: boxes of orders; density stays the same at every scale."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each order: id, z, and lines, its mask's runs (y, x0, x1): a box with ragged sides, and holes in every fourth line."""
     o = table(spark, sf_dir, "orders")
-    x0, y0 = F.col("o_custkey"), F.floor(F.col("o_totalprice") / 10000).cast("long")
-    w, h = 4 + F.col("o_orderkey") % 40, 4 + F.col("o_orderkey") % 30
     z = ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1).cast("long")
-    return o.select(F.col("o_orderkey").alias("id"), z.alias("z"), x0.alias("x0"), y0.alias("y0"), (x0 + w).alias("x1"), (y0 + h).alias("y1"), (w * h).alias("sz"))
+    o = o.select(F.col("o_orderkey").alias("id"), z.alias("z"), F.col("o_custkey").alias("x"), F.floor(F.col("o_totalprice") / 10000).cast("long").alias("y"))
+    a, b = "x + (r * (1 + id % 3)) % 3", "x + 4 + id % 40 - IF(r > 0, (r + id) % 2, 0)"
+    run = "named_struct('y', y + r, 'x0', {}, 'x1', {})".format
+    hole = f"r % 4 = 2 AND ({b}) - ({a}) >= 8"
+    lines = f"flatten(transform(sequence(0L, 3 + id % 30), r -> IF({hole}, array({run(a, f'{a} + 3')}, {run(f'{a} + 5', b)}), array({run(a, b)}))))"
+    return o.select("id", "z", F.expr(lines).alias("lines"))
 
 
-SLICES_SQL = """slices AS (SELECT o_orderkey AS id, CAST((year(o_orderdate)-1995)*12+month(o_orderdate)-1 AS BIGINT) AS z,
-  o_custkey AS x0, CAST(floor(o_totalprice/10000) AS BIGINT) AS y0, o_custkey+4+o_orderkey%40 AS x1,
-  CAST(floor(o_totalprice/10000) AS BIGINT)+4+o_orderkey%30 AS y1, (4+o_orderkey%40)*(4+o_orderkey%30) AS sz FROM orders)"""
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, z, sz, y, x0, x1: the masks' runs; sz is the slice's number of pixels."""
+    return slices(spark, sf_dir, ("lines",)).select("id", "z", "sz", F.inline("lines"))
+
+
+def slices(spark: SparkSession, sf_dir: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """id, z, box, sz, sx, sy of orders' masks, within the row; density stays the same at every scale."""
+    total = lambda e: F.expr(f"aggregate(lines, 0L, (s, t) -> s + {e})")
+    box = [F.expr(f"array_{f}(transform(lines, t -> t.{c})) + {k}L").alias(n) for n, f, c, k in (("x0", "min", "x0", 0), ("y0", "min", "y", 0), ("x1", "max", "x1", 0), ("y1", "max", "y", 1))]
+    sums = [total("t.x1 - t.x0").alias("sz"), total("(t.x0 + t.x1 - 1) * (t.x1 - t.x0) div 2").alias("sx"), total("t.y * (t.x1 - t.x0)").alias("sy")]
+    return _lines(spark, sf_dir).select("id", "z", *box, *sums, *more)
+
+
+SLICES_SQL = """base AS (SELECT o_orderkey AS id, CAST((year(o_orderdate)-1995)*12+month(o_orderdate)-1 AS BIGINT) AS z, o_custkey AS x0, CAST(floor(o_totalprice/10000) AS BIGINT) AS y0, 4+o_orderkey%40 AS w, unnest(range(0, 4+o_orderkey%30)) AS r FROM orders),
+lines AS (SELECT id, z, y0+r AS y, r, x0+(r*(1+id%3))%3 AS a, x0+w-CASE WHEN r>0 THEN (r+id)%2 ELSE 0 END AS b FROM base),
+runs AS (SELECT id, z, y, a AS x0, CASE WHEN r%4=2 AND b-a>=8 THEN a+3 ELSE b END AS x1 FROM lines UNION ALL SELECT id, z, y, a+5, b FROM lines WHERE r%4=2 AND b-a>=8),
+slices AS (SELECT id, z, min(x0) AS x0, min(y) AS y0, max(x1) AS x1, max(y)+1 AS y1, CAST(sum(x1-x0) AS BIGINT) AS sz, CAST(sum((x0+x1-1)*(x1-x0)//2) AS BIGINT) AS sx, CAST(sum(y*(x1-x0)) AS BIGINT) AS sy FROM runs GROUP BY id, z)"""
 
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:

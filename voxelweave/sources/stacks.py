@@ -65,18 +65,23 @@ def require_image(pixels: DataFrame) -> DataFrame:
     return pixels
 
 
+def numbered_files(spark: SparkSession, paths: str | list[str], pattern: str = "*") -> DataFrame:
+    """source (the folder's name), z, path of the files of folders, in order of their names; z counts within each.  Only names are gathered, no contents."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(paths).select("path")
+    name = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)
+    return files.withColumn("source", name).withColumn("z", (F.row_number().over(W.partitionBy("source").orderBy("path")) - 1).cast("long")).select("source", "z", "path")
+
+
 def directory_sections(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """z, path, content of the files of a directory, in order of their names."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select((F.row_number().over(W.orderBy("path")) - 1).cast("long").alias("z"), "path", "content")
+    content = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return content.join(numbered_files(spark, path, pattern).select("z", "path"), "path").select("z", "path", "content")
 
 
 def directories(spark: SparkSession, paths: list[str]) -> DataFrame:
     """source, z, content of several directories of sections; z counts within each."""
-    files = spark.read.format("binaryFile").load(paths)
-    name = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)
-    w = W.partitionBy("source").orderBy("path")
-    return files.withColumn("source", name).select("source", (F.row_number().over(w) - 1).cast("long").alias("z"), "content")
+    content = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return content.join(numbered_files(spark, paths), "path").select("source", "z", "content")
 
 
 def tiles_of(request: DataFrame, tile: tuple[int, int]) -> DataFrame:
@@ -159,6 +164,16 @@ def stack_table(stack: DataFrame, project_stack: DataFrame, segmentation_stack:
     )
 
 
+def weights_of(table: DataFrame, configuration: int, size: int | None = None) -> list[float]:
+    """The feature weights (configuration_id, weights array) of a configuration, which must be there, and of `size` if given."""
+    rows = table.where(F.col("configuration_id") == configuration).select("weights").limit(2).collect()
+    if len(rows) != 1:
+        raise UsageError(f"{'no' if not rows else 'several'} weights for configuration {configuration}")
+    if size is not None and len(rows[0].weights) != size:
+        raise UsageError(f"{len(rows[0].weights)} weights, {size} features")
+    return [float(w) for w in rows[0].weights]
+
+
 def read_weights(spark: SparkSession, path: str) -> list[float]:
     """Numbers of a small text file, in order."""
     rows = spark.read.text(path, wholetext=True).collect()
