@@ -8,57 +8,111 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelweave import streaming
-from voxelweave.engine import Engine, SliceParameters
-from voxelweave.operators import constraints, extract, features, graph, grid, labels, learned, segments, solve, spatial, store
+from voxelweave.engine import Engine, SliceParameters, SolutionParameters, get_log_level, set_log_level
+from voxelweave.operators import constraints, extract, features, graph, grid, labels, learned, masks, segments, solve, spatial, store
 from voxelweave.sources import stacks
 
-BOXES = "id long, z long, x0 long, y0 long, x1 long, y1 long, sz long"
+RUNS = "id long, z long, y long, x0 long, x1 long"
 
 
-def boxes(spark, n=120, seed=0, sections=4):
+def shapes(spark, n=120, seed=0, sections=4):
+    """Ragged masks with holes: their runs, their slices, and the pixels of each."""
     rng = np.random.default_rng(seed)
     rows = []
     for i in range(n):
         x, y, w, h = int(rng.integers(0, 120)), int(rng.integers(0, 60)), int(rng.integers(3, 30)), int(rng.integers(3, 25))
-        rows.append((i, int(rng.integers(sections)), x, y, x + w, y + h, w * h))
-    return spark.createDataFrame(rows, BOXES), rows
-
-
-def px(r):
-    return {(x, y) for x in range(r[2], r[4]) for y in range(r[3], r[5])}
+        z, lean = int(rng.integers(sections)), int(rng.integers(0, 3))
+        for r in range(h):
+            at = x + lean * r // 2
+            if w > 8 and r % 3 == 1:
+                rows += [(i, z, y + r, at, at + 3), (i, z, y + r, at + 6, at + w)]
+            else:
+                rows.append((i, z, y + r, at, at + w))
+    runs = masks.unite(spark.createDataFrame(rows, RUNS))
+    slices = masks.measure(runs).cache()
+    runs = runs.join(slices.select("id", "sz"), "id").cache()
+    pixels = {}
+    for i, z, y, x0, x1 in rows:
+        pixels.setdefault((i, z), set()).update((x, y) for x in range(x0, x1))
+    return runs, slices, pixels
+
+
+def hypotheses(slices, runs):
+    t = masks.tiles(runs, "sz")
+    return segments.all_segments(slices, masks.overlap_pairs(t), masks.conflict_pairs(t))
 
 
 def test_overlap_is_pixels(spark):
-    df, rows = boxes(spark)
-    want = {(a[0], b[0], len(px(a) & px(b))) for a in rows for b in rows if b[1] == a[1] + 1 and px(a) & px(b)}
-    assert {(r.a_id, r.b_id, r.o) for r in spatial.overlap_pairs(df).collect()} == want
-    assert {(r.a_id, r.b_id, r.o) for r in spatial.box_join(df, df, 1, cell=7).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), __import__("voxelweave.functions", fromlist=["overlap"]).overlap("a", "b").alias("o")).collect()} == want
+    runs, slices, px = shapes(spark)
+    assert {(r.id, r.z, r.sz, r.x0, r.y0, r.x1, r.y1) for r in slices.collect()} == {(i, z, len(p), min(x for x, _ in p), min(y for _, y in p), max(x for x, _ in p) + 1, max(y for _, y in p) + 1) for (i, z), p in px.items()}
+    t = masks.tiles(runs, "sz")
+    for dz, got in ((1, masks.overlap_pairs(t)), (0, masks.conflict_pairs(t))):
+        want = {(a, b, len(p & q)) for (a, z), p in px.items() for (b, y), q in px.items() if y == z + dz and (dz or a < b) and p & q}
+        assert {(r.a_id, r.b_id, r.o) for r in got.collect()} == want
+    both = masks.intersect(masks.conflict_pairs(t), runs).collect()
+    for (a, z), p in px.items():
+        for (b, y), q in px.items():
+            if y == z and a < b:
+                assert {(x, r.y) for r in both if (r.a_id, r.b_id) == (a, b) for x in range(r.x0, r.x1)} == p & q
+    boxes = slices.select("id", "z", "x0", "y0", "x1", "y1")
+    hits = {(r.a_id, r.b_id) for r in spatial.box_join(boxes, boxes, 1, cell=7).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")).collect()}
+    rows = boxes.collect()
+    assert hits == {(a.id, b.id) for a in rows for b in rows if b.z == a.z + 1 and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1}
+
+
+def test_diagonals(spark):
+    """Three thin diagonals, whose boxes overlap more than their pixels do."""
+    rows = [(k, 0, 10 * d + y, 10 * d + y + s, 10 * d + y + s + 1) for k, (d, s) in enumerate(((0, 0), (0, 1), (0, 0))) for y in range(20 if k < 2 else 40)]
+    runs = spark.createDataFrame(rows, RUNS).join(spark.createDataFrame([(0, 20), (1, 20), (2, 40)], "id long, sz long"), "id")
+    assert [(r.a_id, r.b_id, r.o) for r in masks.conflict_pairs(masks.tiles(runs, "sz")).collect()] == [(0, 2, 20)]
 
 
 @pytest.mark.parametrize("block", [(1000, 1000, 100), (16, 16, 2), (7, 5, 1)])
 def test_one_block_is_many(spark, block):
     """Hypotheses found block by block, each with what lies around it, are those of the whole."""
-    df, rows = boxes(spark)
-    whole = {r.key for r in segments.all_segments(df, spatial.overlap_pairs(df), spatial.conflict_pairs(df)).collect()}
-    g = grid.Grid(block, (160, 100, 4))
-    links = {(r.id, r.bx, r.by, r.bz) for r in grid.slice_blocks(df, g).collect()}
-    for i, z, x0, y0, x1, y1, _ in rows:
-        assert {b[1:] for b in links if b[0] == i} == {(bx, by, z // block[2]) for bx in range(x0 // block[0], (x1 - 1) // block[0] + 1) for by in range(y0 // block[1], (y1 - 1) // block[1] + 1)}
+    runs, slices, _ = shapes(spark)
+    g = grid.Grid(block, (180, 100, 4))
+    links = {(r.id, r.bx, r.by, r.bz) for r in grid.slice_blocks(slices, g).collect()}
+    for r in slices.collect():
+        assert {b[1:] for b in links if b[0] == r.id} == {(bx, by, r.z // block[2]) for bx in range(r.x0 // block[0], (r.x1 - 1) // block[0] + 1) for by in range(r.y0 // block[1], (r.y1 - 1) // block[1] + 1)}
     if block[0] == 16:
+        whole = {r.key for r in hypotheses(slices, runs).collect()}
         found = set()
         for z in range(2):
-            near = store.slices_by_blocks(df, grid.slice_blocks(df, g), grid.expand(grid.all_blocks(spark, g).where(F.col("bz") == z), (1, 1, 1), g))
-            found |= {r.key for r in segments.all_segments(near, spatial.overlap_pairs(near), spatial.conflict_pairs(near)).collect()}
+            near = store.slices_by_blocks(slices, grid.slice_blocks(slices, g), grid.expand(grid.all_blocks(spark, g).where(F.col("bz") == z), (1, 1, 1), g))
+            found |= {r.key for r in hypotheses(near, runs.join(near.select("id"), "id", "left_semi")).collect()}
         assert found == whole
 
 
 def test_distances():
+    """Mean and largest nearest-pixel distance, both ways, one or two targets, moved or not."""
     rng = np.random.default_rng(1)
-    for _ in range(20):
-        corner, size = rng.integers(0, 80, (2, 2)), rng.integers(2, 9, (2, 2))
-        a, b = ([int(v) for v in (*c, *(c + w))] for c, w in zip(corner, size))
-        pixels = [np.array([(x, y) for x in range(q[0], q[2]) for y in range(q[1], q[3])], float) for q in (a, b)]
-        assert features.box_distance(*a, *b) == pytest.approx(features.directed_distance(*pixels))
+
+    def mask():
+        x, y, h = int(rng.integers(0, 40)), int(rng.integers(0, 40)), int(rng.integers(2, 9))
+        return np.array([(y + r, x + r, x + r + int(rng.integers(1, 7))) for r in range(h)], np.int64)
+
+    def pixels(m, dx=0, dy=0):
+        return np.array([(x + dx, y + dy) for y, a, b in m for x in range(a, b)], float)
+
+    for k in range(20):
+        s, ts, (dx, dy) = mask(), [mask() for _ in range(1 + k % 2)], map(int, rng.integers(-5, 6, 2))
+        p, q = pixels(s), np.concatenate([pixels(t, dx, dy) for t in ts])
+        d = np.minimum(np.sqrt(((p[:, None] - q[None]) ** 2).sum(-1)), 50.0)
+        there, back = d.min(0), d.min(1)
+        assert masks.distance(s, ts, dx, dy, 50.0) == pytest.approx(((there.mean() + back.mean()) / 2, max(there.max(), back.max())))
+
+
+def test_duplicates_go_in_rounds(spark):
+    """A chain: 0-1 and 1-2 are near-duplicates, 0-2 are not; 1 goes into 0, and 2 then meets nothing that is near."""
+    side = lambda x: [(x + dx, y) for y in range(30) for dx in range(30)]
+    rows = [(i, 0, y, 4 * i, 4 * i + 30) for i in range(3) for y in range(30)]
+    left, gone = masks.remove_duplicates(spark.createDataFrame(rows, RUNS), 0.7, 400)
+    px = {}
+    for r in left.collect():
+        px.setdefault(r.id, set()).update((x, r.y) for x in range(r.x0, r.x1))
+    assert {tuple(r) for r in gone.collect()} == {(1, 0)}
+    assert px == {0: set(side(0)) & set(side(4)), 2: set(side(8))}
 
 
 def test_vector(spark):
@@ -135,8 +189,8 @@ def test_store_versions(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    df, _ = boxes(spark, 40)
-    g = grid.Grid((16, 16, 2), (160, 100, 4))
+    df = shapes(spark, 40)[1]
+    g = grid.Grid((16, 16, 2), (180, 100, 4))
     src = f"{tmp_path}/in"
     df.where("id < 20").write.parquet(src)
     for _ in range(2):
@@ -198,21 +252,69 @@ def test_forest_model(spark, tmp_path):
     assert np.mean([(r.p > 0.5) == r.label for r in p]) > 0.95 and learned.importances(m)[0] > 0.7
 
 
+def test_out_of_bag(spark):
+    """Every vote is of a tree that hasn't seen the row; labels that features settle are told, random ones are not."""
+    rng = np.random.default_rng(5)
+    x = rng.random((400, 2))
+    rows = [(k, [float(a), float(b)], int(a > 0.5)) for k, (a, b) in enumerate(x)]
+    votes = learned.out_of_bag(spark.createDataFrame(rows, "id long, features array<double>, label int"), 6)
+    got = learned.out_of_bag_error(votes).first()
+    assert got.error < 0.1 and 300 < got.rows <= 400  # a row escapes a tree with probability 0.37
+    noise = [(k, [float(a), float(b)], int(rng.integers(2))) for k, (a, b) in enumerate(x)]
+    assert learned.out_of_bag_error(learned.out_of_bag(spark.createDataFrame(noise, "id long, features array<double>, label int"), 6)).first().error > 0.35
+
+
+def an_engine(spark, path, backend="parquet", n=40):
+    runs, slices, _ = shapes(spark, n)
+    conf = stacks.ProjectConfiguration(backend=backend, path=str(path), block=(64, 64, 2), core=(1, 1, 1), volume=(180, 100, 4))
+    values = slices.select("id", ((F.col("id") % 10) / 10.0).alias("value"))
+    return Engine(spark, conf, runs, values), SliceParameters(1, 10_000)
+
+
+def table(e, name, *columns):
+    return sorted(tuple(r) for r in e.tables.load(name).select(*columns).collect())
+
+
+def test_engine_keeps_what_is_there(spark, tmp_path):
+    """Two calls on different blocks are one on both, a repeated call changes nothing, and only what was asked for is flagged."""
+    one, p = an_engine(spark, tmp_path / "one")
+    two, _ = an_engine(spark, tmp_path / "two")
+    every = grid.all_blocks(spark, one.grid)
+    lack = one.segments(every)
+    assert lack.count() == every.count()
+    assert one.slices(every, p).count() == 0
+    for half in ("bx = 0", "bx > 0", "bx > 0"):
+        assert two.slices(every.where(half), p).count() == 0
+        assert half != "bx = 0" or two.tables.load("slices_done").where("bx > 0").count() == 0
+    for name, columns in (("slices", ("id", "z", "sz")), ("links", ("id", "bx", "by", "bz")), ("runs", ("id", "y", "x0", "x1")), ("conflicts", ("a_id", "b_id", "o")), ("slices_done", ("bx", "by", "bz"))):
+        assert table(one, name, *columns) == table(two, name, *columns)
+    version = len(list((tmp_path / "two" / "slices").glob("version-*")))
+    two.slices(every, p)
+    assert len(list((tmp_path / "two" / "slices").glob("version-*"))) == version
+
+
 def test_engine(spark, tmp_path):
-    df, _ = boxes(spark, 60)
-    conf = stacks.ProjectConfiguration(path=str(tmp_path), block=(16, 16, 2), volume=(160, 100, 4))
-    assert pickle.loads(pickle.dumps(conf)) == conf
-    e = Engine(spark, conf)
-    e.slices(df, SliceParameters(1, 10_000))
-    blocks = grid.all_blocks(spark, e.grid)
-    assert e.segments(blocks).count() == 0
-    seg = store.load(spark, str(tmp_path), "segments")
-    cost = seg.select("key", F.when(F.col("type") == 1, -3.0).otherwise(0.5).alias("cost"))
-    got = e.solve(cost)
-    sol = store.load(spark, str(tmp_path), "solution")
-    assert got.count() == sol.where("x = 1").count() and sol.where("not optimal").count() == 0
-    ends = e.ground_truth(df.withColumn("label", F.col("id") % 3))
-    assert ends.count() > 0
+    """Solutions of cores: asked for again and again until all they need is there, feasible, and the same when asked for once more."""
+    e, p = an_engine(spark, tmp_path, "memory", 24)
+    assert pickle.loads(pickle.dumps(e.config)) == e.config
+    cores = spark.createDataFrame([(0, 0, 0), (1, 0, 0)], "cx long, cy long, cz long")
+    ask = SolutionParameters(padding=1)
+    price = lambda s: s.select("key", F.when(F.col("type") == 1, -3.0).otherwise(-0.25).alias("cost"))
+    e.slices(grid.all_blocks(spark, e.grid), p)
+    assert e.complete(lambda: e.solve(cores, ask, price), e.segments) == 2
+    first = sorted(map(tuple, e.solution(cores).collect()))
+    assert first
+    used = [i for r in e.solution(cores).select("cx", "key").distinct().join(e.tables.load("segments").select("key", "sl", "sr"), "key").collect() for i in [(r.cx, "l", i) for i in r.sl] + [(r.cx, "r", i) for i in r.sr]]
+    assert len(used) == len(set(used))
+    n = e.tables.load("solutions").count()
+    assert e.solve(cores, SolutionParameters(padding=1, read_costs=True)).count() == 0
+    assert sorted(map(tuple, e.solution(cores).collect())) == first and e.tables.load("solutions").count() == n
+    lack = e.ground_truth(cores, e.tables.load("slices").withColumn("label", F.col("id") % 3))
+    assert lack.count() == 0 and e.tables.load("truth_ends").count() > 0
+    with pytest.raises(stacks.UsageError):
+        e.solve(cores, ask)
+    set_log_level("WARNING")
+    assert get_log_level() == 30
 
 
 def test_visible_runs_are_the_painted_pixels(spark):

@@ -1064,6 +1064,131 @@ ORACLE["duplicate_removal"] = CLOSURE.format(base=_NEAR) + """, lab AS (SELECT a
   n AS (SELECT c, count(*) AS n FROM lab GROUP BY 1), k AS (SELECT c, y, x, count(*) AS k FROM pix JOIN lab ON lab.id=pix.id GROUP BY 1, 2, 3)
   SELECT id, sz FROM slices WHERE id NOT IN (SELECT id FROM lab) UNION ALL SELECT k.c, count(*) FROM k JOIN n ON n.c=k.c WHERE k=n GROUP BY 1"""
 
+# --- boxes, numbers, order, text and images of what is above ---
+
+
+@query(W_GRID + "SELECT coalesce(min(bx)*64,0) AS min_x, coalesce((max(bx)+1)*64,0) AS max_x, coalesce(min(by)*16,0) AS min_y, coalesce((max(by)+1)*16,0) AS max_y, coalesce(min(bz)*10,0) AS min_z, coalesce((max(bz)+1)*10,0) AS max_z FROM (SELECT bx, by, bz FROM links GROUP BY 1, 2, 3 HAVING count(*) % 3 = 1)")
+def block_bounds(spark, d):
+    """A1: the box around the blocks that hold a number of slices with remainder 1 by 3."""
+    g = the_grid(spark, d)
+    some = grid.slice_blocks(sl(spark, d), g).groupBy("bx", "by", "bz").agg(F.count("*").alias("n")).where("n % 3 = 1")
+    return grid.bounding_box(some.drop("n"), g)
+
+
+@query(W_SEG + "SELECT type, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, min(greatest(isi-1,0)) AS z0, max(isi+1) AS z1 FROM mem JOIN seg USING (key) JOIN slices USING (id) GROUP BY type")
+def segment_bounds(spark, d):
+    """A2, A3: the box around the segments of each type."""
+    b = SG.segment_boxes(segs(spark, d), sl(spark, d))
+    z = F.greatest(F.col("isi") - 1, F.lit(0).cast("long"))
+    return b.groupBy("type").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.min(z).alias("z0"), F.max(F.col("isi") + 1).alias("z1"))
+
+
+@query(W_GRID + "SELECT q.x, q.y, q.z, (bz*ey+by)*ex+bx AS block, CASE WHEN bx IS NULL THEN NULL ELSE (z//20*((ey+1)//2)+y//32)*((ex+1)//2)+x//128 END AS core FROM (SELECT CAST(l_suppkey*7 AS BIGINT) AS x, CAST(l_linenumber*9 AS BIGINT) AS y, CAST(l_orderkey%90 AS BIGINT) AS z FROM lineitem GROUP BY 1, 2, 3) q, ext LEFT JOIN blocks ON bx=q.x//64 AND by=q.y//16 AND bz=q.z//10")
+def block_numbers(spark, d):
+    """Number of the block and of the core at a place; none outside the volume."""
+    g = the_grid(spark, d)
+    big = grid.cores_grid(g)
+    at = adapter.table(spark, d, "lineitem").select((F.col("l_suppkey") * 7).cast("long").alias("x"), (F.col("l_linenumber") * 9).cast("long").alias("y"), (F.col("l_orderkey") % 90).cast("long").alias("z")).distinct()
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    here = at.select("*", *grid.block_at(x, y, z, g))
+    here = here.select("x", "y", "z", grid.valid(g).alias("ok"), grid.numbered(g).alias("block")).select("*", *grid.block_at(x, y, z, big))
+    return here.select("x", "y", "z", F.when(F.col("ok"), F.col("block")).alias("block"), F.when(F.col("ok"), grid.numbered(big)).alias("core"))
+
+
+@query(W_GRID + "SELECT (bz*ey+by)*ex+bx AS number, bx, by, bz FROM blocks, ext WHERE bx = 1 OR bz = 1 ORDER BY 1 LIMIT 3")
+def first_blocks(spark, d):
+    """The first three, in order, of the blocks that meet a condition."""
+    g = the_grid(spark, d)
+    return grid.all_blocks(spark, g).where("bx = 1 or bz = 1").select(grid.numbered(g).alias("number"), "bx", "by", "bz").orderBy("number").limit(3)
+
+
+@query(f"WITH {S}, {VOL} SELECT part, (v*n+d-1)//d AS most FROM (SELECT '1/2' AS part, 1 AS n, 2 AS d UNION ALL SELECT '2/3', 2, 3 UNION ALL SELECT '7/5', 7, 5) f, (SELECT vx AS v FROM vol) q")
+def grid_fractions(spark, d):
+    """P33: "n/d" of the volume's width, rounded up."""
+    width = the_grid(spark, d).volume[0]
+    return spark.createDataFrame([(t, grid.ceil_of(width, *grid.fraction(t))) for t in ("1/2", "2/3", "7/5")], "part string, most long")
+
+
+@query("SELECT id, CAST(CASE WHEN v<0 THEN v::HUGEINT+18446744073709551616 ELSE v END AS VARCHAR) AS as_unsigned, v AS as_signed FROM (SELECT o_orderkey AS id, (o_orderkey%1000-500)*18000000000000000 AS v FROM orders)")
+def id_forms(spark, d):
+    """Ids as unsigned numbers, and those as ids again."""
+    v = adapter.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") % 1000 - 500) * 18_000_000_000_000_000).alias("v"))
+    return v.select("id", unsigned("v").cast("string").alias("as_unsigned"), signed(unsigned("v")).alias("as_signed"))
+
+
+@query(W_OV + f"""SELECT a_id, b_id, z, row_number() OVER (PARTITION BY z ORDER BY o DESC, d2, a_id, b_id) AS place FROM (SELECT ov.*, pow(CAST(a.sx AS DOUBLE)/a.sz-CAST(b.sx AS DOUBLE)/b.sz, 2)+pow(CAST(a.sy AS DOUBLE)/a.sz-CAST(b.sy AS DOUBLE)/b.sz, 2) AS d2
+  FROM ov JOIN slices a ON a.id=a_id JOIN slices b ON b.id=b_id WHERE {LIKE} >= 0.5) q""")
+def continuation_order(spark, d):
+    """Continuations of a section by overlap, then by how near their centres are."""
+    return SG.rank_continuations(SG.continuations(pairs(spark, d)), sl(spark, d)).select("a_id", "b_id", "z", F.col("place").cast("long").alias("place"))
+
+
+@query(W_CF + ", near AS (SELECT id FROM slices WHERE x0<128 AND x1>64 AND y0<16 AND y1>0) SELECT id FROM near UNION SELECT b_id FROM cf JOIN near ON near.id=a_id UNION SELECT a_id FROM cf JOIN near ON near.id=b_id")
+def region_growth(spark, d):
+    """Slices that a block of every section needs whole, found in a region that grows until none touches its side; as many as the whole volume shows."""
+
+    def inside(rect):
+        cut = masks.clip(runs(spark, d), *rect)
+        seen = masks.conflict_pairs(masks.tiles(cut, "sz"))
+        return masks.measure(cut), seen.select(F.concat_ws("-", "a_id", "b_id").alias("clique"), F.explode(F.array("a_id", "b_id")).alias("id"))
+
+    ids, _ = SG.grown_region(inside, (1, 0, 2, 1), the_grid(spark, d))
+    return ids
+
+
+@query(W_SEG + """, u AS (SELECT 'ask:'||id%101 AS row, 'E:'||id||':R' AS key FROM slices UNION ALL SELECT 'ask:'||id%101, 'X:'||id FROM slices WHERE id%707=0), n AS (SELECT key, row_number() OVER (ORDER BY type, isi, key)-1 AS number FROM seg)
+SELECT u.row, n.number, 1 AS coef, '=' AS relation, 1 AS value FROM u JOIN n USING (key) WHERE u.row NOT IN (SELECT row FROM u WHERE key NOT IN (SELECT key FROM seg))""")
+def consistency_constraints(spark, d):
+    """M8: a user's rows over the variables' numbers; rows about a segment that isn't there are left out whole."""
+    i = F.col("id")
+    asked = F.array(F.concat(F.lit("E:"), i, F.lit(":R")), F.when(i % 707 == 0, F.concat(F.lit("X:"), i)))
+    u = sl(spark, d).select(F.concat(F.lit("ask:"), i % 101).alias("row"), F.explode(F.array_compact(asked)).alias("key"), F.lit(1).alias("coef"), F.lit("=").alias("relation"), F.lit(1).alias("value"))
+    return C.consistency_rows(u, C.variables(segs(spark, d)).select("key", "number"))
+
+
+@query(f"WITH {S} SELECT id, z, z||'_'||id||'.png' AS name, sz, x0, y0, x1, y1, sx, sy FROM slices")
+def slice_images(spark, d):
+    """SNK3, SNK9: slices as images with their place, as the store keeps them and the export names them, read back to pixels."""
+    images = masks.bitmaps(runs(spark, d).select("id", "z", "y", "x0", "x1"))
+    back = masks.measure(masks.runs_of_bitmaps(images)).withColumnRenamed("z", "bz")
+    return images.select("id", "z", "name").join(back.drop("bz"), "id")
+
+
+@query(W_CF + "SELECT 'slice' AS kind, id||' '||z||' '||x0||' '||x1||' '||y0||' '||y1||' '||printf('%.3f', (id%8)/8.0)||' '||printf('%.3f', round(CAST(sx AS DOUBLE)/sz,3))||' '||printf('%.3f', round(CAST(sy AS DOUBLE)/sz,3))||' '||sz AS line FROM slices UNION ALL SELECT 'conflict', a_id||' '||b_id FROM cf")
+def slice_dump(spark, d):
+    """SNK13, SNK8: slices, and the pairs in conflict, as text."""
+    s = sl(spark, d)
+    lines = labels.slice_lines(s, s.select("id", (F.col("id") % 8 / 8.0).alias("value"))).select(F.lit("slice").alias("kind"), "line")
+    return lines.unionByName(labels.conflict_lines(conflicts(spark, d)).select(F.lit("conflict").alias("kind"), "line"))
+
+
+_PRICE = "CASE type WHEN 0 THEN 2+(isi%3)/2.0 WHEN 1 THEN -3-isi%5 ELSE -4.25-isi%3 END"
+
+
+@query(W_SEG + f""", {WIN}, num AS (SELECT key, row_number() OVER (ORDER BY type, isi, key)-1 AS number, {_PRICE} AS cost FROM seg), n AS (SELECT id, count(DISTINCT key) AS n FROM mem GROUP BY id), k AS (SELECT id, "window", count(DISTINCT m.key) AS k FROM mem m JOIN win ON win.key=m.key GROUP BY 1,2),
+  held AS (SELECT k.id, "window" FROM k JOIN n ON n.id=k.id WHERE k=n), txt AS (SELECT id, '0.0 == '||count(*)||' '||string_agg(CASE WHEN is_left THEN '' ELSE '-' END||number, ' ' ORDER BY NOT is_left, number) AS line FROM mem JOIN num USING (key) GROUP BY id), ws AS (SELECT DISTINCT "window" FROM win)
+SELECT CAST(-1 AS BIGINT) AS "window", 0 AS part, '' AS item, CAST(count(*) AS VARCHAR) AS line FROM ws UNION ALL SELECT "window", 1, '', CAST(count(*) AS VARCHAR) FROM win GROUP BY 1 UNION ALL SELECT "window", 2, lpad(CAST(number AS VARCHAR), 20, '0'), number||' '||printf('%.6f', cost) FROM win JOIN num USING (key)
+  UNION ALL SELECT ws."window", 3, '', CAST(count(held.id) AS VARCHAR) FROM ws LEFT JOIN held ON held."window"=ws."window" GROUP BY 1 UNION ALL SELECT "window", 4, 'flow:'||id, line FROM held JOIN txt USING (id)""")
+def subproblem_text(spark, d):
+    """SNK12, M12: windows with their segments' costs and the constraints that fit them, as text."""
+    s = segs(spark, d)
+    placed = C.in_windows(s, 10, 3).select("key", "window")
+    numbers = C.variables(s).select("key", "number")
+    rows = C.continuation_rows(s)
+    v = placed.join(numbers, "key").join(priced(spark, d).select("key", "cost"), "key").select("window", "number", "cost")
+    return labels.protocol_lines(v, rows.join(numbers, "key").select("row", "number", "coef", "relation", "value"), C.window_rows(rows, placed))
+
+
+@query()
+def out_of_bag(spark, d):
+    """Each row's votes of trees that haven't seen it, and the variables' importance."""
+    v = adapter.vectors(spark, d).select(F.col("vec_id").alias("id"), "features", (F.col("label") < 5).cast("int").alias("label"))
+    votes = graph.settled(learned.out_of_bag(v))
+    top = learned.importances(learned.train(v))
+    rank = spark.createDataFrame([(max(range(len(top)), key=top.__getitem__), float(max(top)))], "variable long, importance double")
+    return learned.out_of_bag_error(votes).crossJoin(rank)  # one row each
+
+
 import re as _re  # noqa: E402
 
 #: `by`, a block's place along y, is a word that SQL keeps for itself
