@@ -307,7 +307,7 @@ def test_engine(spark, tmp_path):
     used = [i for r in e.solution(cores).select("cx", "key").distinct().join(e.tables.load("segments").select("key", "sl", "sr"), "key").collect() for i in [(r.cx, "l", i) for i in r.sl] + [(r.cx, "r", i) for i in r.sr]]
     assert len(used) == len(set(used))
     n = e.tables.load("solutions").count()
-    assert e.solve(cores, SolutionParameters(padding=1, read_costs=True)).count() == 0
+    assert e.solve(cores, SolutionParameters(padding=1, read_costs=True), lambda s: s.select("key", F.lit(100.0).alias("cost"))).count() == 0  # all costs are stored
     assert sorted(map(tuple, e.solution(cores).collect())) == first and e.tables.load("solutions").count() == n
     lack = e.ground_truth(cores, e.tables.load("slices").withColumn("label", F.col("id") % 3))
     assert lack.count() == 0 and e.tables.load("truth_ends").count() > 0
