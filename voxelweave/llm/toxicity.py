@@ -178,7 +178,7 @@ EDGE_ONE = re.compile(r"[\W_]")  # one blank for each character, so that places
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """doc_id, score, and the sentences at or above `least`: array of (start, end, score), places in the lower-cased text."""
+    """doc_id, score, and the sentences at or above `least`: array of (start, end, score), places in code points of the text as it is."""
     bias, weights = model.bias, model.weights
     small_batches(docs.sparkSession)
 
