@@ -3,21 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .numbering import numbered
 from .segments import members
 
 
 def variables(segments: DataFrame) -> DataFrame:
-    """key, number: dense from 0 in the order of type, interval and key.
-
-    Counts of (type, interval) give each stretch its start, so no window sees all rows.
-    """
-    n = segments.groupBy("type", "isi").agg(F.count("*").alias("n"))
-    start = n.withColumn("start", F.coalesce(F.sum("n").over(W.orderBy("type", "isi").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inside = F.row_number().over(W.partitionBy("type", "isi").orderBy("key")) - 1
-    return segments.select("key", "type", "isi").withColumn("inside", inside).join(start, ["type", "isi"]).select("key", (F.col("start") + F.col("inside")).cast("long").alias("number"))
+    """key, number: dense from 0 in the order of type, interval and key."""
+    return numbered(segments.select("key", "type", "isi"), ["type", "isi", "key"]).select("key", "number")
 
 
 def _by(segments: DataFrame) -> list[str]:

@@ -98,14 +98,23 @@ def forest(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def leaf_paths(nodes: DataFrame) -> DataFrame:
     """clique, node, depth: each leaf's path from its root in trees given as (node, parent; null at a root).
 
-    A recursive query; each leaf's path is one maximal clique of nodes that exclude each other.
+    Each leaf's path is one maximal clique of nodes that exclude each other.  By pointer doubling: a table of every node's
+    ancestor 2**k steps up is joined with itself to that of 2**(k+1), and doubles what is known of the leaves' paths, so
+    rounds grow with the logarithm of the depth and no row holds a path.  A cycle is an error.
     """
-    nodes.createOrReplaceTempView("__tree")
-    return nodes.sparkSession.sql("""
-        WITH RECURSIVE walk(node, path) AS (
-            SELECT node, array(node) FROM __tree WHERE parent IS NULL
-            UNION ALL
-            SELECT t.node, concat(w.path, array(t.node)) FROM walk w JOIN __tree t ON t.parent = w.node)
-        SELECT w.node AS clique, p.node, CAST(p.depth AS BIGINT) AS depth
-        FROM walk w LATERAL VIEW posexplode(w.path) p AS depth, node
-        WHERE NOT EXISTS (SELECT 1 FROM __tree c WHERE c.parent = w.node)""")
+    up = settled(nodes.where(F.col("parent").isNotNull()).select("node", F.col("parent").alias("up")))
+    inner = up.select(F.col("up").alias("node")).distinct()
+    paths = settled(nodes.select("node").join(inner, "node", "left_anti").select(F.col("node").alias("clique"), "node", F.lit(0).cast("long").alias("rise")))
+    step, most = 1, up.count()
+    while up.take(1):
+        if step > 2 * most:
+            raise ValueError("the parents have a cycle")
+        more = paths.join(up, "node").select("clique", F.col("up").alias("node"), (F.col("rise") + step).alias("rise"))
+        grown = settled(paths.unionByName(more))
+        above = up.select(F.col("node").alias("up"), F.col("up").alias("higher"))
+        higher = settled(up.join(above, "up").select("node", F.col("higher").alias("up")))
+        for old in (paths, up):
+            dropped(old)
+        paths, up, step = grown, higher, 2 * step
+    length = paths.groupBy("clique").agg(F.max("rise").alias("length"))
+    return paths.join(length, "clique").select("clique", "node", (F.col("length") - F.col("rise")).alias("depth"))

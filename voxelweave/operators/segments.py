@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import likeness
+from .numbering import numbered
 
 LIKE = 0.5
 
@@ -138,5 +139,5 @@ def rank_continuations(pairs: DataFrame, slices: DataFrame) -> DataFrame:
     s = slices.select("id", "sz", "sx", "sy")
     j = pairs.join(s.alias("a"), F.col("a_id") == F.col("a.id")).join(s.alias("b"), F.col("b_id") == F.col("b.id"))
     d2 = (center("x", "a") - center("x", "b")) ** 2 + (center("y", "a") - center("y", "b")) ** 2
-    j = j.select(*pairs.columns, d2.alias("d2"))
-    return j.withColumn("place", F.row_number().over(W.partitionBy("z").orderBy(F.desc("o"), "d2", "a_id", "b_id")))
+    ranked = numbered(j.select(*pairs.columns, d2.alias("d2")), [F.desc("o"), "d2", "a_id", "b_id"], "place", groups=["z"])
+    return ranked.withColumn("place", F.col("place") + 1)
