@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, licenses, mixing, packing, quality, secrets, substrings, tokens, toxicity
+from . import fingerprints, jaccard, licenses, mixing, negatives, packing, quality, secrets, substrings, tokens, toxicity
 from .common import documents
 
 FOLD = 3  # of labels: documents with crc32(doc_id as text) mod 3 = 1 are held out
@@ -84,7 +84,13 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized(tokens.read_tokens(spark, manifest, tokens.digest, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_pack, op3_jaccard, op4_licenses, op5_secrets, op6_quality, op7_substrings, op8_fingerprints, op9_toxicity, op10_tokens)}
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the vectors of every hundredth id, in windows below their positives: see llm.negatives.  Every seventh id's label is moved on."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(documents(spark, sf_dir, "embeddings"), label, F.col("id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_pack, op3_jaccard, op4_licenses, op5_secrets, op6_quality, op7_substrings, op8_fingerprints, op9_toxicity, op10_tokens, op11_negatives)}
 WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 #: every link of op3 between two texts, by a join on equal shingles, and what is reachable over links
@@ -103,5 +109,12 @@ gone AS (SELECT DISTINCT doc_id, i+k AS i FROM g JOIN (SELECT g, min(doc_id) AS
 k AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.i) AS kept, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws)+1)) AS i FROM w) p ANTI JOIN gone ON gone.doc_id = p.doc_id AND gone.i = p.i GROUP BY 1)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
 
+OP11_SQL = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label+1) % 10 ELSE label END AS label, [CAST(floor(CAST(x AS DOUBLE)*256) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS al, b.vec_id AS id, b.label AS bl, CAST(list_sum([x * b.q[i] FOR x, i IN a.q]) AS BIGINT) AS score FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, al, id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE al = bl) t WHERE k <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS k FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.bl <> p.al WHERE 30*positive_score <= 100*s.score AND 100*s.score <= 90*positive_score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 10"""
+
 #: models, the tokenizers library, Pareto order over several rounds and xxHash are not in SQL; those queries are tested against brute force
-ORACLE_SQL: dict[str, str] = {"op3_jaccard": OP3_SQL, "op7_substrings": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard": OP3_SQL, "op7_substrings": OP7_SQL, "op11_negatives": OP11_SQL}
