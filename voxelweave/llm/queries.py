@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, licenses, mixing, negatives, packing, quality, secrets, substrings, tokens, toxicity
+from . import counts, fingerprints, jaccard, licenses, mixing, negatives, packing, quality, secrets, substrings, tokens, toxicity
 from .common import documents
 
 FOLD = 3  # of labels: documents with crc32(doc_id as text) mod 3 = 1 are held out
@@ -90,7 +90,13 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(documents(spark, sf_dir, "embeddings"), label, F.col("id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_pack, op3_jaccard, op4_licenses, op5_secrets, op6_quality, op7_substrings, op8_fingerprints, op9_toxicity, op10_tokens, op11_negatives)}
+def op12_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, from counts of distinct pre-tokens: see llm.counts."""
+    got = counts.count_tokens(documents(spark, sf_dir), tokens.vocabulary_path())
+    return sized(got.withColumn("over_limit", F.col("n_tokens") > 1024))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_pack, op3_jaccard, op4_licenses, op5_secrets, op6_quality, op7_substrings, op8_fingerprints, op9_toxicity, op10_tokens, op11_negatives, op12_counts)}
 WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 #: every link of op3 between two texts, by a join on equal shingles, and what is reachable over links
