@@ -9,7 +9,8 @@ from voxelweave.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, sf_dir)
     assert sorted(got.columns) == sorted(want.columns)

@@ -177,7 +177,7 @@ def counted(keys: DataFrame, vocabulary: str) -> DataFrame:
 def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every document."""
     n = salts(docs)
-    found = frequencies(docs, vocabulary).withColumn("salt", F.pmod("chunk", F.lit(n)).cast("int"))
+    found = frequencies(docs, vocabulary).withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(n)).cast("int"))
     present = found.where(F.substring("key", 1, 1) != F.lit(HEAD)).select("key", "salt").distinct()
     weights = counted(present.select("key").distinct(), vocabulary)
     if n > 1:  # each part of a key's chunks gets its own row

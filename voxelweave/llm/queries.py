@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, fingerprints, jaccard, licenses, mixing, negatives, packing, quality, secrets, substrings, tokens, toxicity
+from . import alignment, counts, fingerprints, jaccard, licenses, mixing, negatives, packing, quality, secrets, substrings, tokens, toxicity
 from .common import documents
 
 FOLD = 3  # of labels: documents with crc32(doc_id as text) mod 3 = 1 are held out
@@ -96,7 +96,13 @@ def op12_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized(got.withColumn("over_limit", F.col("n_tokens") > 1024))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_pack, op3_jaccard, op4_licenses, op5_secrets, op6_quality, op7_substrings, op8_fingerprints, op9_toxicity, op10_tokens, op11_negatives, op12_counts)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of all documents' tokens by two vocabularies: see llm.alignment."""
+    got = alignment.align(documents(spark, sf_dir), tokens.vocabulary_path(), tokens.vocabulary_path("piece_bpe_32k.model"))
+    return sized(got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.col("best").alias("n_best"), F.col("pair_docs").alias("count_sum"), "groups_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_pack, op3_jaccard, op4_licenses, op5_secrets, op6_quality, op7_substrings, op8_fingerprints, op9_toxicity, op10_tokens, op11_negatives, op12_counts, op13_alignment)}
 WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 #: every link of op3 between two texts, by a join on equal shingles, and what is reachable over links
