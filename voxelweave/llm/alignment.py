@@ -33,8 +33,10 @@ from .postings import encode, head, salts, summed
 from .tokens import Encoder, encoder
 
 #: tokens of a run, tokens that the sweep takes at once, links of a chunk, bytes of text a partition of the sweep
-RUN, WINDOW, LINKS, PART = 1 << 14, 1 << 19, 1 << 20, 16 << 20
+RUN, WINDOW, LINKS, PART = 1 << 14, 1 << 18, 1 << 20, 16 << 20
 BLANK = "▁"
+#: distinct pieces and their bytes that each side's encoder keeps
+KEPT = 500_000, 16 << 20
 
 
 class PieceEncoder(Encoder):
@@ -158,6 +160,9 @@ def end_events(docs: DataFrame, a: str, b: str) -> DataFrame:
         from pyspark import TaskContext
 
         doc = TaskContext.get().partitionId() << 33
+        encoders = [enc for enc, _ in sides(a, b)]
+        for enc in encoders:
+            enc.MOST, enc.BYTES = KEPT
         for batch in batches:
             ids_of = batch["doc_id"]
             for i, j, data, off in chunks(batch):
@@ -181,6 +186,8 @@ def end_events(docs: DataFrame, a: str, b: str) -> DataFrame:
                 doc += j - i
                 columns = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int8(), pa.binary(), pa.int64()))], names=["doc", "at", "side", "ids", "doc_id"])
+        for enc in encoders:  # the next task in this worker may be one of the sweep
+            enc._clear(1 << 16)
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, EVENTS)
@@ -348,13 +355,14 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_s
 
 def swept(events: DataFrame, a: str, b: str, partitions: int) -> DataFrame:
     """Postings of linked id pairs, and heads with what else is known of the documents."""
+    both = sides(a, b)
+    kinds = tuple(np.uint16 if enc.size <= 1 << 16 else np.uint32 for enc, _ in both)
+    lengths = tuple(spelling.length.astype(np.int32) for _, spelling in both)  # two numbers an entry of the vocabularies
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        both = sides(a, b)
-        kinds = tuple(np.uint16 if enc.size <= 1 << 16 else np.uint32 for enc, _ in both)
-        machine = Sweep(tuple(spelling.length for _, spelling in both), kinds, TaskContext.get().partitionId() << 32)
+        machine = Sweep(lengths, kinds, TaskContext.get().partitionId() << 32)
         for batch in batches:
             for row in zip(*(batch[c].to_pylist() for c in ("doc", "side", "ids", "doc_id"))):
                 yield from machine.add(*row)

@@ -1,9 +1,11 @@
 """Token counts without token ids: each distinct pre-token is counted once for the corpus.
 
 A text is cut into pre-tokens as the tokenizers library cuts it.  Each chunk of texts says which of
-its texts hold which pre-token how often; the distinct pre-tokens of all chunks are counted, once
-each, and the counts are joined to the frequencies and summed by document (llm.postings).  No ids are
-kept: a pre-token gives the length of its encoding alone.
+its texts hold which pre-token how often.  These frequencies are dealt out and sorted by pre-token, so
+a pre-token's rows stand together: it is counted once and its count joins its rows, where the counts of
+a separate table would have to be shuffled to the same place.  Then they are summed by document
+(llm.postings).  No ids are kept: a pre-token gives the length of its encoding alone.  A pre-token with
+more than postings.SALTED chunks is dealt over several tasks and counted once in each.
 
 A chunk's texts are first cut at places where every text has a pre-token's start (tokens.cuts), and
 only distinct pieces go through the library's own pre-tokenizer.  Strings of special tokens are one
@@ -27,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_hash, small_batches
+from .common import byte_hash, parts, segments, small_batches, text_bytes
 from .exchange import TEXTS, chunks
-from .postings import encode, head, salts, summed
+from .postings import DOCS, encode, head, salts, summed
 from .tokens import cuts
 
 #: first byte of the keys of special tokens, of whole texts and of heads
 SPECIAL, WHOLE, HEAD = b"\xfe", b"\xfd", b"\xff"
+#: bytes of text and distinct pre-tokens of a chunk, bytes of text a partition of pre-tokens
+CHUNK, KEYS, PART = 12 << 20, 1 << 19, 16 << 20
+#: rows of a batch that goes out
+ROWS = 1 << 15
 _loaded: dict[str, "Pretokens"] = {}
 
 
@@ -41,7 +47,7 @@ class Pretokens:
     """Pre-tokens of texts, and how many tokens a key has."""
 
     #: distinct pieces that a worker keeps
-    MOST = 500_000
+    MOST = 100_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -127,7 +133,7 @@ class Pretokens:
 
     def count(self, keys: list[bytes]) -> list[int]:
         """Tokens of each key."""
-        texts = ["" if k[:1] == SPECIAL else (k[1:] if k[:1] == WHOLE else k).decode() for k in keys]
+        texts = ["" if k[:1] in (SPECIAL, HEAD) else (k[1:] if k[:1] == WHOLE else k).decode() for k in keys]
         got = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [1 if k[:1] == SPECIAL else len(e.ids) for k, e in zip(keys, got)]
 
@@ -139,6 +145,42 @@ def pretokens(path: str) -> Pretokens:
     return _loaded[path]
 
 
+class _Chunk:
+    """Frequencies of some thousand texts, put together of smaller parts."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.ids, self.sizes, self.docs, self.bytes = [], [], 0, 0
+
+    def add(self, keys: list[bytes], key: np.ndarray, doc: np.ndarray, count: np.ndarray, doc_id: pa.Array, sizes: np.ndarray) -> None:
+        own = np.fromiter((self.number.setdefault(k, len(self.number)) for k in keys), np.int32, len(keys))
+        self.parts.append((own[key], (self.docs + doc).astype(np.uint16), count.astype(np.int32)))
+        self.ids.append(doc_id)
+        self.sizes.append(sizes)
+        self.docs += len(doc_id)
+        self.bytes += int(sizes.sum())
+
+    def full(self) -> bool:
+        return self.docs > DOCS - TEXTS or self.bytes >= CHUNK or len(self.number) >= KEYS
+
+    def rows(self, place: int) -> Iterator[pa.RecordBatch]:
+        if not self.docs:
+            return
+        names = ["chunk", "key", "posting", "head"]
+        key, doc, count = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
+        order = np.argsort(key, kind="stable")
+        key, doc, count = key[order], doc[order].astype(np.int64), count[order].astype(np.int64)
+        keys = pa.array(list(self.number), pa.binary())
+        for a in range(0, len(keys), ROWS):
+            part = keys[a : a + ROWS]
+            lo, hi = np.searchsorted(key, [a, a + len(part)])
+            first = np.searchsorted(key[lo:hi], np.arange(a, a + len(part)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), place)), part, encode(doc[lo:hi], count[lo:hi], first)[0], pa.nulls(len(part), pa.binary())], names=names)
+        about = head({"doc_id": pa.concat_arrays(self.ids), "n_bytes": pa.array(np.concatenate(self.sizes))})
+        yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([HEAD + place.to_bytes(8, "big")], pa.binary()), pa.nulls(1, pa.binary()), pa.array([about], pa.binary())], names=names)
+
+
 MARKED = "chunk long, key binary, posting binary, head binary"
 
 
@@ -148,40 +190,43 @@ def frequencies(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        place = TaskContext.get().partitionId() << 32
+        place, chunk = TaskContext.get().partitionId() << 32, _Chunk()
         for b in batches:
             for i, j, data, off in chunks(b):
-                o = off[i : j + 1] - off[i]
-                keys, key, doc, count = pretokens(vocabulary).frequencies(data[off[i] : off[j]], o)
-                found, _ = encode(doc, count, np.searchsorted(key, np.arange(len(keys))))
-                n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, place)), pa.array(keys, pa.binary()), found, pa.nulls(n, pa.binary())], names=["chunk", "key", "posting", "head"])
-                about = head({"doc_id": b["doc_id"].slice(i, j - i), "n_bytes": pa.array(np.diff(o))})
-                yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([HEAD + place.to_bytes(8, "big")], pa.binary()), pa.nulls(1, pa.binary()), pa.array([about], pa.binary())], names=["chunk", "key", "posting", "head"])
-                place += 1
+                for p, q in segments(off[i : j + 1]):
+                    o = off[i + p : i + q + 1]
+                    found = pretokens(vocabulary).frequencies(data[o[0] : o[-1]], o - o[0])
+                    chunk.add(*found, b["doc_id"].slice(i + p, q - p), np.diff(o))
+                if chunk.full():
+                    yield from chunk.rows(place)
+                    place, chunk = place + 1, _Chunk()
+        yield from chunk.rows(place)
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MARKED)
 
 
-def counted(keys: DataFrame, vocabulary: str) -> DataFrame:
-    """key, n_tokens of distinct keys, each counted once."""
+def weighted(found: DataFrame, vocabulary: str) -> DataFrame:
+    """Frequencies, of which a key's rows stand together in a partition, with n_tokens; each key is counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["key"], pa.array(pretokens(vocabulary).count(b["key"].to_pylist()), pa.int64())], names=["key", "n_tokens"])
+            if not b.num_rows:
+                continue
+            keys = b["key"].to_pylist()
+            new = [k for k, before in zip(keys, [last, *keys]) if k != before]
+            n = dict(zip(new, pretokens(vocabulary).count(new)))
+            if keys[0] == last:
+                n[last] = known
+            yield pa.RecordBatch.from_arrays([b["chunk"], b["posting"], b["head"], pa.array([n[k] for k in keys], pa.int64())], names=["chunk", "posting", "head", "n_tokens"])
+            last, known = keys[-1], n[keys[-1]]
 
-    return keys.mapInArrow(run, "key binary, n_tokens long")
+    return found.select("chunk", "key", "posting", "head").mapInArrow(run, "chunk long, posting binary, head binary, n_tokens long")
 
 
 def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every document."""
-    n = salts(docs)
-    found = frequencies(docs, vocabulary).withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(n)).cast("int"))
-    present = found.where(F.substring("key", 1, 1) != F.lit(HEAD)).select("key", "salt").distinct()
-    weights = counted(present.select("key").distinct(), vocabulary)
-    if n > 1:  # each part of a key's chunks gets its own row
-        weights = present.join(weights, "key")
-    else:
-        weights = weights.withColumn("salt", F.lit(0))
-    return summed(found.join(weights, ["key", "salt"], "left"), ["n_tokens"], "doc_id long, n_bytes long, n_tokens long")
+    salt = F.pmod(F.xxhash64("chunk"), F.lit(salts(docs)))
+    found = frequencies(docs, vocabulary).repartition(max(parts(docs.sparkSession), text_bytes(docs) // PART), "key", salt)
+    return summed(weighted(found.sortWithinPartitions("key"), vocabulary), ["n_tokens"], "doc_id long, n_bytes long, n_tokens long")

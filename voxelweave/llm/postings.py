@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_bytes
-from .exchange import BYTES, TEXTS
+from .exchange import BYTES
 
-#: chunks whose rows of one key may meet in a task
-SALTED = 4096
+#: chunks whose rows of one key may meet in a task; documents that a chunk may have
+SALTED, DOCS = 4096, 1 << 16
 SUMS = "chunk long, docs binary, sums binary, head binary"
 
 
@@ -94,12 +94,12 @@ def summed(weighted: DataFrame, weights: list[str], schema: str) -> DataFrame:
             chunk, which = np.unique(b["chunk"].to_numpy(), return_inverse=True)
             row, doc, count = decode(b["posting"])
             w = [b[c].fill_null(0).to_numpy().astype(np.int64) for c in weights]
-            held, at = np.unique(which[row] * TEXTS + doc, return_inverse=True)
+            held, at = np.unique(which[row] * DOCS + doc, return_inverse=True)
             sums = np.zeros((len(held), k), np.int64)
             for c in range(k):
                 np.add.at(sums[:, c], at, count * w[c][row])
-            cut = np.searchsorted(held, np.arange(1, len(chunk) + 1) * TEXTS)
-            docs = binary_array((held % TEXTS).astype("<u2").view(np.uint8), 2 * cut)
+            cut = np.searchsorted(held, np.arange(1, len(chunk) + 1) * DOCS)
+            docs = binary_array((held % DOCS).astype("<u2").view(np.uint8), 2 * cut)
             heads = [h for h in zip(b["chunk"].to_pylist(), b["head"].to_pylist()) if h[1] is not None]
             yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), docs, binary_array(sums.reshape(-1).view(np.uint8), 8 * k * cut), pa.nulls(len(chunk), pa.binary())], names=["chunk", "docs", "sums", "head"])
             if heads:
