@@ -64,6 +64,9 @@ class Pretokens:
 
     def of(self, piece: bytes) -> tuple[bytes, ...]:
         """Pre-tokens of a piece without special strings."""
+        body = piece[1:] if piece[:1] == b" " else piece
+        if body.isalpha() or body.isdigit():  # ASCII letters or digits after at most one blank: one pre-token
+            return (piece,)
         got = self.known.get(piece)
         if got is None:
             text = piece.decode()
