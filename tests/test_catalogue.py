@@ -49,7 +49,7 @@ def test_contract(spark):
 #: rows of the inventory that SQL over the driver's tables can't repeat, and the test that holds their results
 TESTED = {
     "SRC2": "test_sources", "SRC7": "test_sources", "SRC9": "test_sources", "SRC13": "test_sources", "SRC14": "test_store_versions", "SNK7": "test_engine",
-    "SRC10": "test_forest_model", "SNK10": "test_forest_model", "M17": "test_forest_model", "A14": "test_out_of_bag", "G7": "test_extraction", "G16": "test_engine",
+    "SRC10": "test_forest_model", "SNK10": "test_forest_model", "M17": "test_forest_model", "A14": "test_out_of_bag", "G16": "test_engine",
 }
 
 

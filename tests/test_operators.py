@@ -158,21 +158,77 @@ def test_unknown_user_keys(spark):
     assert [r.key for r in constraints.unknown_keys(u, s).collect()] == ["zz"]
 
 
+def flooded(img, levels, least, most, height, downsample=False):
+    """The tree's nodes by flood fill of each threshold: {pixels: (value, parent's pixels)}."""
+    found = []
+    for k in range(levels):
+        left = {(y, x) for y, x in zip(*np.nonzero(img > (k + 0.5) / levels))}
+        while left:
+            todo, region = [left.pop()], set()
+            while todo:
+                y, x = todo.pop()
+                region.add((y, x))
+                for n in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                    if n in left:
+                        left.remove(n)
+                        todo.append(n)
+            found.append((k, frozenset(region)))
+    nodes = {}
+    for k, r in found:
+        if least <= len(r) <= most:
+            nodes[r] = max(nodes.get(r, 0), (k + 0.5) / levels)
+    parent = lambda r, among: min((s for s in among if r < s), key=len, default=None)
+    if downsample:
+        up = {r: parent(r, nodes) for r in nodes}
+        many = {s: list(up.values()).count(s) for s in nodes}
+        nodes = {r: v for r, v in nodes.items() if up[r] is None or many[up[r]] != 1}
+
+    def rise(r):
+        return max((1 + rise(s) for s in nodes if parent(s, nodes) == r), default=0)
+
+    kept = {r: v for r, v in nodes.items() if rise(r) < height}
+    return {r: (v, parent(r, kept)) for r, v in kept.items()}
+
+
+def extracted(spark, img, origin=(0, 0), **options):
+    rows = [(7, y + origin[0], x + origin[1], float(img[y, x])) for y in range(img.shape[0]) for x in range(img.shape[1])]
+    got = extract.sections(spark.createDataFrame(rows, "z long, y long, x long, value double"), **options)
+    pixels = {}
+    for r in got.runs.collect():
+        pixels.setdefault(r.id, set()).update((r.y - origin[0], x - origin[1]) for x in range(r.x0, r.x1))
+    s = {r.id: r for r in got.slices.collect()}
+    cliques = {}
+    for r in got.cliques.collect():
+        cliques.setdefault(r.clique, {})[r.depth] = frozenset(pixels[r.id])
+    return {frozenset(pixels[i]): (r.value, frozenset(pixels[r.parent]) if r.parent is not None else None) for i, r in s.items()}, cliques, set(s)
+
+
 def test_extraction(spark):
-    img = np.zeros((20, 30))
-    img[2:12, 2:14] = 0.4
-    img[3:8, 3:8] = 0.9
-    img[15:19, 20:28] = 0.6
-    rows = [(0, y, x, float(img[y, x])) for y in range(20) for x in range(30)]
-    s = extract.slices_of_images(spark.createDataFrame(rows, "z long, y long, x long, value double"), least=10)
-    got = s.collect()
-    assert sorted(r["size"] for r in got) == [25, 32, 120]
-    cl = {}
-    for r in extract.cliques_of(s).collect():
-        cl.setdefault(r.clique, set()).add(r.id)
-    assert sorted(map(len, cl.values())) == [1, 2]
-    again = extract.slices_of_images(spark.createDataFrame(rows[::-1], "z long, y long, x long, value double"), least=10).collect()
-    assert {r.id for r in again} == {r.id for r in got}
+    """Tiles of any size give the trees of the uncut section, which a flood fill gives, with the same ids; also where it starts below 0."""
+    rng = np.random.default_rng(11)
+    coarse = np.kron(rng.random((5, 7)), np.ones((5, 5)))
+    img = np.round(0.6 * coarse + 0.4 * rng.random(coarse.shape), 3)
+    want = flooded(img, 5, 3, 400, 3)
+    ids = None
+    for side in (64, 8, 3):
+        got, cliques, names = extracted(spark, img, levels=5, least=3, most=400, height=3, side=side)
+        assert got == want and (ids or names) == names and len(want) > 10
+        ids = names
+        inner = {up for _, up in want.values()}
+        assert {path[max(path)] for path in cliques.values()} == {r for r in want if r not in inner}
+        for path in cliques.values():
+            assert sorted(path) == list(range(len(path))) and all(want[path[k]][1] == (path[k - 1] if k else None) for k in path)
+    moved, _, _ = extracted(spark, img, origin=(-13, -5), levels=5, least=3, most=400, height=3, side=8)
+    assert moved == want
+
+
+def test_extraction_options(spark):
+    rng = np.random.default_rng(2)
+    img = np.round(np.kron(rng.random((4, 4)), np.ones((4, 4))) * 0.7 + 0.3 * rng.random((16, 16)), 3)
+    assert extracted(spark, img, levels=6, least=2, most=300, height=9, side=5, downsample=True)[0] == flooded(img, 6, 2, 300, 9, downsample=True)
+    assert extracted(spark, 1 - img, levels=6, least=2, most=300, height=2, side=5, dark=True)[0] == flooded(1 - (1 - img), 6, 2, 300, 2)
+    empty = extract.sections(spark.createDataFrame([(1, 1, 1, None), (None, 1, 1, 0.9), (1, 2, 2, 0.01)], "z long, y long, x long, value double"))
+    assert empty.slices.count() == empty.runs.count() == empty.cliques.count() == 0
 
 
 def test_store_versions(spark, tmp_path):

@@ -1,6 +1,7 @@
 """Slices and cliques out of images: a component tree of thresholds for each section.
 
-The tree's kernel is a choice of this package: foreground at each of `levels` thresholds, 4-connected
+A section is cut into tiles; a task labels one tile's regions at each threshold, and regions that meet at tiles' borders
+are put together as connected components of a table, so no task sees a section.  The tree's kernel is a choice of this package: foreground at each of `levels` thresholds, 4-connected
 regions, a region's parent the region of the next lower threshold that holds it.  Regions
 outside the size bounds leave the tree (their children move up), as do those above `height`
 merges; equal regions on adjacent levels are one.
@@ -8,11 +9,16 @@ merges; equal regions on adjacent levels are one.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from ..functions import slice_hash
+from .graph import components, dropped, leaf_paths, nearest_stop, settled
 
 
 def regions(on: np.ndarray) -> np.ndarray:
@@ -44,72 +50,126 @@ def regions(on: np.ndarray) -> np.ndarray:
     return number[out]
 
 
-def tree(image: np.ndarray, levels: int = 8, least: int = 10, most: int = 10_000, height: int = 3) -> list[dict]:
-    """Nodes of a section's component tree: number, parent (-1), value, mask's pixels (ys, xs)."""
-    nodes: list[dict] = []
-    above: np.ndarray | None = None  # number of the node that holds each pixel so far
-    for value in (np.arange(levels) + 0.5) / levels:
+LOCAL = """node string, up string, z long, level int, size long, x0 long, y0 long, x1 long, y1 long, sx long, sy long,
+    border array<struct<axis: int, line: long, along: long, low: boolean>>, runs array<struct<y: long, x0: long, x1: long>>"""
+
+
+def _ends(ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
+    """Where runs of pixels, in the order of y and x, start."""
+    return np.flatnonzero(np.concatenate([[True], (np.diff(ys) != 0) | (np.diff(xs) != 1)]))
+
+
+def _of_tile(pdf: pd.DataFrame, side: int, thresholds: np.ndarray) -> pd.DataFrame:
+    """Regions of a tile at each threshold, each with the region of the next lower one that holds it, and its pixels at the tile's borders."""
+    z, tx, ty = (int(pdf[c].iloc[0]) for c in ("z", "tx", "ty"))
+    ox, oy = tx * side, ty * side
+    image = np.full((side, side), -np.inf)
+    image[pdf["y"] - oy, pdf["x"] - ox] = pdf["value"]
+    out, below = [], None
+    for level, value in enumerate(thresholds):
         lab = regions(image > value)
-        now = np.full(image.shape, -1) if above is None else above.copy()
-        by_region = np.argsort(lab, axis=None, kind="stable")
-        for at in np.split(by_region, np.cumsum(np.bincount(lab.ravel()))[:-1])[1:]:
-            ys, xs = np.unravel_index(at, lab.shape)
-            parent = -1 if above is None else int(above[ys[0], xs[0]])
-            if parent >= 0 and len(nodes[parent]["ys"]) == len(ys):
-                nodes[parent]["value"] = float(value)
-                continue
-            if least <= len(ys) <= most:
-                nodes.append({"number": len(nodes), "parent": parent, "value": float(value), "ys": ys, "xs": xs})
-                now[ys, xs] = len(nodes) - 1
-        above = now
-    depth: dict[int, int] = {}
-    for n in reversed(nodes):  # merges below each node
-        depth[n["number"]] = depth.get(n["number"], 0)
-        if n["parent"] >= 0:
-            depth[n["parent"]] = max(depth.get(n["parent"], 0), depth[n["number"]] + 1)
-    keep = {n["number"] for n in nodes if depth[n["number"]] < height}
-    for n in nodes:
-        while n["parent"] >= 0 and n["parent"] not in keep:
-            n["parent"] = nodes[n["parent"]]["parent"]
-    return [n for n in nodes if n["number"] in keep]
-
-
-def slices_of_images(pixels: DataFrame, levels: int = 8, least: int = 10, most: int = 10_000, height: int = 3) -> DataFrame:
-    """z, number, parent, value, size, x0 .. y1, cx, cy, runs, id of every region of every section (z, y, x, value).
-
-    One task a section; id is a hash of the pixels' runs and the section, so it is the same however often it is made.
+        order = np.argsort(lab, axis=None, kind="stable")
+        name = lambda lev, k: f"{z}:{ty}:{tx}:{lev}:{k}"
+        for k, at in enumerate(np.split(order, np.cumsum(np.bincount(lab.ravel()))[:-1])[1:], 1):
+            ys, xs = np.divmod(at, side)
+            border = []
+            for axis, line, along in ((0, xs, ys), (1, ys, xs)):  # a border is named by its first line behind it
+                for edge, low in ((side - 1, True), (0, False)):
+                    border += [(axis, (ox, oy)[axis] + (side if low else 0), int(v) + (oy, ox)[axis], low) for v in along[line == edge]]
+            cut = _ends(ys, xs)
+            runs = [(int(ys[a]) + oy, int(xs[a]) + ox, int(xs[b - 1]) + ox + 1) for a, b in zip(cut, [*cut[1:], len(ys)])]
+            up = name(level - 1, below[ys[0], xs[0]]) if below is not None else None
+            box = (int(xs.min()) + ox, int(ys.min()) + oy, int(xs.max()) + ox + 1, int(ys.max()) + oy + 1)
+            out.append((name(level, k), up, z, level, len(ys), *box, int(xs.sum()) + len(xs) * ox, int(ys.sum()) + len(ys) * oy, border, runs))
+        below = lab
+    return pd.DataFrame(out, columns=["node", "up", "z", "level", "size", "x0", "y0", "x1", "y1", "sx", "sy", "border", "runs"])
+
+
+@dataclass
+class Sections:
+    """What extraction gives: slices (id, z, value, size, box, sx, sy, parent; null at a root), their runs (id, z, y, x0, x1), and cliques (clique, id, depth)."""
+
+    slices: DataFrame
+    runs: DataFrame
+    cliques: DataFrame
+
+
+def merged_regions(pixels: DataFrame, thresholds: list[float], side: int) -> tuple[DataFrame, DataFrame]:
+    """Regions (region, up, z, level, size, box, sx, sy) of whole sections at each threshold, and the parts they are made of (node, region, z, runs)."""
+    levels = np.asarray(thresholds)
+    tile = lambda c: F.floor(F.col(c) / side).cast("long")
+    seen = pixels.where(F.col("value") > float(levels.min())).select("z", "y", "x", "value", tile("x").alias("tx"), tile("y").alias("ty"))
+    local = settled(seen.groupBy("z", "ty", "tx").applyInPandas(lambda pdf: _of_tile(pdf, side, levels), LOCAL))
+    edge = local.select("node", "z", "level", F.inline("border"))
+    on = ["z", "level", "axis", "line", "along"]
+    met = edge.where("low").select(*on, F.col("node").alias("a")).join(edge.where(~F.col("low")).select(*on, F.col("node").alias("b")), on)
+    joined = components(met.select("a", "b").distinct())
+    part = local.join(joined.withColumnRenamed("id", "node"), "node", "left").withColumn("region", F.coalesce("component", "node"))
+    part = settled(part.drop("component", "border"))
+    box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    whole = part.groupBy("region", "z", "level").agg(F.sum("size").alias("size"), *box, F.sum("sx").alias("sx"), F.sum("sy").alias("sy"), F.min("up").alias("part_up"))
+    above = part.select(F.col("node").alias("part_up"), F.col("region").alias("up"))
+    whole = settled(whole.join(above, "part_up", "left").drop("part_up"))
+    dropped(local)
+    return whole, part.select("node", "region", "z", "runs")
+
+
+def sections(pixels: DataFrame, levels: int = 8, least: int = 10, most: int = 10_000, height: int = 3, side: int = 256, downsample: bool = False, dark: bool = False) -> Sections:
+    """Slices, runs and cliques of sections given as pixels (z, y, x, value from 0 to 1), whose coordinates may be negative.
+
+    The result doesn't depend on `side`, the tiles' width and height.  downsample: a region that is the only one in its
+    parent leaves the tree, its children move up.  dark: slices are dark on bright ground.  A slice's id is a hash of
+    its section and its runs.  Rows with a null take no part; of several values of a pixel the largest counts.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = int(pdf["z"].iloc[0])
-        x0, y0 = int(pdf["x"].min()), int(pdf["y"].min())
-        image = np.zeros((int(pdf["y"].max()) - y0 + 1, int(pdf["x"].max()) - x0 + 1))
-        image[pdf["y"] - y0, pdf["x"] - x0] = pdf["value"]
-        out = []
-        for n in tree(image, levels, least, most, height):
-            ys, xs = n["ys"] + y0, n["xs"] + x0
-            cut = np.flatnonzero(np.concatenate([[True], (np.diff(ys) != 0) | (np.diff(xs) != 1)]))
-            runs = ",".join(f"{ys[a]}:{xs[a]}-{xs[b - 1] + 1}" for a, b in zip(cut, [*cut[1:], len(ys)]))
-            out.append((z, n["number"], n["parent"], n["value"], len(ys), xs.min(), ys.min(), xs.max() + 1, ys.max() + 1, xs.mean(), ys.mean(), runs))
-        return pd.DataFrame(out, columns=["z", "number", "parent", "value", "size", "x0", "y0", "x1", "y1", "cx", "cy", "runs"])
-
-    schema = "z long, number long, parent long, value double, size long, x0 long, y0 long, x1 long, y1 long, cx double, cy double, runs string"
-    got = pixels.groupBy("z").applyInPandas(run, schema)
-    return got.withColumn("id", slice_hash("runs", "z"))
-
-
-def cliques_of(slices: DataFrame) -> DataFrame:
-    """clique, id: root-to-leaf paths of the sections' trees; at most one slice of a path may be chosen."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        up = dict(zip(pdf["number"], pdf["parent"]))
-        name = dict(zip(pdf["number"], pdf["id"]))
-        out = []
-        for leaf in sorted(set(up) - set(up.values())):
-            n = leaf
-            while n >= 0:
-                out.append((name[leaf], name[n]))
-                n = up[n]
-        return pd.DataFrame(out, columns=["clique", "id"])
-
-    return slices.groupBy("z").applyInPandas(run, "clique long, id long")
+    value = (1 - F.col("value")) if dark else F.col("value")
+    clean = pixels.select("z", "y", "x", value.alias("value")).dropna().groupBy("z", "y", "x").agg(F.max("value").alias("value"))
+    thresholds = ((np.arange(levels) + 0.5) / levels).tolist()
+    whole, part = merged_regions(clean, thresholds, side)
+    # one region at several thresholds is one node, the lowest; its value is the highest of them
+    size_of = whole.select(F.col("region").alias("up"), F.col("size").alias("up_size"))
+    known = whole.join(size_of, "up", "left")
+    fits = F.col("size").between(least, most)
+    stops = fits & (F.col("up_size").isNull() | (F.col("up_size") != F.col("size")))
+    near = nearest_stop(known.select(F.col("region").alias("node"), "up", stops.alias("stops")))
+    named = known.join(near.withColumnRenamed("node", "region"), "region")
+    top = named.where(F.col("stop") == F.col("region"))
+    same = whole.select(F.col("region").alias("stop"), F.col("size").alias("stop_size"))
+    level = named.join(same, "stop").where("size = stop_size").groupBy(F.col("stop").alias("region")).agg(F.max("level").alias("last"))
+    parent = near.select(F.col("node").alias("up"), F.col("stop").alias("parent"))
+    nodes = settled(top.drop("stop", "up_size", "level").join(level, "region").join(parent, "up", "left").drop("up"))
+    links = nodes.select(F.col("region").alias("node"), F.col("parent"))
+    if downsample:
+        n = links.where("parent is not null").groupBy("parent").agg(F.count("*").alias("children"))
+        single = links.join(n, "parent", "left").select("node", F.col("parent").alias("up"), (F.coalesce("children", F.lit(0)) != 1).alias("stops"))
+        up = nearest_stop(single)
+        links = links.join(up.select(F.col("node").alias("parent"), F.col("stop").alias("kept")), "parent", "left").select("node", F.col("kept").alias("parent"))
+        links = settled(links.join(up.where("stop = node").select("node"), "node", "left_semi"))
+    paths = settled(leaf_paths(links))
+    tall = paths.groupBy("clique").agg(F.max("depth").alias("last"))
+    rise = paths.join(tall, "clique").groupBy("node").agg(F.max(F.col("last") - F.col("depth")).alias("rise"))
+    kept = rise.where(F.col("rise") < height).select(F.col("node").alias("region"))
+    kept = settled(kept.join(links.select(F.col("node").alias("region"), "parent"), "region").join(nodes.drop("parent"), "region"))
+    lines = joined_runs(part.join(kept.select("region"), "region", "left_semi").select("region", "z", F.inline("runs")))
+    runs = lines.groupBy("region", "z").agg(F.sort_array(F.collect_list(F.struct("y", "x0", "x1"))).alias("runs"))  # at most `most` pixels
+    runs = runs.withColumn("id", slice_hash(F.array_join(F.transform("runs", _run_text), ","), "z"))
+    ids = settled(runs.select("region", "id", "z", "runs"))
+    name = ids.select("region", "id")
+    value = ((F.col("last") + 0.5) / levels).alias("value")
+    box = ["size", "x0", "y0", "x1", "y1", "sx", "sy"]
+    slices = kept.join(name, "region").join(name.select(F.col("region").alias("parent"), F.col("id").alias("__up")), "parent", "left").select("id", "z", value, *box, F.col("__up").alias("parent"))
+    held = paths.join(name.withColumnRenamed("region", "node"), "node").join(name.select(F.col("region").alias("clique"), F.col("id").alias("leaf")), "clique")
+    first = held.groupBy("leaf").agg(F.min("depth").alias("first"))
+    cliques = held.join(first, "leaf").select(F.col("leaf").alias("clique"), "id", (F.col("depth") - F.col("first")).alias("depth"))
+    return Sections(slices, ids.select("id", "z", F.inline("runs")), cliques)
+
+
+def _run_text(r: Column) -> Column:
+    return F.concat(r["y"].cast("string"), F.lit(":"), r["x0"].cast("string"), F.lit("-"), r["x1"].cast("string"))
+
+
+def joined_runs(runs: DataFrame) -> DataFrame:
+    """Runs (region, z, y, x0, x1) with those that touch, as at tiles' borders, put together."""
+    line = W.partitionBy("region", "z", "y").orderBy("x0")
+    starts = runs.withColumn("new", F.coalesce(F.lag("x1").over(line) < F.col("x0"), F.lit(True)).cast("int"))
+    numbered = starts.withColumn("n", F.sum("new").over(line))
+    return numbered.groupBy("region", "z", "y", "n").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("n")

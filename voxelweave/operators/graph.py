@@ -118,3 +118,18 @@ def leaf_paths(nodes: DataFrame) -> DataFrame:
         paths, up, step = grown, higher, 2 * step
     length = paths.groupBy("clique").agg(F.max("rise").alias("length"))
     return paths.join(length, "clique").select("clique", "node", (F.col("length") - F.col("rise")).alias("depth"))
+
+
+def nearest_stop(nodes: DataFrame) -> DataFrame:
+    """node, stop: the first node with `stops` at or above each node of trees (node, up; null at a root, stops); null if there is none.
+
+    Pointers that aren't at a stop move to where their target points, so rounds grow with the logarithm of the depth.
+    """
+    at = settled(nodes.select("node", F.when(F.col("stops"), F.col("node")).otherwise(F.col("up")).alias("stop"), (F.col("stops") | F.col("up").isNull()).alias("done")))
+    while at.where(~F.col("done")).take(1):
+        target = at.select(F.col("node").alias("stop"), F.col("stop").alias("next"), F.col("done").alias("there"))
+        found = at.where(~F.col("done")).join(target, "stop", "left").select("node", F.col("next").alias("stop"), F.coalesce("there", F.lit(True)).alias("done"))
+        after = settled(at.where("done").unionByName(found))
+        dropped(at)
+        at = after
+    return at.select("node", "stop")

@@ -1043,12 +1043,59 @@ def rf_probability(spark, d):
     return learned.probability(model, v).select("vec_id", "label", "p", neglog("p", F.lit(1)).alias("cost"))
 
 
-@query()
+def section_pixels(spark, d):
+    """Sections of 64 x 64 pixels, an event each."""
+    e = adapter.table(spark, d, "events").select("event_id", "value")
+    x, y, z = F.col("event_id") % 64, F.floor(F.col("event_id") / 64) % 64, F.floor(F.col("event_id") / 4096)
+    coarse = ((F.floor(x / 6) * 7 + F.floor(y / 6) * 5 + z * 3) % 10).cast("double") / 10.0
+    return e.select(z.alias("z"), y.alias("y"), x.alias("x"), (0.5 * (F.col("value") / (F.col("value") + 35.0)) + 0.5 * coarse).alias("value"))
+
+
+def extracted(spark, d):
+    """Trees of six thresholds, of tiles of 16 x 16 pixels put together."""
+    return extract.sections(section_pixels(spark, d), levels=6, least=4, most=2000, height=3, side=16)
+
+
+#: regions by label propagation over pixels; a node is a pixel set, named by its least pixel and its size
+TREE = """RECURSIVE pix AS (SELECT event_id // 4096 AS z, event_id % 4096 AS p, event_id % 64 AS x, (event_id // 64) % 64 AS y, 0.5*(value/(value+35.0::DOUBLE))+0.5*(CAST(((event_id%64)//6*7+((event_id//64)%64)//6*5+(event_id//4096)*3)%10 AS DOUBLE)/10.0::DOUBLE) AS v FROM events),
+px AS (SELECT (z*6+k)*4096+p AS id, k, z, p, x, y FROM pix, range(0, 6) r(k) WHERE v > (k+0.5::DOUBLE)/6),
+edge AS (SELECT a.id AS a, b.id AS b FROM px a JOIN px b ON b.id = a.id+1 AND a.x < 63 UNION ALL SELECT a.id, b.id FROM px a JOIN px b ON b.id = a.id-1 AND a.x > 0 UNION ALL SELECT a.id, b.id FROM px a JOIN px b ON b.id = a.id+64 AND a.y < 63 UNION ALL SELECT a.id, b.id FROM px a JOIN px b ON b.id = a.id-64 AND a.y > 0),
+cc(id, c) USING KEY (id) AS (SELECT id, id FROM px UNION (SELECT e.a, min(v.c) FROM cc v JOIN edge e ON e.b = v.id JOIN recurring.cc u ON u.id = e.a WHERE v.c < u.c GROUP BY e.a)),
+lab AS (SELECT k, z, p, x, y, c % 4096 AS c FROM cc JOIN px USING (id)),
+reg AS (SELECT k, z, c, count(*) AS size, min(x) AS x0, min(y) AS y0, max(x)+1 AS x1, max(y)+1 AS y1, sum(x) AS sx, sum(y) AS sy FROM lab GROUP BY 1, 2, 3),
+node AS (SELECT z, c, size, min(k) AS k0, max(k) AS k1, any_value(x0) AS x0, any_value(y0) AS y0, any_value(x1) AS x1, any_value(y1) AS y1, any_value(sx) AS sx, any_value(sy) AS sy FROM reg WHERE size BETWEEN 4 AND 2000 GROUP BY 1, 2, 3),
+anc AS (SELECT DISTINCT n.z, n.c, n.size, m.c AS ac, m.size AS asize FROM node n JOIN lab l ON l.z = n.z AND l.p = n.c AND l.k < n.k0 JOIN reg r ON r.k = l.k AND r.z = l.z AND r.c = l.c JOIN node m ON m.z = r.z AND m.c = r.c AND m.size = r.size WHERE m.size > n.size),
+dep AS (SELECT n.z, n.c, n.size, count(a.ac) AS depth FROM node n LEFT JOIN anc a ON a.z = n.z AND a.c = n.c AND a.size = n.size GROUP BY 1, 2, 3),
+rise AS (SELECT a.z, a.ac AS c, a.asize AS size, max(d.depth) AS low FROM anc a JOIN dep d ON d.z = a.z AND d.c = a.c AND d.size = a.size GROUP BY 1, 2, 3),
+kept AS (SELECT n.*, d.depth FROM node n JOIN dep d USING (z, c, size) LEFT JOIN rise r USING (z, c, size) WHERE coalesce(r.low - d.depth, 0) < 3),
+par AS (SELECT a.z, a.c, a.size, min(a.asize) AS up FROM anc a JOIN kept k ON k.z = a.z AND k.c = a.ac AND k.size = a.asize GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {TREE} SELECT k.z, round((k1+0.5::DOUBLE)/6, 9) AS value, k.size, x0, y0, x1, y1, CAST(sx AS BIGINT) AS sx, CAST(sy AS BIGINT) AS sy, p.up AS parent_size FROM kept k LEFT JOIN par p ON p.z = k.z AND p.c = k.c AND p.size = k.size")
 def slice_extraction(spark, d):
-    """Component trees of images painted from slices; semantics are this package's (see operators.extract)."""
-    lit = runs(spark, d).withColumn("v", 0.3 + (F.col("id") % 7) / 10.0)
-    px = lit.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1))).groupBy("z", "y", "x").agg(F.max("v").alias("value"))
-    return extract.slices_of_images(px).drop("runs")
+    """Component trees of all sections, made of tiles and joined along their borders; slices with their parent's size."""
+    s = extracted(spark, d).slices
+    up = s.select(F.col("id").alias("parent"), F.col("z"), F.col("size").alias("parent_size"))
+    return s.join(up, ["parent", "z"], "left").select("z", F.round("value", 9).alias("value"), "size", "x0", "y0", "x1", "y1", "sx", "sy", "parent_size")
+
+
+@query(f"""WITH {TREE}, leaf AS (SELECT * FROM kept k WHERE NOT EXISTS (SELECT 1 FROM anc a WHERE a.z = k.z AND a.ac = k.c AND a.asize = k.size)),
+path AS (SELECT z, c, size, c AS ac, size AS asize FROM leaf UNION ALL SELECT l.z, l.c, l.size, a.ac, a.asize FROM leaf l JOIN anc a ON a.z = l.z AND a.c = l.c AND a.size = l.size)
+SELECT p.z, l.x0, l.y0, p.size AS leaf_size, string_agg(CAST(p.asize AS VARCHAR), '>' ORDER BY p.asize DESC) AS path, count(*) AS n FROM path p JOIN kept k ON k.z = p.z AND k.c = p.ac AND k.size = p.asize JOIN leaf l ON l.z = p.z AND l.c = p.c AND l.size = p.size GROUP BY p.z, p.c, p.size, l.x0, l.y0""")
+def extraction_cliques(spark, d):
+    """Each leaf's path of extracted slices, by their sizes: the slices that exclude each other."""
+    got = extracted(spark, d)
+    s = got.slices.select("id", "size")
+    at = got.slices.select(F.col("id").alias("clique"), "z", "x0", "y0", F.col("size").alias("leaf_size"))
+    path = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("depth", "size"))), lambda r: r["size"].cast("string")), ">")
+    return got.cliques.join(s, "id").groupBy("clique").agg(path.alias("path"), F.count("*").alias("n")).join(at, "clique").select("z", "x0", "y0", "leaf_size", "path", "n")
+
+
+@query(f"WITH {TREE} SELECT k.z, l.y, count(*) AS pixels, CAST(sum(l.x) AS BIGINT) AS xs FROM kept k JOIN lab l ON l.z = k.z AND l.c = k.c AND l.k = k.k0 GROUP BY k.z, l.y")
+def extraction_runs(spark, d):
+    """SNK3, G7: the extracted slices' masks, by line."""
+    n = F.col("x1") - F.col("x0")
+    return extracted(spark, d).runs.groupBy("z", "y").agg(F.sum(n).alias("pixels"), F.sum(F.expr("(x0 + x1 - 1) * (x1 - x0) div 2")).alias("xs"))
 
 
 @query()
