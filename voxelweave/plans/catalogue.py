@@ -464,11 +464,16 @@ gm AS (SELECT geo.*, ss+ts AS t, coalesce(m,0) AS al FROM geo LEFT JOIN mo ON mo
 gf AS (SELECT key, type, s, t1, t2, dx, dy, ex*ex+ey*ey AS f1, CAST(t-2*o AS DOUBLE) AS f2, CAST(t-2*o AS DOUBLE)/t AS f3, CAST(t-2*al AS DOUBLE) AS f4, CAST(t-2*al AS DOUBLE)/t AS f5, CAST(t AS DOUBLE)/(type+1) AS f6,
   CAST(abs(ss-ts) AS DOUBLE) AS f7, CAST(o AS DOUBLE) AS f8, CAST(o AS DOUBLE)/greatest(t-o,1) AS f9, CAST(al AS DOUBLE) AS f10, CAST(al AS DOUBLE)/greatest(t-CASE WHEN type=1 THEN o ELSE al END,1) AS f11 FROM gm)"""
 #: the distance of every pixel of one side to the runs of the other, unmoved (m = 0) and moved (m = 1)
-FAR = """mv AS (SELECT key, 0 AS m, 0 AS ax, 0 AS ay FROM geo UNION ALL SELECT key, 1, -dx, -dy FROM geo),
-pix AS (SELECT id, y, unnest(range(x0,x1)) AS x FROM runs WHERE id IN (SELECT s FROM tg UNION SELECT t FROM tg)),
-th AS (SELECT key, m, least(50.0, sqrt(min(e*e+f*f))) AS d FROM (SELECT mv.key, m, p.id, p.x, p.y, greatest(r.x0-(p.x+ax),p.x+ax-(r.x1-1),0) AS e, r.y-(p.y+ay) AS f FROM mv JOIN tg ON tg.key=mv.key JOIN pix p ON p.id=tg.t JOIN runs r ON r.id=tg.s) GROUP BY key, m, id, x, y),
-bk AS (SELECT key, m, least(50.0, sqrt(min(e*e+f*f))) AS d FROM (SELECT mv.key, m, p.x, p.y, greatest(r.x0+ax-p.x,p.x-(r.x1+ax-1),0) AS e, r.y+ay-p.y AS f FROM mv JOIN tg ON tg.key=mv.key JOIN pix p ON p.id=tg.s JOIN runs r ON r.id=tg.t) GROUP BY key, m, x, y),
-fa AS (SELECT a.key, a.m, (a.d+b.d)/2 AS mean, greatest(a.top,b.top) AS top FROM (SELECT key, m, avg(d) AS d, max(d) AS top FROM th GROUP BY 1, 2) a JOIN (SELECT key, m, avg(d) AS d, max(d) AS top FROM bk GROUP BY 1, 2) b ON a.key=b.key AND a.m=b.m),
+#: each pixel of one side against the other side's runs, held as a list a slice, so that no row is made for a pixel and a run
+FAR = """mv AS MATERIALIZED (SELECT key, 0 AS m, CAST(0 AS BIGINT) AS ax, CAST(0 AS BIGINT) AS ay FROM geo UNION ALL SELECT key, 1, -dx, -dy FROM geo),
+rl AS MATERIALIZED (SELECT id, list({'y': y, 'a': x0, 'b': x1-1}) AS l FROM runs WHERE id IN (SELECT s FROM tg UNION SELECT t FROM tg) GROUP BY id),
+pix AS MATERIALIZED (SELECT id, y, unnest(range(x0,x1)) AS x FROM runs WHERE id IN (SELECT s FROM tg UNION SELECT t FROM tg)),
+thp AS MATERIALIZED (SELECT mv.key, m, ax, ay, tg.t AS id, rl.l FROM mv JOIN tg ON tg.key=mv.key JOIN rl ON rl.id=tg.s),
+th AS (SELECT key, m, avg(d) AS d, max(d) AS top FROM (SELECT key, m, least(50.0, sqrt(list_min([greatest(r.a-x-ax, x+ax-r.b, 0)*greatest(r.a-x-ax, x+ax-r.b, 0)+(r.y-y-ay)*(r.y-y-ay) FOR r IN l]))) AS d FROM thp JOIN pix p ON p.id=thp.id) q GROUP BY 1, 2),
+tl AS (SELECT tg.key, any_value(tg.s) AS s, flatten(list(rl.l)) AS l FROM tg JOIN rl ON rl.id=tg.t GROUP BY 1),
+tlp AS MATERIALIZED (SELECT mv.key, m, ax, ay, s, l FROM mv JOIN tl ON tl.key=mv.key),
+bk AS (SELECT key, m, avg(d) AS d, max(d) AS top FROM (SELECT key, m, least(50.0, sqrt(list_min([greatest(r.a+ax-x, x-r.b-ax, 0)*greatest(r.a+ax-x, x-r.b-ax, 0)+(r.y+ay-y)*(r.y+ay-y) FOR r IN l]))) AS d FROM tlp JOIN pix p ON p.id=tlp.s) q GROUP BY 1, 2),
+fa AS (SELECT a.key, a.m, (a.d+b.d)/2 AS mean, greatest(a.top,b.top) AS top FROM th a JOIN bk b ON a.key=b.key AND a.m=b.m),
 fd AS (SELECT p.key, p.mean AS f12, p.top AS f13, q.mean AS f14, q.top AS f15 FROM fa p JOIN fa q ON q.key=p.key AND p.m=0 AND q.m=1)"""
 W_REL = f"WITH {S}, {OV}, {CF}, {BR}, {BL}, {REL} "
 
