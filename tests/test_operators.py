@@ -349,6 +349,45 @@ def test_engine_keeps_what_is_there(spark, tmp_path):
     assert len(list((tmp_path / "two" / "slices").glob("version-*"))) == version
 
 
+def test_block_tables(spark, tmp_path):
+    """Upserts look at, and requests read, the folders of their cells only; put() writes what it is given and latest() reads the newest."""
+    t = store.BlockTables(spark, str(tmp_path))
+    with pytest.raises(store.Missing):
+        t.load("t")
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, cell string, v string")
+    t.upsert(rows((1, "c0_0_0", "a"), (1, "c0_0_0", "b"), (2, "c0_0_1", "x")), "t", ["id"])
+    t.upsert(rows((1, "c0_0_0", "z"), (3, "c1_0_0", "y")), "t", ["id"])
+    assert sorted(map(tuple, t.load("t").select("id", "cell", "v").collect())) == [(1, "c0_0_0", "a"), (2, "c0_0_1", "x"), (3, "c1_0_0", "y")]
+    near = t.near("t", ["c0_0_1"])
+    assert "PartitionFilters: [isnotnull(cell" in near._jdf.queryExecution().executedPlan().toString() and len(near.inputFiles()) == 3
+    assert near.where("cell = 'c0_0_1'").count() == 1
+    t.upsert(rows(), "none", ["id"])
+    assert t.load("none").count() == 0
+    for k in range(3):
+        t.put(spark.createDataFrame([(k, float(k)), (9, float(k))], "key long, cost double"), "costs")
+    assert sorted(map(tuple, t.latest("costs", ["key"]).collect())) == [(0, 0.0), (1, 1.0), (2, 2.0), (9, 2.0)] and t.load("costs").count() == 6
+    t.append(rows((4, "c0_0_1", "w")), "t")
+    t.compact("t", ["c0_0_1"])
+    assert t.load("t").count() == 4 and len(list((tmp_path / "t" / "cell=c0_0_1").glob("*.parquet"))) == 1
+
+
+def test_engine_on_block_tables(spark, tmp_path):
+    """The same tables and solution as the other backend's; a core's solution writes its own costs only."""
+    price = lambda s: s.select("key", F.when(F.col("type") == 1, -3.0).otherwise(-0.25).alias("cost"))
+    cores = spark.createDataFrame([(0, 0, 0), (1, 0, 0)], "cx long, cy long, cz long")
+    found = []
+    for backend in ("memory", "blocks"):
+        e, p = an_engine(spark, tmp_path / backend, backend, 24)
+        e.slices(grid.all_blocks(spark, e.grid), p)
+        e.complete(lambda e=e: e.solve(cores, SolutionParameters(padding=1), price), e.segments)
+        found.append([table(e, n, *c) for n, c in (("slices", ("id", "cell")), ("links", ("id", "bx", "by", "bz", "home")), ("segments", ("key", "isi", "cell")), ("segment_links", ("key", "bx", "home")))] + [sorted(map(tuple, e.solution(cores).collect()))])
+    assert found[0] == found[1] and found[0][-1]
+    before = e.tables.load("costs").count()
+    keys = e.tables.near("segment_links", ["c0_0_0"]).join(grid.core_blocks(cores.limit(1), e.grid, 1), ["bx", "by", "bz"], "left_semi").select("key").distinct().count()
+    e.solve(cores.where("cx = 0"), SolutionParameters(padding=1), price)
+    assert e.tables.load("costs").count() == before + keys
+
+
 def test_engine(spark, tmp_path):
     """Solutions of cores: asked for again and again until all they need is there, feasible, and the same when asked for once more."""
     e, p = an_engine(spark, tmp_path, "memory", 24)

@@ -66,6 +66,18 @@ class Engine:
             return blocks.select(*BLOCK).distinct()
         return grid.missing(blocks.select(*BLOCK).distinct(), self.tables.load(name), "flag")
 
+    def _cells(self, blocks: DataFrame) -> list[str] | None:
+        return store.cells_of(blocks.select(grid.cell_of().alias("cell")))
+
+    def _slices_of(self, blocks: DataFrame) -> tuple[DataFrame, list[str] | None]:
+        """Stored slices of blocks, and the cells that they are kept in."""
+        links = settled(self.tables.near("links", self._cells(blocks)).join(blocks, BLOCK, "left_semi").select("id", "home").distinct())
+        homes = store.cells_of(links, "home")
+        return settled(self.tables.near("slices", homes).drop("cell").join(links.select("id"), "id", "left_semi")), homes
+
+    def _conflicts(self, homes: list[str] | None) -> DataFrame:
+        return self.tables.near("conflicts", homes).drop("cell").distinct()
+
     def slices(self, blocks: DataFrame, p: SliceParameters = SliceParameters()) -> DataFrame:
         """Stores the slices of blocks within the size bounds, those that share a clique with one of them, their masks, block links and conflicts."""
         todo = settled(self._missing(blocks, "slices_done"))
@@ -75,7 +87,7 @@ class Engine:
             raise UsageError("no slices to take from")
         z = todo.select("bz").distinct().select(F.explode(F.sequence(F.col("bz") * self.grid.block[2], (F.col("bz") + 1) * self.grid.block[2] - 1)).alias("z"))
         runs = self.runs.select("id", "z", "y", "x0", "x1").join(z, "z", "left_semi")
-        boxes = settled(masks.measure(runs).where(F.col("sz").between(p.least, p.most)))
+        boxes = settled(masks.measure(runs).where(F.col("sz").between(p.least, p.most)).withColumn("cell", grid.home_of(self.grid)))
         links = grid.slice_blocks(boxes, self.grid)
         near = links.join(todo, BLOCK, "left_semi").select("id").distinct()
         whole = near
@@ -84,12 +96,16 @@ class Engine:
         whole = settled(whole)
         own = lambda df: df.join(whole, "id", "left_semi")
         self.tables.upsert(own(boxes), "slices", ["id"])
-        kept = settled(own(runs).join(boxes.select("id", "sz"), "id"))
+        kept = settled(own(runs).join(boxes.select("id", "sz", "cell"), "id"))
         self.tables.upsert(kept, "runs", ["id", "z", "y", "x0"])
-        self.tables.upsert(own(links), "links", ["id", *BLOCK])
+        homes = boxes.select("id", F.col("cell").alias("home"))
+        self.tables.upsert(own(links).select("id", *BLOCK).join(homes, "id").withColumn("cell", grid.cell_of()), "links", ["id", *BLOCK])
         t = masks.tiles(kept, "sz")
         pairs = masks.conflict_pairs(t).select("a_id", "b_id", "z", "o")
-        self.tables.upsert(pairs, "conflicts", ["a_id", "b_id"])
+        for side in ("a", "b"):  # a conflict is found from either slice's cell
+            pairs = pairs.join(homes.select(F.col("id").alias(f"{side}_id"), F.col("home").alias(side)), f"{side}_id")
+        pairs = pairs.withColumn("cell", F.explode(F.array_distinct(F.array("a", "b")))).drop("a", "b")
+        self.tables.upsert(pairs, "conflicts", ["a_id", "b_id", "cell"])
         self._flag(todo, "slices_done")
         log.info("slices of %s blocks", todo.count())
         return self._none()
@@ -103,15 +119,19 @@ class Engine:
         lack = settled(self._missing(need, "slices_done"))
         if lack.take(1):
             return lack
-        s = settled(store.slices_by_blocks(self.tables.load("slices"), self.tables.load("links"), need))
-        runs = settled(self.tables.load("runs").join(s.select("id"), "id", "left_semi"))
+        s, homes = self._slices_of(need)
+        runs = settled(self.tables.near("runs", homes).drop("cell").join(s.select("id"), "id", "left_semi"))
         pairs = settled(masks.overlap_pairs(masks.tiles(runs, "sz")))
-        conflicts = self.tables.load("conflicts")
+        conflicts = self._conflicts(homes)
         seg = settled(segments.all_segments(s, pairs, conflicts))
-        links = settled(grid.segment_blocks(seg, s, self.grid).join(todo, BLOCK, "left_semi"))
-        seg = settled(seg.join(links.select("key").distinct(), "key", "left_semi"))
+        # a segment is kept in the cell of the first of all its blocks, whichever of them are asked for
+        every = grid.segment_blocks(seg, s, self.grid)
+        first = F.min(F.struct("bz", "by", "bx")).alias("b")
+        homes = every.groupBy("key").agg(first).select("key", "b.*").select("key", grid.cell_of().alias("home"))
+        links = settled(every.join(todo, BLOCK, "left_semi").join(homes, "key").withColumn("cell", grid.cell_of()))
+        seg = settled(seg.join(links.select("key", F.col("home").alias("cell")).distinct(), "key"))
         hist = features.histograms(self.values) if self.values is not None else self.spark.createDataFrame([], "id long, h array<long>")
-        new = seg.join(self.tables.load("segments").select("key"), "key", "left_anti") if self.tables.exists("segments") else seg
+        new = seg.join(self.tables.near("segments", store.cells_of(seg)).select("key"), "key", "left_anti") if self.tables.exists("segments") else seg
         vectors = features.vector(new, s, runs, pairs, hist).select("key", "features")
         self.tables.upsert(new.join(vectors, "key").withColumn("cost", F.lit(None).cast("double")), "segments", ["key"])
         self.tables.upsert(links, "segment_links", ["key", *BLOCK])
@@ -131,23 +151,24 @@ class Engine:
         if lack.take(1):
             return lack
         number = F.xxhash64(*CORE).alias("problem")
-        links = self.tables.load("segment_links").join(wide, BLOCK).select(number, *CORE, "key").distinct()
-        stored = self.tables.load("segments")
+        links = self.tables.near("segment_links", self._cells(wide)).join(wide, BLOCK).select(number, *CORE, "key", "home").distinct()
+        stored = self.tables.near("segments", store.cells_of(links, "home")).drop("cell")
+        links = links.drop("home")
         mine = settled(stored.join(links.select("key").distinct(), "key", "left_semi"))
-        known = self.tables.load("costs") if self.tables.exists("costs") else mine.select("key", "cost").limit(0)
+        known = self.tables.latest("costs", ["key"]) if self.tables.exists("costs") else mine.select("key", "cost").limit(0)
         have = mine.select("key").join(known, "key") if p.read_costs else known.limit(0)
         todo = mine.join(have.select("key"), "key", "left_anti")
         fresh = cost(todo) if cost else costs.linear(todo, self._weights())
         fresh = settled(fresh.select("key", "cost"))
         if p.store_costs:
-            self.tables.save(known.join(fresh.select("key"), "key", "left_anti").unionByName(fresh), "costs")
+            self.tables.put(fresh, "costs")
         priced = have.unionByName(fresh)
         every = settled(mine.select("key", "type", "isi", "sl", "sr").join(priced, "key").join(links.select("problem", "key"), "key"))
-        slices = self.tables.load("slices")
+        slices, homes = self._slices_of(grid.expand(wide.select(*BLOCK).distinct(), (1, 1, 1), self.grid))
         name = F.concat_ws("-", "a_id", "b_id")
         ids = every.select(F.explode(F.concat("sl", "sr")).alias("id")).distinct()
         near = slices.join(ids, "id", "left_semi")
-        cliques = self.tables.load("conflicts").select(name.alias("clique"), F.explode(F.array("a_id", "b_id")).alias("id"), F.lit(True).alias("maximal")).join(ids, "id", "left_semi")
+        cliques = self._conflicts(homes).select(name.alias("clique"), F.explode(F.array("a_id", "b_id")).alias("id"), F.lit(True).alias("maximal")).join(ids, "id", "left_semi")
         got = settled(solve.solve_segments(every, near, cliques, p.force_explanation, user))
         chosen = every.join(got.where("x = 1").select("problem", "key"), ["problem", "key"], "left_semi")
         # what of it lies in the core itself, and what hangs together there
@@ -175,13 +196,12 @@ class Engine:
             if store.same_sets(latest, links.drop("solution"), [*CORE, "hash"]) and not cores.join(self.tables.load("solution_done"), CORE, "left_anti").take(1):
                 return
         self.tables.append(links, "solutions")
-        had = self.tables.load("precedence") if self.tables.exists("precedence") else cores.select(*CORE, solution).limit(0)
-        self.tables.save(had.join(cores, CORE, "left_anti").unionByName(cores.select(*CORE, solution)), "precedence")
+        self.tables.put(cores.select(*CORE, solution), "precedence")
         self._flag(cores, "solution_done", CORE)
 
     def solution(self, cores: DataFrame) -> DataFrame:
         """cx, cy, cz, hash, assembly, key: the chosen segments of cores by assembly, of the solution that has precedence."""
-        mine = self.tables.load("solutions").join(self.tables.load("precedence").join(cores.select(*CORE), CORE, "left_semi"), [*CORE, "solution"], "left_semi")
+        mine = self.tables.load("solutions").join(self.tables.latest("precedence", CORE).join(cores.select(*CORE), CORE, "left_semi"), [*CORE, "solution"], "left_semi")
         return self.tables.load("assemblies").join(mine.select(*CORE, "hash").distinct(), [*CORE, "hash"], "left_semi")
 
     def ground_truth(self, cores: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -190,8 +210,9 @@ class Engine:
         lack = settled(self._missing(wide, "slices_done"))
         if lack.take(1):
             return lack
-        s = store.slices_by_blocks(self.tables.load("slices"), self.tables.load("links"), wide.select(*BLOCK).distinct()).join(labelled.select("id", "label"), "id")
-        runs = settled(self.tables.load("runs").join(s.select("id", "label"), "id"))
+        s, homes = self._slices_of(wide.select(*BLOCK).distinct())
+        s = s.join(labelled.select("id", "label"), "id")
+        runs = settled(self.tables.near("runs", homes).drop("cell").join(s.select("id", "label"), "id"))
         links = settled(labels.spanning_forest(runs))
         self.tables.upsert(links, "truth", ["label", "a", "b"])
         self.tables.upsert(labels.open_ends(s, links), "truth_ends", ["id"])

@@ -140,3 +140,14 @@ def segment_blocks(segments: DataFrame, slices: DataFrame, g: Grid, padding: int
     first, last = F.ceil((F.col("isi") - pad[2]) / n) - 1, F.floor((F.col("isi") + pad[2]) / n)
     m = m.withColumn("bz", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), first), F.least(F.lit(e - 1).cast("long"), last))))
     return m.select("key", *(F.col(f"b{a}").alias(f"{name}{a}") for a in "xyz")).distinct()
+
+
+def cell_of(side: int = 4) -> Column:
+    """Name of the cell of side**3 blocks that the block bx, by, bz is in: what stored tables are partitioned by."""
+    return F.concat(F.lit("c"), F.concat_ws("_", *(F.floor(F.col(f"b{a}") / side).cast("string") for a in "zyx")))
+
+
+def home_of(g: Grid, side: int = 4) -> Column:
+    """The cell of a slice's lower corner (x0, y0, z); the same whatever request it came by."""
+    w, h, d = g.block
+    return F.concat(F.lit("c"), F.concat_ws("_", *(F.floor(F.col(c) / (n * side)).cast("string") for c, n in (("z", d), ("y0", h), ("x0", w)))))

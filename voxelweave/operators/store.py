@@ -11,11 +11,15 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .graph import settled
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -205,13 +209,92 @@ class Tables:
         append(df, self.path, name)
 
     def upsert(self, df: DataFrame, name: str, keys: list[str]) -> None:
-        """Appends the rows whose keys aren't there, one of each."""
+        """Appends the rows whose keys aren't there, one of each.  Of a table with cells only those of the new rows are looked at: equal keys must have equal cells."""
         if not self.exists(name):
             self.save(insert_ignore(df.limit(0), df, keys), name)
             return
-        had = self.load(name)
+        had = self.near(name, cells_of(df)) if "cell" in df.columns else self.load(name)
         self.append(insert_ignore(df.limit(0), df.select(*had.columns), keys).join(had.select(*keys), keys, "left_anti"), name)
 
+    def near(self, name: str, cells: list[str] | None) -> DataFrame:
+        """Rows of cells; all rows for None."""
+        rows = self.load(name)
+        return rows if cells is None else rows.where(F.col("cell").isin(cells))
+
+    def put(self, df: DataFrame, name: str) -> None:
+        """Appends rows under a new version; what they replace stays, and latest() reads the newest.  Writes no more than it is given."""
+        self.append(df.withColumn("version", F.lit(time.time_ns())), name)
+
+    def latest(self, name: str, keys: list[str]) -> DataFrame:
+        """The newest row of each key of a table that put() writes."""
+        rows = self.load(name)
+        rest = [c for c in rows.columns if c not in (*keys, "version")]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("__row")).select(*keys, "__row.*")
+
+
+#: cells that a request may name; of more, all partitions are read
+MOST_CELLS = 4096
+
+
+def cells_of(df: DataFrame, column: str = "cell") -> list[str] | None:
+    """The distinct cells of rows, at most MOST_CELLS, or None."""
+    found = df.select(column).distinct().limit(MOST_CELLS + 1).collect()
+    return None if len(found) > MOST_CELLS else sorted(r[0] for r in found if r[0] is not None)
+
+
+class BlockTables(Tables):
+    """Plain Parquet tables, partitioned by `cell` where they have one, so that a request for blocks opens the folders of its cells only.
+
+    Writers append; a table's columns are kept beside it, so reading opens no files to find them.  Rows have keys, and
+    the engine sets a block's flag after its rows: a write that was cut short is completed by the next call, and
+    rows that it left are found there.  compact() rewrites cells that have gathered many small files.
+    """
+
+    def _at(self, name: str) -> str:
+        return f"{self.path}/{name}"
+
+    def _schema(self, name: str):
+        of, system = _files(self.spark, self.path)
+        return of(f"{self._at(name)}/_columns.json"), system
+
+    def exists(self, name: str) -> bool:
+        at, system = self._schema(name)
+        return system.exists(at)
+
+    def load(self, name: str) -> DataFrame:
+        at, system = self._schema(name)
+        if not system.exists(at):
+            raise Missing(f"{self.path} has no table {name}")
+        stream = system.open(at)
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        return self.spark.read.schema(StructType.fromJson(json.loads(text))).parquet(self._at(name))
+
+    def _put_down(self, df: DataFrame, name: str, mode: str) -> None:
+        at, system = self._schema(name)
+        has = "cell" in df.columns
+        out = (df.hint("rebalance", "cell") if has else df).write.mode(mode)
+        (out.partitionBy("cell") if has else out).parquet(self._at(name))
+        if mode == "overwrite" or not system.exists(at):
+            fields = [f for f in df.schema.fields if f.name != "cell"] + [f for f in df.schema.fields if f.name == "cell"]
+            sink = system.create(at, True)
+            sink.write(bytearray(StructType(fields).json(), "utf-8"))
+            sink.close()
+
+    def save(self, df: DataFrame, name: str) -> None:
+        self._put_down(df, name, "overwrite")
+
+    def append(self, df: DataFrame, name: str) -> None:
+        self._put_down(df, name, "append")
+
+    def compact(self, name: str, cells: list[str] | None = None) -> None:
+        """Rewrites cells (None: all), each as one file or as many as its bytes need, while nobody writes them."""
+        rows = settled(self.near(name, cells))
+        out = rows.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").option("partitionOverwriteMode", "dynamic")
+        out.parquet(self._at(name))
+
 
 class Memory(Tables):
     """The same kept by the session alone, for small volumes: rows are cached, not written.  The tables go with the session."""
@@ -237,7 +320,7 @@ class Memory(Tables):
         self.save(self.tables[name].unionByName(df) if name in self.tables else df, name)
 
 
-BACKENDS = {"parquet": Tables, "memory": Memory}
+BACKENDS = {"parquet": Tables, "blocks": BlockTables, "memory": Memory}
 
 
 def backend(name: str):
