@@ -250,7 +250,7 @@ def test_best_fit(score):
 def test_document_capacity_binds(spark):
     """Very short documents: sequences are closed by their number; a hot row is dealt over the groups."""
     df = spark.createDataFrame([(i, "a b") for i in range(300)] + [(7, "same")] * 300, "doc_id long, text string")
-    got = packing.pack(packing.pieces(df, tokens.vocabulary_path(), 0), 600, ("doc_id", "piece", "start"), group=100).collect()
+    got = packing.pack(packing.pieces(df, tokens.vocabulary_path(), 0), 600, ("doc_id", "piece", "start"), most_docs=64, group=100).collect()
     seq = defaultdict(list)
     for r in got:
         seq[r.sequence_id].append(r.doc_id)
@@ -258,6 +258,13 @@ def test_document_capacity_binds(spark):
     assert len({s >> 32 for s, d in seq.items() if 7 in d}) == 6
 
 
+def test_document_capacity_costs_no_sequence(spark):
+    df = spark.createDataFrame([(i, "two words") for i in range(5000)], "doc_id long, text string")
+    got = packing.pack(packing.pieces(df, tokens.vocabulary_path(), 0), 5000, ("doc_id",)).collect()
+    least = -(-sum(r.length for r in got) // 2048)
+    assert len(got) == 5000 and len({r.sequence_id for r in got}) <= least + 1
+
+
 def test_pack_odd(spark, odd, none):
     got = packing.pack(packing.pieces(odd, tokens.vocabulary_path(), 0, 128), 11, ("doc_id", "piece", "start"), 128).collect()
     assert len({(r.sequence_id, r.offset) for r in got}) == len(got)

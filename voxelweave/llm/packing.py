@@ -115,9 +115,12 @@ def best_fit(length: np.ndarray, capacity: int, most_docs: int, most_cost: int,
     return bin_of, at
 
 
-def pack(items: DataFrame, n_items: int, carry: tuple[str, ...], capacity: int = 2048, most_docs: int = 64, most_cost: int | None = None, score: str = "norm", group: int = 16_000) -> DataFrame:
-    """The columns `carry`, length, sequence_id and offset of every item; n_items: about how many there are."""
-    most_cost = most_cost or capacity * capacity
+def pack(items: DataFrame, n_items: int, carry: tuple[str, ...], capacity: int = 2048, most_docs: int | None = None, most_cost: int | None = None, score: str = "norm", group: int = 16_000) -> DataFrame:
+    """The columns `carry`, length, sequence_id and offset of every item; n_items: about how many there are.
+
+    By default a sequence may have as many documents as it has tokens and any attention cost that these allow, so that neither costs a sequence.
+    """
+    most_docs, most_cost = most_docs or capacity, most_cost or capacity * capacity
     groups = max(1, round(n_items / group))
     fields = items.select(*carry, "length").schema
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["sequence_id long", "offset long"])
