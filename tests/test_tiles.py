@@ -81,3 +81,28 @@ def test_addresses(spark, kind):
     s = stacks.StackDescription(base="http://h/", extension="jpg", scale=2, tile=(512, 256), source_type=kind)
     url = stacks.tile_url(kind, s.base, s.extension, s.scale, s.tile, "z", "r", "c")
     assert spark.range(1).select(F.lit(3).alias("z"), F.lit(5).alias("r"), F.lit(7).alias("c")).select(url).first()[0] == tiles.address(s, 3, 5, 7)
+
+
+def test_label_volume(spark, tmp_path):
+    """Chunks hold the painted pixels, background 0; blocks without labels have no file; a changed file is noticed."""
+    import pathlib
+
+    from voxelweave.operators import labels
+    from voxelweave.sources import volumes
+
+    rows = [(0, 0, 0, 20, 5), (0, 0, 3, 9, 9), (0, 0, 12, 13, 2), (0, 1, 7, 8, 1), (3, 5, 16, 40, 4), (3, 5, 20, 22, 0), (3, 5, 22, 24, -3)]
+    painted = spark.createDataFrame(rows, "z long, y long, x0 long, x1 long, label long")
+    index = volumes.export_volume(painted, str(tmp_path), (8, 4, 2)).cache()
+    want = {tuple(r) for r in labels.pixels(painted.where("label > 0")).select("z", "y", "x", "label").collect()}
+    found = index.collect()
+    assert {(r.bx, r.by, r.bz) for r in found} == {(x // 8, y // 4, z // 2) for z, y, x, _ in want} and sum(r.n_labelled for r in found) == len(want)
+    one = next(r for r in found if (r.bx, r.by, r.bz) == (0, 0, 0))
+    assert np.load(one.path)[0, 0].tolist() == [5, 5, 5, 9, 9, 9, 9, 9] and np.load(one.path).shape == (2, 4, 8)
+    got = [(r.z, r.y, x, r.label) for r in volumes.read_volume(index, (8, 4, 2)).collect() for x in range(r.x0, r.x1)]
+    assert len(got) == len(want) and set(got) == want
+    chunk = np.load(one.path)
+    chunk[1, 1, 1] = 77
+    np.save(one.path, chunk)
+    with pytest.raises(Exception, match="has changed"):
+        volumes.read_volume(index, (8, 4, 2)).count()
+    assert not list(pathlib.Path(tmp_path).glob("*/*.npy.*"))

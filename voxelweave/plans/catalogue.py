@@ -15,7 +15,8 @@ from ..functions import isi, key_of, neglog, normalised, one_hot, segment_hash,
 from ..operators import constraints as C
 from ..operators import costs, extract, features, graph, grid, labels, learned, masks, solve, spatial, store
 from ..operators import segments as SG
-from ..sources import adapter, stacks, tiles as tile_source
+from ..sources import adapter, stacks, volumes
+from ..sources import tiles as tile_source
 from ..sources.adapter import SLICES_SQL as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -984,6 +985,20 @@ def label_paint(spark, d):
     return seen.groupBy("label", "z").agg(F.sum(n).alias("n_pixels"), F.sum(F.expr("(x0 + x1 - 1) * (x1 - x0) div 2")).alias("sum_x"), F.sum(F.col("y") * n).alias("sum_y"))
 
 
+@query(f"""WITH {S}, px AS (SELECT z, y, x, max(id) AS label FROM (SELECT id, z, y, unnest(range(x0, x1)) AS x FROM runs WHERE id > 0) GROUP BY z, y, x)
+SELECT x//64 AS bx, y//16 AS by, z//10 AS bz, CAST(count(*) AS BIGINT) AS n_labelled, CAST(sum(label*(1+x%7+y%5+z%3)) AS BIGINT) AS weighted FROM px GROUP BY 1, 2, 3""")
+def label_volume(spark, d):
+    """SNK11: the painted volume written as dense chunks of a block each, read back, and summed up by block."""
+    s = sl(spark, d)
+    index = volumes.export_volume(labels.paint(runs(spark, d), s.select("id", F.col("id").alias("assembly"))), f"{graph.shared_folder(spark)}/volume-{uuid.uuid4().hex}", BLOCK)
+    index = graph.settled(index)
+    back = volumes.read_volume(index, BLOCK).withColumn("x", F.explode(F.sequence("x0", F.col("x1") - 1)))
+    at = [F.floor(F.col(c) / n).alias(k) for c, n, k in zip("xyz", BLOCK, ("bx", "by", "bz"))]
+    w = F.col("label") * (1 + F.col("x") % 7 + F.col("y") % 5 + F.col("z") % 3)
+    got = back.groupBy(*at).agg(F.count("*").alias("found"), F.sum(w).alias("weighted"))
+    return got.join(index, ["bx", "by", "bz"]).where("found = n_labelled").select("bx", "by", "bz", "n_labelled", "weighted")
+
+
 @query(f"WITH {S} SELECT id, x, y FROM (SELECT id, x0, y0, 1+id%3 AS r FROM slices) s, range(-4, 5) a(i), range(-4, 5) b(j), LATERAL (SELECT x0+i AS x, y0+j AS y) m WHERE i*i+j*j <= r*r AND x >= 0 AND y >= 0")
 def brush_strokes(spark, d):
     """Pixels of round brush strokes."""
