@@ -68,12 +68,19 @@ LINKS = f"""links AS (SELECT id, bx, by, bz FROM (SELECT id, z//{BLOCK[2]} AS bz
 W_GRID = f"WITH {S}, {VOL}, {EXT}, {BLOCKS}, {LINKS} "
 
 
-_KEPT: dict[tuple, DataFrame] = {}
+_KEPT: dict[tuple, object] = {}
+
+
+def state_of(spark, d) -> tuple:
+    """A folder's entries with their sizes and times: other files are other tables."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(d)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in found))
 
 
 def kept(spark, d, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that several queries read, written once a session and folder."""
-    key = (spark.sparkContext.applicationId, d, name)
+    """A table that several queries read, written once a session and state of the folder."""
+    key = (spark.sparkContext.applicationId, d, state_of(spark, d), name)
     if key not in _KEPT:
         _KEPT[key] = graph.settled(make())
     return _KEPT[key]
@@ -1080,7 +1087,7 @@ def extracted(spark, d):
 def pixel_stack(spark, d):
     """The sections as a stack of tiles of 24 x 16 pixels, written once a session and folder; tiles whose numbers add up to a multiple of 7 are missing."""
     folder = f"{graph.shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
-    key = (spark.sparkContext.applicationId, d, "tiles")
+    key = (spark.sparkContext.applicationId, d, state_of(spark, d), "tiles")
     if key not in _KEPT:
         px = section_pixels(spark, d)
         stack = stacks.StackDescription(64, 64, px.agg(F.max("z") + 1).first()[0], base=f"{folder}/", extension="pgm", tile=(24, 16), source_type=4)
