@@ -1087,7 +1087,7 @@ def extracted(spark, d):
 def pixel_stack(spark, d):
     """The sections as a stack of tiles of 24 x 16 pixels, written once a session and folder; tiles whose numbers add up to a multiple of 7 are missing."""
     folder = f"{graph.shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
-    key = (spark.sparkContext.applicationId, d, state_of(spark, d), "tiles")
+    key = (spark.sparkContext.applicationId, d, state_of(spark, d), "tile stack")
     if key not in _KEPT:
         px = section_pixels(spark, d)
         stack = stacks.StackDescription(64, 64, px.agg(F.max("z") + 1).first()[0], base=f"{folder}/", extension="pgm", tile=(24, 16), source_type=4)
