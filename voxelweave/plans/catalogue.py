@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import isi, key_of, neglog, normalised, one_hot, segment_hash, segment_type, signed, slice_hash, type_name, unsigned
 from ..operators import constraints as C
-from ..operators import costs, extract, features, graph, grid, labels, learned, masks, solve, spatial, store
+from ..operators import costs, decompose, extract, features, graph, grid, labels, learned, masks, solve, spatial, store
 from ..operators import segments as SG
 from ..sources import adapter, stacks, volumes
 from ..sources import tiles as tile_source
@@ -869,20 +869,38 @@ BEST2 = f""", lab AS MATERIALIZED (SELECT a AS id, min(b) AS component FROM r GR
 _BEST = f"{S}, {OV}, {CF}, {BR}, {BL}, {BEST}"
 
 
-@query(CLOSURE.format(base=_BEST) + BEST2 + " SELECT component, CAST(round(objective,6) AS DOUBLE) AS objective FROM best")
-def solve_volume(spark, d):
-    """The least cost of each piece of the whole programme (conflicts, exclusivity, flow; ends, continuations, branches) over the volume."""
+def _pieces(spark, d):
+    """id, component: slices that continuations, branches or conflicts among them put together."""
     m = SG.members(segs(spark, d).where("type > 0")).select("key", "id")
     used = m.select("id").distinct()
     first = m.groupBy("key").agg(F.min("id").alias("b"))
     c = conflicts(spark, d).join(used.withColumnRenamed("id", "a_id"), "a_id", "left_semi").join(used.withColumnRenamed("id", "b_id"), "b_id", "left_semi")
-    piece = graph.components(m.join(first, "key").select(F.col("id").alias("a"), "b").unionByName(c.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))))
+    return graph.components(m.join(first, "key").select(F.col("id").alias("a"), "b").unionByName(c.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))))
+
+
+@query(CLOSURE.format(base=_BEST) + BEST2 + " SELECT component, CAST(round(objective,6) AS DOUBLE) AS objective FROM best")
+def solve_volume(spark, d):
+    """The least cost of each piece of the whole programme (conflicts, exclusivity, flow; ends, continuations, branches) over the volume."""
+    piece = _pieces(spark, d)
     one = F.explode(F.concat("sl", "sr")).alias("id")
     on = _solved(spark, d).where("x = 1").select("key", "cost", one).groupBy("key").agg(F.min("id").alias("id"), F.first("cost").alias("cost"))
     spent = on.join(piece, "id").groupBy("component").agg(F.sum("cost").alias("spent"))
     return piece.select("component").distinct().join(spent, "component", "left").select("component", F.round(F.coalesce("spent", F.lit(0.0)), 6).alias("objective"))
 
 
+@query(CLOSURE.format(base=_BEST) + BEST2 + " SELECT component, CAST(round(objective,6) AS DOUBLE) AS lower, CAST(round(objective,6) AS DOUBLE) AS upper FROM best")
+def solve_windows(spark, d):
+    """The same programme by windows of 256 x 16 pixels and 4 intervals: each piece's proven lower bound and its solution's cost, which meet."""
+    piece = graph.settled(_pieces(spark, d))
+    s = priced(spark, d)
+    solution, bounds = decompose.solve_volume(s, sl(spark, d), cliques(spark, d), (256, 16, 4))
+    at = solution.join(s.select("key", F.explode(F.concat("sl", "sr")).alias("id")), "key").join(piece.withColumnRenamed("component", "piece"), "id").select("component", "piece").distinct()
+    total = lambda c: (F.round(F.sum(c), 6) + 0.0).alias(c)
+    got = at.join(bounds, "component").groupBy(F.col("piece").alias("component")).agg(total("lower"), total("upper"))
+    zero = F.lit(0.0)
+    return piece.select("component").distinct().join(got, "component", "left").select("component", F.coalesce("lower", zero).alias("lower"), F.coalesce("upper", zero).alias("upper"))
+
+
 @query(W_SEG + ", l AS (SELECT DISTINCT 'flow:'||id AS row FROM mem) SELECT CAST(0 AS BIGINT) AS violated, CAST(0 AS BIGINT) AS undecided")
 def solution_feasible(spark, d):
     """M6: rows that the solution breaks, and variables without a value."""
