@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,6 +98,115 @@ def branch_and_bound(cost: list[float], rows: list[tuple[dict[int, int], str, in
     return out, steps <= limit
 
 
+#: steps of branch and bound before a programme is solved over its open rows instead
+FIRST = 20_000
+
+
+def _frontier(cost: list[float], rows: list[tuple[dict[int, int], str, int]]) -> list[int]:
+    """An order of the variables that keeps few rows open: next is the one of an open row that opens least rows more than it closes."""
+    of: list[list[int]] = [[] for _ in cost]
+    for r, (coef, _, _) in enumerate(rows):
+        for v in coef:
+            of[v].append(r)
+    left = [len(coef) for coef, _, _ in rows]
+    waiting, near, order = set(range(len(cost))), set(), []
+    begun: set[int] = set()
+    more = lambda v: (sum((r not in begun) - (left[r] == 1) for r in of[v]), len(of[v]), v)
+    while waiting:
+        v = min(near or waiting, key=more)
+        order.append(v)
+        waiting.discard(v)
+        near.discard(v)
+        for r in of[v]:
+            left[r] -= 1
+            if r not in begun:
+                begun.add(r)
+                near.update(w for w in rows[r][0] if w in waiting)
+    return order
+
+
+def by_open_rows(cost: list[float], rows: list[tuple[dict[int, int], str, int]], known: list[int], most: int = 1_500_000) -> list[int] | None:
+    """What branch_and_bound gives, by dynamic programming: of all choices that leave the open rows alike only the cheapest is kept.
+
+    A row is open from its first variable to its last, and of a row that can't be broken any more it doesn't matter how much
+    it has; so the work grows with the number of variables and with what the rows open at once can have, not with all
+    choices.  known: a solution that may not be the best, or none.  None if more than `most` states would be kept.
+    """
+    order = _frontier(cost, rows)
+    of: list[list[tuple[int, int]]] = [[] for _ in cost]
+    for r, (coef, _, _) in enumerate(rows):
+        for v, c in coef.items():
+            of[v].append((r, c))
+    base = [sum(min(0, c) for c in coef.values()) for coef, _, _ in rows]
+    lo, hi = base[:], [sum(max(0, c) for c in coef.values()) for coef, _, _ in rows]
+    if any(rel != ">=" and a > value or rel != "<=" and b < value for (_, rel, value), a, b in zip(rows, lo, hi)):
+        return []
+    ends = [min(value, b) if rel == "<=" else max(value, a) if rel == ">=" else value for (_, rel, value), a, b in zip(rows, lo, hi)]  # no row asks for more than its variables can add
+    width = max((b - a for a, b in zip(lo, hi)), default=0).bit_length() + 1
+    mask = (1 << width) - 1
+    left = [len(coef) for coef, _, _ in rows]
+    slot: dict[int, int] = {}
+    rest = [0.0] * (len(order) + 1)
+    for k in range(len(order) - 1, -1, -1):
+        rest[k] = rest[k + 1] + min(0.0, cost[order[k]])
+    bar = sum(c for c, x in zip(cost, known) if x) - 1e-12 if known else float("inf")
+    layers: list[dict[int, tuple[float, int, int]]] = []
+    states: dict[int, tuple[float, int, int]] = {0: (0.0, 0, 0)}  # state: cost, the state before, the last value
+    kept = 0
+    for k, v in enumerate(order):
+        opened, checks = 0, []
+        for r, c in of[v]:
+            if r not in slot:
+                slot[r] = min(set(range(len(slot) + 1)) - set(slot.values()))
+                opened |= -base[r] << slot[r] * width
+            lo[r] -= min(0, c)
+            hi[r] -= max(0, c)
+            left[r] -= 1
+            checks.append((slot[r] * width, c, base[r], rows[r][1], ends[r], lo[r], hi[r], left[r] == 0))
+        after: dict[int, tuple[float, int, int]] = {}
+        for state, (spent, _, _) in states.items():
+            for x in (0, 1):
+                total = spent + x * cost[v]
+                if total + rest[k + 1] >= bar:
+                    continue
+                new = state + opened
+                for at, c, low, rel, value, l_, h_, done in checks:
+                    have = (new >> at & mask) + low + x * c
+                    if rel != ">=" and have + l_ > value or rel != "<=" and have + h_ < value:
+                        break
+                    if rel == "<=":
+                        have = max(have, value - h_)
+                    elif rel == ">=":
+                        have = min(have, value - l_)
+                    new = new & ~(mask << at) | (0 if done else (have - low) << at)
+                else:
+                    if new not in after or total < after[new][0]:
+                        after[new] = (total, state, x)
+        for r, _ in of[v]:
+            if left[r] == 0:
+                del slot[r]
+        layers.append(after)
+        states = after
+        kept += len(after)
+        if kept > most:
+            return None
+    if not states:
+        return known
+    out, state = [0] * len(cost), min(states, key=lambda s: states[s][0])
+    for v, layer in zip(reversed(order), reversed(layers)):
+        _, state, out[v] = layer[state]
+    return out
+
+
+def exact(cost: list[float], rows: list[tuple[dict[int, int], str, int]], limit: int = 20_000_000) -> tuple[list[int], bool]:
+    """branch_and_bound, and over the open rows where that takes more than FIRST steps."""
+    x, sure = branch_and_bound(cost, rows, min(limit, FIRST))
+    if sure or limit <= FIRST:
+        return x, sure
+    got = by_open_rows(cost, rows, x)
+    return (got, True) if got is not None else branch_and_bound(cost, rows, limit)
+
+
 def hopeless(segments: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """problem, key of ends that some best solution leaves out: of slices in no continuation or branch, whose ends cost 0 or more together.
 
@@ -134,22 +245,36 @@ def solve(variables: DataFrame, coefs: DataFrame, limit: int = 20_000_000) -> Da
         named.join(part, "node").select("problem", "component", "key", none("double").alias("cost"), "row", F.col("coef").cast("int").alias("coef"), "relation", F.col("value").cast("long").alias("value"))
     )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        var = pdf[pdf["row"].isna()].sort_values("key")
-        keys = var["key"].tolist()
-        at = {k: i for i, k in enumerate(keys)}
+    def one(lines: list[tuple]) -> pd.DataFrame:
+        problem, var = lines[0][1], sorted((key, cost) for _, _, key, cost, row, *_ in lines if row is None)
+        at = {key: i for i, (key, _) in enumerate(var)}
         rows: dict[str, tuple[dict[int, int], str, int]] = {}
-        r = pdf[pdf["row"].notna()]
-        for row, key, coef, rel, value in zip(r["row"], r["key"], r["coef"], r["relation"], r["value"]):
+        for row, key, coef, rel, value in sorted((row, key, coef, rel, value) for _, _, key, _, row, coef, rel, value in lines if row is not None):
             rows.setdefault(row, ({}, rel, int(value)))[0][at[key]] = int(coef)
-        x, sure = branch_and_bound(var["cost"].tolist(), list(rows.values()), limit)
+        x, sure = exact([cost for _, cost in var], list(rows.values()), limit)
         if not sure:
-            raise Unproven(f"{len(keys)} variables of problem {var['problem'].iloc[0]} took more than {limit} steps")
+            raise Unproven(f"{len(var)} variables of problem {problem} took more than {limit} steps")
         if not x:
-            raise ValueError(f"the rows over {keys[0]} and {len(keys) - 1} others of problem {var['problem'].iloc[0]} have no solution")
-        return pd.DataFrame({"problem": var["problem"].iloc[0], "key": keys, "x": x})
+            raise ValueError(f"the rows over {var[0][0]} and {len(var) - 1} others of problem {problem} have no solution")
+        return pd.DataFrame({"problem": problem, "key": list(at), "x": x})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A partition has its components one after the other; a component is held at a time, whatever batches it comes in."""
+        lines: list[tuple] = []
+        for b in batches:
+            done = []
+            for line in zip(*(b[c].tolist() for c in ("component", "problem", "key", "cost")), b["row"].where(b["row"].notna(), None).tolist(), *(b[c].tolist() for c in ("coef", "relation", "value"))):
+                if lines and lines[0][0] != line[0]:
+                    done.append(one(lines))
+                    lines = []
+                lines.append(line)
+            if done:
+                yield pd.concat(done)
+        if lines:
+            yield one(lines)
 
-    return both.groupBy("component").applyInPandas(run, "problem long, key string, x int")
+    dealt = both.repartition("component").sortWithinPartitions("component")
+    return dealt.mapInPandas(run, "problem long, key string, x int")
 
 
 def solve_segments(segments: DataFrame, slices: DataFrame, cliques: DataFrame, forced: bool = False, user: DataFrame | None = None, limit: int = 20_000_000) -> DataFrame:
