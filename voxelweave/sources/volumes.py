@@ -15,32 +15,56 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.labels import visible_runs
 from .tiles import _place
 
+RUN = np.dtype([("label", "<i8"), ("at", "<i4"), ("n", "<i4")])
 INDEX = "bx long, by long, bz long, path string, n_labelled long, crc32 long"
 
 
-def export_volume(painted: DataFrame, folder: str, block: tuple[int, int, int]) -> DataFrame:
+def export_volume(painted: DataFrame, folder: str, block: tuple[int, int, int], deflate: bool = False) -> DataFrame:
     """Writes runs with labels (z, y, x0, x1, label; the largest wins, 0 and below are background) as NPY chunks of int64 in the order z, y, x; gives their index.
 
-    Chunks are whole blocks, also at the volume's sides.  folder: one that all executors reach.
+    Chunks are whole blocks, also at the volume's sides.  deflate: files are NPZ with a chunk's labels and each place's number
+    among them, deflated, so that they take what is drawn in them and not the block's size.  folder: one that all executors reach.
     """
     w, h, d = block
-    seen = visible_runs(painted.where("label > 0"))
-    cut = seen.withColumn("bx", F.explode(F.sequence(F.floor(F.col("x0") / w), F.floor((F.col("x1") - 1) / w)))).withColumn("by", F.floor(F.col("y") / h)).withColumn("bz", F.floor(F.col("z") / d))
+    cut = painted.where("label > 0").select("z", "y", "x0", "x1", "label")
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """bx, by, bz, runs: a batch's runs cut at the blocks' sides, those of a block as one row of packed (label, place, length)."""
+        for b in batches:
+            z, y, x0, x1, label = (b[c].to_numpy(np.int64) for c in ("z", "y", "x0", "x1", "label"))
+            n = np.maximum((x1 - 1) // w - x0 // w + 1, 0) * (x1 > x0)
+            k = np.repeat(np.arange(len(b)), n)
+            bx = (x0 // w)[k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+            lo, hi = np.maximum(x0[k], bx * w), np.minimum(x1[k], (bx + 1) * w)
+            by, bz = (y // h)[k], (z // d)[k]
+            runs = np.empty(len(k), RUN)
+            runs["label"], runs["at"], runs["n"] = label[k], ((z[k] - bz * d) * h + y[k] - by * h) * w + lo - bx * w, hi - lo
+            order = np.lexsort((bx, by, bz))
+            bx, by, bz, runs = bx[order], by[order], bz[order], runs[order]
+            first = np.flatnonzero(np.r_[True, (bx[1:] != bx[:-1]) | (by[1:] != by[:-1]) | (bz[1:] != bz[:-1])]) if len(k) else np.zeros(0, np.int64)
+            parts = [r.tobytes() for r in np.split(runs, first[1:])] if len(k) else []
+            yield pd.DataFrame({"bx": bx[first], "by": by[first], "bz": bz[first], "runs": parts})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import uuid
         import zlib
 
         bx, by, bz = (int(pdf[c].iloc[0]) for c in ("bx", "by", "bz"))
-        chunk = np.zeros((d, h, w), np.int64)
-        for z, y, x0, x1, label in zip(pdf["z"] - bz * d, pdf["y"] - by * h, (pdf["x0"] - bx * w).clip(lower=0), (pdf["x1"] - bx * w).clip(upper=w), pdf["label"]):
-            chunk[z, y, x0:x1] = label
+        r = np.frombuffer(b"".join(pdf["runs"]), RUN)
+        r = r[np.argsort(r["label"], kind="stable")]  # the largest is drawn last
+        n = r["n"].astype(np.int64)
+        chunk = np.zeros(d * h * w, np.int64)
+        chunk[np.repeat(r["at"] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = np.repeat(r["label"], n)
+        chunk = chunk.reshape(d, h, w)
         out = io.BytesIO()
-        np.save(out, chunk)
-        system, path = _place(f"{folder.rstrip('/')}/{bz}/{by}_{bx}.npy")
+        if deflate:
+            names, at = np.unique(chunk, return_inverse=True)
+            np.savez_compressed(out, labels=names, at=at.reshape(d, h, w).astype(np.uint16 if len(names) <= 1 << 16 else np.int64))
+        else:
+            np.save(out, chunk)
+        system, path = _place(f"{folder.rstrip('/')}/{bz}/{by}_{bx}.{'npz' if deflate else 'npy'}")
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
         tmp = f"{path}.{uuid.uuid4().hex}"
         with system.open_output_stream(tmp) as f:
@@ -48,7 +72,7 @@ def export_volume(painted: DataFrame, folder: str, block: tuple[int, int, int])
         system.move(tmp, path)
         return pd.DataFrame([(bx, by, bz, path, int((chunk != 0).sum()), zlib.crc32(chunk.astype("<i8").tobytes()))], columns=["bx", "by", "bz", "path", "n_labelled", "crc32"])
 
-    return cut.groupBy("bx", "by", "bz").applyInPandas(run, INDEX)
+    return cut.mapInPandas(deal, "bx long, by long, bz long, runs binary").groupBy("bx", "by", "bz").applyInPandas(run, INDEX)
 
 
 def read_volume(index: DataFrame, block: tuple[int, int, int]) -> DataFrame:
@@ -62,7 +86,8 @@ def read_volume(index: DataFrame, block: tuple[int, int, int]) -> DataFrame:
             for r in b.itertuples():
                 system, path = _place(r.path)
                 with system.open_input_file(path) as f:
-                    chunk = np.load(io.BytesIO(f.read()), allow_pickle=False)
+                    stored = np.load(io.BytesIO(f.read()), allow_pickle=False)
+                chunk = stored if isinstance(stored, np.ndarray) else stored["labels"][stored["at"]]
                 if zlib.crc32(chunk.astype("<i8").tobytes()) != r.crc32:
                     raise ValueError(f"{r.path} has changed")
                 flat = np.pad(chunk, ((0, 0), (0, 0), (1, 1)))
