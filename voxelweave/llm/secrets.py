@@ -222,8 +222,9 @@ def _with_scored(docs: DataFrame, forest: list[Tree], path: str, free: str) -> D
 
 def scan(docs: DataFrame, forest: list[Tree], path: str = "source", least: float = 0.5) -> DataFrame:
     """A row for each candidate: doc_id, start, end (code points), kind, secret (the text), score, is_secret."""
-    got = _with_scored(docs.select("doc_id", "text", *([path] if path in docs.columns else [])), forest, path, "__f").where(F.col("__f_s").isNotNull())
-    got = got.select("doc_id", F.explode("__f_s").alias("c"))
+    got = _with_scored(docs.select("doc_id", "text", *([path] if path in docs.columns else [])), forest, path, "__f")
+    # rows without a candidate go after the explode: a condition on the array is pushed below its parts, which are then made again in each use
+    got = got.select("doc_id", F.explode_outer("__f_s").alias("c")).where(F.col("c").isNotNull())
     value = F.regexp_replace(F.col("c.cand"), ASSIGNED, "")
     kind = F.when(F.col("c.cand").startswith("-----BEGIN"), "private_key").when(F.col("c.cand").rlike(ASSIGNED), F.lower(F.regexp_extract("c.cand", rf"^(?i:({NAMES}))", 1))).otherwise("bare")
     end = (F.col("c.start") + F.length("c.cand")).cast("long")
