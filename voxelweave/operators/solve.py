@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import constraints
-from .graph import components, settled
+from .graph import components, components_within, settled
 from .segments import members
 
 
@@ -229,21 +229,62 @@ def programme(segments: DataFrame, slices: DataFrame, cliques: DataFrame, forced
     return rows
 
 
-def solve(variables: DataFrame, coefs: DataFrame, limit: int = 20_000_000) -> DataFrame:
+#: coefficients of a problem that one task takes whole; a problem with more falls apart into components over tables first
+WHOLE = 300_000
+
+
+def pieces(n: int, rows: list[tuple[dict[int, int], str, int]]) -> list[tuple[list[int], list[tuple[dict[int, int], str, int]]]]:
+    """Variables 0 .. n - 1 by components that share rows, in order, each with its rows in order over its own numbers."""
+    up = list(range(n))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for coef, _, _ in rows:
+        first, *others = map(root, coef)
+        for r in others:
+            first, r = sorted((first, root(r)))
+            up[r] = first
+    out: dict[int, tuple[list[int], list]] = {}
+    place = []
+    for i in range(n):
+        mine = out.setdefault(root(i), ([], []))[0]
+        place.append(len(mine))
+        mine.append(i)
+    for coef, rel, value in rows:
+        out[root(next(iter(coef)))][1].append(({place[i]: c for i, c in coef.items()}, rel, value))
+    return list(out.values())
+
+
+def solve(variables: DataFrame, coefs: DataFrame, limit: int = 20_000_000, whole: int = WHOLE) -> DataFrame:
     """problem, key, x of variables (problem, key, cost) under coefs (problem, row, key, coef, relation, value).
 
-    A problem falls apart into components of variables that share rows, each solved alone and exactly, so a core's problem
-    needn't fit one task unless it is one piece.  A component that can't be solved (Unproven, or no solution) is an error.
+    A problem falls apart into components of variables that share rows, each solved alone and exactly.  A problem of at most
+    `whole` coefficients (a core's) does so in its task, a larger one over tables, so it needn't fit one task unless it is one
+    piece.  A component that can't be solved (Unproven, or no solution) is an error.
     """
-    node = F.concat_ws("|", F.col("problem").cast("string"), "key")
-    named = settled(coefs.join(variables.select("problem", "key"), ["problem", "key"], "left_semi").withColumn("node", node))
-    first = named.groupBy("problem", "row").agg(F.min("node").alias("b"))
-    part = components(named.join(first, ["problem", "row"]).select(F.col("node").alias("a"), "b").distinct()).withColumnRenamed("id", "node")
-    v = variables.withColumn("node", node).join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = settled(coefs.join(variables.select("problem", "key"), ["problem", "key"], "left_semi"))
+    big = settled(named.groupBy("problem").agg(F.count("*").alias("n")).where(F.col("n") > whole).select("problem"))
     none = lambda t: F.lit(None).cast(t)
-    both = v.select("problem", "component", "key", "cost", none("string").alias("row"), none("int").alias("coef"), none("string").alias("relation"), none("long").alias("value")).unionByName(
-        named.join(part, "node").select("problem", "component", "key", none("double").alias("cost"), "row", F.col("coef").cast("int").alias("coef"), "relation", F.col("value").cast("long").alias("value"))
-    )
+    alone = F.concat(F.lit("all|"), F.col("problem").cast("string")).alias("component")
+
+    def lines(v: DataFrame, c: DataFrame, part) -> DataFrame:
+        return v.select("problem", part, "key", "cost", none("string").alias("row"), none("int").alias("coef"), none("string").alias("relation"), none("long").alias("value")).unionByName(
+            c.select("problem", part, "key", none("double").alias("cost"), "row", F.col("coef").cast("int").alias("coef"), "relation", F.col("value").cast("long").alias("value"))
+        )
+
+    if not big.take(1):
+        both = lines(variables, named, alone)
+    else:
+        node = F.concat_ws("|", F.col("problem").cast("string"), "key")
+        small = lines(variables.join(big, "problem", "left_anti"), named.join(big, "problem", "left_anti"), alone)
+        named = settled(named.join(big, "problem", "left_semi").withColumn("node", node))
+        first = named.groupBy("problem", "row").agg(F.min("node").alias("b"))
+        part = components(named.join(first.hint("merge"), ["problem", "row"]).select(F.col("node").alias("a"), "b").distinct()).withColumnRenamed("id", "node").hint("merge")
+        v = variables.join(big, "problem", "left_semi").withColumn("node", node).join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        both = small.unionByName(lines(v, named.join(part, "node"), F.col("component")))
 
     def one(lines: list[tuple]) -> pd.DataFrame:
         problem, var = lines[0][1], sorted((key, cost) for _, _, key, cost, row, *_ in lines if row is None)
@@ -251,12 +292,16 @@ def solve(variables: DataFrame, coefs: DataFrame, limit: int = 20_000_000) -> Da
         rows: dict[str, tuple[dict[int, int], str, int]] = {}
         for row, key, coef, rel, value in sorted((row, key, coef, rel, value) for _, _, key, _, row, coef, rel, value in lines if row is not None):
             rows.setdefault(row, ({}, rel, int(value)))[0][at[key]] = int(coef)
-        x, sure = exact([cost for _, cost in var], list(rows.values()), limit)
-        if not sure:
-            raise Unproven(f"{len(var)} variables of problem {problem} took more than {limit} steps")
-        if not x:
-            raise ValueError(f"the rows over {var[0][0]} and {len(var) - 1} others of problem {problem} have no solution")
-        return pd.DataFrame({"problem": problem, "key": list(at), "x": x})
+        out = [0] * len(var)
+        for mine, its in pieces(len(var), list(rows.values())):
+            x, sure = exact([var[i][1] for i in mine], its, limit)
+            if not sure:
+                raise Unproven(f"{len(mine)} variables of problem {problem} took more than {limit} steps")
+            if not x:
+                raise ValueError(f"the rows over {var[mine[0]][0]} and {len(mine) - 1} others of problem {problem} have no solution")
+            for i, value in zip(mine, x):
+                out[i] = value
+        return pd.DataFrame({"problem": problem, "key": list(at), "x": out})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A partition has its components one after the other; a component is held at a time, whatever batches it comes in."""
@@ -304,9 +349,7 @@ def assemblies(segments: DataFrame) -> DataFrame:
         first = m.groupBy("key").agg(F.min("id").alias("b"))
         comp = components(m.join(first, "key").select(F.col("id").alias("a"), "b").distinct())
         return first.join(comp, F.col("b") == F.col("id")).select("key", F.col("component").alias("assembly"))
-    # slices of each problem for themselves; names sort as their numbers do
-    name = F.concat_ws("|", F.lpad(F.col("problem").cast("string"), 20, "0"), F.lpad(F.col("id").cast("string"), 20, "0"))
-    m = m.withColumn("node", name)
-    first = m.groupBy("problem", "key").agg(F.min("node").alias("b"))
-    comp = components(m.join(first, ["problem", "key"]).select(F.col("node").alias("a"), "b").distinct())
-    return first.join(comp, F.col("b") == F.col("id")).select("problem", "key", F.split("component", "\\|")[1].cast("long").alias("assembly"))
+    # slices of each problem for themselves
+    first = m.groupBy("problem", "key").agg(F.min("id").alias("b"))
+    comp = components_within(m.join(first, ["problem", "key"]).select("problem", F.col("id").alias("a"), "b").distinct(), "problem")
+    return first.join(comp, (first["problem"] == comp["problem"]) & (F.col("b") == F.col("id"))).select(first["problem"], "key", F.col("component").alias("assembly"))
