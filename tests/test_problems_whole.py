@@ -1,4 +1,4 @@
-"""Small problems fall apart in their task, large ones over tables; both give the same."""
+"""Small problems fall apart in their task, large ones over tables; both give the same, and nothing that grows is broadcast."""
 
 from voxelweave.operators import graph, solve
 
@@ -32,3 +32,15 @@ def test_components_within(spark):
     some, none = (sorted(map(tuple, graph.components_within(edges, "problem", most=m).collect())) for m in (35, 1000))
     assert some == none and (0, 1, 1) in none and (0, 5, 1) in none and (0, 6, 6) in none and (9, 7, 7) in none
 
+
+def test_components_broadcast_nothing(spark, monkeypatch):
+    plans, keep = [], graph.settled
+
+    def settled(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(graph, "settled", settled)
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(20)], "a string, b string")
+    assert graph.components(edges).select("component").distinct().collect()[0][0] == "n0"
+    assert plans and not any("Broadcast" in p for p in plans)
