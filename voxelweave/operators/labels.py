@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,6 +38,39 @@ def visible_runs(painted: DataFrame, tile: int = 64) -> DataFrame:
     return inside.groupBy(*key, "x0", "x1").agg(F.max("label").alias("label")).drop("tile")
 
 
+def visible(slices: DataFrame, width: int = 8192, height: int = 1024) -> DataFrame:
+    """z, y, x0, x1, label: the volume painted with whole masks (id, z, box, lines, label) as disjoint runs; at each pixel the largest label.
+
+    A mask goes to the cells of width x height pixels of its section that its box meets; a cell's lines are cut where runs start
+    and end, and a cut's stretches are painted in its task.  Rows without a label or a section paint nothing.
+    """
+    near = lambda lo, hi, n: F.explode(F.sequence(F.floor(F.col(lo) / n), F.floor((F.col(hi) - 1) / n)))
+    s = slices.where("label is not null and z is not null").withColumn("gx", near("x0", "x1", width)).withColumn("gy", near("y0", "y1", height))
+
+    def run(key, t):
+        z, gx, gy = (k.as_py() for k in key)
+        r, of = masks._flat(t.column("lines").combine_chunks())
+        left, top, label = (t.column(c).to_numpy()[of] for c in ("x0", "y0", "label"))
+        y, a = r[:, 0] + top - gy * height, r[:, 1] + left - gx * width
+        a, b = np.maximum(a, 0), np.minimum(a + r[:, 2], width)
+        here = (y >= 0) & (y < height) & (a < b)
+        a, b, label = (y * (width + 1) + a)[here], (y * (width + 1) + b)[here], label[here]
+        cut = np.unique(np.concatenate((a, b)))
+        low = np.searchsorted(cut, a)
+        n = np.searchsorted(cut, b) - low
+        part = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+        seen, top = np.zeros(len(cut), bool), np.full(len(cut), np.iinfo(np.int64).min)
+        seen[part] = True
+        np.maximum.at(top, part, np.repeat(label, n))
+        at = np.flatnonzero(seen)
+        line, x0 = np.divmod(cut[at], width + 1)
+        x1 = x0 + cut[at + 1] - cut[at] if len(at) else x0
+        columns = (np.full(len(at), z, np.int64), line + gy * height, x0 + gx * width, x1 + gx * width, top[at])
+        return pa.table([pa.array(c) for c in columns], names=["z", "y", "x0", "x1", "label"])
+
+    return s.select("z", "gx", "gy", "x0", "y0", "lines", "label").groupBy("z", "gx", "gy").applyInArrow(run, "z long, y long, x0 long, x1 long, label long")
+
+
 def runs_of(slices: DataFrame) -> DataFrame:
     """id, z, y, x0, x1 of full rectangles."""
     return slices.select("id", "z", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"), "x0", "x1")
