@@ -73,22 +73,25 @@ def unknown_keys(user: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def enclosing(inner: DataFrame, outer: DataFrame, shared: DataFrame, least: float = 0.9, radius: float = 1000.0) -> DataFrame:
-    """i_key, o_key: continuations of `outer` that hold at least `least` of the pixels of one of `inner`.
+    """i_key, o_key: continuations of `outer` that hold at least `least` (over 0) of the pixels of one of `inner`.
 
     Both: key, isi, left, right (slice ids), sz (of both slices), cx, cy.  shared: a_id, b_id, o of slices of one section,
     each pair both ways, and each slice with itself.  The squared distance of centres is compared with the radius.
+    Candidates are those that share pixels on a side, by equi-joins on ids; what both sides share is summed up.
     """
-    cell = radius**0.5
-    g = lambda d: d.withColumn("gx", F.floor(F.col("cx") / cell)).withColumn("gy", F.floor(F.col("cy") / cell))
-    near = g(outer).withColumn("gx", F.explode(F.sequence(F.col("gx") - 1, F.col("gx") + 1))).withColumn("gy", F.explode(F.sequence(F.col("gy") - 1, F.col("gy") + 1)))
-    c = lambda k: F.col(k)
-    d2 = (c("i.cx") - c("o.cx")) ** 2 + (c("i.cy") - c("o.cy")) ** 2
-    j = g(inner).alias("i").join(near.alias("o"), (c("i.isi") == c("o.isi")) & (c("i.gx") == c("o.gx")) & (c("i.gy") == c("o.gy")) & (d2 < radius))
-    j = j.select(c("i.key").alias("i_key"), c("o.key").alias("o_key"), c("i.sz").alias("sz"), *(c(f"{s}.{k}").alias(f"{s}_{k}") for s in "io" for k in ("left", "right")))
-    for k in ("left", "right"):
-        j = j.join(shared.select(c("a_id").alias(f"i_{k}"), c("b_id").alias(f"o_{k}"), c("o").alias(f"in_{k}")), [f"i_{k}", f"o_{k}"], "left")
-    held = F.coalesce("in_left", F.lit(0)) + F.coalesce("in_right", F.lit(0))
-    return j.where(held.cast("double") / c("sz") >= least).select("i_key", "o_key")
+    if least <= 0:
+        raise ValueError("what holds nothing of another isn't looked for")
+    c = F.col
+    d2 = (c("cx") - c("o_cx")) ** 2 + (c("cy") - c("o_cy")) ** 2
+
+    def side(k: str) -> DataFrame:
+        i = inner.select(c("key").alias("i_key"), "isi", c(k).alias("a_id"), "sz", "cx", "cy")
+        o = outer.select(c("key").alias("o_key"), c("isi").alias("o_isi"), c(k).alias("b_id"), c("cx").alias("o_cx"), c("cy").alias("o_cy"))
+        j = i.join(shared.select("a_id", "b_id", c("o").alias("held")), "a_id").join(o, "b_id")
+        return j.where((c("isi") == c("o_isi")) & (d2 < radius)).select("i_key", "o_key", "sz", "held")
+
+    held = side("left").unionByName(side("right")).groupBy("i_key", "o_key", "sz").agg(F.sum("held").alias("held"))
+    return held.where(c("held").cast("double") / c("sz") >= least).select("i_key", "o_key")
 
 
 def mitochondria_rows(inner: DataFrame, pairs: DataFrame) -> DataFrame:
