@@ -1,7 +1,7 @@
 """Slices and cliques out of images: a component tree of thresholds for each section.
 
 A section is cut into tiles; a task labels one tile's regions at each threshold, and regions that meet at tiles' borders
-are put together as connected components of a table, so no task sees a section.  The tree's kernel is a choice of this package: foreground at each of `levels` thresholds, 4-connected
+are put together as connected components of a table, so no task sees a section.  Its joins are merged, as those of components are.  The tree's kernel is a choice of this package: foreground at each of `levels` thresholds, 4-connected
 regions, a region's parent the region of the next lower threshold that holds it.  Regions
 outside the size bounds leave the tree (their children move up), as do those above `height`
 merges; equal regions on adjacent levels are one.
@@ -102,14 +102,14 @@ def merged_regions(pixels: DataFrame, thresholds: list[float], side: int) -> tup
     local = settled(seen.groupBy("z", "ty", "tx").applyInPandas(lambda pdf: _of_tile(pdf, side, levels), LOCAL))
     edge = local.select("node", "z", "level", F.inline("border"))
     on = ["z", "level", "axis", "line", "along"]
-    met = edge.where("low").select(*on, F.col("node").alias("a")).join(edge.where(~F.col("low")).select(*on, F.col("node").alias("b")), on)
+    met = edge.where("low").select(*on, F.col("node").alias("a")).join(edge.where(~F.col("low")).select(*on, F.col("node").alias("b")).hint("merge"), on)
     joined = components(met.select("a", "b").distinct())
-    part = local.join(joined.withColumnRenamed("id", "node"), "node", "left").withColumn("region", F.coalesce("component", "node"))
+    part = local.join(joined.withColumnRenamed("id", "node").hint("merge"), "node", "left").withColumn("region", F.coalesce("component", "node"))
     part = settled(part.drop("component", "border"))
     box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
     whole = part.groupBy("region", "z", "level").agg(F.sum("size").alias("size"), *box, F.sum("sx").alias("sx"), F.sum("sy").alias("sy"), F.min("up").alias("part_up"))
     above = part.select(F.col("node").alias("part_up"), F.col("region").alias("up"))
-    whole = settled(whole.join(above, "part_up", "left").drop("part_up"))
+    whole = settled(whole.join(above.hint("merge"), "part_up", "left").drop("part_up"))
     dropped(local)
     return whole, part.select("node", "region", "z", "runs")
 
@@ -127,39 +127,39 @@ def sections(pixels: DataFrame, levels: int = 8, least: int = 10, most: int = 10
     whole, part = merged_regions(clean, thresholds, side)
     # one region at several thresholds is one node, the lowest; its value is the highest of them
     size_of = whole.select(F.col("region").alias("up"), F.col("size").alias("up_size"))
-    known = whole.join(size_of, "up", "left")
+    known = whole.join(size_of.hint("merge"), "up", "left")
     fits = F.col("size").between(least, most)
     stops = fits & (F.col("up_size").isNull() | (F.col("up_size") != F.col("size")))
     near = nearest_stop(known.select(F.col("region").alias("node"), "up", stops.alias("stops")))
-    named = known.join(near.withColumnRenamed("node", "region"), "region")
+    named = known.join(near.withColumnRenamed("node", "region").hint("merge"), "region")
     top = named.where(F.col("stop") == F.col("region"))
     same = whole.select(F.col("region").alias("stop"), F.col("size").alias("stop_size"))
-    level = named.join(same, "stop").where("size = stop_size").groupBy(F.col("stop").alias("region")).agg(F.max("level").alias("last"))
+    level = named.join(same.hint("merge"), "stop").where("size = stop_size").groupBy(F.col("stop").alias("region")).agg(F.max("level").alias("last"))
     parent = near.select(F.col("node").alias("up"), F.col("stop").alias("parent"))
-    nodes = settled(top.drop("stop", "up_size", "level").join(level, "region").join(parent, "up", "left").drop("up"))
+    nodes = settled(top.drop("stop", "up_size", "level").join(level.hint("merge"), "region").join(parent.hint("merge"), "up", "left").drop("up"))
     links = nodes.select(F.col("region").alias("node"), F.col("parent"))
     if downsample:
         n = links.where("parent is not null").groupBy("parent").agg(F.count("*").alias("children"))
-        single = links.join(n, "parent", "left").select("node", F.col("parent").alias("up"), (F.coalesce("children", F.lit(0)) != 1).alias("stops"))
+        single = links.join(n.hint("merge"), "parent", "left").select("node", F.col("parent").alias("up"), (F.coalesce("children", F.lit(0)) != 1).alias("stops"))
         up = nearest_stop(single)
-        links = links.join(up.select(F.col("node").alias("parent"), F.col("stop").alias("kept")), "parent", "left").select("node", F.col("kept").alias("parent"))
-        links = settled(links.join(up.where("stop = node").select("node"), "node", "left_semi"))
+        links = links.join(up.select(F.col("node").alias("parent"), F.col("stop").alias("kept")).hint("merge"), "parent", "left").select("node", F.col("kept").alias("parent"))
+        links = settled(links.join(up.where("stop = node").select("node").hint("merge"), "node", "left_semi"))
     paths = settled(leaf_paths(links))
     tall = paths.groupBy("clique").agg(F.max("depth").alias("last"))
-    rise = paths.join(tall, "clique").groupBy("node").agg(F.max(F.col("last") - F.col("depth")).alias("rise"))
+    rise = paths.join(tall.hint("merge"), "clique").groupBy("node").agg(F.max(F.col("last") - F.col("depth")).alias("rise"))
     kept = rise.where(F.col("rise") < height).select(F.col("node").alias("region"))
-    kept = settled(kept.join(links.select(F.col("node").alias("region"), "parent"), "region").join(nodes.drop("parent"), "region"))
-    lines = joined_runs(part.join(kept.select("region"), "region", "left_semi").select("region", "z", F.inline("runs")))
+    kept = settled(kept.join(links.select(F.col("node").alias("region"), "parent").hint("merge"), "region").join(nodes.drop("parent").hint("merge"), "region"))
+    lines = joined_runs(part.join(kept.select("region").hint("merge"), "region", "left_semi").select("region", "z", F.inline("runs")))
     runs = lines.groupBy("region", "z").agg(F.sort_array(F.collect_list(F.struct("y", "x0", "x1"))).alias("runs"))  # at most `most` pixels
     runs = runs.withColumn("id", slice_hash(F.array_join(F.transform("runs", _run_text), ","), "z"))
     ids = settled(runs.select("region", "id", "z", "runs"))
     name = ids.select("region", "id")
     value = ((F.col("last") + 0.5) / levels).alias("value")
     box = ["size", "x0", "y0", "x1", "y1", "sx", "sy"]
-    slices = kept.join(name, "region").join(name.select(F.col("region").alias("parent"), F.col("id").alias("__up")), "parent", "left").select("id", "z", value, *box, F.col("__up").alias("parent"))
-    held = paths.join(name.withColumnRenamed("region", "node"), "node").join(name.select(F.col("region").alias("clique"), F.col("id").alias("leaf")), "clique")
+    slices = kept.join(name.hint("merge"), "region").join(name.select(F.col("region").alias("parent"), F.col("id").alias("__up")).hint("merge"), "parent", "left").select("id", "z", value, *box, F.col("__up").alias("parent"))
+    held = paths.join(name.withColumnRenamed("region", "node").hint("merge"), "node").join(name.select(F.col("region").alias("clique"), F.col("id").alias("leaf")).hint("merge"), "clique")
     first = held.groupBy("leaf").agg(F.min("depth").alias("first"))
-    cliques = held.join(first, "leaf").select(F.col("leaf").alias("clique"), "id", (F.col("depth") - F.col("first")).alias("depth"))
+    cliques = held.join(first.hint("merge"), "leaf").select(F.col("leaf").alias("clique"), "id", (F.col("depth") - F.col("first")).alias("depth"))
     return Sections(slices, ids.select("id", "z", F.inline("runs")), cliques)
 
 
