@@ -83,19 +83,32 @@ def brush(strokes: DataFrame) -> DataFrame:
 
 
 def exact_matches(old: DataFrame, new: DataFrame) -> DataFrame:
-    """a_id, b_id: slices of both (runs) that are the same pixels: equal hashes of the pixels, then as many shared ones as each has."""
-    h = lambda r: masks.pixel_hash(r).join(masks.measure(r).select("id", "sz"), "id")
-    same = h(old).alias("o").join(h(new).alias("n"), (F.col("o.z") == F.col("n.z")) & (F.col("o.mask_hash") == F.col("n.mask_hash")) & (F.col("o.sz") == F.col("n.sz"))).select(F.col("o.id").alias("a_id"), F.col("n.id").alias("b_id"), F.col("o.sz").alias("sz"))
-    ids = lambda c: same.select(F.col(c).alias("id")).distinct()
-    o = masks.overlaps(masks.tiles(old.join(ids("a_id"), "id", "left_semi")), masks.tiles(new.join(ids("b_id"), "id", "left_semi")), keep=())
-    return same.join(o, ["a_id", "b_id"]).where("o = sz").select("a_id", "b_id")
+    """a_id, b_id: slices of both (runs, or masks in their rows) that are the same pixels: equal boxes and sizes, then as many shared pixels as each has.
+
+    Masks are joined once, each as one row, and runs are met within the pair.
+    """
+    key = ["z", "x0", "y0", "x1", "y1", "sz"]
+
+    def side(d: DataFrame, s: str) -> DataFrame:
+        m = d if "lines" in d.columns else masks.with_masks(d)
+        return m.select(*key, F.col("id").alias(f"{s}_id"), F.col("lines").alias(f"{s}_lines"))
+
+    j = side(old, "a").join(side(new, "b"), key)
+    for s in "ab":
+        j = j.withColumn(f"{s}_at_x", F.col("x0")).withColumn(f"{s}_at_y", F.col("y0"))
+    j = j.withColumn("dx", F.lit(0).cast("long")).withColumn("dy", F.lit(0).cast("long"))
+    return masks._with_moved(j, ["a_id", "b_id", "sz"], "o").where("o = sz").select("a_id", "b_id")
 
 
 def edits(old: DataFrame, new: DataFrame) -> DataFrame:
-    """old_ids, new_ids: groups of old slices (runs) and the new ones that replace them; groups that stayed the same are left out."""
+    """old_ids, new_ids: groups of old slices (runs, or masks in their rows) and the new ones that replace them; groups that stayed the same are left out."""
     same = settled(exact_matches(old, new))
-    o = old.join(same.select(F.col("a_id").alias("id")), "id", "left_anti")
-    n = new.join(same.select(F.col("b_id").alias("id")), "id", "left_anti")
+
+    def rest(d: DataFrame, k: str) -> DataFrame:
+        left = d.join(same.select(F.col(k).alias("id")), "id", "left_anti")
+        return masks.runs_of(left) if "lines" in d.columns else left
+
+    o, n = rest(old, "a_id"), rest(new, "b_id")
     j = masks.overlaps(masks.tiles(o), masks.tiles(n), keep=())
     c = components(j.select(F.concat(F.lit("o"), "a_id").alias("a"), F.concat(F.lit("n"), "b_id").alias("b")))
     side = lambda k: F.array_sort(F.collect_set(F.when(F.col("id").startswith(k), F.substring("id", 2, 30).cast("long"))))
