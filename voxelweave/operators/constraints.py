@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numbering import numbered
@@ -14,6 +14,11 @@ def variables(segments: DataFrame) -> DataFrame:
     return numbered(segments.select("key", "type", "isi"), ["type", "isi", "key"]).select("key", "number")
 
 
+def with_numbers(segments: DataFrame) -> DataFrame:
+    """segments with `number` as `variables` has it, in their rows, so that what is in a row needs no join with the numbers."""
+    return numbered(segments, ["type", "isi", "key"])
+
+
 def _by(segments: DataFrame) -> list[str]:
     """Segments may be of several programmes, told apart by a column `problem`; so are the rows made of them."""
     return ["problem"] if "problem" in segments.columns else []
@@ -120,11 +125,17 @@ def window_starts(last: int, size: int, overlap: int) -> list[int]:
 
 def in_windows(variables: DataFrame, size: int, overlap: int) -> DataFrame:
     """Adds `window` (its number): each variable (isi) once for every window that holds it."""
+    return variables.withColumn("window", _windows("isi", "isi", size, overlap))
+
+
+def _windows(first: str, last: str, size: int, overlap: int) -> Column:
+    """A row for each window (from 0) that holds all intervals from `first` to `last`; none where there is no such window."""
     step = size - overlap
     if step <= 0:
         raise ValueError("windows must overlap by less than their size")
-    lo = F.greatest(F.lit(0).cast("long"), F.floor((F.col("isi") - size) / step).cast("long") + 1)
-    return variables.withColumn("window", F.explode(F.sequence(lo, F.floor(F.col("isi") / step).cast("long"))))
+    lo = F.greatest(F.lit(0).cast("long"), F.floor((F.col(last) - size) / step).cast("long") + 1)
+    hi = F.floor(F.col(first) / step).cast("long")
+    return F.explode(F.when(lo <= hi, F.sequence(lo, hi)))
 
 
 def window_rows(coefs: DataFrame, placed: DataFrame) -> DataFrame:
@@ -134,6 +145,36 @@ def window_rows(coefs: DataFrame, placed: DataFrame) -> DataFrame:
     return k.join(n, "row").where("k = n").select("row", "window")
 
 
+def continuation_windows(segments: DataFrame, size: int, overlap: int, **lists: str) -> DataFrame:
+    """row, window, lists: the continuation rows all of whose segments (isi) are in the window; see `window_rows` for any other rows and windows.
+
+    A window is a stretch of intervals, so it holds a row if it holds its first and its last one: slices are grouped once and
+    nothing is joined.  lists: names of columns, each the sorted values of another of the row's segments, as `pos_` and `neg_` by coefficient.
+    """
+    return spans_in_windows(continuation_spans(segments, **lists), size, overlap)
+
+
+def spans_in_windows(spans: DataFrame, size: int, overlap: int) -> DataFrame:
+    """`window` in place of first and last: each once for every window that holds all between."""
+    return spans.withColumn("window", _windows("first", "last", size, overlap)).drop("first", "last")
+
+
+def continuation_spans(segments: DataFrame, **lists: str) -> DataFrame:
+    """row, first, last, lists: the continuation rows with their first and last interval; rows with a segment without one are left out."""
+    at = lambda c, k: F.transform(c, lambda x: F.struct(x.alias("id"), F.lit(k).alias("coef")))
+    m = segments.select(F.explode(F.concat(at("sl", 1), at("sr", -1))).alias("m"), "isi", *set(lists.values())).where("m.id is not null")
+    m = m.select("m.id", "m.coef", "isi", *set(lists.values()))
+    if lists:
+        m = m.repartition("id")  # lists don't get shorter before the shuffle
+    pick = lambda c, k: F.array_sort(F.collect_list(F.when(F.col("coef") == k, F.col(c))))
+    g = m.groupBy("id").agg(
+        F.min("coef").alias("lo"), F.max("coef").alias("hi"), F.min("isi").alias("first"), F.max("isi").alias("last"), F.max(F.col("isi").isNull()).alias("lost"),
+        *(pick(c, k).alias(f"{s}_{name}") for name, c in lists.items() for s, k in (("pos", 1), ("neg", -1))),
+    )
+    more = [f"{s}_{name}" for name in lists for s in ("pos", "neg")]
+    return g.where("lo < hi and not lost").select(F.concat(F.lit("flow:"), F.col("id")).alias("row"), "first", "last", *more)
+
+
 def parameter_grid(spark, **axes: tuple[float, float, float]) -> DataFrame:
     """Every combination of the axes' values (first, last, step), the first axis slowest; `number` counts them."""
     out, rest = None, 1

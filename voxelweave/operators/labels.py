@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -149,27 +149,38 @@ def conflict_lines(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.concat_ws(" ", F.col("a_id").cast("string"), F.col("b_id").cast("string")).alias("line"))
 
 
+def row_text(pos: str, neg: str, relation: Column, value: Column) -> Column:
+    """'value relation n ids -ids' of a constraint with these numbers (arrays) of coefficient 1 and -1."""
+    text = lambda c: F.transform(c, lambda x: x.cast("string"))
+    terms = F.concat(text(pos), F.transform(text(neg), lambda x: F.concat(F.lit("-"), x)))
+    return F.concat_ws(" ", F.format_string("%.1f", value.cast("double")), F.when(relation == "=", "==").otherwise(relation), F.size(terms).cast("string"), F.array_join(terms, " "))
+
+
 def protocol_lines(variables: DataFrame, coefs: DataFrame, rows: DataFrame) -> DataFrame:
-    """window, part, line: subproblems as text.
+    """window, part, item, line: subproblems as text.
 
     variables: window, number, cost; coefs: row, number, coef, relation, value; rows: row, window (what fits a window whole).
-    Of each window: the number of segments, a line 'id cost' for each, the number of constraints, and a line
-    'value relation n ids -ids' for each.  `part` orders them; the first line of all is the number of windows.
-    Lines are one row each, so no window is gathered; a constraint's terms are.
     """
-    name = lambda c: F.col(c).cast("string")
     pick = lambda sign: F.array_sort(F.collect_list(F.when(F.col("coef") * sign > 0, F.col("number"))))
     g = coefs.groupBy("row", "relation", "value").agg(pick(1).alias("pos"), pick(-1).alias("neg"))
-    terms = F.concat(F.transform("pos", lambda x: x.cast("string")), F.transform("neg", lambda x: F.concat(F.lit("-"), x.cast("string"))))
-    text = F.concat_ws(" ", F.format_string("%.1f", F.col("value").cast("double")), F.when(F.col("relation") == "=", "==").otherwise(F.col("relation")), F.size(terms).cast("string"), F.array_join(terms, " "))
+    return window_lines(variables, rows.join(g.select("row", row_text("pos", "neg", F.col("relation"), F.col("value")).alias("text")), "row"))
+
+
+def window_lines(variables: DataFrame, held: DataFrame) -> DataFrame:
+    """window, part, item, line: subproblems as text, of variables (window, number, cost) and the constraints of each window (window, row, text).
+
+    Of each window: the number of segments, a line 'id cost' for each, the number of constraints, and the text of each.
+    `part` orders them; the first line of all is the number of windows.  Lines are one row each, so no window is gathered.
+    """
+    name = lambda c: F.col(c).cast("string")
     put = lambda df, part, order, line: df.select("window", F.lit(part).alias("part"), order.cast("string").alias("item"), line.alias("line"))
-    held = rows.join(g.select("row", text.alias("text")), "row")
-    every = variables.select("window").distinct()
-    n = lambda df: every.join(df.groupBy("window").agg(F.count("*").alias("n")), "window", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    n = lambda df: df.groupBy("window").agg(F.count("*").alias("n"))
+    every = n(variables)
     head = every.agg(F.count("*").cast("string").alias("line")).select(F.lit(-1).cast("long").alias("window"), F.lit(0).alias("part"), F.lit("").alias("item"), "line")
-    out = head.unionByName(put(n(variables), 1, F.lit(""), name("n")))
+    out = head.unionByName(put(every, 1, F.lit(""), name("n")))
     out = out.unionByName(put(variables, 2, F.lpad(name("number"), 20, "0"), F.concat_ws(" ", name("number"), F.format_string("%.6f", "cost"))))
-    return out.unionByName(put(n(held), 3, F.lit(""), name("n"))).unionByName(put(held, 4, F.col("row"), F.col("text")))
+    rows = every.select("window").join(n(held), "window", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.unionByName(put(rows, 3, F.lit(""), name("n"))).unionByName(put(held, 4, F.col("row"), F.col("text")))
 
 
 def problem_lines(segments: DataFrame) -> DataFrame:

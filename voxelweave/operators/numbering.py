@@ -21,7 +21,7 @@ def numbered(df: DataFrame, order: list, name: str = "number", parts: int | None
 
     Rows are dealt out by ranges of groups and order, so a group that holds most rows lies over many partitions.  A
     partition's rows are sorted and written with their place in it; only counts of partitions, and of the groups in each, are
-    summed up.  Rows that are equal in groups and order lie in one partition, so end `order` with a key.  Null groups are a group.
+    summed up; without groups those are a row a partition, and rows are not shuffled again for them.  Rows that are equal in groups and order lie in one partition, so end `order` with a key.  Null groups are a group.
     """
     spark, groups = df.sparkSession, list(groups)
     keys = [F.col(g).asc_nulls_first() for g in groups] + _plain(order)
@@ -32,7 +32,7 @@ def numbered(df: DataFrame, order: list, name: str = "number", parts: int | None
     if not groups:
         counts = placed.groupBy("__part").agg(F.count("*").alias("n"))
         before = counts.select("__part", F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-        return placed.join(before, "__part").withColumn(name, (F.col("__base") + F.col("__at")).cast("long")).drop("__part", "__at", "__base")
+        return placed.join(F.broadcast(before), "__part").withColumn(name, (F.col("__base") + F.col("__at")).cast("long")).drop("__part", "__at", "__base")
     counts = placed.groupBy("__part", *groups).agg(F.count("*").alias("n"), F.min("__at").alias("first"))
     earlier = F.coalesce(F.sum("n").over(W.partitionBy(*groups).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     before = counts.select(F.col("__part").alias("__p"), *(F.col(g).alias(f"__g{k}") for k, g in enumerate(groups)), (earlier - F.col("first")).alias("__base"))
