@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from voxelweave.operators import constraints, numbering
+from voxelweave.operators import constraints, numbering, store
 from voxelweave.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
@@ -58,3 +58,20 @@ def test_terms_of_rows(odd):
     """The lists of a row are its segments' numbers by side, in order."""
     got = {r.row: (r.pos_n, r.neg_n) for r in constraints.continuation_spans(odd.withColumn("n", F.ascii("key") - 97), n="n").collect()}
     assert got["flow:1"] == ([0, 2], [1]) and got["flow:5"] == ([7], [9]) and got["flow:6"] == ([8], [7]) and "flow:4" not in got and "flow:8" not in got
+
+
+def test_segments_of_blocks(spark, odd):
+    s = odd.where("isi is not null").withColumn("cost", F.when(F.col("isi") % 2 == 1, 1.0))
+    links = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (7, 0, 0), (3, 5, 5)], "id long, bx long, by long")
+    blocks = spark.createDataFrame([(0, 0), (0, 1)], "bx long, by long")
+    feats = spark.createDataFrame([("a", 60), ("b", 70), ("h", 80), ("e", 90)], "key string, feature int")
+    tell = lambda df: {r.key: ([(x.id, x.is_left) for x in r.slices], r.feature) for r in df.collect()}
+    one, two, h = [(1, True)], [(1, True), (2, False)], [(5, True), (6, False), (7, False)]
+    assert tell(store.segments_by_blocks(s, links, blocks, feats, True)) == {"a": (one, 60), "b": ([(1, False)], None), "c": (two, None), "h": (h, 80), "k": ([(7, True)], None)}
+    assert tell(store.segments_by_blocks(s, links, blocks, feats, False)) == {"a": (one, 60), "b": ([(1, False)], 70), "h": (h, 80)}
+
+
+def test_slices_of_segments_are_not_gathered(spark):
+    """Segments are shuffled once for their slices (and features once), not grouped by key from all their members."""
+    n, plan = exchanges(catalogue.QUERIES["segments_by_blocks_costs"](spark, SMALL))
+    assert "collect_set" not in plan and n <= 7
