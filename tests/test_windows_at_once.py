@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from voxelweave.operators import constraints, numbering, store
+from voxelweave.operators import constraints, features, numbering, store
 from voxelweave.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
@@ -75,3 +75,14 @@ def test_slices_of_segments_are_not_gathered(spark):
     """Segments are shuffled once for their slices (and features once), not grouped by key from all their members."""
     n, plan = exchanges(catalogue.QUERIES["segments_by_blocks_costs"](spark, SMALL))
     assert "collect_set" not in plan and n <= 7
+
+
+def test_histograms_are_made_once(spark):
+    rel = spark.createDataFrame([("c", 1, 1, 2, None), ("b", 2, 3, 2, 1), ("x", 1, None, 8, None)], "key string, type int, s long, t1 long, t2 long")
+    values = spark.createDataFrame([(1, 0.05), (1, 0.15), (2, 0.15), (2, 1.0)], "id long, value double")
+    df = features.histogram_differences(rel, features.histograms(values))
+    plan = exchanges(df)[1]
+    got = {r.key: (r.d, r.dn) for r in df.collect()}
+    assert got["c"] == ([1, 0] + [0] * 7 + [1], [0.5, 0.0] + [0.0] * 7 + [0.5])
+    assert got["b"] == ([1, 2] + [0] * 7 + [1], [0.25, 0.5] + [0.0] * 7 + [0.25]) and got["x"] == ([0] * 10, [0.0] * 10)
+    assert plan.count("Exchange hashpartitioning(id") == 2 and plan.count("Join") == 1  # the histograms and the slices of all sides
