@@ -36,6 +36,12 @@ def test_no_window_before_the_first(odd):
     assert {w for _, w in got} == {0, 1, 2, 3, 4} and not {"l", "n", "o"} & {k for k, _ in got}
 
 
+def test_windows_are_not_joined(spark):
+    """One sum over slices (the keys of all segments were joined with their windows, and counted twice)."""
+    n, plan = exchanges(catalogue.QUERIES["subproblem_constraints"](spark, SMALL))
+    assert n == 1 and "Join" not in plan
+
+
 def test_numbers_are_not_shuffled_again(spark, odd):
     """The place of a partition comes to its rows, whatever the limit of broadcasts."""
     had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
