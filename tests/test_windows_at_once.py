@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from voxelweave.operators import constraints, features, numbering, store
+from voxelweave.operators import constraints, features, numbering, segments, store
 from voxelweave.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
@@ -92,3 +92,17 @@ def test_histograms_are_made_once(spark):
     assert got["c"] == ([1, 0] + [0] * 7 + [1], [0.5, 0.0] + [0.0] * 7 + [0.5])
     assert got["b"] == ([1, 2] + [0] * 7 + [1], [0.25, 0.5] + [0.0] * 7 + [0.25]) and got["x"] == ([0] * 10, [0.0] * 10)
     assert plan.count("Exchange hashpartitioning(id") == 2 and plan.count("Join") == 1  # the histograms and the slices of all sides
+
+
+def test_pairs_of_branches_are_shuffled_once(spark):
+    """Both sides of the join of a source's pairs are one exchange (they were two of different columns), whatever the limit of broadcasts."""
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = spark.createDataFrame([(1, 10, 3, 20, 50, 25), (1, 11, 3, 22, 50, 24), (2, 10, 3, 1, 9, 25), (1, 12, 3, 24, 50, 26)], "a_id long, b_id long, z long, o long, a_sz long, b_sz long")
+        b = segments.branches(pairs, spark.createDataFrame([(11, 12)], "a_id long, b_id long"))
+        assert {tuple(r)[:6] for r in b.collect()} == {(11, 10, 1, 3, 42, 50), (12, 10, 1, 3, 44, 50)}
+        final = b._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "ReusedExchange" in final
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
