@@ -7,10 +7,10 @@
 2. Documents with equal sets become one class, and one of them stands for it.  Classes' shingles get a global order, rarest
    first; two linked classes share one of their first n - ceil(s n) + 1 shingles.  Classes
    that share one, directly or over others, form a block.
-3. In a block, sets are stored in a trie in one global order, most common first, so that near
-   copies share paths.  A set walks the trie carrying the overlap so far; a subtree leaves the
-   walk when the lengths that remain can't bring any set in it to the likeness, or when all of
-   it is in the walker's component already.
+3. In a block, sets are stored in a trie in one order, rarest first.  A set walks the paths of
+   those stored that have one of its first n - ceil(s n) + 1 shingles among theirs, each node once,
+   and sums what it shares with the nodes' runs; sets whose lengths can't bring the likeness, or
+   that are in the walker's component already, are not walked to.
 4. Blocks over `block` shingles are not gathered: rounds of pivots link what is near a common
    set.  Of the components known then, the largest of each block needs no more links inside; all
    sets out of it meet the whole block in pairs of pieces of bounded size, where walks skip what
@@ -26,6 +26,8 @@ but for chance collisions of these, of which no construction is known.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -52,135 +54,184 @@ def linked(o: int, n: int, m: int, share: int) -> bool:
 # --- the trie ---------------------------------------------------------------------------
 
 
-class _Node:
-    __slots__ = ("run", "kids", "members", "least", "most", "rep", "one")
-
-    def __init__(self, run, n, rep):
-        self.run, self.kids, self.members = run, {}, []
-        self.least = self.most = n  # sizes of the sets below
-        self.rep, self.one = rep, True  # a set below; whether all below are known to be one component
-
-
 class Trie:
-    """Sets of ranks, each ascending; join() links a new set with those stored before and stores it."""
+    """Sets of ranks, each ascending, with a path each from its last rank to its first; store() puts a set in, and probe() links a set with those stored before.
 
-    def __init__(self, universe: int, count: int, share: int):
-        self.share, self.kids = share, {}
+    Nodes are numbers: a node has a run of ranks and its parent.  Two linked sets share one of the
+    rarest n - ceil(s n) + 1 ranks of each, so a probe walks only the paths of stored sets that have one of its own among theirs,
+    from the leaf up to what it has walked already; a set in the prober's component isn't walked to.  `shared`: ranks from
+    there on are in one set only, so nothing is looked for by them.  `rising`: no set is smaller than those before it, so a partner
+    that comes later shares 2 s / (1 + s) n of a stored set, and fewer of its ranks need naming.
+    """
+
+    def __init__(self, universe: int, count: int, share: int, shared: int | None = None, rising: bool = False):
+        self.share, self.shared, self.rising = share, universe if shared is None else shared, rising
         self.mask = np.zeros(universe + 1, bool)
-        self.up = list(range(count))
-        self.sizes = [0] * count
-        self.visits = 0
+        self.kids: list[dict[int, int]] = [{}]  # node 0 is the root, and has no run
+        self.parent, self.start, self.length = np.zeros(16, np.int64), np.zeros(16, np.int64), np.zeros(16, np.int64)
+        self.flat, self.used = np.zeros(1024, np.int32), 0
+        self.leaf, self.sizes = np.zeros(count, np.int64), np.zeros(count, np.int64)
+        self.seen, self.held = np.full(16, -1, np.int64), np.zeros(16, np.int64)  # the last probe that walked a node, and how much of its run was the prober's
+        self.met = np.full(count, -1, np.int64)  # the last probe that walked to a set
+        self.label, self.least, self.groups = np.arange(count), list(range(count)), {}
+        self.by_rank: dict[int, array] = {}
+        self.clean: dict[int, int] = {}  # of a rank: so many of its first sets are one component
+        self.visits = self.probes = 0
 
     def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+        return self.least[self.label[i]]
 
     def union(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
+        a, b = int(self.label[i]), int(self.label[j])
+        if a == b:
             return False
-        self.up[max(i, j)] = min(i, j)
+        x, y = self.groups.pop(a, None) or [a], self.groups.pop(b, None) or [b]
+        if len(x) < len(y):
+            a, b, x, y = b, a, y, x
+        x.extend(y)  # the smaller one is named anew
+        self.label[y] = a
+        self.groups[a] = x
+        self.least[a] = min(self.least[a], self.least[b])
         return True
 
+    def _first(self, x: np.ndarray, least: int) -> list[int]:
+        """The rarest ranks of a set of which one is a partner's too if they share at least `least`, rarest first; without those of one set."""
+        tail = x[least - 1 :]
+        return tail[: np.searchsorted(tail, self.shared)][::-1].tolist()
+
+    def _overlap(self, sets: np.ndarray) -> np.ndarray:
+        """What the prober (in the mask) shares with stored sets."""
+        cur = self.leaf[sets]
+        paths = [cur]
+        while cur.any():
+            cur = self.parent[cur]
+            paths.append(cur)
+        paths = np.concatenate(paths)
+        new = np.unique(paths[self.seen[paths] != self.probes])
+        if len(new):
+            self.seen[new] = self.probes
+            self.visits += len(new)
+            n = self.length[new]
+            to = np.cumsum(n)
+            total = np.zeros(to[-1] + 1, np.int64)
+            np.cumsum(self.mask[self.flat[np.repeat(self.start[new] - to + n, n) + np.arange(to[-1])]], out=total[1:])
+            self.held[new] = total[to] - total[to - n]
+        return self.held[paths].reshape(-1, len(sets)).sum(0)
+
     def probe(self, i: int, x: np.ndarray):
         """Numbers of stored sets that are linked with set i; sets of i's own component may be left out."""
-        n, share, mask = len(x), self.share, self.mask
-        mask[x] = True
-        out = []
-        stack = [(node, 0, 0, False) for node in self.kids.values()]
-        while stack:
-            node, d, o, done = stack.pop()
-            if done:  # below, all have been walked: if all are with i now, later walks may skip it
-                me = self.find(i)
-                node.one = all(self.find(j) == me for j in node.members) and all(k.one and self.find(k.rep) == me for k in node.kids.values())
+        n, share, out = len(x), self.share, []
+        self.mask[x] = True
+        self.probes += 1
+        lists, total = [], 0
+        first = [r for r in self._first(x, need(n, share)) if r in self.by_rank]
+        for k, r in enumerate(first):
+            held = self.by_rank[r]
+            if self.clean.get(r) != len(held) or self.label[held[0]] != self.label[i]:
+                lists.append(np.frombuffer(held, np.int32).copy())
+                total += len(held)
+            if not total or total < 2048 and k < len(first) - 1:
                 continue
-            if node.one and self.find(node.rep) == self.find(i):
-                continue
-            self.visits += 1
-            run = node.run
-            d += len(run)
-            o += int(np.count_nonzero(mask[run]))
-            left = n - int(np.searchsorted(x, run[-1], "right"))
-            m = min(max(d + left, node.least), node.most)
-            if (100 + share) * (o + min(m - d, left)) < share * (n + m):
-                continue
-            for j in node.members:
-                if linked(o, n, self.sizes[j], share):
-                    self.union(i, j)
-                    out.append(j)
-            if not node.one:
-                stack.append((node, 0, 0, True))
-            for k in node.kids.values():
-                stack.append((k, d, o, False))
-        mask[x] = False
+            c = np.concatenate(lists)
+            other = self.label[c] != self.label[i]
+            if len(lists) == 1 and not other.any():
+                self.clean[r] = len(held)
+            lists, total, batch = [], 0, 1
+            m = self.sizes[c]
+            c = np.unique(c[other & (self.met[c] != self.probes) & (100 * m >= share * n) & (share * m <= 100 * n)])
+            while len(c):
+                now, c = c[:batch], c[batch:]
+                self.met[now] = self.probes
+                hit = now[(100 + share) * self._overlap(now) >= share * (n + self.sizes[now])]
+                for j in hit.tolist():
+                    if self.union(i, j):
+                        out.append(j)
+                if len(hit):
+                    c = c[self.label[c] != self.label[i]]
+                batch = min(8 * batch, 512)
+        self.mask[x] = False
         return out
 
-    def store(self, i: int, x: np.ndarray) -> None:
-        self.sizes[i] = n = len(x)
-        kids, at = self.kids, 0
-        while True:
-            node = kids.get(int(x[at]))
-            if node is None:
-                kids[int(x[at])] = leaf = _Node(x[at:], n, i)
-                leaf.members.append(i)
-                return
-            node.one = node.one and self.find(node.rep) == self.find(i)
-            node.least, node.most = min(node.least, n), max(node.most, n)
-            k = min(len(node.run), n - at)
-            off = np.flatnonzero(node.run[:k] != x[at : at + k])
+    def _node(self, run: np.ndarray, parent: int) -> int:
+        v = len(self.kids)
+        if v == len(self.parent):
+            self.parent, self.start, self.length, self.held = (np.concatenate([c, np.zeros_like(c)]) for c in (self.parent, self.start, self.length, self.held))
+            self.seen = np.concatenate([self.seen, np.full_like(self.seen, -1)])
+        if self.used + len(run) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(run)), np.int32)])
+        self.flat[self.used : self.used + len(run)] = run
+        self.parent[v], self.start[v], self.length[v] = parent, self.used, len(run)
+        self.used += len(run)
+        self.kids.append({})
+        return v
+
+    def _place(self, x: np.ndarray) -> int:
+        """The node where a set, rarest rank first, ends; made if there is none."""
+        v, at, n = 0, 0, len(x)
+        while at < n:
+            w = self.kids[v].get(int(x[at]))
+            if w is None:
+                w = self._node(x[at:], v)
+                self.kids[v][int(x[at])] = w
+                return w
+            s, k = self.start[w], min(int(self.length[w]), n - at)
+            off = np.flatnonzero(self.flat[s : s + k] != x[at : at + k])
             k = int(off[0]) if len(off) else k
-            if k < len(node.run):  # split the run
-                low = _Node(node.run[k:], n, node.rep)
-                low.kids, low.members, low.one = node.kids, node.members, node.one
-                low.least, low.most = self._bounds(low)
-                low.one = node.one
-                node.run, node.kids, node.members = node.run[:k], {int(low.run[0]): low}, []
-            at += k
-            if at == n:
-                node.members.append(i)
-                return
-            kids = node.kids
-
-    def _bounds(self, node) -> tuple[int, int]:
-        sizes = [self.sizes[j] for j in node.members] + [b for k in node.kids.values() for b in (k.least, k.most)]
-        return min(sizes), max(sizes)
+            if k < self.length[w]:  # split the run: its upper part is a new node; the lower one keeps its number, so nothing below moves
+                top = self._node(x[:0], v)
+                self.start[top], self.length[top] = s, k
+                self.start[w], self.length[w], self.parent[w] = s + k, self.length[w] - k, top
+                self.kids[v][int(x[at])] = top
+                self.kids[top][int(self.flat[s + k])] = w
+                w = top
+            v, at = w, at + k
+        return v
+
+    def store(self, i: int, x: np.ndarray) -> None:
+        self.sizes[i] = len(x)
+        self.leaf[i] = self._place(x[::-1])
+        for r in self._first(x, -(-2 * self.share * len(x) // (100 + self.share)) if self.rising else need(len(x), self.share)):
+            held = self.by_rank.setdefault(r, array("i"))
+            held.append(i)
+            if self.clean.get(r, 0) == len(held) - 1 and self.label[held[0]] == self.label[i]:
+                self.clean[r] = len(held)
 
 
 def ranks(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
-    """Sets as ascending ranks in one order of all their shingles: most common first, then by hash."""
+    """Sets as ascending ranks in one order of all their shingles: most common first, then by hash; the trie has them from the last."""
+    x, universe, _ = _ranks(sets)
+    return x, universe
+
+
+def _ranks(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int, int]:
+    """And the first rank that only one set has."""
     flat = np.concatenate(sets)
     u, inv, count = np.unique(flat, return_inverse=True, return_counts=True)
     rank = np.empty(len(u), np.int32)
     rank[np.lexsort((u, -count))] = np.arange(len(u), dtype=np.int32)
-    return [np.sort(r) for r in np.split(rank[inv], np.cumsum([len(s) for s in sets])[:-1])], len(u)
+    return [np.sort(r) for r in np.split(rank[inv], np.cumsum([len(s) for s in sets])[:-1])], len(u), int(np.count_nonzero(count > 1))
 
 
 def join_sets(sets: list[np.ndarray], share: int, probes: list[int] | None = None, known=()) -> list[int]:
     """Component (least number) of each set; with `probes`, only links of these with all are looked for; sets of one `known` label are one component before."""
     if len(sets) == 1:
         return [0]
-    x, universe = ranks(sets)
-    trie = Trie(universe, len(sets), share)
+    x, universe, shared = _ranks(sets)
+    trie = Trie(universe, len(sets), share, shared, probes is None)
     first_of: dict[int, int] = {}
     for i, label in enumerate(known):
         trie.union(first_of.setdefault(label, i), i)
     if probes is None:
         order = sorted(range(len(sets)), key=lambda i: len(x[i]))
-        for i in order:
-            trie.probe(i, x[i])
-            trie.store(i, x[i])
     else:
+        order = list(probes)
         first = set(probes)
         for i in range(len(sets)):
             if i not in first:
                 trie.store(i, x[i])
-                # beyond `known`, stored sets aren't known to be one component: only walks can tell
-        for i in probes:
-            trie.probe(i, x[i])
-            trie.store(i, x[i])
+    for i in order:
+        trie.probe(i, x[i])
+        trie.store(i, x[i])
     return [trie.find(i) for i in range(len(sets))]
 
 
