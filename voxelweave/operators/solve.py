@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import constraints
@@ -99,7 +100,7 @@ def branch_and_bound(cost: list[float], rows: list[tuple[dict[int, int], str, in
 
 
 #: steps of branch and bound before a programme is solved over its open rows instead
-FIRST = 20_000
+FIRST = 300
 
 
 def _frontier(cost: list[float], rows: list[tuple[dict[int, int], str, int]]) -> list[int]:
@@ -258,6 +259,21 @@ def pieces(n: int, rows: list[tuple[dict[int, int], str, int]]) -> list[tuple[li
     return list(out.values())
 
 
+def lean(rows: list[tuple[dict[int, int], str, int]]) -> list[tuple[dict[int, int], str, int]]:
+    """Rows but those that another one implies: equal ones, and "at most one" over some of the variables of another such row."""
+    out, seen, of = [], set(), {}
+    for coef, rel, value in rows:
+        if (name := (frozenset(coef.items()), rel, value)) not in seen:
+            seen.add(name)
+            out.append((coef, rel, value))
+    one = [i for i, (coef, rel, value) in enumerate(out) if rel == "<=" and value == 1 and all(c == 1 for c in coef.values())]
+    for i in one:
+        for v in out[i][0]:
+            of.setdefault(v, set()).add(i)
+    gone = {i for i in one if any(len(out[j][0]) > len(out[i][0]) for j in set.intersection(*(of[v] for v in out[i][0])))}
+    return [r for i, r in enumerate(out) if i not in gone]
+
+
 def solve(variables: DataFrame, coefs: DataFrame, limit: int = 20_000_000, whole: int = WHOLE) -> DataFrame:
     """problem, key, x of variables (problem, key, cost) under coefs (problem, row, key, coef, relation, value).
 
@@ -267,26 +283,43 @@ def solve(variables: DataFrame, coefs: DataFrame, limit: int = 20_000_000, whole
     """
     named = settled(coefs.join(variables.select("problem", "key"), ["problem", "key"], "left_semi"))
     big = settled(named.groupBy("problem").agg(F.count("*").alias("n")).where(F.col("n") > whole).select("problem"))
-    none = lambda t: F.lit(None).cast(t)
     alone = F.concat(F.lit("all|"), F.col("problem").cast("string")).alias("component")
 
-    def lines(v: DataFrame, c: DataFrame, part) -> DataFrame:
-        return v.select("problem", part, "key", "cost", none("string").alias("row"), none("int").alias("coef"), none("string").alias("relation"), none("long").alias("value")).unionByName(
-            c.select("problem", part, "key", none("double").alias("cost"), "row", F.col("coef").cast("int").alias("coef"), "relation", F.col("value").cast("long").alias("value"))
-        )
-
     if not big.take(1):
-        both = lines(variables, named, alone)
+        both = _lines(variables, named, alone)
     else:
         node = F.concat_ws("|", F.col("problem").cast("string"), "key")
-        small = lines(variables.join(big, "problem", "left_anti"), named.join(big, "problem", "left_anti"), alone)
+        small = _lines(variables.join(big, "problem", "left_anti"), named.join(big, "problem", "left_anti"), alone)
         named = settled(named.join(big, "problem", "left_semi").withColumn("node", node))
         first = named.groupBy("problem", "row").agg(F.min("node").alias("b"))
         part = components(named.join(first.hint("merge"), ["problem", "row"]).select(F.col("node").alias("a"), "b").distinct()).withColumnRenamed("id", "node").hint("merge")
         v = variables.join(big, "problem", "left_semi").withColumn("node", node).join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        both = small.unionByName(lines(v, named.join(part, "node"), F.col("component")))
+        both = small.unionByName(_lines(v, named.join(part, "node"), F.col("component")))
+    return _solve_lines(both, limit)
+
 
-    def one(lines: list[tuple]) -> pd.DataFrame:
+def solve_pieces(segments: DataFrame, coefs: DataFrame, pieces: DataFrame, limit: int = 20_000_000) -> DataFrame:
+    """What `solve` gives for segments (problem, key, sl, sr, cost) of one problem whose pieces are known.
+
+    pieces: id, component of slices; slices that rows of the programme join, directly or over others, have the same one, and a slice that isn't named is joined with none.
+    """
+    at = segments.select("problem", "key", "cost", F.get(F.concat("sl", "sr"), F.lit(0)).alias("id"))
+    of = settled(at.join(pieces.select("id", "component").hint("merge"), "id", "left").select("problem", "key", "cost", F.coalesce("component", "id").cast("string").alias("component")))
+    return _solve_lines(_lines(of, coefs.join(of.select("problem", "key", "component").hint("merge"), ["problem", "key"]), F.col("component")), limit)
+
+
+def _lines(v: DataFrame, c: DataFrame, part) -> DataFrame:
+    """Variables and coefficients as the lines of their components."""
+    none = lambda t: F.lit(None).cast(t)
+    return v.select("problem", part, "key", "cost", none("string").alias("row"), none("int").alias("coef"), none("string").alias("relation"), none("long").alias("value")).unionByName(
+        c.select("problem", part, "key", none("double").alias("cost"), "row", F.col("coef").cast("int").alias("coef"), "relation", F.col("value").cast("long").alias("value"))
+    )
+
+
+def _solve_lines(both: DataFrame, limit: int) -> DataFrame:
+    """problem, key, x: every component of the lines solved in a task."""
+
+    def one(lines: list[tuple], done: tuple[list, list, list]) -> None:
         problem, var = lines[0][1], sorted((key, cost) for _, _, key, cost, row, *_ in lines if row is None)
         at = {key: i for i, (key, _) in enumerate(var)}
         rows: dict[str, tuple[dict[int, int], str, int]] = {}
@@ -294,41 +327,99 @@ def solve(variables: DataFrame, coefs: DataFrame, limit: int = 20_000_000, whole
             rows.setdefault(row, ({}, rel, int(value)))[0][at[key]] = int(coef)
         out = [0] * len(var)
         for mine, its in pieces(len(var), list(rows.values())):
-            x, sure = exact([var[i][1] for i in mine], its, limit)
+            x, sure = exact([var[i][1] for i in mine], lean(its), limit)
             if not sure:
                 raise Unproven(f"{len(mine)} variables of problem {problem} took more than {limit} steps")
             if not x:
                 raise ValueError(f"the rows over {var[mine[0]][0]} and {len(mine) - 1} others of problem {problem} have no solution")
             for i, value in zip(mine, x):
                 out[i] = value
-        return pd.DataFrame({"problem": problem, "key": list(at), "x": out})
+        for to, what in zip(done, ([problem] * len(var), at, out)):
+            to.extend(what)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A partition has its components one after the other; a component is held at a time, whatever batches it comes in."""
+        frame = lambda done: pd.DataFrame(dict(zip(("problem", "key", "x"), done)))
         lines: list[tuple] = []
         for b in batches:
-            done = []
+            done: tuple[list, list, list] = ([], [], [])
             for line in zip(*(b[c].tolist() for c in ("component", "problem", "key", "cost")), b["row"].where(b["row"].notna(), None).tolist(), *(b[c].tolist() for c in ("coef", "relation", "value"))):
                 if lines and lines[0][0] != line[0]:
-                    done.append(one(lines))
+                    one(lines, done)
                     lines = []
                 lines.append(line)
-            if done:
-                yield pd.concat(done)
+            if done[0]:
+                yield frame(done)
         if lines:
-            yield one(lines)
+            one(lines, done := ([], [], []))
+            yield frame(done)
 
-    dealt = both.repartition("component").sortWithinPartitions("component")
+    # as many tasks as there are partitions: they are small in bytes, but not in seconds
+    dealt = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), "component").sortWithinPartitions("component")
     return dealt.mapInPandas(run, "problem long, key string, x int")
 
 
+def lasting(segments: DataFrame) -> DataFrame:
+    """segments (key, type, sl, sr, cost) but the ends that no problem made of them chooses: of slices in no continuation or branch, no end of which costs less than 0.
+
+    In any part of the programme such an end stays at 0 (see `hopeless`), so it needn't be copied into the problems that it lies in.
+    """
+    stay = segments.where("type > 0 or cost < 0 or cost is null").select(F.explode(F.concat("sl", "sr")).alias("__id")).distinct()
+    ends = segments.where("type = 0").withColumn("__id", F.coalesce(F.get("sl", F.lit(0)), F.get("sr", F.lit(0))))
+    return segments.where("type > 0").unionByName(ends.join(stay.hint("merge"), "__id", "left_semi").select(*segments.columns))
+
+
+def opened(segments: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """segments with `closed`: whether an end is one of `hopeless`; its slice's ends are grouped where they are flagged, and go no further."""
+    used = segments.where("type > 0").select("problem", F.explode(F.concat("sl", "sr")).alias("__id")).distinct().withColumn("__used", F.lit(True))
+    if kept is not None:
+        named = segments.where("type = 0").join(kept.select("key").distinct(), "key", "left_semi")
+        used = used.unionByName(named.select("problem", F.explode(F.concat("sl", "sr")).alias("__id"), F.lit(True).alias("__used"))).distinct()
+    ends = segments.where("type = 0").withColumn("__id", F.coalesce(F.get("sl", F.lit(0)), F.get("sr", F.lit(0)))).repartition("problem", "__id")
+    spent = F.sum("cost").over(W.partitionBy("problem", "__id"))
+    ends = ends.withColumn("__spent", spent).join(used.hint("merge"), ["problem", "__id"], "left")
+    ends = ends.withColumn("closed", F.col("__used").isNull() & F.coalesce(F.col("__spent") >= 0, F.lit(False)))
+    return segments.where("type > 0").withColumn("closed", F.lit(False)).unionByName(ends.select(*segments.columns, "closed"))
+
+
+def solved(segments: DataFrame, slices: DataFrame, cliques: DataFrame, forced: bool = False, user: DataFrame | None = None, limit: int = 20_000_000, pieces: DataFrame | None = None) -> DataFrame:
+    """All segments (problem, key, type, isi, sl, sr, cost and more) with x under the whole programme.
+
+    Ends that some best solution leaves out are at 0 and in no row; rows are made of what stays open, and of its slices' cliques.
+    pieces: see `solve_pieces`.
+    """
+    if forced:
+        every, open_ = None, segments
+    else:
+        every = settled(opened(segments, user))
+        open_ = every.where("not closed").drop("closed")
+    ids = settled(open_.select(F.explode(F.concat("sl", "sr")).alias("id")).distinct())
+    near = settled(cliques.join(ids.hint("merge"), "id", "left_semi"))
+    rows = programme(open_, slices.select("id").join(ids.hint("merge"), "id", "left_semi"), near, forced, user)
+    found = solve(open_.select("problem", "key", "cost"), rows, limit) if pieces is None else solve_pieces(open_, rows, pieces, limit)
+    got = open_.join(found.hint("merge"), ["problem", "key"])
+    if every is None:
+        return got
+    return got.unionByName(every.where("closed").drop("closed").withColumn("x", F.lit(0)).select(*got.columns))
+
+
 def solve_segments(segments: DataFrame, slices: DataFrame, cliques: DataFrame, forced: bool = False, user: DataFrame | None = None, limit: int = 20_000_000) -> DataFrame:
     """problem, key, x of all segments (problem, key, type, isi, sl, sr, cost) under the whole programme."""
-    rows = programme(segments, slices, cliques, forced, user)
-    out = settled(hopeless(segments, user)) if not forced else segments.select("problem", "key").limit(0)
-    open_ = segments.join(out, ["problem", "key"], "left_anti")
-    got = solve(open_.select("problem", "key", "cost"), rows, limit)
-    return got.unionByName(out.withColumn("x", F.lit(0)))
+    return solved(segments, slices, cliques, forced, user, limit).select("problem", "key", "x")
+
+
+def broken(segments: DataFrame, slices: DataFrame, cliques: DataFrame) -> DataFrame:
+    """row, relation, value, have of the rows of `programme` (not forced) over segments with x that their solution breaks.
+
+    A row without a chosen segment has 0, which no row forbids, so only slices of chosen segments are looked at, with all segments that they are in.
+    """
+    m = settled(segments.where("x <> 0").select("problem", F.explode(F.concat("sl", "sr")).alias("__id")).distinct())
+    named = segments.select("*", F.explode(F.concat("sl", "sr")).alias("__id")).join(m.hint("merge"), ["problem", "__id"], "left_semi")
+    near = settled(named.drop("__id").dropDuplicates(["problem", "key"]))
+    ids = settled(m.select(F.col("__id").alias("id")).distinct())
+    rows = programme(near, slices.select("id").join(ids.hint("merge"), "id", "left_semi"), cliques.join(ids.hint("merge"), "id", "left_semi"))
+    sums = rows.join(near.select("problem", "key", "x").hint("merge"), ["problem", "key"]).groupBy("problem", "row", "relation", "value").agg(F.sum(F.col("coef") * F.col("x")).alias("have"))
+    return sums.where((F.col("relation") == "=") & (F.col("have") != F.col("value")) | (F.col("relation") == "<=") & (F.col("have") > F.col("value")))
 
 
 def chosen(solution: DataFrame) -> DataFrame:
